@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import near_dup
+from tidemark.llm import katz, mixing, near_dup, token_count
 
 QUERIES = {
+    "op3_katz_scores": katz.op3,
+    "op4_token_counts": token_count.op4,
+    "op5_mix_sources": mixing.op5,
     "op9_near_duplicates": near_dup.op9,
 }
 
