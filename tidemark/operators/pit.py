@@ -44,15 +44,15 @@ def newest(facts: DataFrame, keys: list[str], *order: str, n: int = 1) -> DataFr
     return facts.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def latest_active(facts: DataFrame, as_of, keys: list[str], date: str = "effective_date", id: str = "id") -> DataFrame:
+def latest_active(facts: DataFrame, as_of, keys: list[str], date: str = "effective_date", id: str = "id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Of each key's active facts the last by date and then id as text; keys without any are absent."""
-    rows = active(facts, as_of, date, id).withColumn("_text", F.col(id).cast("string"))
+    rows = active(facts, as_of, date, id, keep=keep).withColumn("_text", F.col(id).cast("string"))
     return newest(rows, keys, date, "_text").drop("_text")
 
 
-def financial_periods(statements: DataFrame, as_of, keys: list[str], n: int = 8) -> DataFrame:
+def financial_periods(statements: DataFrame, as_of, keys: list[str], n: int = 8, keep: tuple[str, ...] = ()) -> DataFrame:
     """The newest active row of each period, then the n newest periods of each key by (date, period, id text)."""
-    rows = latest_active(statements, as_of, [*keys, "period"]).withColumn("_text", F.col("id").cast("string"))
+    rows = latest_active(statements, as_of, [*keys, "period"], keep=keep).withColumn("_text", F.col("id").cast("string"))
     return newest(rows, keys, "effective_date", "period", "_text", n=n).drop("_text")
 
 
@@ -104,3 +104,8 @@ def restatement_lag(statements: DataFrame, as_of) -> DataFrame:
 def latest_macro(macro: DataFrame, as_of) -> DataFrame:
     """Per indicator the newest reference date, then the newest vintage, both known as of the date."""
     return newest(macro.where((F.col("reference_date") <= on(as_of)) & (F.col("vintage_date") <= on(as_of))), ["indicator_id"], "reference_date", "vintage_date")
+
+
+def panel(facts: DataFrame, dates: DataFrame, date: str = "effective_date") -> DataFrame:
+    """The facts visible on each of the dates (as_of): a few hundred dates, broadcast, so facts are not shuffled."""
+    return facts.join(F.broadcast(dates.select("as_of")), F.col(date) <= F.col("as_of"))

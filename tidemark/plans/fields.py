@@ -15,17 +15,21 @@ TRADING_DAYS = 20
 CUMULATIVE = ("basic_eps", "net_income")
 
 
-def quarterly_series(statements: DataFrame, as_of, n: int = 4) -> DataFrame:
+def quarterly_series(statements: DataFrame, as_of, n: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
     """code, account, series: the n newest periods, newest first, of the eight resolved; running totals as single
-    quarters, by subtracting the quarter before within the eight. Null as a whole where a quarter is missing."""
-    rows = pit.financial_periods(statements, as_of, ["code", "account"])
-    w = Window.partitionBy("code", "account").orderBy(F.desc("period"))
+    quarters, by subtracting the quarter before within the eight. Null as a whole where a quarter is missing.
+    ``keep``: the date column of a panel, which then stays in the result."""
+    keys = [*keep, "code", "account"]
+    rows = pit.financial_periods(statements, as_of, keys, keep=keep)
+    w = Window.partitionBy(*keys).orderBy(F.desc("period"))
     newest = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
-    before = rows.select(F.col("code").alias("_c"), F.col("account").alias("_a"), F.col("fy").alias("_y"), (F.col("fq") + 1).alias("_q"), F.col("value").alias("_v"))
-    on = (F.col("code") == F.col("_c")) & (F.col("account") == F.col("_a")) & (F.col("fy") == F.col("_y")) & (F.col("fq") == F.col("_q"))
+    before = rows.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("fy").alias("_y"), (F.col("fq") + 1).alias("_q"), F.col("value").alias("_v"))
+    on = (F.col("fy") == F.col("_y")) & (F.col("fq") == F.col("_q"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_{k}"))
     single = F.when(~F.col("account").isin(*CUMULATIVE) | (F.col("fq") == 1), F.col("value")).otherwise(F.col("value") - F.col("_v"))
-    rows = newest.join(before, on, "left").groupBy("code", "account").agg(F.array_sort(F.collect_list(F.struct((-F.col("fy") * 10 - F.col("fq")).alias("o"), single.alias("v")))).alias("s"), F.count(single).alias("k"))
-    return rows.select("code", "account", F.when(F.col("k") == n, F.transform("s", lambda x: x["v"])).alias("series"))
+    rows = newest.join(before, on, "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("fy") * 10 - F.col("fq")).alias("o"), single.alias("v")))).alias("s"), F.count(single).alias("k"))
+    return rows.select(*keys, F.when(F.col("k") == n, F.transform("s", lambda x: x["v"])).alias("series"))
 
 
 def of_account(series: DataFrame, account: str, name: str) -> DataFrame:
