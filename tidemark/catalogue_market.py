@@ -83,9 +83,10 @@ def _(v):
     return adjust.adjusted(v("bars"), v("actions"), AS_OF).select("code", "d", r6("open_adjusted"), r6("close_adjusted"), "volume")
 
 
-@query("adj_input_errors", "SELECT code, 'bad_ratio' AS error, CAST(count(*) AS BIGINT) AS n FROM actions WHERE action_type IN ('split', 'reverse_split', 'bonus_issue') AND ratio <= 0 GROUP BY code")
+@query("adj_input_errors", "SELECT code, 'bad_ratio' AS error, CAST(count(*) AS BIGINT) AS n FROM actions WHERE action_type IN ('split', 'reverse_split', 'bonus_issue') AND id % 12 = 0 GROUP BY code")
 def _(v):
-    return adjust.input_errors(v("bars"), v("actions"))
+    damaged = v("actions").withColumn("ratio", F.when(F.col("id") % 12 == 0, F.col("ratio") * -1).otherwise(F.col("ratio")))
+    return adjust.input_errors(v("bars"), damaged)
 
 
 @query("adj_identity_flag", f"SELECT s.code, f.code IS NULL AS identity FROM securities s LEFT JOIN (SELECT DISTINCT code FROM o_factors) f ON s.code = f.code")
@@ -109,12 +110,12 @@ def _(v):
     return returned(v).select("code", "d", r6("index"))
 
 
-@query("tri_rebased_series", "SELECT code, d, round(first_value(adj) OVER (PARTITION BY code ORDER BY d) * idx, 2) AS value FROM o_returns")
+@query("tri_rebased_series", "SELECT code, d, round(first_value(adj) OVER (PARTITION BY code ORDER BY d) * idx + 1e-7, 2) AS value FROM o_returns")
 def _(v):
     from pyspark.sql import Window
 
     first = F.first("close_adjusted").over(Window.partitionBy("code").orderBy("d"))
-    return returned(v).select("code", "d", F.round(first * F.col("index"), 2).alias("value"))
+    return returned(v).select("code", "d", F.round(first * F.col("index") + 1e-7, 2).alias("value"))
 
 
 # ---- fields -----------------------------------------------------------------------------------------------------

@@ -111,11 +111,11 @@ def _(v):
     return screen.conflicts(v("bars"), v("bars_verify"))
 
 
-@query("q_data_freshness", """SELECT source, id AS batch_id, CAST(DATE '2000-01-01' - CAST(started_at AS DATE) AS INTEGER) AS age, CAST(DATE '2000-01-01' - CAST(started_at AS DATE) AS INTEGER) > CASE source WHEN 'KRX' THEN 3 WHEN 'KOSIS' THEN 45 ELSE 100 END AS stale, status = 'partial' AS partial
+@query("q_data_freshness", """SELECT source, id AS batch_id, CAST(DATE '2024-06-01' - CAST(started_at AS DATE) AS INTEGER) AS age, CAST(DATE '2024-06-01' - CAST(started_at AS DATE) AS INTEGER) > CASE source WHEN 'KRX' THEN 3 WHEN 'KOSIS' THEN 45 ELSE 100 END AS stale, status = 'partial' AS partial
  FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY started_at DESC, id DESC) AS rn FROM batch_runs WHERE status IN ('success', 'partial')) x WHERE rn = 1""")
 def _(v):
     runs = v("batch_runs")
-    return screen.freshness(runs, "2000-01-01", runs.select("source").distinct())
+    return screen.freshness(runs, "2024-06-01", runs.select("source").distinct())
 
 
 RATES = "(SELECT 'KOSPI' AS market, DATE '1990-01-01' AS effective_from, CAST(0.003 AS DECIMAL(6,4)) AS rate UNION ALL SELECT 'KOSPI', DATE '1998-01-01', 0.0023 UNION ALL SELECT 'KOSDAQ', DATE '1996-01-01', 0.0015)"
