@@ -27,11 +27,7 @@ def plain(x):
     return x
 
 
-#: Bars of a day are put in order by a key that is not unique on the smallest tables.
-TIED = {"pit_filter", "tri_rebased_series"}
-
-
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES.keys() - TIED))
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
 def test_same_rows(spark, small, duck, name):
     df = catalogue.QUERIES[name](spark, small)
     columns = sorted(df.columns)

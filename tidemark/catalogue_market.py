@@ -78,9 +78,10 @@ def _(v):
     return adjust.classified(v("actions"), AS_OF).where("class IN ('detect_merger', 'detect_spin_off')").select("code", "effective_date").distinct()
 
 
-@query("adj_series", "SELECT code, d, round(open * factor, 6) AS open_adjusted, round(close * factor, 6) AS close_adjusted, volume FROM o_adjusted")
+@query("adj_series", "SELECT code, d, round(open * factor + 1e-9, 6) AS open_adjusted, round(close * factor + 1e-9, 6) AS close_adjusted, volume FROM o_adjusted")
 def _(v):
-    return adjust.adjusted(v("bars"), v("actions"), AS_OF).select("code", "d", r6("open_adjusted"), r6("close_adjusted"), "volume")
+    prices = [F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("open_adjusted", "close_adjusted")]  # halved prices end in a tie
+    return adjust.adjusted(v("bars"), v("actions"), AS_OF).select("code", "d", *prices, "volume")
 
 
 @query("adj_input_errors", "SELECT code, 'bad_ratio' AS error, CAST(count(*) AS BIGINT) AS n FROM actions WHERE action_type IN ('split', 'reverse_split', 'bonus_issue') AND id % 12 = 0 GROUP BY code")
