@@ -2,7 +2,7 @@
 
 Every vector gets its distances to P pivots. By the triangle inequality the distance of query and candidate is at
 least the largest difference of their distances to a pivot; so <q, v> = (|q|^2 + |v|^2 - |q - v|^2) / 2 is at most
-the bound that this distance gives. Candidates are evaluated in the order of their bounds, in small batches, until
+the bound that this distance gives. Candidates are evaluated in the order of their bounds, in growing batches, until
 the next bound is below the k-th score found; equal bounds are still evaluated, so ties are exact.
 
 Candidates are dealt into blocks of about BLOCK rows, queries into blocks of about QUERY_BLOCK; each pair of
@@ -49,26 +49,32 @@ def searched(pivots: np.ndarray, k: int):
     def run(_, queries: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(cands):
-            cands = cands.sort_values("vec_id")
             ids = cands["vec_id"].to_numpy(np.int64)
             C, Q = np.stack(cands["v"].to_list()).astype(np.int64), np.stack(queries["v"].to_list()).astype(np.int64)
             dc, dq = to_pivots(C), to_pivots(Q)
             nc, nq = (C.astype(np.float64) ** 2).sum(1), (Q.astype(np.float64) ** 2).sum(1)
+            if nc.max(initial=0) < 2**50 and nq.max(initial=0) < 2**50:  # products are whole below 2**53, so doubles are exact
+                C, Q = C.astype(np.float64), Q.astype(np.float64)
             for q, i in enumerate(queries["vec_id"].to_numpy(np.int64)):
                 low = np.abs(dc - dq[q]).max(1)
                 bound = (nq[q] + nc - low**2) / 2
                 bound += 1e-9 * (nq[q] + nc) + 1e-6  # more than rounding takes away
                 bound[ids == i] = -np.inf
-                order = np.argsort(-bound, kind="stable")
-                best = np.empty((0, 2), np.int64)
-                for at in range(0, len(order), STEP):
-                    part = order[at : at + STEP]
-                    if bound[part[0]] == -np.inf or len(best) == k and bound[part[0]] < best[-1, 0]:
-                        break
+                order = np.argsort(-bound)
+                score, found = np.empty(0, C.dtype), np.empty(0, np.int64)
+                at, step = 0, STEP
+                while at < len(order) and bound[order[at]] > -np.inf and not (len(score) == k and bound[order[at]] < score[-1]):
+                    part = order[at : at + step]
+                    part = part[bound[part] >= (score[-1] if len(score) == k else -np.inf)]
                     part = part[bound[part] > -np.inf]
-                    best = np.concatenate([best, np.stack([C[part] @ Q[q], ids[part]], 1)])
-                    best = best[np.lexsort((best[:, 1], -best[:, 0]))[:k]]
-                out.append(pd.DataFrame({"query_id": i, "vec_id": best[:, 1], "score": best[:, 0]}))
+                    score, found = np.concatenate([score, C[part] @ Q[q]]), np.concatenate([found, ids[part]])
+                    if len(score) > k:  # ties at the k-th place are put in order below
+                        near = score >= np.partition(score, -k)[-k]
+                        score, found = score[near], found[near]
+                    best = np.lexsort((found, -score))[:k]
+                    score, found = score[best], found[best]
+                    at, step = at + step, 2 * step
+                out.append(pd.DataFrame({"query_id": i, "vec_id": found, "score": score.astype(np.int64)}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
 
     return run
