@@ -11,7 +11,8 @@ The model is fitted on at most ``most`` labelled texts (MAX_TRAIN by default); t
 
 from __future__ import annotations
 
-import zlib
+import math
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,13 +29,28 @@ MAX_TRAIN = 6_000
 BITS = 18
 SIZES = (3, 4, 5)
 STEPS, RATE, L2 = 150, 0.05, 1.0
+#: Bytes of text scored at a time, and words remembered.
+PART, MEMO = 2 << 20, 1 << 18
 #: A text is called toxic from this score on.
 THRESHOLD = 0.3
 
 
-def grams(word: bytes) -> list[int]:
-    w = b"<" + word + b">"
-    return [zlib.crc32(w[i : i + n]) & (1 << BITS) - 1 for n in SIZES for i in range(max(1, len(w) - n + 1)) if i + n <= len(w) or not i and n == SIZES[0]]
+def grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, number of the word) of all n-grams of the words, repeats included."""
+    marked = [b"<" + w + b">" for w in words]
+    text = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
+    of = np.repeat(np.arange(len(words), dtype=np.int32), np.fromiter(map(len, marked), np.int64, len(marked)))
+    found, places = [], []
+    for n in SIZES:
+        m = max(0, len(text) - n + 1)
+        h = np.full(m, n, np.uint32)
+        for j in range(n):
+            h = (h ^ text[j : j + m]) * np.uint32(16777619)
+        h ^= h >> np.uint32(15)
+        inside = of[:m] == of[len(of) - m :]
+        found.append((h[inside] & np.uint32((1 << BITS) - 1)).astype(np.int32))
+        places.append(of[:m][inside])
+    return np.concatenate(found), np.concatenate(places)
 
 
 @dataclass
@@ -43,40 +59,48 @@ class Model:
     weights: np.ndarray  # 2**BITS values, 1 MB
 
     def scorer(self):
-        """Scores texts, remembering what words add."""
-
-        class Added(dict):
-            def __missing__(memo, word: bytes) -> float:  # noqa: N805
-                if len(memo) >= 1 << 19:
-                    memo.clear()
-                v = memo[word] = float(self.weights[grams(word)].sum())
-                return v
-
-        added = Added()
+        """Scores texts, remembering what words add. Texts are taken in parts of about PART bytes, whose distinct
+        words are held at a time."""
+        added: dict[bytes, float] = {}
+
+        def part(texts: list[bytes]) -> np.ndarray:
+            sets = [set(words_of(t)) for t in texts]
+            if len(added) >= MEMO:
+                added.clear()
+            new = list(set().union(*sets).difference(added))
+            if new:
+                g, of = grams(new)
+                added.update(zip(new, np.bincount(of, self.weights[g], len(new)).tolist()))
+            z = self.bias + np.array([math.fsum(map(added.__getitem__, s)) for s in sets], np.float64)
+            return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
         def run(texts: list[bytes]) -> np.ndarray:
-            z = self.bias + np.array([sum(map(added.__getitem__, sorted(set(words_of(t))))) for t in texts], np.float64)
-            return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            ends = np.cumsum([len(t) + 1 for t in texts]) // PART
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+            return np.concatenate([np.empty(0), *(part(texts[i:j]) for i, j in zip(cuts, cuts[1:]) if j > i)])
 
         return run
 
 
-def fit(texts: list[list[bytes]], y: np.ndarray) -> Model:
-    """The model for texts given as distinct words; with one kind of label, or none, a constant."""
+def fit(texts: list[bytes], y: np.ndarray) -> Model:
+    """The model for texts given as their distinct words with blanks between; with one kind of label, or none, a
+    constant."""
     prior = (y.sum() + 1) / (len(y) + 20)
     model = Model(float(np.log(prior / (1 - prior))), np.zeros(1 << BITS, np.float32))
     if not 0 < y.sum() < len(y):
         return model
-    number: dict[bytes, int] = {}
-    word = np.concatenate([np.array([number.setdefault(w, len(number)) for w in t], np.int32) for t in texts])
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
-    each = [grams(w) for w in number]
-    gram = np.concatenate([np.array(g, np.int32) for g in each])
-    of = np.repeat(np.arange(len(each), dtype=np.int32), [len(g) for g in each])
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    words = [np.fromiter(map(number.__getitem__, t.split()), np.int32) for t in texts]
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), [len(w) for w in words])
+    word = np.concatenate(words)
+    distinct = len(number)
+    gram, of = grams(list(number))
+    del number, words
     size = 1 << BITS
 
     def counts(weight: np.ndarray) -> np.ndarray:
-        return np.bincount(gram, np.bincount(word, weight[doc], len(each))[of], size)
+        return np.bincount(gram, np.bincount(word, weight[doc], distinct)[of], size)
 
     p, q = 1 + counts(y), 1 + counts(1 - y)
     r = np.log(p / p.sum()) - np.log(q / q.sum())
@@ -84,7 +108,7 @@ def fit(texts: list[list[bytes]], y: np.ndarray) -> Model:
     u, b = np.zeros(size), model.bias
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for t in range(1, STEPS + 1):  # Adam on the whole sample
-        added = np.bincount(of, (r * u)[gram], len(each))
+        added = np.bincount(of, (r * u)[gram], distinct)
         z = b + np.bincount(doc, added[word], len(y))
         slope = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
         g, gb = r * counts(slope) + L2 / len(y) * u, slope.sum()
@@ -105,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MAX_TRA
 
     rows = sample(docs, labels, "toxic", learn, most).select("label", "text").mapInArrow(run, "label int, words binary").toArrow()
     rows = sorted(zip(rows["words"].to_pylist(), rows["label"].to_pylist()))
-    return fit([w.split() for w, _ in rows], np.array([y for _, y in rows], float))
+    return fit([w for w, _ in rows], np.array([y for _, y in rows], float))
 
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
