@@ -2,18 +2,19 @@
 
 1. Every document becomes the set of its distinct five-word shingles, hashed by one function to 64 bits. Its
    bottom-k sketch is the k smallest hashes. Documents with the same set are one class.
-2. Inverted lists of retained values propose pairs. Two sets with similarity t or more share at least ``m`` of
-   their k retained values (``m`` from the binomial law, missed with less than MISS probability a pair; for sets
-   no larger than t*k the bound is certain). So, with a sketch's values ordered from rare to frequent over the
-   corpus, two such sketches meet within the first ``size - m + 1`` values, and only those enter the lists.
-   Passages that many documents share are frequent values and stay out of the lists of documents that also have
-   text of their own.
-3. The k smallest values of both sketches together estimate the similarity; pairs too low are dropped.
+2. Inverted lists of retained values propose pairs. Two sets of similarity t or more share at least ``needed`` of
+   their k retained values, a bound that is certain for sets no larger than k and otherwise missed about once in a
+   million pairs at the threshold itself. So, with a sketch's values ordered from rare to frequent over the corpus,
+   two such sketches meet early in both: the first value they share has at least ``needed`` values from it on in
+   either (prefix and positional filter). Passages that many documents share are frequent values and stay out of
+   the lists of documents that also have text of their own; copies with too many edits of their own meet nobody.
+3. The SHORT smallest values of both sketches together estimate the similarity; pairs too low are dropped.
 4. The remaining pairs are verified on the full sets, and verified links are joined to components.
 
-Long lists never emit all their pairs. First every member of a list is paired with one leader of about its
-size, then with a leader drawn by hash, and only then members outside the list's largest component are paired
-with members of other components. Pairs inside a component are not needed: they cannot change it.
+Long lists never emit all their pairs. First every member of a list is paired with one leader of about its size,
+the one with the fewest values of its own; then with DRAWN leaders drawn by hash; and only then are members
+outside the list's largest component paired with members of other components. Pairs inside a component are not
+needed: they cannot change it.
 """
 
 from __future__ import annotations
@@ -21,16 +22,25 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Hashes, discard, materialise, pack_sorted, text_bytes, unpack_sorted, window_hashes, word_hashes
+from tidemark.llm.common import Hashes, discard, materialise, pack, pack_sorted, slices, text_bytes, unpack, unpack_sorted, window_hashes, word_hashes
 
 SHINGLE = 5
-K = 64
+K = 384
+#: The variance of a count of the other set's values, against that of drawing without replacement, is up to this.
+SPREAD = 1.2
+#: Values that estimate a pair's similarity.
+SHORT = 64
 MISS = 1e-7
+#: Leaders of a list in the second round.
+DRAWN = 3
+#: Retained values for each key range of the inverted lists.
+RANGE = 1 << 20
 #: Bits of the fixed-size filter with which the scan for full sets passes over uninvolved documents.
 FILTER_BITS = 1 << 24
 
@@ -50,8 +60,28 @@ def least_shared(k: int, t: float) -> int:
     return max(1, m - 1)
 
 
+def needed(a: Column, b: Column, k: int, t: float) -> Column:
+    """How many values the sketches of sets of a and b shingles with similarity t or more share at least. Such sets
+    share t / (1 + t) * (a + b) shingles. Of the larger set's k smallest, those that the other lacks are drawn
+    without replacement, and so are the other's values up to there that the larger lacks; all others of the k are
+    shared. The bound lies 5.2 standard deviations and 3 beyond the mean of the larger of the two."""
+    large = F.greatest(a, b)
+    both = F.ceil((a + b) * (t / (1 + t)) - 1e-9)
+    mean = (large - both) * k / large
+    return F.when(large <= k, both).otherwise(F.floor(k - (mean + 5.2 * F.sqrt(mean * SPREAD * (1 - k / large)) + 3)))
+
+
+def list_lengths(kept: np.ndarray, sizes: np.ndarray, k: int, t: float) -> np.ndarray:
+    """How many of its rarest values a sketch must be found by, whatever its partner's size."""
+    mean = (1 - t) * k
+    drawn = np.floor(k - (mean + 5.2 * np.sqrt(mean * SPREAD * np.maximum(0, 1 - k * t / np.maximum(1, sizes))) + 3)) - 1
+    whole = np.ceil(t * sizes - 1e-9)
+    least = np.where(sizes <= k * t, whole, np.where(sizes <= k, np.minimum(whole, drawn), drawn))
+    return np.maximum(1, kept - least + 1).astype(np.int64)
+
+
 def sketches(docs: DataFrame, n: int = SHINGLE, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the full set; null if empty), sketch (ascending, signed)."""
+    """doc_id, n_shingles, set_key (128 bits of the full set; null if empty), sketch (packed, ascending)."""
 
     def run(batches):
         memo = Hashes()
@@ -61,12 +91,54 @@ def sketches(docs: DataFrame, n: int = SHINGLE, k: int = K) -> DataFrame:
                 s = shingle_set(text, memo, n)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                kept.append(np.sort((s[:k] ^ np.uint64(1 << 63)).view(np.int64)))
-            offsets = np.cumsum([0, *map(len, kept)]).astype(np.int32)
+                kept.append(pack_sorted(s[:k]) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(kept, pa.binary())], ["doc_id", "n_shingles", "set_key", "sketch"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary")
+
+
+def postings(reps: DataFrame, buckets: int, k: int, t: float) -> DataFrame:
+    """The retained values of the classes (cls, size, sketch), packed by key range: values ascending, and for each
+    its class, the class's size and how many of its rarest values must be in lists."""
+
+    def run(batches):
+        for b in batches:
+            found = [unpack_sorted(x) for x in b.column(2).to_pylist()]
+            if not found:
+                continue
+            each = np.array([len(x) for x in found])
+            sizes = np.asarray(b.column(1))
+            columns = [np.repeat(x, each) for x in (np.asarray(b.column(0)), sizes, list_lengths(each, sizes, k, t))]
+            v = np.concatenate(found)
+            up = np.argsort(v, kind="stable")
+            v, columns = v[up], [c[up].astype(np.int64) for c in columns]
+            out = [(bucket, pack_sorted(v[i:j]), *(pack(c[i:j]) for c in columns)) for bucket, i, j in slices(v, buckets)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], ["bucket", "v", "cls", "size", "prefix"])
+
+    return reps.select("cls", "size", "sketch").mapInArrow(run, "bucket int, v binary, cls binary, size binary, prefix binary")
+
+
+def shared_values(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The values of one key range that several classes retain, with their number."""
+    v = np.concatenate([unpack_sorted(x) for x in pdf["v"]])
+    _, number, count = np.unique(v, return_inverse=True, return_counts=True)
+    df = count[number]
+    on = df > 1
+    columns = {c: np.concatenate([unpack(x, np.int64) for x in pdf[c]])[on] for c in ("cls", "size", "prefix")}
+    return pd.DataFrame(columns | {"df": df[on], "v": v[on].view(np.int64)})
+
+
+def short_sketches(reps: DataFrame) -> DataFrame:
+    """cls, size and the SHORT smallest values as signed numbers in the same order."""
+
+    def run(batches):
+        for b in batches:
+            kept = [(unpack_sorted(x)[:SHORT] ^ np.uint64(1 << 63)).view(np.int64) for x in b.column(2).to_pylist()]
+            offsets = pa.array(np.cumsum([0, *map(len, kept)]).astype(np.int32))
             values = pa.array(np.concatenate(kept) if kept else np.empty(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), values)], ["doc_id", "n_shingles", "set_key", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, values)], ["cls", "size", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch array<long>")
+    return reps.select("cls", "size", "sketch").mapInArrow(run, "cls long, size long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, n: int = SHINGLE) -> DataFrame:
@@ -122,42 +194,53 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int
     Two documents are linked if 100 * |intersection| >= ``percent`` * |union| of their shingle sets;
     component_id is the smallest doc_id reachable over links, kept says that it is the row's own. A null or
     empty text, or one of blanks only, has no shingles and is linked with nothing; repeated rows and equal texts
-    are linked (similarity 1), also where a doc_id is repeated; rows without doc_id take no part, their
-    component_id is null and they are kept. An empty table gives an empty result.
+    are linked (similarity 1); rows that share a doc_id but not the text are linked by similarity alone; rows
+    without doc_id take no part, their component_id is null and they are kept. An empty table gives an empty result.
     """
     t = percent / 100
-    m = least_shared(k, t)
     sig = materialise(sketches(docs, n, k), "sketches")
-    named = sig.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    classes = materialise(named.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "n_shingles", "sketch"), F.col("doc_id")).alias("r")).select("set_key", F.col("r.doc_id").alias("cls"), F.col("r.n_shingles").alias("size"), F.col("r.sketch").alias("sketch")), "classes")
-
-    # inverted lists of the values a sketch must be found by
-    values = classes.select("cls", "size", F.size("sketch").alias("kept"), F.explode("sketch").alias("v"))
-    shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    least = F.when(F.col("size") <= math.floor(k * t), F.ceil(F.col("size") * percent / 100)).otherwise(m)
-    prefix = F.col("kept") - least + 1
-    found = values.join(shared, "v").groupBy("cls", "size", "kept").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
-    room = prefix - (F.col("kept") - F.size("vs"))  # values of one document only come first and need no list
+    named = materialise(sig.select("doc_id", "n_shingles", "set_key"), "named")
+    classes = materialise(named.where("doc_id IS NOT NULL AND set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("cls")), "classes")
+    # a class has the sketch of the document that it is named after
+    reps = sig.join(classes.withColumnRenamed("cls", "doc_id"), ["set_key", "doc_id"]).select(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("size"), "sketch")
+    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        reps = reps.dropDuplicates()
+    reps = materialise(reps, "reps")
+    discard(sig)
+
+    # inverted lists of the values a sketch must be found by: the rarest, of which those of one class need no list
+    buckets = max(8, -(-classes.count() * k // RANGE))
+    values = postings(reps, buckets, k, t).groupBy("bucket").applyInPandas(shared_values, "cls long, size long, prefix long, df long, v long")
+    found = values.groupBy("cls", "size", "prefix").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    single = F.least("size", F.lit(k)) - F.size("vs")
+    room = F.col("prefix") - single
     band = F.floor(F.log("size") / math.log(1 / t)).cast("int")
-    lists = materialise(found.where(room > 0).select("cls", "size", band.alias("band"), F.explode(F.slice("vs", 1, room.cast("int"))).alias("x")).select("cls", "size", "band", "x.v"), "lists")
+    found = found.where(room > 0).select("cls", "size", single.alias("single"), band.alias("band"), F.posexplode(F.slice("vs", 1, room.cast("int"))).alias("n", "x"))
+    # ahead: the sketch's values from this one on in the order of rarity, an upper bound of what a pair shares
+    # that shares none before it
+    ahead = F.least("size", F.lit(k)) - F.col("single") - F.col("n")
+    lists = materialise(found.select("cls", "size", "single", ahead.alias("ahead"), "band", "x.v"), "lists")
 
     size_ok = F.least("size", "size_b") * 100 >= F.greatest("size", "size_b") * percent
-    sk = classes.select("cls", "size", "sketch")
+    size_ok = size_ok & (F.least("ahead", "ahead_b") >= needed(F.col("size"), F.col("size_b"), k, t))
+    sk = materialise(short_sketches(reps), "short")
+    discard(reps)
     comps, edges, tried = None, None, None
 
     def candidates(kind: str) -> DataFrame:
-        rows = lists if comps is None else lists.join(comps, lists.cls == comps.id, "left").select("cls", "size", "band", "v", F.coalesce("comp", "cls").alias("comp"))
+        rows = lists if comps is None else lists.join(comps, lists.cls == comps.id, "left").select("cls", "size", "single", "ahead", "band", "v", F.coalesce("comp", "cls").alias("comp"))
         if comps is None:
             rows = rows.withColumn("comp", F.col("cls"))
         if kind == "rest":
             most = rows.groupBy("v", "comp").count().groupBy("v").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("c")).where("c > 1")
             rows = rows.join(most.select("v", "main"), "v")
-            other = rows.select("v", F.col("cls").alias("cls_b"), F.col("size").alias("size_b"), F.col("comp").alias("comp_b"), (F.col("comp") == F.col("main")).alias("in_b"))
+            other = rows.select("v", F.col("cls").alias("cls_b"), F.col("size").alias("size_b"), F.col("ahead").alias("ahead_b"), F.col("comp").alias("comp_b"), (F.col("comp") == F.col("main")).alias("in_b"))
             pairs = rows.where("comp <> main").join(other, "v").where((F.col("comp") != F.col("comp_b")) & (F.col("in_b") | (F.col("cls") < F.col("cls_b"))) & size_ok)
         else:
-            by = F.col("cls") if kind == "first" else F.xxhash64("cls", "v")
-            lead = rows.groupBy("v", "band").agg(F.min_by(F.struct("cls", "size", "comp"), F.struct(by, F.col("cls"))).alias("l"), F.count("*").alias("c")).where("c > 1")
-            lead = lead.select("v", "band", F.col("l.cls").alias("cls_b"), F.col("l.size").alias("size_b"), F.col("l.comp").alias("comp_b"))
+            by = [F.col("single")] if kind == "first" else [F.xxhash64("cls", "v", F.lit(seed)) for seed in range(DRAWN)]
+            leads = F.array(*(F.min_by(F.struct("cls", "size", "ahead", "comp"), F.struct(x, F.col("cls"))) for x in by))
+            lead = rows.groupBy("v", "band").agg(leads.alias("ls"), F.count("*").alias("c")).where("c > 1").select("v", "band", F.explode(F.array_distinct("ls")).alias("l"))
+            lead = lead.select("v", "band", F.col("l.cls").alias("cls_b"), F.col("l.size").alias("size_b"), F.col("l.ahead").alias("ahead_b"), F.col("l.comp").alias("comp_b"))
             pairs = rows.join(lead, ["v", "band"]).where((F.col("comp") != F.col("comp_b")) & size_ok)
         return pairs.select(F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b")).distinct()
 
@@ -166,32 +249,35 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
+        if comps is not None and pairs.isEmpty():
+            continue
         tried = pairs if tried is None else tried.union(pairs)
-        links = materialise(verified(docs, estimated(pairs, sk, k, t, m), percent, n), "links")
+        links = verified(docs, estimated(pairs, sk, t), percent, n)
         edges = links if edges is None else edges.union(links)
         if comps is not None and links.isEmpty():
             continue
         comps = components(edges)
 
-    own = named.join(classes.select("set_key", "cls"), "set_key").select("doc_id", "n_shingles", "cls")
+    own = named.join(classes, "set_key").select("doc_id", "n_shingles", "cls")
     own = own.join(comps, own.cls == comps.id, "left").select("doc_id", "n_shingles", F.coalesce("comp", "cls").alias("component_id"))
-    rest = sig.where("doc_id IS NULL OR set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rest = named.where("doc_id IS NULL OR set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    own = own.where("doc_id IS NOT NULL")
     return own.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def estimated(pairs: DataFrame, sk: DataFrame, k: int, t: float, m: int) -> DataFrame:
+def estimated(pairs: DataFrame, sk: DataFrame, t: float) -> DataFrame:
     """Pairs whose union sketch does not rule the threshold out; exact where both sketches are whole sets."""
     a = sk.select(F.col("cls").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sa"))
     b = sk.select(F.col("cls").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.array_intersect("sa", "sb")).withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, k))
-    whole = (F.col("size_a") <= k) & (F.col("size_b") <= k)
+    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.array_intersect("sa", "sb")).withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SHORT))
+    whole = (F.col("size_a") <= SHORT) & (F.col("size_b") <= SHORT)
     exact = F.size("common") >= t * (F.col("size_a") + F.col("size_b") - F.size("common")) - 1e-6
-    likely = F.size(F.array_intersect("common", "u")) >= m / k * F.size("u")
+    likely = F.size(F.array_intersect("common", "u")) >= least_shared(SHORT, t) / SHORT * F.size("u")
     return both.where(F.when(whole, exact).otherwise(likely)).select("a", "b")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, percent: int, n: int) -> DataFrame:
-    """The pairs that meet the threshold on their full sets."""
+    """The pairs that meet the threshold on their full sets, as a written table."""
     pairs = materialise(pairs, "likely")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     sets = materialise(full_sets(docs, ids, n).join(ids, "doc_id", "left_semi"), "sets")
@@ -206,7 +292,9 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int, n: int) -> DataFra
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("full").alias("fa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("full").alias("fb")), "b")
-    return rows.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long")
+    links = materialise(rows.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long"), "links")
+    discard(sets)
+    return links
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
