@@ -238,6 +238,21 @@ def test_license_join_finds_every_block(spark):
     assert {(r.doc_id, m.label) for r in rows for m in r.matches} == want and len(want) > 100
 
 
+def test_license_scan_finds_wrapped_notices(spark):
+    """Each template wrapped at 70 and at 30 columns, as a comment and deep inside a long text."""
+    import textwrap
+
+    docs, want = [], {}
+    for k, (label, text) in enumerate(license_scan.TEMPLATES):
+        for j, (width, before) in enumerate([(70, ""), (30, ""), (30, "some line of prose\n" * 29)]):
+            docs.append((3 * k + j, before + "\n".join(" * " + x for x in textwrap.wrap("x " * 12 + text, width)) + "\nand more of it"))
+            want[3 * k + j] = label
+    rows = license_scan.license_scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert want[r.doc_id] in r.labels and r.score == 1.0
+
+
 def test_decontamination(spark, small, odd, none):
     items = spark.read.parquet(f"{small}/benchmark.parquet")
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")

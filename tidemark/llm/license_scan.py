@@ -1,6 +1,7 @@
 """License notices in texts: an exact set-similarity join of text blocks with notice templates.
 
-A block is a line of a text, or a piece of BLOCK words of a longer line (pieces overlap by half). It contains a
+A block is a line of a text, or a piece of BLOCK words of a longer line (pieces overlap by half). As notices are
+often hard-wrapped, pieces of the whole word sequence that cross a line break are blocks too. A block contains a
 template if it holds at least CONTAINMENT of the template's distinct words. Template words are ordered from rare
 to frequent by how many blocks of the corpus hold them. A block that contains a template holds one of the first
 ``size - needed + 1`` of its words in that order (prefix filter), has at least ``needed`` distinct template words
@@ -11,6 +12,7 @@ passes is compared on the whole sets. So the join sends on only blocks with a ra
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from itertools import repeat
 
 import numpy as np
@@ -52,15 +54,26 @@ def vocabulary(texts) -> dict[bytes, int]:
     return {w: i for i, w in enumerate(sorted({w for t in texts for w in words_of(t.encode())}), 1)}
 
 
-def line_blocks(text: bytes):
-    """(first word, words) of each block of a text."""
-    at = 0
+def pieces(n: int) -> range:
+    """First words of the pieces of n words."""
+    return range(0, max(1, n - BLOCK // 2), BLOCK // 2) if n > BLOCK else range(min(n, 1))
+
+
+def text_blocks(text: bytes):
+    """(first word, words, whether it crosses a line break) of each block of a text: those of its lines, then those
+    of the whole text that are in no single line."""
+    all_words, starts = [], []
     for line in text.split(b"\n"):
-        words = words_of(line)
-        for i in range(0, max(1, len(words) - BLOCK // 2), BLOCK // 2) if len(words) > BLOCK else (0,):
-            if words:
-                yield at + i, words[i : i + BLOCK]
-        at += len(words)
+        words, at = words_of(line), len(all_words)
+        for i in pieces(len(words)):
+            yield at + i, words[i : i + BLOCK], False
+        if words:
+            starts.append(at)
+            all_words += words
+    for i in pieces(len(all_words)):
+        k = bisect_right(starts, i)
+        if k < len(starts) and starts[k] < i + BLOCK:
+            yield i, all_words[i : i + BLOCK], True
 
 
 def block_frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> dict[int, int]:
@@ -70,7 +83,7 @@ def block_frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> dict[int, int
         total = np.zeros(len(vocab) + 1, np.int64)
         for b in batches:
             for text in text_bytes(b.column(0)):
-                for _, words in line_blocks(text):
+                for _, words, _ in text_blocks(text):
                     hit = set(map(vocab.get, words, repeat(0)))
                     total[list(hit)] += 1
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["word", "n"])
@@ -81,7 +94,7 @@ def block_frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> dict[int, int
 
 def scanned(docs: DataFrame, vocab: dict[bytes, int], phrases, prefixes: set[int], least: int) -> DataFrame:
     """docs' doc_id with n_words, phrase places (structs of start and phrase number) and the blocks that pass the
-    prefix and length filters (structs of first word and distinct template words)."""
+    prefix and length filters (structs of first word, distinct template words and whether the block crosses a line break)."""
     codes = [np.array([vocab[w] for w in words_of(p.encode())]) for p in phrases]
 
     def run(batches):
@@ -99,21 +112,22 @@ def scanned(docs: DataFrame, vocab: dict[bytes, int], phrases, prefixes: set[int
                 places.append(found)
                 blocks = []
                 if prefixes.intersection(c.tolist()):
-                    for at, words in line_blocks(text):
+                    for at, words, crosses in text_blocks(text):
                         hit = set(map(vocab.get, words, repeat(0))) - {0}
                         if len(hit) >= least and hit & prefixes:
-                            blocks.append({"first": at, "words": sorted(hit)})
+                            blocks.append({"first": at, "words": sorted(hit), "crosses": crosses})
                 kept.append(blocks)
-            place, block = pa.struct([("start", pa.int64()), ("phrase", pa.int32())]), pa.struct([("first", pa.int64()), ("words", pa.list_(pa.int32()))])
+            place, block = pa.struct([("start", pa.int64()), ("phrase", pa.int32())]), pa.struct([("first", pa.int64()), ("words", pa.list_(pa.int32())), ("crosses", pa.bool_())])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(places, pa.list_(place)), pa.array(kept, pa.list_(block))], ["doc_id", "n_words", "places", "blocks"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, places array<struct<start:long,phrase:int>>, blocks array<struct<first:long,words:array<int>>>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, places array<struct<start:long,phrase:int>>, blocks array<struct<first:long,words:array<int>,crosses:boolean>>")
 
 
 def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """One row for each row of ``docs`` (columns doc_id, text; others are ignored): doc_id, n_words, places
-    (start and label of every phrase), matches (label, first word of the block, containment: the best block of
-    each template met), base_labels and labels (arrays, sorted), score.
+    (start and label of every phrase), matches (label, first word of the block, containment: of the blocks inside a
+    line the best of each template met), wrapped (the same of the blocks that cross a line break), base_labels and
+    labels (arrays, sorted; labels are of phrases, matches and wrapped), score.
 
     score: 1 with a phrase, else the highest containment met, else 0. A null or empty text has no words and no
     labels. Repeated rows are rows like others, null ids too. An empty table gives an empty result.
@@ -131,21 +145,22 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=T
 
     # one row for each template and prefix word: a few hundred, broadcast
     index = docs.sparkSession.createDataFrame([(w, n, label, words, needed, at) for n, label, words, needed, prefix in sets for at, w in enumerate(prefix)], "word int, template int, label string, t_words array<int>, needed int, at int")
-    blocks = rows.select("row", F.explode("blocks").alias("b")).select("row", "b.first", "b.words", F.explode("b.words").alias("word"))
+    blocks = rows.select("row", F.explode("blocks").alias("b")).select("row", "b.first", "b.words", "b.crosses", F.explode("b.words").alias("word"))
     pairs = blocks.join(F.broadcast(index), "word")
     # at a template's at-th word the block can share at most what is left of the template
     pairs = pairs.where((F.size("words") >= F.col("needed")) & (F.size("t_words") - F.col("at") >= F.col("needed")))
     pairs = pairs.withColumn("both", F.size(F.array_intersect("words", "t_words"))).where(F.col("both") >= F.col("needed"))
-    met = pairs.groupBy("row", "template", "label").agg(F.max_by(F.struct(F.col("first"), (F.col("both") / F.size("t_words")).alias("share")), F.struct("both", -F.col("first"))).alias("best"))
-    met = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("label", F.col("best.first").alias("first"), F.col("best.share").alias("containment")))).alias("matches"))
+    met = pairs.groupBy("row", "template", "label", "crosses").agg(F.max_by(F.struct(F.col("first"), (F.col("both") / F.size("t_words")).alias("share")), F.struct("both", -F.col("first"))).alias("best"))
+    one = F.struct("label", F.col("best.first").alias("first"), F.col("best.share").alias("containment"))
+    met = met.groupBy("row").agg(*(F.array_sort(F.collect_list(F.when(on, one))).alias(c) for c, on in (("matches", ~F.col("crosses")), ("wrapped", F.col("crosses")))))
 
     name = F.array(*map(F.lit, labels))
     places = F.array_sort(F.transform("places", lambda p: F.struct(p["start"].alias("start"), F.get(name, p["phrase"]).alias("label"))))
     none = F.array().cast("array<struct<label:string,first:long,containment:double>>")
-    out = rows.drop("blocks").join(met, "row", "left").select("doc_id", "n_words", places.alias("places"), F.coalesce("matches", none).alias("matches"))
+    out = rows.drop("blocks").join(met, "row", "left").select("doc_id", "n_words", places.alias("places"), F.coalesce("matches", none).alias("matches"), F.coalesce("wrapped", none).alias("wrapped"))
     base = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
-    both = F.array_sort(F.array_union(F.transform("places", lambda p: p["label"]), F.transform("matches", lambda m: m["label"])))
-    score = F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)))
+    both = F.array_sort(F.array_union(F.transform("places", lambda p: p["label"]), F.transform(F.concat("matches", "wrapped"), lambda m: m["label"])))
+    score = F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform(F.concat("matches", "wrapped"), lambda m: m["containment"])), F.lit(0.0)))
     return out.withColumns({"base_labels": base, "labels": both, "score": score})
 
 
