@@ -273,6 +273,20 @@ def test_decontamination_slots(spark):
     assert found[2, 9].reparameterised and found[2, 9].n_changed >= 4 and not found[1, 9].reparameterised
 
 
+def copies(spark, docs, items):
+    """(place in docs, place in items) of what is found."""
+    rows = decontam.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert len({(r.doc_id, r.item_id) for r in rows}) == len(rows)
+    return {(r.doc_id, r.item_id) for r in rows}
+
+
+def test_decontamination_short_and_unspaced(spark):
+    prose = "some words of a text that has nothing to do with any of the items here "
+    items = ["which planet has most moons?", "太陽系で最も大きい惑星はどれですか。", "水的化学式是什么"]
+    docs = [prose * 5 + "Question: Which planet has most moons? " + prose * 5, "これは長い文章です。" * 9 + items[1] + "次の文が続きます。" * 9, "前面有很多别的话，" * 9 + items[2] + "？后面还有", prose * 9, "which planet has the most moons", "别的话" * 30]
+    assert copies(spark, docs, items) == {(0, 0), (1, 1), (2, 2)}
+
+
 def held_out_accuracy(spark, sf, rows, label):
     known = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("i"), label)
     pairs = rows.join(known, F.col("doc_id") == F.col("i")).where("held_out").select("predicted", label, "score").collect()

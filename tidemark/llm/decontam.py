@@ -1,8 +1,9 @@
 """Benchmark items in documents, also with other numbers, names or units put in.
 
 Texts and items are brought to templates: numbers, names (capitalised words inside a sentence) and units (after a
-number) become typed placeholders, other words are lower-cased. Windows of WINDOW template words are joined by
-hash. Matches of a document and an item are laid on their diagonals (place in the document minus place in the
+number) become typed placeholders, other words are lower-cased; in scripts without blanks each character is a word.
+Windows of WINDOW template words are joined by hash; a shorter item is one window (also as it stands, without
+placeholders), and documents are cut into windows of these lengths too. Matches of a document and an item are laid on their diagonals (place in the document minus place in the
 item); a diagonal is a copy if it covers enough of the item in a row and its slots are consistent: one value of the
 item always stands for one value of the document. Slots that differ mark a re-parameterised question.
 
@@ -29,6 +30,8 @@ COVER, RUN = 0.5, 25
 #: Windows need so many words that are no placeholder.
 LITERAL = 4
 FILTER_BITS = 1 << 24
+#: Seed of the hashes of windows as they stand, without placeholders.
+PLAIN = 1 << 20
 
 #: Unit words (after a number).
 UNITS = frozenset(
@@ -39,6 +42,14 @@ UNITS = frozenset(
 )
 #: Words with the blanks and marks around them; a mark that ends a sentence is kept with its word.
 TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+(?:[.,'][0-9A-Za-z\x80-\xff]+)*[.!?]?")
+#: A character of a script without blanks: Thai, Lao, Burmese, Khmer, kana, Chinese.
+UNSPACED = rb"(?:(?:\xe0[\xb8-\xbb]|\xe1[\x80-\x82\x9e\x9f]|\xe3[\x81-\xbf]|[\xe4-\xe9][\x80-\xbf]|\xef[\xa4-\xab]|\xf0[\xa0-\xb3][\x80-\xbf])[\x80-\xbf]|\xe3\x80[\x85-\x87])"
+#: Marks of these scripts (CJK and full-width punctuation), which belong to no word.
+MARK = rb"(?:\xe3\x80[\x80-\xbf]|\xef\xbc[\x81-\x8f\x9a-\xa0\xbb-\xbf]|\xef\xbd[\x80\x9b-\xa5])"
+#: TOKEN for texts that may hold such characters (SPECIAL: their first bytes).
+SPECIAL = re.compile(rb"[\xe0\xe1\xe3-\xe9\xef\xf0]")
+PART = rb"(?:[0-9A-Za-z\xc0-\xdf]|(?!%b|%b)[\xe0-\xff])(?:[0-9A-Za-z\x80-\xdf]+|(?!%b|%b)[\xe0-\xff])*" % (UNSPACED, MARK, UNSPACED, MARK)
+MIXED = re.compile(rb"%b|%b(?:[.,']%b)*[.!?]?" % (UNSPACED, PART, PART))
 NUMBER, NAME, UNIT = b"<number>", b"<name>", b"<unit>"
 
 
@@ -74,9 +85,10 @@ TYPED = [np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (NUMBER, NAME, UNIT)]
 
 
 def template(text: bytes, forms: Forms):
-    """(tokens, hash of each template word, which are slots)."""
-    tokens = TOKEN.findall(text)
-    h, flags = forms.of(tokens)
+    """(tokens, hash of each word in lower case, hash of each template word, which are slots)."""
+    tokens = (MIXED if SPECIAL.search(text) else TOKEN).findall(text)
+    plain, flags = forms.of(tokens)
+    h = plain.copy()
     number = (flags & 1).astype(bool)
     starts = np.ones(len(tokens), bool)
     starts[1:] = (flags[:-1] & 4) > 0
@@ -85,13 +97,12 @@ def template(text: bytes, forms: Forms):
     unit[1:] = ((flags[1:] & 8) > 0) & number[:-1]
     for on, typed in zip((number, name, unit), TYPED):
         h[on] = typed
-    return tokens, h, number | name | unit
+    return tokens, plain, h, number | name | unit
 
 
 def windows(h: np.ndarray, slot: np.ndarray, size: int):
-    """(place, hash) of the windows of a template that have enough literal words; a shorter text is one window."""
-    size = min(size, len(h))
-    if not size:
+    """(place, hash) of the windows of a template that have enough literal words."""
+    if not 0 < size <= len(h):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     literal = np.convolve(~slot, np.ones(size, np.int64), "valid")
     on = np.flatnonzero(literal >= min(LITERAL, size))
@@ -103,27 +114,32 @@ def words_at(tokens, slot, at: int, size: int) -> list[str | None]:
     return [tokens[k].rstrip(b".!?").lower().decode("utf-8", "replace") if slot[k] else None for k in range(at, min(at + size, len(tokens)))]
 
 
-def cut(rows: DataFrame, size: int, wanted=None) -> DataFrame:
-    """id, n (template words), at, hash, values: the windows of each row (columns id, text). ``wanted``: a
-    broadcast bit table; windows whose bit is off are left out."""
+def cut(rows: DataFrame, window: int, shorter: list[int] | None = None, wanted=None) -> DataFrame:
+    """id, n (template words), at, hash, values: the windows of each row (columns id, text), of ``window`` words and
+    of the lengths in ``shorter``; without ``shorter``, a row of fewer words is one window. ``wanted``: a broadcast bit
+    table; windows whose bit is off are left out."""
 
     def run(batches):
         forms = Forms()
         for b in batches:
             ids, ns, ats, hashes, values = [], [], [], [], []
             for i, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
-                tokens, h, slot = template(text, forms)
-                on, w = windows(h, slot, size)
-                if wanted is not None:
-                    p = (w & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                    hit = ((wanted.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
-                    on, w = on[hit], w[hit]
-                for at, x in zip(on.tolist(), w.view(np.int64).tolist()):
-                    ids.append(i)
-                    ns.append(len(tokens))
-                    ats.append(at)
-                    hashes.append(x)
-                    values.append(words_at(tokens, slot, at, size))
+                tokens, plain, h, slot = template(text, forms)
+                for size in [min(window, len(tokens))] if shorter is None else [window, *shorter]:
+                    found = [(*windows(h, slot, size), True)]
+                    if 0 < size < window:  # as it stands, too: a short item's first word is a name after "Question:"
+                        found.append((np.arange(max(0, len(plain) - size + 1)), window_hashes(plain, size, PLAIN), False))
+                    for on, w, typed in found:
+                        if wanted is not None:
+                            p = (w & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                            hit = ((wanted.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
+                            on, w = on[hit], w[hit]
+                        for at, x in zip(on.tolist(), w.view(np.int64).tolist()):
+                            ids.append(i)
+                            ns.append(len(tokens))
+                            ats.append(at)
+                            hashes.append(x)
+                            values.append(words_at(tokens, slot, at, size) if typed else [])
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, ns, ats, hashes, values), types)], ["id", "n", "at", "hash", "values"])
 
@@ -150,8 +166,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     """
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string")).distinct()
     items = materialise(cut(items, window), "items")
+    shorter = sorted(r.n for r in items.where(F.col("n") < window).select("n").distinct().collect())
     wanted = docs.sparkSession.sparkContext.broadcast(bit_table(items))
-    found = cut(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")), window, wanted)
+    found = cut(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")), window, shorter, wanted)
     found = materialise(found.distinct(), "windows")
     right = items.select(F.col("id").alias("item_id"), F.col("n").alias("item_n"), F.col("at").alias("item_at"), "hash", F.col("values").alias("item_values"))
     pairs = found.select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "hash", "values").join(right, "hash")
