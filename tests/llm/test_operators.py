@@ -287,6 +287,15 @@ def test_decontamination_short_and_unspaced(spark):
     assert copies(spark, docs, items) == {(0, 0), (1, 1), (2, 2)}
 
 
+def test_decontamination_dense_items(spark):
+    prose = "some words of a text that has nothing to do with any of the items here. "
+    dense = "Add 12 7 31 4 9 15 to 3 8 22 51 60 2 or 5 6 81 33"
+    names = "Anna Smith, Bert Jones, Carl Brown, Dora White, Emil Green, Fred Black, Gina Stone"
+    bridged = "the farmer took the old road to the town of Adam Bell Carl Dorn Emil Falk Gina Holt Ivan Junk and there he sold a basket of ripe red apples"
+    docs = [prose * 3 + x + ". " + prose * 3 for x in (dense, names, bridged, dense.replace("31", "32").replace("15", "16").replace("60", "61"), bridged.replace("Bell", "Cole").replace("Emil", "Udo").replace("Holt", "Ross"))]
+    assert copies(spark, docs, [dense, names, bridged]) == {(0, 0), (1, 1), (2, 2), (4, 2)}
+
+
 def held_out_accuracy(spark, sf, rows, label):
     known = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("i"), label)
     pairs = rows.join(known, F.col("doc_id") == F.col("i")).where("held_out").select("predicted", label, "score").collect()

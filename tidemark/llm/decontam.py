@@ -2,9 +2,10 @@
 
 Texts and items are brought to templates: numbers, names (capitalised words inside a sentence) and units (after a
 number) become typed placeholders, other words are lower-cased; in scripts without blanks each character is a word.
-Windows of WINDOW template words are joined by hash; a shorter item is one window (also as it stands, without
-placeholders), and documents are cut into windows of these lengths too. Matches of a document and an item are laid on their diagonals (place in the document minus place in the
-item); a diagonal is a copy if it covers enough of the item in a row and its slots are consistent: one value of the
+Windows of WINDOW template words with enough literal ones (strong windows), and all windows as they stand, without
+placeholders, are joined by hash; a shorter item is one window, and documents are cut into windows of these lengths
+too. Matches open diagonals (place in the document minus place in the item). On a diagonal that a strong window has
+opened, weak ones extend and bridge runs; on others only words that are equal as they stand count. A diagonal is a copy if it covers enough of the item in a row and its slots are consistent: one value of the
 item always stands for one value of the document. Slots that differ mark a re-parameterised question.
 
 The item windows are few against the corpus; the scan of documents carries a bit table of fixed size made from
@@ -15,6 +16,7 @@ everything through in time if the items become many; the join decides.
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +34,10 @@ LITERAL = 4
 FILTER_BITS = 1 << 24
 #: Seed of the hashes of windows as they stand, without placeholders.
 PLAIN = 1 << 20
+#: Words around an item's place that a stretch of a document keeps besides the item's length.
+SLACK = 16
+#: Words of stretches that one Arrow batch holds at most (a longer single text makes a longer batch).
+PART_WORDS = 1 << 18
 
 #: Unit words (after a number).
 UNITS = frozenset(
@@ -100,6 +106,20 @@ def template(text: bytes, forms: Forms):
     return tokens, plain, h, number | name | unit
 
 
+class Text(NamedTuple):
+    """Hashes of the words as they stand and as a template, which are slots, and their values."""
+
+    plain: np.ndarray
+    template: np.ndarray
+    slot: np.ndarray
+    value: list[str]
+
+    @staticmethod
+    def of(row: pa.StructScalar) -> Text:
+        plain, h, slot = (row[c].values.to_numpy(zero_copy_only=False) for c in ("plain", "template", "slot"))
+        return Text(plain, h, slot, row["value"].as_py())
+
+
 def windows(h: np.ndarray, slot: np.ndarray, size: int):
     """(place, hash) of the windows of a template that have enough literal words."""
     if not 0 < size <= len(h):
@@ -109,41 +129,87 @@ def windows(h: np.ndarray, slot: np.ndarray, size: int):
     return on, window_hashes(h, size)[on]
 
 
-def words_at(tokens, slot, at: int, size: int) -> list[str | None]:
-    """Lower-case values of the slots of a window, null for literal words."""
-    return [tokens[k].rstrip(b".!?").lower().decode("utf-8", "replace") if slot[k] else None for k in range(at, min(at + size, len(tokens)))]
+def keys(plain: np.ndarray, h: np.ndarray, slot: np.ndarray, sizes):
+    """(place, hash, strong) of the windows of a text: by template where they have enough literal words (strong),
+    and all of them as they stand."""
+    for size in sizes:
+        on, w = windows(h, slot, size)
+        yield on, w, True
+        if 0 < size <= len(plain):
+            yield np.arange(len(plain) - size + 1), window_hashes(plain, size, PLAIN), False
+
+
+def value(token: bytes) -> str:
+    return token.rstrip(b".!?").lower().decode("utf-8", "replace")
+
+
+def lists(rows, kind) -> pa.Array:
+    """A list array of numpy arrays."""
+    ends = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, kind), *rows]).astype(kind)))
+
+
+def cut_items(items: DataFrame, window: int) -> DataFrame:
+    """id, plain, template (hashes of all words), slot, value (of all words), and at, hash, strong of the windows of
+    ``window`` words; an item of fewer words is one window."""
+
+    def run(batches):
+        forms = Forms()
+        for b in batches:
+            out = [[] for _ in range(8)]
+            for i, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
+                tokens, plain, h, slot = template(text, forms)
+                found = [(a, x, y) for a, x, y in keys(plain, h, slot, [min(window, len(tokens))])]
+                at = np.concatenate([np.empty(0, int), *(a for a, _, _ in found)])
+                hashes = np.concatenate([np.empty(0, np.uint64), *(x for _, x, _ in found)])
+                strong = np.repeat([y for *_, y in found], [len(a) for a, _, _ in found])
+                for c, x in zip(out, (i, plain.view(np.int64), h.view(np.int64), slot, list(map(value, tokens)), at, hashes.view(np.int64), strong)):
+                    c.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), lists(out[1], np.int64), lists(out[2], np.int64), lists(out[3], bool), pa.array(out[4], pa.list_(pa.string())), lists(out[5], np.int32), lists(out[6], np.int64), lists(out[7], bool)], ["id", "plain", "template", "slot", "value", "at", "hash", "strong"])
+
+    return items.mapInArrow(run, "id long, plain array<long>, template array<long>, slot array<boolean>, value array<string>, at array<int>, hash array<long>, strong array<boolean>")
 
 
-def cut(rows: DataFrame, window: int, shorter: list[int] | None = None, wanted=None) -> DataFrame:
-    """id, n (template words), at, hash, values: the windows of each row (columns id, text), of ``window`` words and
-    of the lengths in ``shorter``; without ``shorter``, a row of fewer words is one window. ``wanted``: a broadcast bit
-    table; windows whose bit is off are left out."""
+def cut_docs(docs: DataFrame, sizes: list[int], reach: int, wanted) -> DataFrame:
+    """id, first, plain, template, slot, value, at, hash: the stretches of each row (columns id, text) that hold windows
+    whose bits are on in ``wanted``, a broadcast bit table, with ``reach`` words before and after. ``first``: the place
+    in the text of the stretch's first word; at: of the windows, from there."""
 
     def run(batches):
         forms = Forms()
         for b in batches:
-            ids, ns, ats, hashes, values = [], [], [], [], []
+            out = [[] for _ in range(8)]
+
+            def batch():
+                made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), lists(out[2], np.int64), lists(out[3], np.int64), lists(out[4], bool), pa.array(out[5], pa.list_(pa.string())), lists(out[6], np.int32), lists(out[7], np.int64)], ["id", "first", "plain", "template", "slot", "value", "at", "hash"])
+                for c in out:
+                    c.clear()
+                return made
+
             for i, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
                 tokens, plain, h, slot = template(text, forms)
-                for size in [min(window, len(tokens))] if shorter is None else [window, *shorter]:
-                    found = [(*windows(h, slot, size), True)]
-                    if 0 < size < window:  # as it stands, too: a short item's first word is a name after "Question:"
-                        found.append((np.arange(max(0, len(plain) - size + 1)), window_hashes(plain, size, PLAIN), False))
-                    for on, w, typed in found:
-                        if wanted is not None:
-                            p = (w & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                            hit = ((wanted.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
-                            on, w = on[hit], w[hit]
-                        for at, x in zip(on.tolist(), w.view(np.int64).tolist()):
-                            ids.append(i)
-                            ns.append(len(tokens))
-                            ats.append(at)
-                            hashes.append(x)
-                            values.append(words_at(tokens, slot, at, size) if typed else [])
-            types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((ids, ns, ats, hashes, values), types)], ["id", "n", "at", "hash", "values"])
-
-    return rows.mapInArrow(run, "id long, n int, at int, hash long, values array<string>")
+                ats, hashes = [], []
+                for at, w, _ in keys(plain, h, slot, sizes):
+                    p = (w & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                    hit = ((wanted.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
+                    ats.append(at[hit])
+                    hashes.append(w[hit])
+                at, w = np.concatenate([np.empty(0, np.int64), *ats]), np.concatenate([np.empty(0, np.uint64), *hashes])
+                if not len(at):
+                    continue
+                by = np.argsort(at, kind="stable")
+                at, w = at[by], w[by]
+                breaks = [0, *(np.flatnonzero(np.diff(at) > 2 * reach) + 1).tolist(), len(at)]
+                for x, y in zip(breaks, breaks[1:]):
+                    first, end = max(0, int(at[x]) - reach), min(len(tokens), int(at[y - 1]) + reach)
+                    part = slice(first, end)
+                    for c, v in zip(out, (i, first, plain[part].view(np.int64), h[part].view(np.int64), slot[part], list(map(value, tokens[part])), at[x:y] - first, w[x:y].view(np.int64))):
+                        c.append(v)
+                if sum(map(len, out[2])) > PART_WORDS:
+                    yield batch()
+            yield batch()
+
+    return docs.mapInArrow(run, "id long, first int, plain array<long>, template array<long>, slot array<boolean>, value array<string>, at array<int>, hash array<long>")
 
 
 def bit_table(items: DataFrame) -> np.ndarray:
@@ -156,43 +222,102 @@ def bit_table(items: DataFrame) -> np.ndarray:
     return table.view(np.uint8)
 
 
+def stretches(on: np.ndarray, least: int):
+    """(first, end) of the runs of at least ``least`` true places."""
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], on.astype(np.int8), [0]])))
+    return [(a, b) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()) if b - a >= least]
+
+
+def slots_of(doc: Text, item: Text, pairs) -> tuple[int, int] | None:
+    """How many slots of the item the (place in the item, place in the document) pairs hold and how many values are
+    changed; nothing if one value of the item stands for two of the document."""
+    stands, n = {}, 0
+    for k, at in pairs:
+        if item.slot[k] and doc.slot[at]:
+            n += 1
+            if stands.setdefault(item.value[k], doc.value[at]) != doc.value[at]:
+                return None
+    return n, sum(x != y for x, y in stands.items())
+
+
+def runs_on(doc: Text, item: Text, diagonal: int, strong: bool, window: int):
+    """Pairs (place in the item, place in the document) of the longest runs on a diagonal: if a strong window has
+    opened it, of words that are equal by template or as they stand, and of strong windows alone; else of words that
+    are equal as they stand."""
+    a, b = max(0, -diagonal), min(len(item.plain), len(doc.plain) - diagonal)
+    size = min(window, len(item.plain))
+    if b - a < size:
+        return
+    plain = item.plain[a:b] == doc.plain[a + diagonal : b + diagonal]
+    ways = [plain]
+    if strong:
+        typed = item.template[a:b] == doc.template[a + diagonal : b + diagonal]
+        literal = np.convolve(~item.slot[a:b], np.ones(size, np.int64), "valid") >= min(LITERAL, size)
+        whole = np.convolve(typed, np.ones(size, np.int64), "valid") == size
+        ways = [typed | plain, *windowed_runs(whole & literal, size)]
+    for way in ways:
+        for x, y in sorted(stretches(way, size), key=lambda r: (r[0] - r[1], r[0]))[:1]:
+            yield [(k, k + diagonal) for k in range(a + x, a + y)]
+
+
+def windowed_runs(starts: np.ndarray, size: int):
+    """For each run of window starts, the longest first, the words that it covers."""
+    for x, y in sorted(stretches(starts, 1), key=lambda r: (r[0] - r[1], r[0]))[:1]:
+        way = np.zeros(len(starts) + size - 1, bool)
+        way[x : y + size - 1] = True
+        yield way
+
+
+def judged(doc: Text, item: Text, opened, window: int, cover: float, run_words: int):
+    """The best match of an item in a stretch: (first place, n_words, n_slots, n_changed), or nothing."""
+    best = None
+    for diagonal, strong in opened:
+        for pairs in runs_on(doc, item, diagonal, strong, window):
+            n = len(pairs)
+            if (n >= run_words or n >= cover * len(item.plain)) and (best is None or n > best[1]):
+                slots = slots_of(doc, item, pairs)
+                if slots is not None:
+                    best = (pairs[0][1], n, *slots)
+    return best
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, run_words: int = RUN) -> DataFrame:
     """One row for each document and benchmark item whose text it holds: doc_id, item_id, doc_at (first word),
-    n_words (item words in a row), coverage (share of the item), n_slots, n_changed, reparameterised.
+    n_words (item words matched), coverage (share of the item), n_slots, n_changed, reparameterised.
 
-    ``docs``: doc_id, text; ``benchmark``: item_id, text; other columns are ignored. Rows with null id or text,
-    empty texts and items without enough literal words give nothing; repeated rows give their result once; of
-    several places the longest (first) is told. An empty table on either side gives an empty result.
+    ``docs``: doc_id, text; ``benchmark``: item_id, text; other columns are ignored. Rows with null id or text and
+    texts without words give nothing; items without enough literal words are found as they stand only; repeated rows
+    give their result once; of several places the longest (first) is told. An empty table on either side gives an
+    empty result.
     """
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string")).distinct()
-    items = materialise(cut(items, window), "items")
-    shorter = sorted(r.n for r in items.where(F.col("n") < window).select("n").distinct().collect())
-    wanted = docs.sparkSession.sparkContext.broadcast(bit_table(items))
-    found = cut(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")), window, shorter, wanted)
-    found = materialise(found.distinct(), "windows")
-    right = items.select(F.col("id").alias("item_id"), F.col("n").alias("item_n"), F.col("at").alias("item_at"), "hash", F.col("values").alias("item_values"))
-    pairs = found.select(F.col("id").alias("doc_id"), F.col("at").alias("doc_at"), "hash", "values").join(right, "hash")
-    pairs = pairs.withColumn("diagonal", F.col("doc_at") - F.col("item_at"))
-
-    # runs of successive windows on a diagonal, with the slot values they show
-    slots = F.filter(F.transform("item_values", lambda v, k: F.struct((F.col("item_at") + k).alias("at"), v.alias("mine"), F.get("values", k).alias("theirs"))), lambda s: s["mine"].isNotNull())
-    lines = pairs.groupBy("doc_id", "item_id", "item_n", "diagonal").agg(F.array_sort(F.collect_set("item_at")).alias("ats"), F.array_distinct(F.flatten(F.collect_list(slots))).alias("slots"))
-    empty = F.struct(F.lit(-1).alias("first"), F.lit(-1).alias("last"), F.lit(-1).alias("best_first"), F.lit(-2).alias("best_last"))
-
-    def step(a, at):
-        first = F.when(at == a["last"] + 1, a["first"]).otherwise(at)
-        longer = at - first > a["best_last"] - a["best_first"]
-        return F.struct(first.alias("first"), at.alias("last"), F.when(longer, first).otherwise(a["best_first"]).alias("best_first"), F.when(longer, at).otherwise(a["best_last"]).alias("best_last"))
-
-    lines = lines.withColumn("r", F.aggregate("ats", empty, step)).withColumn("size", F.least(F.lit(window), F.col("item_n")))
-    lines = lines.withColumn("n_words", F.col("r.best_last") - F.col("r.best_first") + F.col("size"))
-    inside = F.filter("slots", lambda s: (s["at"] >= F.col("r.best_first")) & (s["at"] < F.col("r.best_last") + F.col("size")))
-    values = F.array_distinct(F.transform(inside, lambda s: F.struct(s["mine"].alias("mine"), s["theirs"].alias("theirs"))))
-    lines = lines.withColumn("n_slots", F.size(F.array_distinct(F.transform(inside, lambda s: s["at"])))).withColumn("values", values)
-    consistent = F.size("values") == F.size(F.array_distinct(F.transform("values", lambda s: s["mine"])))
-    changed = F.size(F.filter("values", lambda s: s["mine"] != s["theirs"]))
-    lines = lines.withColumn("coverage", F.col("n_words") / F.col("item_n")).where(consistent & ((F.col("coverage") >= cover) | (F.col("n_words") >= run_words)))
-    best = F.max_by(F.struct((F.col("diagonal") + F.col("r.best_first")).cast("long").alias("doc_at"), F.col("n_words").cast("long").alias("n_words"), "coverage", F.col("n_slots").cast("long").alias("n_slots"), changed.cast("long").alias("n_changed")), F.struct("n_words", -F.col("diagonal")))
+    items = materialise(cut_items(items, window).where(F.size("plain") > 0).withColumn("item", F.monotonically_increasing_id()), "items")
+    index = items.select("item", F.explode(F.arrays_zip("at", "hash", "strong")).alias("w")).select("item", "w.*")
+    lengths = [r.n for r in items.select(F.least(F.size("plain"), F.lit(window)).alias("n")).distinct().collect()]
+    reach = (items.select(F.max(F.size("plain"))).first()[0] or 0) + SLACK
+    wanted = docs.sparkSession.sparkContext.broadcast(bit_table(index))
+    found = cut_docs(docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string")), lengths, reach, wanted)
+    found = materialise(found.withColumn("row", F.monotonically_increasing_id()), "windows")
+    seeds = found.select("row", F.explode(F.arrays_zip("at", "hash")).alias("w")).select("row", F.col("w.at").alias("doc_at"), "w.hash")
+    opened = seeds.join(index, "hash").groupBy("row", "item", (F.col("doc_at") - F.col("at")).alias("diagonal")).agg(F.max("strong").alias("strong"))
+    opened = opened.groupBy("row", "item").agg(F.sort_array(F.collect_list(F.struct("diagonal", "strong"))).alias("opened"))
+    parts = ("plain", "template", "slot", "value")
+    pairs = opened.join(found.select("row", F.col("id").alias("doc_id"), "first", F.struct(*parts).alias("doc")), "row").join(items.select("item", F.col("id").alias("item_id"), F.struct(*parts).alias("of")), "item")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for r in range(b.num_rows):
+                doc, item = (Text.of(b.column(c)[r]) for c in (3, 4))
+                best = judged(doc, item, [(o["diagonal"], o["strong"]) for o in b.column(5)[r].as_py()], window, cover, run_words)
+                if best:
+                    at, n, n_slots, n_changed = best
+                    out.append((b.column(0)[r].as_py(), b.column(1)[r].as_py(), b.column(2)[r].as_py() + at, n, n / len(item.plain), n_slots, n_changed))
+            columns = list(zip(*out)) or [[]] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if k == 4 else pa.int64()) for k, c in enumerate(columns)], ["doc_id", "item_id", "doc_at", "n_words", "coverage", "n_slots", "n_changed"])
+
+    lines = pairs.select("doc_id", "item_id", "first", "doc", "of", "opened").mapInArrow(run, "doc_id long, item_id long, doc_at long, n_words long, coverage double, n_slots long, n_changed long")
+    best = F.max_by(F.struct("doc_at", "n_words", "coverage", "n_slots", "n_changed"), F.struct("n_words", -F.col("doc_at")))
     out = lines.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
     return out.withColumn("reparameterised", F.col("n_changed") > 0)
 
