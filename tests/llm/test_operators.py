@@ -296,6 +296,22 @@ def test_decontamination_dense_items(spark):
     assert copies(spark, docs, [dense, names, bridged]) == {(0, 0), (1, 1), (2, 2), (4, 2)}
 
 
+def test_decontamination_edited_copies(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    item = [word() for _ in range(40)]
+    replaced = [word() if k in (13, 26) else w for k, w in enumerate(item)]
+    put_in = [*item[:13], word(), *item[13:26], word(), *item[26:]]
+    slots = "the old baker Smith sold fresh bread to every house in the lane for 12 silver coins and then walked slowly home before dark fell"
+    other = slots.replace("Smith", "Mary Jones").replace("12", "1 200")
+    filler = lambda n: " ".join(word() for _ in range(n))
+    part = f"{' '.join(item[:13])} {filler(27)}"  # a third of the item only
+    docs = [f"{filler(50)} {x} {filler(50)}" for x in (" ".join(replaced), " ".join(put_in), other, part)]
+    assert copies(spark, docs, [" ".join(item), slots]) == {(0, 0), (1, 0), (2, 1)}
+
+
 def held_out_accuracy(spark, sf, rows, label):
     known = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("i"), label)
     pairs = rows.join(known, F.col("doc_id") == F.col("i")).where("held_out").select("predicted", label, "score").collect()

@@ -5,8 +5,10 @@ number) become typed placeholders, other words are lower-cased; in scripts witho
 Windows of WINDOW template words with enough literal ones (strong windows), and all windows as they stand, without
 placeholders, are joined by hash; a shorter item is one window, and documents are cut into windows of these lengths
 too. Matches open diagonals (place in the document minus place in the item). On a diagonal that a strong window has
-opened, weak ones extend and bridge runs; on others only words that are equal as they stand count. A diagonal is a copy if it covers enough of the item in a row and its slots are consistent: one value of the
-item always stands for one value of the document. Slots that differ mark a re-parameterised question.
+opened, weak ones extend and bridge runs; on others only words that are equal as they stand count. The words of
+the longest run, or of all runs on nearby diagonals where words were put in, left out or replaced, must cover enough of
+the item, and the slots must be consistent: one value of the item always stands for one value of the document.
+Slots that differ mark a re-parameterised question.
 
 The item windows are few against the corpus; the scan of documents carries a bit table of fixed size made from
 their hashes, so that only windows that may match are sent to the join. It grows with nothing, and lets
@@ -16,6 +18,7 @@ everything through in time if the items become many; the join decides.
 from __future__ import annotations
 
 import re
+from difflib import SequenceMatcher
 from typing import NamedTuple
 
 import numpy as np
@@ -27,15 +30,17 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialise, text_bytes, window_hashes
 
 WINDOW = 8
-#: A copy covers this share of the item's template words in a row, or RUN of them.
+#: A copy covers this share of the item's template words, in one run or several near each other, or RUN of them.
 COVER, RUN = 0.5, 25
 #: Windows need so many words that are no placeholder.
 LITERAL = 4
 FILTER_BITS = 1 << 24
 #: Seed of the hashes of windows as they stand, without placeholders.
 PLAIN = 1 << 20
-#: Words around an item's place that a stretch of a document keeps besides the item's length.
+#: Diagonals so near belong together; a stretch of a document keeps so many words besides the item's length.
 SLACK = 16
+#: Runs of so many words or more are summed.
+LEAST = 3
 #: Words of stretches that one Arrow batch holds at most (a longer single text makes a longer batch).
 PART_WORDS = 1 << 18
 
@@ -268,6 +273,41 @@ def windowed_runs(starts: np.ndarray, size: int):
         yield way
 
 
+def groups(text: Text, first: int, end: int, strong: bool):
+    """Keys and (first, end) of the words of a part of a text; by template, neighbouring slots of one type are one."""
+    keys, places = [], []
+    for k in range(first, end):
+        key = (text.template if strong else text.plain)[k].item()
+        if strong and keys and text.slot[k] and text.slot[k - 1] and keys[-1] == key:
+            places[-1] = (places[-1][0], k + 1)
+        else:
+            keys.append(key)
+            places.append((k, k + 1))
+    return keys, places
+
+
+def aligned(doc: Text, item: Text, lowest: int, highest: int, strong: bool):
+    """An item laid on the diagonals from ``lowest`` to ``highest`` and SLACK around: (first place, n_words, n_slots,
+    n_changed) of all runs of LEAST words or more that follow each other in both, or nothing if slots contradict."""
+    mine, at = groups(item, 0, len(item.plain), strong)
+    theirs, there = groups(doc, max(0, lowest - SLACK), min(len(doc.plain), highest + len(item.plain) + SLACK), strong)
+    value = lambda text, part: " ".join(text.value[slice(*part)])
+    stands, n, n_slots, first = {}, 0, 0, None
+    for i, j, size in SequenceMatcher(None, mine, theirs, autojunk=False).get_matching_blocks():
+        words = at[i + size - 1][1] - at[i][0] if size else 0
+        if words < LEAST:
+            continue
+        first = there[j][0] if first is None else first
+        n += words
+        for a, b in zip(at[i : i + size], there[j : j + size]):
+            if strong and item.slot[a[0]]:
+                n_slots += a[1] - a[0]
+                old = value(item, a)
+                if stands.setdefault(old, value(doc, b)) != value(doc, b):
+                    return None
+    return first, n, n_slots, sum(x != y for x, y in stands.items())
+
+
 def judged(doc: Text, item: Text, opened, window: int, cover: float, run_words: int):
     """The best match of an item in a stretch: (first place, n_words, n_slots, n_changed), or nothing."""
     best = None
@@ -278,6 +318,18 @@ def judged(doc: Text, item: Text, opened, window: int, cover: float, run_words:
                 slots = slots_of(doc, item, pairs)
                 if slots is not None:
                     best = (pairs[0][1], n, *slots)
+    if best and best[1] == len(item.plain):
+        return best
+    near = []
+    for diagonal, strong in opened:  # ascending
+        if near and diagonal - near[-1][1] <= SLACK:
+            near[-1] = (near[-1][0], diagonal, near[-1][2] or strong)
+        else:
+            near.append((diagonal, diagonal, strong))
+    for lowest, highest, strong in near:
+        found = aligned(doc, item, lowest, highest, strong)
+        if found and (found[1] >= run_words or found[1] >= cover * len(item.plain)) and (best is None or found[1] > best[1]):
+            best = found
     return best
 
 
