@@ -35,6 +35,8 @@ COVER, RUN = 0.5, 25
 #: Windows need so many words that are no placeholder.
 LITERAL = 4
 FILTER_BITS = 1 << 24
+#: A hash has a bit for each of these shifts.
+SHIFTS = (0, 32)
 #: Seed of the hashes of windows as they stand, without placeholders.
 PLAIN = 1 << 20
 #: Diagonals so near belong together; a stretch of a document keeps so many words besides the item's length.
@@ -195,10 +197,12 @@ def cut_docs(docs: DataFrame, sizes: list[int], reach: int, wanted) -> DataFrame
                 tokens, plain, h, slot = template(text, forms)
                 ats, hashes = [], []
                 for at, w, _ in keys(plain, h, slot, sizes):
-                    p = (w & np.uint64(FILTER_BITS - 1)).astype(np.int64)
-                    hit = ((wanted.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
-                    ats.append(at[hit])
-                    hashes.append(w[hit])
+                    for shift in SHIFTS:
+                        p = (w >> np.uint64(shift) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                        hit = ((wanted.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
+                        at, w = at[hit], w[hit]
+                    ats.append(at)
+                    hashes.append(w)
                 at, w = np.concatenate([np.empty(0, np.int64), *ats]), np.concatenate([np.empty(0, np.uint64), *hashes])
                 if not len(at):
                     continue
@@ -219,6 +223,7 @@ def cut_docs(docs: DataFrame, sizes: list[int], reach: int, wanted) -> DataFrame
 
 def bit_table(items: DataFrame) -> np.ndarray:
     """FILTER_BITS bits, 2 MB: on for the hashes of ``items``. Gathered as at most FILTER_BITS / 64 words."""
+    items = items.select(F.explode(F.array(*(F.shiftrightunsigned("hash", shift) for shift in SHIFTS))).alias("hash"))
     place = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
     table = np.zeros(FILTER_BITS // 64, np.int64)
