@@ -208,6 +208,26 @@ def test_top_k_stops_early_and_stays_exact(spark):
     assert len(got) == 30
 
 
+def test_top_k_counts_what_it_evaluates():
+    """Clustered vectors: few pairs are evaluated; a far-off pivot and lengths beyond doubles change no result."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    near = rng.integers(-60, 60, (50, 32))[rng.integers(0, 50, 4000)] + rng.integers(-3, 4, (4000, 32))
+    far = near.copy()
+    far[7] = 10**6
+    huge = near * 2**20
+    for v, share in ((near, 0.4), (far, 1), (huge, 1)):
+        ids, q, k = np.arange(4000) * 3, np.arange(0, 4000, 40), 5
+        d = topk.distances(v, topk.far_apart(v[:500], 32))
+        number, found, score, evaluated = topk.searched(ids[q], v[q], d[q], np.full(100, np.iinfo(np.int64).min), ids, v, d, k)
+        assert evaluated <= share * 100 * 4000
+        for n, i in enumerate(q):
+            s = v @ v[i]
+            best = sorted((j for j in range(4000) if j != i), key=lambda j: (-int(s[j]), j))[:k]
+            assert found[number == n].tolist() == ids[best].tolist() and score[number == n].tolist() == s[best].tolist()
+
+
 def test_license_scan(spark, small, odd, none, texts):
     phrases = {tuple(p.split()): label for p, label in license_scan.PHRASES.items()}
     all_texts = dict(texts)

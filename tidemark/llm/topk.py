@@ -1,37 +1,57 @@
 """Exact top-k by integer inner product with a pivot table.
 
-Every vector gets its distances to P pivots. By the triangle inequality the distance of query and candidate is at
-least the largest difference of their distances to a pivot; so <q, v> = (|q|^2 + |v|^2 - |q - v|^2) / 2 is at most
-the bound that this distance gives. Candidates are evaluated in the order of their bounds, in growing batches, until
-the next bound is below the k-th score found; equal bounds are still evaluated, so ties are exact.
-
-Candidates are dealt into blocks of about BLOCK rows, queries into blocks of about QUERY_BLOCK; each pair of
-blocks is one group, which returns the k best of its candidates for each of its queries, and these are merged.
-Groups have a fixed size, whatever vectors repeat.
+Every vector's distances to P pivots are computed once and written beside it: the pivot table. By the triangle
+inequality the distance of a query and a candidate is at least the largest difference of their distances to a
+pivot; so <q, v> = (|q|^2 + |v|^2 - |q - v|^2) / 2 is at most the bound that this distance gives.
+
+A first look at a fixed number of vectors, the same for all queries, tells each query a score that its k-th best
+reaches at least; every block starts from there. Candidates are dealt into blocks of about BLOCK rows and queries
+into blocks of about QUERY_BLOCK; a pair of blocks is one group. In it candidates lie in cells of CELL rows near one
+pivot, which are taken in the order of their bounds (from the cell's least and largest distances). In a cell the
+candidates whose own bound reaches a query's k-th score so far are evaluated, as one product for all queries that
+have any; a query leaves when no cell left can reach its k-th score. Equal bounds are still evaluated, so ties are
+exact. A group returns the k best of its candidates for each query, and these are merged. Groups have a fixed size,
+whatever vectors repeat.
+
+The work is queries x rows at most, as the query set is a share of the rows; each candidate is sent once for each
+QUERY_BLOCK queries. Where the distances tell vectors apart little (random directions in many dimensions, as in the
+given tables) pivots eliminate some 3% of the candidates and the products do the rest.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import discard, materialise
 
 K = 20
-PIVOTS = 16
-BLOCK, QUERY_BLOCK = 8192, 1024
-STEP = 256
+PIVOTS = 32
+#: Vectors that pivots are chosen from, and vectors of the first look: both a fixed number, whatever the table.
+POOL, FIRST = 1024, 2048
+BLOCK, QUERY_BLOCK = 8192, 8192
+CELL, QUERIES = 512, 256
+#: More than rounding takes away from a bound, as a share of the two squared lengths, and in itself.
+SLACK = 1e-5
+#: The same for a distance, as a share of the greatest to its pivot.
+ROUNDING = 1e-6
+
+
+def drawn_rows(vectors: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(vec_ids, vectors) of the ``n`` rows with the smallest hashes, of those the ones with most components."""
+    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").select("vec_id", "v").limit(n).collect()
+    longest = max((len(r.v) for r in rows), default=0)
+    rows = [r for r in rows if len(r.v) == longest]
+    return np.array([r.vec_id for r in rows], np.int64), np.array([r.v for r in rows], np.int64).reshape(len(rows), longest)
 
 
-def pivot_rows(vectors: DataFrame, pivots: int) -> np.ndarray:
-    """Far-apart pivots, chosen from a fixed number of rows (the 32 * pivots with the smallest hash)."""
-    rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").select("v").limit(32 * pivots).collect()
-    longest = max((len(r.v) for r in rows), default=0)
-    pool = np.array([r.v for r in rows if len(r.v) == longest], np.float64)
+def far_apart(pool: np.ndarray, pivots: int) -> np.ndarray:
+    """Up to ``pivots`` rows of ``pool``, each the one farthest from those before it."""
+    pool = pool.astype(np.float64)
     if not len(pool):
-        return np.zeros((0, 0))
+        return pool
     picked, gap = [0], ((pool - pool[0]) ** 2).sum(1)
     while len(picked) < min(pivots, len(pool)) and gap.max() > 0:
         picked.append(int(gap.argmax()))
@@ -39,43 +59,117 @@ def pivot_rows(vectors: DataFrame, pivots: int) -> np.ndarray:
     return pool[picked]
 
 
-def searched(pivots: np.ndarray, k: int):
-    def to_pivots(x: np.ndarray) -> np.ndarray:
-        if not len(pivots) or x.shape[1] != pivots.shape[1]:
-            return np.zeros((len(x), 1))  # no bound beyond the norms
-        x = x.astype(np.float64)
-        return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * x @ pivots.T))
-
-    def run(_, queries: pd.DataFrame, cands: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(cands):
-            ids = cands["vec_id"].to_numpy(np.int64)
-            C, Q = np.stack(cands["v"].to_list()).astype(np.int64), np.stack(queries["v"].to_list()).astype(np.int64)
-            dc, dq = to_pivots(C), to_pivots(Q)
-            nc, nq = (C.astype(np.float64) ** 2).sum(1), (Q.astype(np.float64) ** 2).sum(1)
-            if nc.max(initial=0) < 2**50 and nq.max(initial=0) < 2**50:  # products are whole below 2**53, so doubles are exact
-                C, Q = C.astype(np.float64), Q.astype(np.float64)
-            for q, i in enumerate(queries["vec_id"].to_numpy(np.int64)):
-                low = np.abs(dc - dq[q]).max(1)
-                bound = (nq[q] + nc - low**2) / 2
-                bound += 1e-9 * (nq[q] + nc) + 1e-6  # more than rounding takes away
-                bound[ids == i] = -np.inf
-                order = np.argsort(-bound)
-                score, found = np.empty(0, C.dtype), np.empty(0, np.int64)
-                at, step = 0, STEP
-                while at < len(order) and bound[order[at]] > -np.inf and not (len(score) == k and bound[order[at]] < score[-1]):
-                    part = order[at : at + step]
-                    part = part[bound[part] >= (score[-1] if len(score) == k else -np.inf)]
-                    part = part[bound[part] > -np.inf]
-                    score, found = np.concatenate([score, C[part] @ Q[q]]), np.concatenate([found, ids[part]])
-                    if len(score) > k:  # ties at the k-th place are put in order below
-                        near = score >= np.partition(score, -k)[-k]
-                        score, found = score[near], found[near]
-                    best = np.lexsort((found, -score))[:k]
-                    score, found = score[best], found[best]
-                    at, step = at + step, 2 * step
-                out.append(pd.DataFrame({"query_id": i, "vec_id": found, "score": score.astype(np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+def exact(x: np.ndarray) -> np.ndarray:
+    """Whole numbers as doubles where products are whole below 2**53, and so exact; else as they are."""
+    return x.astype(np.float64) if (x.astype(np.float64) ** 2).sum(1).max(initial=0) < 2**50 else x
+
+
+def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    same = q.dtype == c.dtype
+    return q @ c.T if same else q.astype(np.int64) @ c.astype(np.int64).T
+
+
+def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    if pivots.shape[1:] != x.shape[1:] or not len(pivots):
+        return np.zeros((len(x), 1), np.float32)  # no bound beyond the lengths
+    x = x.astype(np.float64)
+    return np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * x @ pivots.T)).astype(np.float32)
+
+
+def matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+    """A list column whose lists have one length."""
+    parts = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    return np.concatenate([p.flatten().to_numpy(zero_copy_only=False) for p in parts]).reshape(rows, -1)
+
+
+def with_pivots(rows: DataFrame, pivots: np.ndarray, first_ids: np.ndarray, first: np.ndarray, k: int) -> DataFrame:
+    """vec_id, v, q, dim with d (distances to the pivots) and, for queries, least: a score that the k-th best reaches."""
+    first = exact(first)
+
+    def run(batches):
+        for b in batches:
+            ids, dims, asks = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 3, 2))
+            for dim in np.unique(dims).tolist():
+                on = np.flatnonzero(dims == dim)
+                part = b.take(pa.array(on))
+                v = matrix(part.column(1), len(on))
+                d = distances(v, pivots)
+                least = np.full(len(on), np.iinfo(np.int64).min)
+                wanted = np.flatnonzero(asks[on])
+                if first.shape[1] == dim and len(first) > k and len(wanted):
+                    s = products(exact(v[wanted]), first).astype(np.int64)
+                    s[ids[on][wanted][:, None] == first_ids] = np.iinfo(np.int64).min
+                    least[wanted] = np.partition(s, -k, axis=1)[:, -k]
+                offsets = pa.array(np.arange(len(on) + 1, dtype=np.int32) * d.shape[1])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(d.reshape(-1))), pa.array(least)], ["vec_id", "v", "q", "dim", "d", "least"])
+
+    return rows.select("vec_id", "v", "q", "dim").mapInArrow(run, "vec_id long, v array<long>, q boolean, dim int, d array<float>, least long")
+
+
+def best_of(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int):
+    """Of hits (query number, id, score) each query's k best, ties to the smaller id, in that order."""
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    place = np.arange(len(query)) - np.searchsorted(query, query)
+    return query[place < k], ids[place < k], score[place < k]
+
+
+def searched(qid, Q, dq, least, cid, C, dc, k: int):
+    """(query number, id, score) of the k best candidates of each query that reach ``least``, and how many pairs
+    were evaluated. Q and C: vectors; dq and dc: their distances to the pivots."""
+    Q, C = exact(Q), exact(C)
+    nq, nc = (Q.astype(np.float64) ** 2).sum(1).astype(np.float32), (C.astype(np.float64) ** 2).sum(1).astype(np.float32)
+    order = np.lexsort((dc.min(1), dc.argmin(1)))
+    cid, C, dc, nc = cid[order], C[order], dc[order], nc[order]
+    cells = [slice(i, min(i + CELL, len(C))) for i in range(0, len(C), CELL)]
+    low, high, longest = (np.array([f(x[c], 0) for c in cells]) for f, x in ((np.min, dc), (np.max, dc), (np.max, nc)))
+    most = dc.max(0)
+    found, evaluated = [], 0
+    for at in range(0, len(Q), QUERIES):
+        part = slice(at, min(at + QUERIES, len(Q)))
+        d, n, kth = dq[part], nq[part], least[part].copy()
+        off = ROUNDING * np.maximum(d.max(0), most)  # what rounding may add to a difference of distances
+        gap = np.maximum(0, np.maximum(d[:, None] - high, low - d[:, None]) - off).max(2)
+        reach = (n[:, None] + longest - gap**2) / 2 + SLACK * (n[:, None] + longest) + SLACK
+        hits = [np.empty(0, np.int64)] * 3
+        for c in np.argsort(-reach.max(0), kind="stable").tolist():
+            asks = np.flatnonzero(reach[:, c] >= kth)
+            if not len(asks):
+                continue
+            far = np.zeros((len(asks), cells[c].stop - cells[c].start), np.float32)
+            for x, y, z in zip(d[asks].T, dc[cells[c]].T, off):
+                np.maximum(far, np.abs(x[:, None] - y) - z, out=far)
+            total = n[asks][:, None] + nc[cells[c]]
+            open_ = (total * (1 + 2 * SLACK) - far * far) / 2 + SLACK >= kth[asks][:, None]
+            open_ &= cid[cells[c]] != qid[part][asks][:, None]
+            evaluated += int(open_.sum())
+            rows, columns = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+            if not len(rows):
+                continue
+            s = products(Q[part][asks[rows]], C[cells[c]][columns])
+            i, j = np.nonzero((s >= kth[asks[rows]][:, None]) & open_[np.ix_(rows, columns)])
+            new = asks[rows][i], cid[cells[c]][columns[j]], s[i, j].astype(np.int64)
+            hits = best_of(*(np.concatenate(x) for x in zip(hits, new)), k)
+            full = np.bincount(hits[0], minlength=len(kth)) == k
+            last = np.flatnonzero(np.diff(hits[0], append=-1))
+            kth[full] = np.maximum(kth[full], hits[2][last][full[hits[0][last]]])
+        found.append((hits[0] + at, hits[1], hits[2]))
+    query, ids, score = (np.concatenate(x) for x in zip(*found)) if found else [np.empty(0, np.int64)] * 3
+    return query, ids, score, evaluated
+
+
+def group_search(k: int):
+    def run(queries: pa.Table, cands: pa.Table) -> pa.Table:
+        out = [np.empty(0, np.int64)] * 3
+        if queries.num_rows and cands.num_rows:
+            sides = []
+            for x in (queries, cands):
+                v, d = (matrix(x[c], x.num_rows) for c in ("v", "d"))
+                sides += [x["vec_id"].to_numpy(), v, d]
+            qid, Q, dq, cid, C, dc = sides
+            number, ids, score, _ = searched(qid, Q, dq, queries["least"].to_numpy(), cid, C, dc, k)
+            out = [qid[number], ids, score]
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(pa.array, out))))
 
     return run
 
@@ -97,13 +191,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "v", F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = materialise(rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q")).withColumn("dim", F.size("v")), "vectors")
     n, nq = rows.agg(F.count("*"), F.count_if("q")).first()
+    first_ids, first = drawn_rows(rows, FIRST)
+    table = materialise(with_pivots(rows, far_apart(first[:POOL], pivots), first_ids, first, k), "pivot_table")
+    discard(rows)
     blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-nq // QUERY_BLOCK))
     place = F.xxhash64("vec_id", F.lit(1))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    cands = rows.withColumn("c", F.pmod(place, F.lit(blocks)).cast("int")).withColumn("b", every(query_blocks))
-    queries = rows.where("q").withColumn("b", F.pmod(place, F.lit(query_blocks)).cast("int")).withColumn("c", every(blocks))
+    cands = table.drop("q", "least").withColumn("c", F.pmod(place, F.lit(blocks)).cast("int")).withColumn("b", every(query_blocks))
+    queries = table.where("q").drop("q").withColumn("b", F.pmod(place, F.lit(query_blocks)).cast("int")).withColumn("c", every(blocks))
     keys = ["dim", "b", "c"]
-    found = queries.groupBy(*keys).cogroup(cands.groupBy(*keys)).applyInPandas(searched(pivot_rows(rows, pivots), k), "query_id long, vec_id long, score long")
+    found = queries.groupBy(*keys).cogroup(cands.groupBy(*keys)).applyInArrow(group_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
