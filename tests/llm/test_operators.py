@@ -176,6 +176,18 @@ def test_personal_data_kinds(spark):
     assert {r.text: {s.kind for s in r.spans} for r in rows} == cases
 
 
+def test_personal_data_many_spans(spark):
+    """As many spans as would never end if the work grew with their square; the words before spans close together."""
+    n = 30_000
+    text = "é " + "".join(f"x{i}@ab.org, " for i in range(n)) + "mail 4111 1111 1111 1111"
+    rows = spark.createDataFrame([(1, text), (2, "phone a@b.c +15550100200"), (3, "phone " + "a@b.c " * 9 + "+15550100200")], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.find_pii(rows).collect()}
+    assert [(s.kind, s.start, s.end) for s in found[1]] == [(k, s, e) for s, _, k, e in brute.base_pii(text)] and len(found[1]) == n + 1
+    assert found[2][-1].kind == "phone" and found[2][-1].score > 0.7 > found[3][-1].score
+    masked = {r.doc_id: r.text for r in pii.mask_pii(rows).collect()}
+    assert masked[1] == "é " + "[EMAIL], " * n + "mail [CARD]"
+
+
 def test_masking(odd):
     rows = {(r.doc_id, r.source): r for r in pii.mask_pii(odd).collect()}
     assert rows[1, "a"].text is None and rows[2, "a"].text == ""

@@ -5,7 +5,8 @@ its score. Kinds of the base contract (email, ip, card, phone) are kept whenever
 added here (iban, secret) also need a score of MIN_SCORE.
 
 Java's matcher gives no offsets, so a text is split at a pattern's matches: the lengths of the pieces and of the
-matches add up to the spans. Patterns are written so that repeated groups are possessive or bounded, which keeps
+matches add up to the spans, and give the words before each. The work grows with a text's length and its number of
+spans, not with their product. Patterns are written so that repeated groups are possessive or bounded, which keeps
 the matcher's stack flat on texts of any length; they match what the plain patterns match.
 """
 
@@ -33,6 +34,8 @@ CONTEXT = {
     "iban": "iban|account|bank", "secret": "token|key|secret|password|auth",
 }
 NEAR, BONUS, MIN_SCORE = 40, 0.2, 0.5
+#: Numbers summed at a time, characters of a piece of text, and the length of the shortest match of any kind.
+PART, PIECE, SHORTEST = 512, 4096, 5
 #: Columns used while working, unlikely as column names.
 OWN = "_pii_"
 
@@ -68,26 +71,59 @@ def octets(value: Column) -> Column:
 CONFIRM = {"ip": octets, "card": luhn, "phone": lambda v: F.length(digits(v)).between(9, 15), "iban": mod97}
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used there."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, join, zero: int, levels: int = 2) -> Column:
+    """For each number what ``join`` makes of all before it, ``zero`` for the first.
+
+    An array grows by copying, so numbers are taken in parts of PART, the parts' totals again in parts: of n
+    numbers about PART * n are copied, not n * n."""
+    none = F.struct(F.lit(zero).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def small(x: Column) -> Column:
+        return F.aggregate(x, none, lambda a, v: F.struct(join(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+
+    if levels == 1:
+        return small(values)
+
+    def whole(x: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / PART).cast("int")), lambda i: F.slice(x, i * PART + 1, F.lit(PART)))
+        return let(parts, lambda ps: F.flatten(F.zip_with(ps, running(F.transform(ps, lambda p: F.aggregate(p, F.lit(zero), join)), join, zero, levels - 1), lambda p, s: F.transform(small(p), lambda v: join(v, s)))))
+
+    return let(values, lambda x: F.when(F.size(x) <= PART, small(x)).otherwise(whole(x)))
+
+
 def spans_of(found: Column, pieces: Column) -> Column:
-    """start, end (exclusive) in code points and value of each match."""
-    steps = F.transform(found, lambda v, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), F.length(v).alias("n"), v.alias("value")))
-    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    """start, end (exclusive) in code points and value of each match, and the NEAR characters before it."""
+    length = lambda v: F.length(v)
+    gaps = F.transform(F.slice(pieces, 1, F.size(found)), length)
+    steps = F.zip_with(gaps, F.transform(found, length), lambda g, n: g + n)
+    ends = lambda g, before: g + before
+    starts = F.zip_with(gaps, running(steps, lambda a, v: a + v, 0), ends)
+    # what stands before a match: the end of the piece before it, and as many matches and pieces as NEAR can hold
+    tails = F.zip_with(F.transform(pieces, lambda p: F.right(p, F.lit(NEAR))), found, lambda p, v: F.concat(p, F.coalesce(v, F.lit(""))))
+
+    def made(ts: Column) -> Column:
+        def before(i: Column, n: Column) -> Column:
+            first = F.greatest(i - NEAR // SHORTEST, F.lit(0))
+            text = F.array_join(F.slice(ts, first + 1, i - first + 1), "")
+            return F.right(F.left(text, F.length(text) - n), F.lit(NEAR))
 
-    def step(a: Column, s: Column) -> Column:
-        start = a["at"] + s["gap"]
-        return F.struct((start + s["n"]).alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), (start + s["n"]).alias("end"), s["value"].alias("value")))).alias("out"))
+        return F.transform(F.arrays_zip(starts.alias("start"), found.alias("value")), lambda s, i: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["value"])).alias("end"), s["value"].alias("value"), before(i, F.length(s["value"])).alias("before")))
 
-    return F.aggregate(steps, none, step, lambda a: a["out"])
+    return let(tails, made)
 
 
 def confirmed(kind: str):
     return lambda s: CONFIRM[kind](s["value"])
 
 
-def scored(text: Column, rank: int, kind: str, score: float):
+def scored(rank: int, kind: str, score: float):
     def run(s: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR))))
-        likely = F.when(before.rlike(CONTEXT[kind]), F.lit(score + BONUS)).otherwise(F.lit(score))
+        likely = F.when(F.lower(s["before"]).rlike(CONTEXT[kind]), F.lit(score + BONUS)).otherwise(F.lit(score))
         return F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["end"].alias("end"), F.least(likely, F.lit(1.0)).alias("score"))
 
     return run
@@ -111,7 +147,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
         good = spans_of(match["found"], match["pieces"])
         if kind in CONFIRM:
             good = F.filter(good, confirmed(kind))
-        good = F.transform(good, scored(text, rank, kind, score))
+        good = F.transform(good, scored(rank, kind, score))
         if kind not in BASE:
             good = F.filter(good, lambda s: s["score"] >= MIN_SCORE)
         second[OWN + kind] = F.when(F.size(match["found"]) > 0, good)
@@ -126,14 +162,26 @@ def listed(spans: Column) -> Column:
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; what overlaps an earlier span goes with it."""
-    none = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with each span replaced by its kind in brackets; what overlaps an earlier span goes with it.
+
+    The text is cut into pieces of PIECE characters first, so that what stands between two spans is found without
+    counting characters from the text's start."""
+
+    def made(pieces: Column) -> Column:
+        def between(start: Column, end: Column) -> Column:
+            first = F.floor(start / PIECE).cast("int")
+            some = F.array_join(F.slice(pieces, first + 1, F.floor(end / PIECE).cast("int") - first + 1), "")
+            return F.when(end > start, F.substring(some, start - first * PIECE + 1, end - start)).otherwise("")
+
+        def parts(ss: Column) -> Column:
+            upto = running(F.transform(ss, lambda s: s["end"]), lambda a, v: F.greatest(a, v), 0)
+            each = F.zip_with(ss, upto, lambda s, at: F.when(s["start"] >= at, F.concat(between(at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
+            last = F.array_max(F.transform(ss, lambda s: s["end"]))
+            return F.concat(F.array_join(each, ""), between(last, F.length(text)))
 
-    def step(a: Column, s: Column) -> Column:
-        more = F.when(s["start"] >= a["at"], F.concat(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], more).alias("out"))
+        return let(spans, parts)
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, none, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text)))))
+    return F.when(F.size(spans) == 0, text).otherwise(let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), made))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
