@@ -344,6 +344,31 @@ def test_decontamination_edited_copies(spark):
     assert copies(spark, docs, [" ".join(item), slots]) == {(0, 0), (1, 0), (2, 1)}
 
 
+def test_decontamination_columns(spark, small):
+    """All columns of exact copies, and a copy that is the whole document."""
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()} | {10**6 + i: t for i, t in items.items()}
+    rows = decontam.contaminated(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    tokens = lambda t: len(decontam.TOKEN.findall(t.encode()))
+    whole = 0
+    for r in rows:
+        doc, item = docs[r.doc_id], items[r.item_id]
+        if doc.count(item) == 1:
+            whole += 1
+            assert (r.doc_at, r.n_words, r.coverage, r.n_changed, r.reparameterised) == (tokens(doc[: doc.index(item)]), tokens(item), 1.0, 0, False)
+    assert whole >= len(items) and {10**6 + i for i in items} <= {r.doc_id for r in rows}
+
+
+def test_decontamination_names_first(spark):
+    """Questions whose sentences start with names, and with a common word that an edit replaces once."""
+    item = "Alice has 3 apples. Bob has 5 pears. Carol eats 2 plums. How many pieces of fruit are left over for the three friends?"
+    other = "Maria has 4 apples. Tom has 6 pears. Susan eats 1 plums. How many pieces of fruit are left over for the three friends?"
+    swapped = "The red train left the station before noon. The slow bus stood there until the evening came. The driver was asleep all day."
+    prose = "Some words of a text that has nothing to do with any of the items. It has 3 parts. They are short. "
+    docs = [prose * 3 + other + " " + prose, prose * 2 + swapped.replace("The slow", "A slow") + prose, prose * 9]
+    assert copies(spark, docs, [item, swapped]) == {(0, 0), (1, 1)}
+
+
 def held_out_accuracy(spark, sf, rows, label):
     known = spark.read.parquet(f"{sf}/labels.parquet").select(F.col("doc_id").alias("i"), label)
     pairs = rows.join(known, F.col("doc_id") == F.col("i")).where("held_out").select("predicted", label, "score").collect()

@@ -1,7 +1,8 @@
 """Benchmark items in documents, also with other numbers, names or units put in.
 
-Texts and items are brought to templates: numbers, names (capitalised words inside a sentence) and units (after a
-number) become typed placeholders, other words are lower-cased; in scripts without blanks each character is a word.
+Texts and items are brought to templates: numbers, names (capitalised words) and units (after a number) become typed
+placeholders, other words are lower-cased; in scripts without blanks each character is a word. A capitalised word
+that starts a sentence may be a name or not: it is a slot, but one that contradicts nothing.
 Windows of WINDOW template words with enough literal ones (strong windows), and all windows as they stand, without
 placeholders, are joined by hash; a shorter item is one window, and documents are cut into windows of these lengths
 too. Matches open diagonals (place in the document minus place in the item). On a diagonal that a strong window has
@@ -64,6 +65,8 @@ SPECIAL = re.compile(rb"[\xe0\xe1\xe3-\xe9\xef\xf0]")
 PART = rb"(?:[0-9A-Za-z\xc0-\xdf]|(?!%b|%b)[\xe0-\xff])(?:[0-9A-Za-z\x80-\xdf]+|(?!%b|%b)[\xe0-\xff])*" % (UNSPACED, MARK, UNSPACED, MARK)
 MIXED = re.compile(rb"%b|%b(?:[.,']%b)*[.!?]?" % (UNSPACED, PART, PART))
 NUMBER, NAME, UNIT = b"<number>", b"<name>", b"<unit>"
+#: Kinds of words of a template; a doubtful slot may be a plain word at the start of a sentence.
+LITERAL_WORD, SLOT, DOUBTFUL = 0, 1, 2
 
 
 class Forms(dict):
@@ -98,23 +101,25 @@ TYPED = [np.uint64(xxhash.xxh3_64_intdigest(x)) for x in (NUMBER, NAME, UNIT)]
 
 
 def template(text: bytes, forms: Forms):
-    """(tokens, hash of each word in lower case, hash of each template word, which are slots)."""
+    """(tokens, hash of each word in lower case, hash of each template word, its kind)."""
     tokens = (MIXED if SPECIAL.search(text) else TOKEN).findall(text)
     plain, flags = forms.of(tokens)
     h = plain.copy()
     number = (flags & 1).astype(bool)
     starts = np.ones(len(tokens), bool)
     starts[1:] = (flags[:-1] & 4) > 0
-    name = ((flags & 2) > 0) & ~starts & ~number
+    name = ((flags & 2) > 0) & ~number
     unit = np.zeros(len(tokens), bool)
     unit[1:] = ((flags[1:] & 8) > 0) & number[:-1]
     for on, typed in zip((number, name, unit), TYPED):
         h[on] = typed
-    return tokens, plain, h, number | name | unit
+    kind = (number | name | unit).astype(np.int8)
+    kind[name & starts & ~unit] = DOUBTFUL
+    return tokens, plain, h, kind
 
 
 class Text(NamedTuple):
-    """Hashes of the words as they stand and as a template, which are slots, and their values."""
+    """Hashes of the words as they stand and as a template, their kinds and values."""
 
     plain: np.ndarray
     template: np.ndarray
@@ -131,7 +136,7 @@ def windows(h: np.ndarray, slot: np.ndarray, size: int):
     """(place, hash) of the windows of a template that have enough literal words."""
     if not 0 < size <= len(h):
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    literal = np.convolve(~slot, np.ones(size, np.int64), "valid")
+    literal = np.convolve(slot == LITERAL_WORD, np.ones(size, np.int64), "valid")
     on = np.flatnonzero(literal >= min(LITERAL, size))
     return on, window_hashes(h, size)[on]
 
@@ -172,9 +177,9 @@ def cut_items(items: DataFrame, window: int) -> DataFrame:
                 strong = np.repeat([y for *_, y in found], [len(a) for a, _, _ in found])
                 for c, x in zip(out, (i, plain.view(np.int64), h.view(np.int64), slot, list(map(value, tokens)), at, hashes.view(np.int64), strong)):
                     c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), lists(out[1], np.int64), lists(out[2], np.int64), lists(out[3], bool), pa.array(out[4], pa.list_(pa.string())), lists(out[5], np.int32), lists(out[6], np.int64), lists(out[7], bool)], ["id", "plain", "template", "slot", "value", "at", "hash", "strong"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), lists(out[1], np.int64), lists(out[2], np.int64), lists(out[3], np.int8), pa.array(out[4], pa.list_(pa.string())), lists(out[5], np.int32), lists(out[6], np.int64), lists(out[7], bool)], ["id", "plain", "template", "slot", "value", "at", "hash", "strong"])
 
-    return items.mapInArrow(run, "id long, plain array<long>, template array<long>, slot array<boolean>, value array<string>, at array<int>, hash array<long>, strong array<boolean>")
+    return items.mapInArrow(run, "id long, plain array<long>, template array<long>, slot array<tinyint>, value array<string>, at array<int>, hash array<long>, strong array<boolean>")
 
 
 def cut_docs(docs: DataFrame, sizes: list[int], reach: int, wanted) -> DataFrame:
@@ -188,7 +193,7 @@ def cut_docs(docs: DataFrame, sizes: list[int], reach: int, wanted) -> DataFrame
             out = [[] for _ in range(8)]
 
             def batch():
-                made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), lists(out[2], np.int64), lists(out[3], np.int64), lists(out[4], bool), pa.array(out[5], pa.list_(pa.string())), lists(out[6], np.int32), lists(out[7], np.int64)], ["id", "first", "plain", "template", "slot", "value", "at", "hash"])
+                made = pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), lists(out[2], np.int64), lists(out[3], np.int64), lists(out[4], np.int8), pa.array(out[5], pa.list_(pa.string())), lists(out[6], np.int32), lists(out[7], np.int64)], ["id", "first", "plain", "template", "slot", "value", "at", "hash"])
                 for c in out:
                     c.clear()
                 return made
@@ -218,7 +223,7 @@ def cut_docs(docs: DataFrame, sizes: list[int], reach: int, wanted) -> DataFrame
                     yield batch()
             yield batch()
 
-    return docs.mapInArrow(run, "id long, first int, plain array<long>, template array<long>, slot array<boolean>, value array<string>, at array<int>, hash array<long>")
+    return docs.mapInArrow(run, "id long, first int, plain array<long>, template array<long>, slot array<tinyint>, value array<string>, at array<int>, hash array<long>")
 
 
 def bit_table(items: DataFrame) -> np.ndarray:
@@ -241,13 +246,15 @@ def stretches(on: np.ndarray, least: int):
 def slots_of(doc: Text, item: Text, pairs) -> tuple[int, int] | None:
     """How many slots of the item the (place in the item, place in the document) pairs hold and how many values are
     changed; nothing if one value of the item stands for two of the document."""
-    stands, n = {}, 0
+    stands, n, doubtful = {}, 0, set()
     for k, at in pairs:
         if item.slot[k] and doc.slot[at]:
             n += 1
-            if stands.setdefault(item.value[k], doc.value[at]) != doc.value[at]:
+            if DOUBTFUL in (item.slot[k], doc.slot[at]):
+                doubtful.add((item.value[k], doc.value[at]))
+            elif stands.setdefault(item.value[k], doc.value[at]) != doc.value[at]:
                 return None
-    return n, sum(x != y for x, y in stands.items())
+    return n, sum(x != y for x, y in doubtful.union(stands.items()))
 
 
 def runs_on(doc: Text, item: Text, diagonal: int, strong: bool, window: int):
@@ -262,7 +269,7 @@ def runs_on(doc: Text, item: Text, diagonal: int, strong: bool, window: int):
     ways = [plain]
     if strong:
         typed = item.template[a:b] == doc.template[a + diagonal : b + diagonal]
-        literal = np.convolve(~item.slot[a:b], np.ones(size, np.int64), "valid") >= min(LITERAL, size)
+        literal = np.convolve(item.slot[a:b] == LITERAL_WORD, np.ones(size, np.int64), "valid") >= min(LITERAL, size)
         whole = np.convolve(typed, np.ones(size, np.int64), "valid") == size
         ways = [typed | plain, *windowed_runs(whole & literal, size)]
     for way in ways:
@@ -297,7 +304,7 @@ def aligned(doc: Text, item: Text, lowest: int, highest: int, strong: bool):
     mine, at = groups(item, 0, len(item.plain), strong)
     theirs, there = groups(doc, max(0, lowest - SLACK), min(len(doc.plain), highest + len(item.plain) + SLACK), strong)
     value = lambda text, part: " ".join(text.value[slice(*part)])
-    stands, n, n_slots, first = {}, 0, 0, None
+    stands, n, n_slots, first, doubtful = {}, 0, 0, None, set()
     for i, j, size in SequenceMatcher(None, mine, theirs, autojunk=False).get_matching_blocks():
         words = at[i + size - 1][1] - at[i][0] if size else 0
         if words < LEAST:
@@ -307,10 +314,12 @@ def aligned(doc: Text, item: Text, lowest: int, highest: int, strong: bool):
         for a, b in zip(at[i : i + size], there[j : j + size]):
             if strong and item.slot[a[0]]:
                 n_slots += a[1] - a[0]
-                old = value(item, a)
-                if stands.setdefault(old, value(doc, b)) != value(doc, b):
+                old, new = value(item, a), value(doc, b)
+                if DOUBTFUL in (*item.slot[slice(*a)], *doc.slot[slice(*b)]):
+                    doubtful.add((old, new))
+                elif stands.setdefault(old, new) != new:
                     return None
-    return first, n, n_slots, sum(x != y for x, y in stands.items())
+    return first, n, n_slots, sum(x != y for x, y in doubtful.union(stands.items()))
 
 
 def judged(doc: Text, item: Text, opened, window: int, cover: float, run_words: int):
@@ -344,8 +353,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text; other columns are ignored. Rows with null id or text and
     texts without words give nothing; items without enough literal words are found as they stand only; repeated rows
-    give their result once; of several places the longest (first) is told. An empty table on either side gives an
-    empty result.
+    give their result once; of several places the longest (first) is told. Of a very long text only the stretches
+    that may match are sent on. An empty table on either side gives an empty result.
     """
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string")).distinct()
     items = materialise(cut_items(items, window).where(F.size("plain") > 0).withColumn("item", F.monotonically_increasing_id()), "items")
