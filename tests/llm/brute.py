@@ -10,6 +10,17 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
 
+def license_words(text):
+    return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+
+
+def gram_hash(gram, n, bits):
+    h = n
+    for c in gram:
+        h = (h ^ c) * 16777619 & 0xFFFFFFFF
+    return (h ^ h >> 15) & ((1 << bits) - 1)
+
+
 def shingles(text, n=5):
     w = words(text)
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()

@@ -35,6 +35,25 @@ def test_stages_keep_the_columns(spark, small, docs, odd):
         assert cp.mix_sources(spark, rows, small).columns[:5] == COLUMNS
 
 
+def test_stages_keep_clashing_columns(spark, small, docs):
+    """Columns that carry names used inside the operators, and one with a dot."""
+    names = ["score", "_before", "_text", "_id", "id", "key", "row", "_s", "cut", "cut_n", "part", "epochs", "range", "ranges", "rest", "before", "a.b", "row_number", "_pii_x", "label", "spans", "kept", "cls"]
+    rows = docs.withColumns({n: F.lit(f"own {n}") for n in names})
+    rows = rows.union(rows.where("doc_id = 3"))
+    for name, stage in cp.STAGES:
+        out = stage(spark, rows, small)
+        assert out.columns[: len(rows.columns)] == rows.columns, name
+        for r in out.collect():
+            assert all(r[n] == f"own {n}" for n in names), name
+
+
+def test_near_duplicates_of_one_id(spark, docs, small):
+    text = "a text of some length that is given more than once for a test of the stages"
+    rows = [(7, text, None, None, 1), (3, text, None, None, 2), (7, "another text of the same id which must stay", None, None, 3), (7, text, None, None, 4)]
+    out = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, docs.schema), small).collect()
+    assert sorted(r.n_chars for r in out) == [2, 3]
+
+
 def test_near_duplicates(spark, small, docs, odd):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     found, _ = brute.near_duplicates(rows, 80)
@@ -66,6 +85,32 @@ def test_toxicity_rejects_marked_texts(spark, docs):
     assert marked.count() > 10
     assert kept.join(marked.select(F.col("doc_id").alias("m")), F.col("doc_id") == F.col("m")).count() <= 0.1 * marked.count()
     assert kept.count() > 0.8 * rows.count()
+    # the stage drops what the operator scores at the threshold or above, and nothing else
+    from tidemark.llm import toxicity
+
+    model = toxicity.train(rows, spark.read.parquet(f"{sf}/labels.parquet"), F.lit(True))
+    scores = {r.doc_id: r.score for r in toxicity.score(rows, model, "doc_id").collect()}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, x in scores.items() if x < toxicity.THRESHOLD)
+    # and the operator's score is the plain sum over the distinct words' n-grams
+    for r in rows.limit(20).collect():
+        words = sorted(set(brute.license_words(r.text)))
+        z = model.bias + sum(float(model.weights[brute.gram_hash(w[k : k + n], n, toxicity.BITS)]) for w in (b"<" + x + b">" for x in words) for n in toxicity.SIZES for k in range(len(w) - n + 1))
+        assert scores[r.doc_id] == pytest.approx(1 / (1 + 2.718281828459045 ** -z), abs=1e-6)
+
+
+def test_mixing(spark, small, docs):
+    """What is taken of each document, against sources laid out in the order of the hash keys."""
+    rows = docs.select("*", F.xxhash64("doc_id", F.lit(cp.mixing.SEED)).alias("k")).collect()
+    out = {r.doc_id: r for r in cp.mix_sources(spark, docs, small).collect()}
+    for source in {r.source for r in rows}:
+        own = sorted((r for r in rows if r.source == source), key=lambda r: (r.k, r.doc_id))
+        sizes = [len(brute.words(r.text)) for r in own]
+        target = next(round(out[r.doc_id].target) for r in own if r.doc_id in out)
+        epochs, rest = divmod(target, sum(sizes))
+        for r, size in zip(own, sizes):
+            taken = epochs * size + min(size, max(0, rest))
+            rest -= size
+            assert (out[r.doc_id].taken if r.doc_id in out else 0) == taken
 
 
 def test_run(spark, small, docs):

@@ -6,6 +6,7 @@ splits at exactly the six ASCII blanks (0x20, 0x09-0x0D), so both agree with the
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -23,9 +24,12 @@ CHUNK_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder every executor can reach: spark.checkpoint.dir. Only a local session, whose executor is the driver,
+    gets one of our own where that is unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors can reach")
         path = f"{tempfile.gettempdir()}/tidemark-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -128,5 +132,13 @@ def shuffle_buckets(docs: DataFrame, text: str, each: int) -> int:
     return max(8, -(-total // each))
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, lengthened until no column has it (names differ by more than case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

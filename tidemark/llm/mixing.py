@@ -20,6 +20,8 @@ MOST = 3
 #: Weights of the sources by code point, repeating.
 WEIGHTS = (1, 2, 3)
 SEED = 20240607
+#: Columns of the result that replace a table's own.
+RESULTS = ("size", "source_size", "target", "taken")
 #: Source tables of up to so many rows (about 100 bytes each) are broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 20_000
 
@@ -49,13 +51,13 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` (with doc_id, text, source) with size, source_size, target and taken: the words that
-    the mix takes of this row, repeats counted. Existing columns of these names are replaced.
+    the mix takes of this row, repeats counted. Existing columns of these names are replaced, all others stay.
 
     A null text has no words and is never taken. A null source is a source of its own, the last. Rows of a source
     with the same doc_id share a cut between them in proportion to their sizes, rounded down, so the result does
-    not depend on the order of rows. Without words all targets are 0. An empty table gives an empty result.
+    not depend on the order of rows. Texts of any length count whole. Without words all targets are 0. An empty
+    table gives an empty result.
     """
-    docs = docs.drop("size", "source_size", "target", "taken")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.lit(seed))
     rows = materialise(docs.select("source", F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("size"), key.alias("key")), "sizes")
     ordered = F.struct("key", F.coalesce(F.col("doc_id"), F.lit(-(2**63))).alias("id"))
@@ -87,11 +89,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     cuts = last.select("source", ordered.alias("cut"), F.col("n").alias("cut_n"), (F.col("rest") - F.col("from")).alias("part"))
     plan = materialise(with_source(plan, cuts), "cuts")
 
-    size = F.col("size")
-    here = F.struct(key.alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"))
+    # whole rows travel as one column, so none of theirs can clash with the plan's
+    kept = [c for c in docs.columns if c.lower() not in RESULTS]
+    row = F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")
+    here = F.struct(key.alias("key"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id")).alias("here")
+    out = with_source(docs.select(row, "source", words_of(F.col("text")).alias("size"), here), plan.select("source", "source_size", "target", "epochs", "cut", "cut_n", "part"))
+    size, here = F.col("size"), F.col("here")
     rest = F.when(here < F.col("cut"), size).when(here == F.col("cut"), F.floor(F.col("part") * size / F.col("cut_n")).cast("long")).otherwise(0)
-    out = with_source(docs.withColumn("size", words_of(F.col("text"))), plan.select("source", "source_size", "target", "epochs", "cut", "cut_n", "part"))
-    return out.withColumn("taken", (F.col("epochs") * size + F.coalesce(rest, F.lit(0))).cast("long")).drop("epochs", "cut", "cut_n", "part")
+    taken = (F.col("epochs") * size + F.coalesce(rest, F.lit(0))).cast("long")
+    return out.select("row.*", "size", "source_size", "target", taken.alias("taken"))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -196,7 +196,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     """The same rows and columns with personal data in text replaced by [KIND]; a null text stays null."""
     out = with_spans(docs)
     text = F.when(F.col("text").isNotNull(), masked(F.col(OWN + "text"), F.col(OWN + "spans")))
-    return out.withColumn("text", text).select(*docs.columns)
+    return out.withColumn("text", text).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

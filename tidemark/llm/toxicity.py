@@ -1,6 +1,7 @@
 """Toxicity of texts: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-The features of a text are the 3- to 5-grams of its distinct words, with word ends marked, hashed to BITS bits;
+The features of a text are the 3- to 5-grams of its distinct words, with word ends marked (none crosses a word's end),
+hashed to BITS bits;
 a feature's value is in how many of the distinct words it stands. Feature g is scaled by
 r_g = log((1 + p_g) / sum(1 + p)) - log((1 + q_g) / sum(1 + q)), p and q its counts in toxic and other texts, and a
 logistic model is fitted on the scaled features. What a word adds to a score depends on the word alone, so a text's
@@ -132,21 +133,23 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MAX_TRA
     return fit([w for w, _ in rows], np.array([y for _, y in rows], float))
 
 
-def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns ``keep`` of each row of ``docs`` and its score (0 to 1, higher: likelier toxic).
+def score(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> DataFrame:
+    """The columns ``keep`` of each row of ``docs`` and its score (0 to 1, higher: likelier toxic) as ``name``.
 
-    A null or empty text has the score of one without words. Repeated rows and null ids are rows like others. An
-    empty table gives an empty result; a model from no labels gives 0.05.
+    A null or empty text has the score of one without words. Very long texts are scored whole. Repeated rows and
+    null ids are rows like others. ``name`` must be none of ``keep``; other columns are ignored. An empty table gives
+    an empty result; a model from no labels gives 0.05.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("score", T.DoubleType())])
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches):
         scorer = sent.value.scorer()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(scorer(text_bytes(b.columns[-1])))], schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer(text_bytes(b.column(1))))], schema.names)
 
-    return docs.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select("row.*", F.col("score").alias(name))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
