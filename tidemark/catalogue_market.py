@@ -20,11 +20,14 @@ def r6(column: str):
 
 # ---- views of the oracles: the same facts written independently in SQL ------------------------------------------
 
-VIEWS["o_factors"] = f"""SELECT code, effective_date AS d, product(CASE action_type WHEN 'split' THEN 1 / CAST(ratio AS DOUBLE) WHEN 'reverse_split' THEN CAST(ratio AS DOUBLE) ELSE 1 / (1 + CAST(ratio AS DOUBLE)) END) AS f
- FROM {chain('actions', 'announced_date')} a WHERE effective_date <= {D} AND action_type IN ('split', 'reverse_split', 'bonus_issue') GROUP BY code, effective_date"""
+VIEWS["o_values"] = """SELECT *, CASE action_type WHEN 'split' THEN 1 / CAST(ratio AS DOUBLE) WHEN 'reverse_split' THEN CAST(ratio AS DOUBLE) WHEN 'bonus_issue' THEN 1 / (1 + CAST(ratio AS DOUBLE))
+  WHEN 'stock_dividend' THEN 1 / (1 + TRY_CAST(json_extract_string(details, '$.dividend_ratio') AS DOUBLE))
+  WHEN 'rights_issue' THEN TRY_CAST(json_extract_string(details, '$.theoretical_ex_price') AS DOUBLE) / TRY_CAST(json_extract_string(details, '$.previous_close') AS DOUBLE) END AS f,
+ coalesce(CAST(cash_amount AS DOUBLE), TRY_CAST(json_extract_string(details, '$.per_share') AS DOUBLE)) AS cash FROM actions"""
+VIEWS["o_factors"] = f"SELECT code, effective_date AS d, product(f) AS f FROM {chain('o_values', 'announced_date')} a WHERE effective_date <= {D} AND f IS NOT NULL GROUP BY code, effective_date"
 VIEWS["o_adjusted"] = f"""SELECT b.code, b.d, b.volume, CAST(b.open AS DOUBLE) AS open, CAST(b.close AS DOUBLE) AS close, coalesce(product(f.f), 1) AS factor
  FROM (SELECT * FROM bars WHERE d <= {D}) b LEFT JOIN o_factors f ON f.code = b.code AND f.d > b.d GROUP BY b.code, b.d, b.volume, b.open, b.close"""
-VIEWS["o_cash"] = f"SELECT code, effective_date AS d, CAST(sum(cash_amount) AS DOUBLE) AS cash FROM {chain('actions', 'announced_date')} a WHERE action_type = 'cash_dividend' AND effective_date <= {D} GROUP BY code, effective_date"
+VIEWS["o_cash"] = f"SELECT code, effective_date AS d, sum(cash) AS cash FROM {chain('o_values', 'announced_date')} a WHERE action_type = 'cash_dividend' AND effective_date <= {D} AND cash >= 0 GROUP BY code, effective_date"
 
 
 def returns(where: str) -> str:
@@ -43,28 +46,38 @@ VIEWS["o_series"] = """SELECT code, account, CASE WHEN count(sv) = 4 THEN max(CA
  SELECT a.code, a.account, a.n, CASE WHEN a.fq = 1 OR a.account NOT IN ('basic_eps', 'net_income') THEN a.value ELSE a.value - b.value END AS sv
  FROM (SELECT *, row_number() OVER (PARTITION BY code, account ORDER BY period DESC) AS n FROM o_periods) a
  LEFT JOIN o_periods b ON a.code = b.code AND a.account = b.account AND a.fy = b.fy AND a.fq = b.fq + 1 WHERE a.n <= 4) x GROUP BY code, account"""
+VIEWS["o_singles"] = """SELECT a.code, a.account, a.n, CASE WHEN a.fq = 1 THEN a.value ELSE a.value - b.value END AS sv FROM (SELECT *, row_number() OVER (PARTITION BY code, account ORDER BY period DESC) AS n FROM o_periods WHERE account = 'basic_eps') a
+ LEFT JOIN o_periods b ON a.code = b.code AND a.account = b.account AND a.fy = b.fy AND a.fq = b.fq + 1"""
+VIEWS["o_runs"] = "SELECT code, CASE WHEN count(sv) FILTER (n <= 2) = 2 THEN CAST(sum(sv) FILTER (n <= 2) AS DOUBLE) END AS eps2, CASE WHEN count(sv) FILTER (n <= 7) = 7 THEN CAST(sum(sv) FILTER (n <= 7) AS DOUBLE) END AS eps7 FROM o_singles GROUP BY code"
 VIEWS["o_ranked"] = "SELECT code, account, value, row_number() OVER (PARTITION BY code, account ORDER BY period DESC) AS n FROM o_periods"
 VIEWS["o_cap"] = f"SELECT code, market_cap, shares FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY effective_date DESC) AS rn FROM market_caps WHERE effective_date <= {D}) x WHERE rn = 1"
 VIEWS["o_treasury"] = f"""SELECT code, shares_treasury FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY effective_date DESC, period DESC, CAST(id AS VARCHAR) DESC) AS rk FROM (
  SELECT *, row_number() OVER (PARTITION BY code, period ORDER BY effective_date DESC, CAST(id AS VARCHAR) DESC) AS rn FROM {chain('treasury')} a) x WHERE rn = 1) y WHERE rk = 1"""
 VIEWS["o_close"] = f"SELECT code, max_by(close * factor, d) AS close_price_adjusted FROM o_adjusted WHERE d >= {D} - 30 GROUP BY code"
 VIEWS["o_traded"] = f"""SELECT code, CAST(sum(trading_value) AS DOUBLE) / 20 AS trading_value_20d_avg FROM bars WHERE d IN (SELECT day FROM calendar WHERE day <= {D} ORDER BY day DESC LIMIT 20) GROUP BY code HAVING count(*) = 20"""
-VIEWS["o_dps"] = f"SELECT code, CAST(sum(cash_amount) AS DOUBLE) AS dps FROM {chain('actions', 'announced_date')} a WHERE action_type = 'cash_dividend' AND effective_date <= {D} AND effective_date > {D} - 365 GROUP BY code"
+VIEWS["o_dps"] = f"SELECT code, sum(cash) AS dps FROM {chain('o_values', 'announced_date')} a WHERE action_type = 'cash_dividend' AND effective_date <= {D} AND effective_date > {D} - 365 AND cash >= 0 GROUP BY code"
 VIEWS["o_year"] = f"SELECT code, max_by(idx, d) - 1 AS total_return FROM o_returns_1y GROUP BY code HAVING min(d) <= {D} - 340"
 VIEWS["o_fields"] = f"""SELECT s.code, s.security_type, c.close_price_adjusted, t.trading_value_20d_avg, CAST(m.market_cap AS DOUBLE) AS cap, CAST(m.shares AS DOUBLE) AS shares, CAST(y.shares_treasury AS DOUBLE) AS treasury,
- CAST(e.total AS DOUBLE) AS eps4, CAST(i.total AS DOUBLE) AS income4, CAST(q1.value AS DOUBLE) AS equity, CAST(q2.value AS DOUBLE) AS equity_begin, CAST(abs(p.value) AS DOUBLE) AS paid, CAST(z.total AS DOUBLE) AS depreciation, d.dps, r.total_return
+ CAST(e.total AS DOUBLE) AS eps4, CAST(i.total AS DOUBLE) AS income4, CAST(q1.value AS DOUBLE) AS equity, CAST(q2.value AS DOUBLE) AS equity_begin, CAST(abs(p.value) AS DOUBLE) AS paid, CAST(z.total AS DOUBLE) AS depreciation, d.dps, r.total_return, n.eps2, n.eps7
  FROM (SELECT code, security_type FROM securities WHERE {LISTED}) s LEFT JOIN o_close c ON s.code = c.code LEFT JOIN o_traded t ON s.code = t.code LEFT JOIN o_cap m ON s.code = m.code LEFT JOIN o_treasury y ON s.code = y.code
  LEFT JOIN o_series e ON s.code = e.code AND e.account = 'basic_eps' LEFT JOIN o_series i ON s.code = i.code AND i.account = 'net_income' LEFT JOIN o_ranked q1 ON s.code = q1.code AND q1.account = 'equity' AND q1.n = 1
  LEFT JOIN o_ranked q2 ON s.code = q2.code AND q2.account = 'equity' AND q2.n = 2 LEFT JOIN o_ranked p ON s.code = p.code AND p.account = 'dividends_paid' AND p.n = 1
- LEFT JOIN o_series z ON s.code = z.code AND z.account = 'depreciation' LEFT JOIN o_dps d ON s.code = d.code LEFT JOIN o_year r ON s.code = r.code"""
+ LEFT JOIN o_series z ON s.code = z.code AND z.account = 'depreciation' LEFT JOIN o_dps d ON s.code = d.code LEFT JOIN o_year r ON s.code = r.code LEFT JOIN o_runs n ON s.code = n.code"""
 MCAP = "((shares - treasury) * close_price_adjusted)"
 
 # ---- adjustment and total return --------------------------------------------------------------------------------
 
 
-@query("adj_action_factor", "SELECT id, action_type, CASE action_type WHEN 'split' THEN 1 / CAST(ratio AS DOUBLE) WHEN 'reverse_split' THEN CAST(ratio AS DOUBLE) WHEN 'bonus_issue' THEN 1 / (1 + CAST(ratio AS DOUBLE)) END AS factor FROM actions")
+@query("adj_action_factor", "SELECT id, action_type, round(f, 9) AS factor FROM o_values")
 def _(v):
-    return v("actions").select("id", "action_type", adjust.factor().alias("factor"))
+    return v("actions").select("id", "action_type", F.round(adjust.factor(), 9).alias("factor"))
+
+
+@query("adj_rights_check", """SELECT id, round(declared, 4) AS declared, round(recomputed, 4) AS recomputed FROM (SELECT id, CAST(json_extract_string(details, '$.theoretical_ex_price') AS DOUBLE) AS declared,
+ (CAST(json_extract_string(details, '$.previous_close') AS DOUBLE) + CAST(json_extract_string(details, '$.subscription_price') AS DOUBLE) * 0.2) / 1.2 AS recomputed FROM actions WHERE action_type = 'rights_issue') x
+ WHERE abs(declared - recomputed) / greatest(declared, recomputed) > 0.005""")
+def _(v):
+    return adjust.rights_defects(v("actions")).select("id", *(F.round(c, 4).alias(c) for c in ("declared", "recomputed")))
 
 
 @query("adj_classify_events", f"""SELECT id, CASE WHEN action_type = 'cash_dividend' THEN 'ignore' ELSE concat(CASE action_type WHEN 'merger' THEN 'detect_merger' ELSE 'adjust' END, CASE WHEN effective_date <= {D} THEN '' ELSE '_announced' END) END AS class
@@ -84,10 +97,13 @@ def _(v):
     return adjust.adjusted(v("bars"), v("actions"), AS_OF).select("code", "d", *prices, "volume")
 
 
-@query("adj_input_errors", "SELECT code, 'bad_ratio' AS error, CAST(count(*) AS BIGINT) AS n FROM actions WHERE action_type IN ('split', 'reverse_split', 'bonus_issue') AND id % 12 = 0 GROUP BY code")
+@query("adj_input_errors", """SELECT code, 'bad_ratio' AS error, CAST(count(*) AS BIGINT) AS n FROM actions WHERE id % 12 = 0 AND action_type IN ('split', 'reverse_split', 'bonus_issue', 'rights_issue') GROUP BY code
+ UNION ALL SELECT code, 'unknown_action', CAST(count(*) AS BIGINT) FROM actions WHERE id % 11 = 0 GROUP BY code""")
 def _(v):
-    damaged = v("actions").withColumn("ratio", F.when(F.col("id") % 12 == 0, F.col("ratio") * -1).otherwise(F.col("ratio")))
-    return adjust.input_errors(v("bars"), damaged)
+    bad = F.col("id") % 12 == 0
+    damaged = v("actions").withColumns({"ratio": F.when(bad, F.col("ratio") * -1).otherwise(F.col("ratio")), "details": F.when(~bad | (F.col("action_type") == "stock_dividend"), F.col("details"))})
+    unknown = v("actions").where("id % 11 = 0").withColumn("action_type", F.lit("renamed"))
+    return adjust.input_errors(v("bars"), damaged.union(unknown))
 
 
 @query("adj_identity_flag", f"SELECT s.code, f.code IS NULL AS identity FROM securities s LEFT JOIN (SELECT DISTINCT code FROM o_factors) f ON s.code = f.code")
@@ -209,6 +225,8 @@ TREES = {
     "fx_div": ({"op": "div", "left": CLOSE, "right": {"op": "sub", "left": {"field": "shares_issued"}, "right": {"const": "1100"}}}, "close_price_adjusted / nullif(shares - 1100, 0)"),
     "fx_ratio_pct": ({"op": "ratio_pct", "left": {"field": "market_cap_krx_official"}, "right": {"field": "shares_issued"}}, "cap / nullif(shares, 0)"),
     "fx_sum_last_n_quarters": ({"op": "sum_last_n_quarters", "n": 4, "field": EPS}, "eps4"),
+    "fx_sum_last_n_quarters_2": ({"op": "sum_last_n_quarters", "n": 2, "field": EPS}, "eps2"),
+    "fx_sum_last_n_quarters_7": ({"op": "sum_last_n_quarters", "n": 7, "field": EPS}, "eps7"),
     "fx_avg": ({"op": "avg", "args": [{"field": f"{EQUITY}_period_begin"}, {"field": EQUITY}, {"field": "shares_issued"}]}, "(equity_begin + equity + shares) / 3"),
     "fx_weighted_sum": ({"op": "weighted_sum", "args": [{"field": EQUITY}, {"field": "shares_issued"}], "weights": ["0.5", "-2"]}, "equity * 0.5 + shares * -2"),
     "fx_winsorize": ({"op": "winsorize", "args": [{"op": "sum_last_n_quarters", "n": 4, "field": EPS}], "lower": "300000", "upper": "900000"}, "CASE WHEN eps4 IS NOT NULL THEN greatest(least(eps4, 900000), 300000) END"),
@@ -249,3 +267,13 @@ def _(v):
     rows = rows.withColumn("trading_value_20d_avg", F.coalesce("trading_value_20d_avg", F.when(F.col("shares_issued") > 1200, 1)))
     tree = {"op": "div", "left": {"op": "add", "left": {"field": "trading_value_20d_avg"}, "right": TREES["fx_sum_last_n_quarters"][0]}, "right": TREES["fx_div"][0]["right"]}
     return formulas.with_factors(rows, {"x": tree}).select("code", F.col("x_reason").alias("reason"))
+
+
+INPUTS = {"op": "div", "left": {"op": "weighted_sum", "args": [{"field": "trading_value_20d_avg"}, {"field": EQUITY}], "weights": ["1", "2"]}, "right": {"field": "shares_issued"}}
+
+
+@query("fx_inputs_used", f"""SELECT code, 'trading_value_20d_avg' AS input, trading_value_20d_avg IS NOT NULL AS given FROM o_fields UNION ALL
+ SELECT code, '{EQUITY}', equity IS NOT NULL FROM o_fields WHERE trading_value_20d_avg IS NOT NULL UNION ALL SELECT code, 'shares_issued', shares IS NOT NULL FROM o_fields""")
+def _(v):
+    rows = fld.fields(v, AS_OF, ["trading_value_20d_avg", EQUITY, "shares_issued"])
+    return rows.select("code", F.explode(formulas.read_inputs(INPUTS)).alias("input", "given"))

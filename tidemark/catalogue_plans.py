@@ -142,20 +142,27 @@ VIEWS["o_dates"] = "SELECT make_date(y, q * 3, CASE WHEN q IN (1, 4) THEN 31 ELS
 VIEWS["o_steps"] = "SELECT as_of, lag(as_of) OVER (ORDER BY as_of) AS before, lead(as_of) OVER (ORDER BY as_of) AS next FROM o_dates"
 VIEWS["o_members"] = """SELECT t.as_of, s.code, EXISTS (SELECT 1 FROM bars b WHERE b.code = s.code AND b.d <= t.as_of) AS has_price FROM securities s JOIN o_dates t
  ON s.security_type = 'common' AND s.listing_date <= t.as_of AND (s.delisting_date IS NULL OR s.delisting_date > t.as_of)"""
-VIEWS["o_known"] = """SELECT t.as_of, r.* FROM o_dates t JOIN statements r ON r.account = 'basic_eps' AND r.effective_date <= t.as_of LEFT JOIN statements s ON r.superseded_by = s.id AND s.effective_date <= t.as_of WHERE s.id IS NULL"""
-VIEWS["o_panel8"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY as_of, code ORDER BY effective_date DESC, period DESC) AS rk FROM (
- SELECT *, row_number() OVER (PARTITION BY as_of, code, period ORDER BY effective_date DESC, CAST(id AS VARCHAR) DESC) AS rn FROM o_known) x WHERE rn = 1) y WHERE rk <= 8"""
-VIEWS["o_held"] = """SELECT m.as_of, m.code FROM o_members m JOIN (SELECT a.as_of, a.code FROM (SELECT *, row_number() OVER (PARTITION BY as_of, code ORDER BY period DESC) AS n FROM o_panel8) a
- LEFT JOIN o_panel8 b ON a.as_of = b.as_of AND a.code = b.code AND a.fy = b.fy AND a.fq = b.fq + 1 WHERE a.n <= 4 GROUP BY a.as_of, a.code
- HAVING count(CASE WHEN a.fq = 1 THEN a.value ELSE a.value - b.value END) = 4 AND sum(CASE WHEN a.fq = 1 THEN a.value ELSE a.value - b.value END) > 500000) e ON m.as_of = e.as_of AND m.code = e.code WHERE m.has_price"""
+VIEWS["o_known"] = """SELECT t.as_of, r.* FROM o_dates t JOIN statements r ON r.account IN ('basic_eps', 'equity') AND r.effective_date <= t.as_of LEFT JOIN statements s ON r.superseded_by = s.id AND s.effective_date <= t.as_of WHERE s.id IS NULL"""
+VIEWS["o_panel8"] = """SELECT *, row_number() OVER (PARTITION BY as_of, code, account ORDER BY period DESC) AS n FROM (SELECT *, row_number() OVER (PARTITION BY as_of, code, account ORDER BY effective_date DESC, period DESC) AS rk FROM (
+ SELECT *, row_number() OVER (PARTITION BY as_of, code, account, period ORDER BY effective_date DESC, CAST(id AS VARCHAR) DESC) AS rn FROM o_known) x WHERE rn = 1) y WHERE rk <= 8"""
+VIEWS["o_eps_panel"] = """SELECT a.as_of, a.code, sum(CASE WHEN a.fq = 1 THEN a.value ELSE a.value - b.value END) AS eps4 FROM o_panel8 a
+ LEFT JOIN o_panel8 b ON a.as_of = b.as_of AND a.code = b.code AND a.account = b.account AND a.fy = b.fy AND a.fq = b.fq + 1 WHERE a.account = 'basic_eps' AND a.n <= 4 GROUP BY a.as_of, a.code
+ HAVING count(CASE WHEN a.fq = 1 THEN a.value ELSE a.value - b.value END) = 4"""
+VIEWS["o_shares_panel"] = """SELECT t.as_of, c.code, max_by(c.shares, c.effective_date) AS shares FROM o_dates t JOIN market_caps c ON c.effective_date <= t.as_of GROUP BY 1, 2"""
+VIEWS["o_treasury_panel"] = """SELECT as_of, code, shares_treasury FROM (SELECT t.as_of, r.*, row_number() OVER (PARTITION BY t.as_of, r.code ORDER BY r.effective_date DESC, r.period DESC, CAST(r.id AS VARCHAR) DESC) AS rk
+ FROM o_dates t JOIN treasury r ON r.effective_date <= t.as_of LEFT JOIN treasury s ON r.superseded_by = s.id AND s.effective_date <= t.as_of WHERE s.id IS NULL) x WHERE rk = 1"""
+VIEWS["o_acts"] = """SELECT t.as_of, r.code, r.effective_date, r.f FROM o_dates t JOIN o_values r ON r.announced_date <= t.as_of AND r.effective_date <= t.as_of AND r.f IS NOT NULL LEFT JOIN actions s ON r.superseded_by = s.id AND s.announced_date <= t.as_of WHERE s.id IS NULL"""
+VIEWS["o_last_bar"] = "SELECT t.as_of, b.code, max(b.d) AS d, max_by(CAST(b.close AS DOUBLE), b.d) AS close FROM o_dates t JOIN bars b ON b.d <= t.as_of AND b.d >= t.as_of - 30 GROUP BY 1, 2"
+VIEWS["o_close_panel"] = "SELECT l.as_of, l.code, l.close * coalesce(product(a.f), 1) AS close FROM o_last_bar l LEFT JOIN o_acts a ON a.as_of = l.as_of AND a.code = l.code AND a.effective_date > l.d GROUP BY l.as_of, l.code, l.d, l.close"
+VIEWS["o_held"] = """SELECT m.as_of, m.code FROM o_members m JOIN o_eps_panel e ON m.as_of = e.as_of AND m.code = e.code JOIN o_panel8 q ON q.as_of = m.as_of AND q.code = m.code AND q.account = 'equity' AND q.n = 1
+ JOIN o_shares_panel c ON c.as_of = m.as_of AND c.code = m.code JOIN o_treasury_panel t ON t.as_of = m.as_of AND t.code = m.code JOIN o_close_panel p ON p.as_of = m.as_of AND p.code = m.code
+ WHERE m.has_price AND e.eps4 > 500000 AND (c.shares - t.shares_treasury) * p.close / nullif(CAST(q.value AS DOUBLE), 0) < 2000"""
 VIEWS["o_turnover"] = """SELECT as_of, n, CASE WHEN m > 0 THEN dropped / m ELSE 0 END AS sell, CASE WHEN n > 0 THEN added / n ELSE 0 END AS buy FROM (SELECT s.as_of, CAST((SELECT count(*) FROM o_held h WHERE h.as_of = s.as_of) AS BIGINT) AS n, (SELECT count(*) FROM o_held h WHERE h.as_of = s.before) AS m,
  (SELECT count(*) FROM o_held h WHERE h.as_of = s.as_of AND NOT EXISTS (SELECT 1 FROM o_held p WHERE p.as_of = s.before AND p.code = h.code)) AS added,
  (SELECT count(*) FROM o_held h WHERE h.as_of = s.before AND NOT EXISTS (SELECT 1 FROM o_held p WHERE p.as_of = s.as_of AND p.code = h.code)) AS dropped FROM o_steps s) x"""
 VIEWS["o_cost"] = "SELECT as_of, n, sell, buy, sell * (0.0015 + 0.00015) + buy * 0.00015 AS cost FROM o_turnover"
-VIEWS["o_acts"] = """SELECT t.as_of, r.code, r.effective_date, CASE r.action_type WHEN 'split' THEN 1 / CAST(r.ratio AS DOUBLE) WHEN 'reverse_split' THEN CAST(r.ratio AS DOUBLE) ELSE 1 / (1 + CAST(r.ratio AS DOUBLE)) END AS f
- FROM o_dates t JOIN actions r ON r.announced_date <= t.as_of AND r.effective_date <= t.as_of AND r.action_type IN ('split', 'reverse_split', 'bonus_issue') LEFT JOIN actions s ON r.superseded_by = s.id AND s.announced_date <= t.as_of WHERE s.id IS NULL"""
 VIEWS["o_picks"] = """SELECT h.as_of, s.next, h.code, max(b.d) FILTER (b.d <= h.as_of) AS da, max_by(CAST(b.close AS DOUBLE), b.d) FILTER (b.d <= h.as_of) AS ca, max(b.d) AS db, max_by(CAST(b.close AS DOUBLE), b.d) AS cb
- FROM o_held h JOIN o_steps s ON h.as_of = s.as_of AND s.next IS NOT NULL JOIN bars b ON b.code = h.code AND b.d <= s.next GROUP BY 1, 2, 3"""
+ FROM o_held h JOIN o_steps s ON h.as_of = s.as_of AND s.next IS NOT NULL JOIN bars b ON b.code = h.code AND b.d <= s.next AND b.d >= DATE '1997-01-01' GROUP BY 1, 2, 3"""
 VIEWS["o_gain"] = """SELECT s.as_of, coalesce(avg(g.gain), 0) AS period_return FROM (SELECT as_of FROM o_steps WHERE next IS NOT NULL) s LEFT JOIN (SELECT p.as_of, p.code, cb * coalesce(product(a.f) FILTER (a.effective_date > p.db), 1) / (ca * coalesce(product(a.f) FILTER (a.effective_date > p.da), 1)) - 1 AS gain
  FROM o_picks p LEFT JOIN o_acts a ON a.as_of = p.next AND a.code = p.code WHERE ca > 0 GROUP BY p.as_of, p.code, p.ca, p.cb, p.da, p.db) g ON s.as_of = g.as_of GROUP BY s.as_of"""
 VIEWS["o_curve"] = "SELECT as_of, product((1 - cost) * (1 + r)) OVER (ORDER BY as_of ROWS UNBOUNDED PRECEDING) AS value FROM (SELECT c.as_of, c.cost, coalesce(lag(g.period_return) OVER (ORDER BY c.as_of), 0) AS r FROM o_cost c LEFT JOIN o_gain g ON c.as_of = g.as_of) x"
@@ -169,8 +176,15 @@ def members(v):
     return rebalance.universe(v("securities"), dates(v))
 
 
+START = "1997-01-01"
+
+
 def held(v):
-    return rebalance.holdings(members(v), v("bars"), v("statements"), dates(v), "basic_eps", 500000.0)
+    return rebalance.holdings(v, pit.Moment(panel=dates(v)), CONDITIONS)
+
+
+def near(v):
+    return v("bars").where(F.col("d") >= F.lit(START).cast("date"))
 
 
 @query("bt_holdings", "SELECT as_of, code FROM o_held")
@@ -196,12 +210,11 @@ def _(v):
 
 @query("bt_period_return", "SELECT as_of, round(period_return, 6) AS period_return FROM o_gain")
 def _(v):
-    return rebalance.period_returns(held(v), v("bars"), v("actions"), dates(v)).select("as_of", F.round("period_return", 6).alias("period_return"))
+    return rebalance.period_returns(held(v), near(v), v("actions"), dates(v)).select("as_of", F.round("period_return", 6).alias("period_return"))
 
 
 def curve(v):
-    h = held(v)
-    return rebalance.equity_curve(rebalance.turnover(h, dates(v)), rebalance.period_returns(h, v("bars"), v("actions"), dates(v)))
+    return rebalance.backtest(v, dates(v), CONDITIONS, START)
 
 
 @query("bt_equity_curve", "SELECT as_of, round(value, 6) AS value FROM o_curve")

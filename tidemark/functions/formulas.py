@@ -58,6 +58,8 @@ def defects(node, fields, depth: int = 0) -> list[str]:
         found.append(f"undeclared_field:{node['field']}")
     if op == "sum_last_n_quarters" and not (isinstance(node["n"], int) and node["n"] >= 1):
         found.append("bad_n")
+    if op in ("weighted_sum", "winsorize") and not node["args"]:
+        found.append(f"empty_args:{op}")
     if op == "weighted_sum" and len(node["args"]) != len(node["weights"]):
         found.append("weights_length")
     if op == "winsorize" and (number(node["lower"]) is None or number(node["upper"]) is None or number(node["lower"]) > number(node["upper"])):
@@ -112,7 +114,7 @@ def compiled(node: dict, population: tuple[str, ...] = ("security_type",), relat
     if op == "sum_last_n_quarters":
         f, n = node["field"], node["n"]
         series = F.slice(F.col(f), 1, n)  # newest first
-        there = F.size(F.col(f)) >= n
+        there = (F.size(series) == n) & F.forall(series, lambda x: x.isNotNull())
         total = F.when(there, F.aggregate(series, F.lit(0.0), lambda a, x: a + x.cast("double")))
         return Formula(total, F.when(F.coalesce(there, F.lit(False)), NONE("string")).otherwise(F.lit(f"insufficient_series:{f}:requested={n},got=0")), (f,))
     if op in BINARY:
@@ -137,6 +139,34 @@ def compiled(node: dict, population: tuple[str, ...] = ("security_type",), relat
     return Formula(F.when(reason.isNull(), value), reason, inputs, tuple(dict.fromkeys(i for p in parts for i in p.relative)))
 
 
+def read_inputs(node: dict, population: tuple[str, ...] = ("security_type",), relative: bool = True) -> Column:
+    """Map of the inputs that an evaluation reads to whether each has a value. Both sides of a binary op are read;
+    avg and weighted_sum stop at the first argument without a value."""
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<boolean>"))
+    if "field" in node:
+        return F.create_map(F.lit(node["field"]), F.col(node["field"]).isNotNull())
+    if "const" in node:
+        return none
+    both = lambda a, b: F.map_from_entries(F.array_distinct(F.concat(F.map_entries(a), F.map_entries(b))))
+    if "left" in node:
+        return both(*(read_inputs(node[k], population, relative) for k in ("left", "right")))
+    out, go_on = none, F.lit(True)
+    for child in node["args"]:
+        out = both(out, F.when(go_on, read_inputs(child, population, relative)).otherwise(none))
+        go_on = go_on & compiled(child, population, relative).reason.isNull()
+    return out
+
+
+def defect_table(spark, trees: dict[str, dict], fields) -> DataFrame:
+    """name, defect: what is wrong with each tree, checked on the driver before any column is built. Trees may use
+    earlier names as fields."""
+    rows, known = [], set(fields)
+    for name, tree in trees.items():
+        rows += [(name, d) for d in dict.fromkeys(defects(tree, known))]
+        known.add(name)
+    return spark.createDataFrame(rows, "name string, defect string")
+
+
 def with_factors(fields: DataFrame, trees: dict[str, dict], relative: bool = True, population: tuple[str, ...] = ("security_type",)) -> DataFrame:
     """``fields`` with <name>, <name>_reason and, for trees with relative ops, <name>_sample of each tree. Trees may
     use earlier names of the dict as fields (derived factors)."""

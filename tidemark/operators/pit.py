@@ -38,6 +38,36 @@ def active(facts: DataFrame, as_of, date: str = "effective_date", id: str = "id"
     return joined.where(F.col("_next").isNull() | (F.col("_date") > on(as_of))).select(*(facts[c] for c in facts.columns))
 
 
+def spans(facts: DataFrame, date: str = "effective_date", id: str = "id", next: str = "superseded_by") -> DataFrame:
+    """Facts with ``until``, the day from which their direct successor counts instead; null without one."""
+    later = facts.select(F.col(id).alias("_next"), F.col(date).alias("until"))
+    return facts.join(later, F.col(next) == F.col("_next"), "left").drop("_next")
+
+
+class Moment:
+    """When a question is asked: one date, or a panel, a frame of a few hundred rows with as_of and further key
+    columns (a run, say). One code path answers both; a panel's keys are part of every key."""
+
+    def __init__(self, as_of=None, panel: DataFrame | None = None, keys: tuple[str, ...] = ("as_of",)):
+        self.panel, self.keys = panel, list(keys) if panel is not None else []
+        self.on = on(as_of) if panel is None else F.col("as_of")
+
+    def holding(self, facts: DataFrame, since: str | Column, until: str | Column | None = None, source: str | None = None) -> DataFrame:
+        """The facts that count at the moment: since <= as_of < until (null: for ever), for each row of a panel. Facts
+        are not shuffled; give ``until`` where it can be told, as it bounds how often a fact is repeated. ``source``:
+        where a panel has a cutoff for it, facts loaded later than that (column ``loaded``) do not count."""
+        as_column = lambda c: F.col(c) if isinstance(c, str) else c
+        good = as_column(since) <= self.on
+        if until is not None:
+            good = good & (as_column(until).isNull() | (as_column(until) > self.on))
+        cut = f"cut_{source}"
+        if self.panel is None:
+            return facts.where(good)
+        if source and cut in self.panel.columns and "loaded" in facts.columns:
+            good = good & (F.col(cut).isNull() | (F.col("loaded") <= F.col(cut)))
+        return facts.join(F.broadcast(self.panel), good)
+
+
 def newest(facts: DataFrame, keys: list[str], *order: str, n: int = 1) -> DataFrame:
     """The n greatest rows of each key by the order columns, all descending."""
     w = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order))
@@ -106,6 +136,6 @@ def latest_macro(macro: DataFrame, as_of) -> DataFrame:
     return newest(macro.where((F.col("reference_date") <= on(as_of)) & (F.col("vintage_date") <= on(as_of))), ["indicator_id"], "reference_date", "vintage_date")
 
 
-def panel(facts: DataFrame, dates: DataFrame, date: str = "effective_date") -> DataFrame:
-    """The facts visible on each of the dates (as_of): a few hundred dates, broadcast, so facts are not shuffled."""
-    return facts.join(F.broadcast(dates.select("as_of")), F.col(date) <= F.col("as_of"))
+def latest_nav(nav: DataFrame, as_of) -> DataFrame:
+    """Per fund the newest value at or before the date."""
+    return newest(visible(nav, as_of, "d"), ["code"], "d")

@@ -1,101 +1,180 @@
-"""The named inputs of factors, as one wide frame: a row for each listed security, a column for each field asked
-for. Only the resolvers of those fields are joined, all on code."""
+"""The named inputs of factors, as one wide frame: a row for each listed security (and key of a panel), a column for
+each field asked for. Fields of one source are resolved together: statements once for all their accounts, adjusted
+bars once for prices and returns; only the sources of the fields asked for are read. Joins are on code."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import adjust, pit, universe
+from tidemark.operators.pit import Moment
 
 #: Days back for the last close, for trailing sums, and how early a year's first bar must be.
 CLOSE_DAYS, YEAR_DAYS, YEAR_START_DAYS = 30, 365, 340
 TRADING_DAYS = 20
+#: Fixed value: how many periods of an account are resolved.
+PERIODS = 8
 #: Accounts reported as running totals of the year.
 CUMULATIVE = ("basic_eps", "net_income")
+#: Fields from statements: account, and what of it: the quarters newest first, the sum of the newest four, the value
+#: of the newest or second newest period, or the newest's magnitude.
+STATEMENT_FIELDS = {
+    "basic_eps_consolidated_ifrs": ("basic_eps", "quarters"),
+    "net_income_attributable_consolidated_ifrs": ("net_income", "quarters"),
+    "net_income_attributable_consolidated_ifrs_annual": ("net_income", "year"),
+    "equity_attributable_to_common_consolidated_ifrs": ("equity", "newest"),
+    "equity_attributable_to_common_consolidated_ifrs_period_begin": ("equity", "second"),
+    "dividends_paid_annual": ("dividends_paid", "magnitude"),
+    "depreciation_expense_annual": ("depreciation", "year"),
+}
+
+
+def resolved_periods(facts: DataFrame, when: Moment, keys: list[str], source: str = "DART") -> DataFrame:
+    """The newest active row of each period, then the PERIODS newest periods of each key by (date, period, id text),
+    at each moment. ``facts``: with the columns of ``keys``, period, effective_date, id, superseded_by.
+
+    For a panel a fact leaves the resolved periods as soon as so many periods have appeared after its own, which
+    bounds how often it is repeated, however long the panel."""
+    rows = pit.spans(facts)
+    if when.panel is not None and "loaded" not in facts.columns:
+        first = F.row_number().over(Window.partitionBy(*keys, "period").orderBy("effective_date", "id")) == 1
+        rows = rows.withColumn("_first", first)
+        after = F.lead("effective_date", PERIODS).over(Window.partitionBy(*keys, "_first").orderBy("effective_date", "period"))
+        rows = rows.withColumn("until", F.when(F.col("_first"), F.least("until", after)).otherwise(F.col("until"))).drop("_first")
+    if "loaded" in facts.columns:  # a successor that was loaded after the cutoff is not there yet
+        later = facts.select(F.col("id").alias("_next"), F.col("loaded").alias("next_loaded"))
+        rows = rows.join(later, F.col("superseded_by") == F.col("_next"), "left").drop("_next")
+        cut = F.col(f"cut_{source}")
+        there = F.col("next_loaded").isNotNull() & (cut.isNull() | (F.col("next_loaded") <= cut))
+        rows = when.holding(rows, "effective_date", None, source).where(F.col("until").isNull() | ~there | (F.col("until") > when.on))
+    else:
+        rows = when.holding(rows, "effective_date", "until", source)
+    rows = rows.withColumn("_text", F.col("id").cast("string"))
+    rows = pit.newest(rows, [*when.keys, *keys, "period"], "effective_date", "_text")
+    return pit.newest(rows, [*when.keys, *keys], "effective_date", "period", "_text", n=PERIODS).drop("_text")
+
+
+def account_arrays(statements: DataFrame, when: Moment, accounts: list[str]) -> DataFrame:
+    """A row for each code with an array for each account: its resolved periods (fy, fq, value), newest first."""
+    rows = resolved_periods(statements.where(F.col("account").isin(*accounts)), when, ["code", "account"])
+    step = F.struct((-F.col("fy") * 10 - F.col("fq")).alias("o"), "fy", "fq", "value")
+    arrays = [F.array_sort(F.collect_list(F.when(F.col("account") == a, step))).alias(a) for a in accounts]
+    return rows.groupBy(*when.keys, "code").agg(*arrays)
+
+
+def quarters(periods: Column, cumulative) -> Column:
+    """Single quarters, newest first: running totals less the quarter before; null where that is not resolved."""
+
+    def single(x: Column) -> Column:
+        before = F.get(F.filter(periods, lambda y: (y["fy"] == x["fy"]) & (y["fq"] == x["fq"] - 1)), 0)["value"]
+        whole = F.lit(cumulative) if isinstance(cumulative, bool) else cumulative
+        return F.when(~whole | (x["fq"] == 1), x["value"].cast("decimal(38,2)")).otherwise((x["value"] - before).cast("decimal(38,2)"))
+
+    return F.transform(periods, single)
+
+
+def quarterly_series(statements: DataFrame, as_of, n: int = 4) -> DataFrame:
+    """code, account, series: the n newest single quarters, newest first; null as a whole where one is missing."""
+    rows = resolved_periods(statements, Moment(as_of), ["code", "account"])
+    step = F.struct((-F.col("fy") * 10 - F.col("fq")).alias("o"), "fy", "fq", "value")
+    rows = rows.groupBy("code", "account").agg(F.array_sort(F.collect_list(step)).alias("periods"))
+    some = F.slice(quarters(F.col("periods"), F.col("account").isin(*CUMULATIVE)), 1, n)
+    rows = rows.select("code", "account", some.alias("some"))
+    whole = (F.size("some") == n) & F.forall("some", lambda x: x.isNotNull())
+    return rows.select("code", "account", F.when(whole, F.col("some")).alias("series"))
+
+
+def year(series: Column, n: int = 4) -> Column:
+    """The sum of the n newest quarters, if all are there."""
+    some = F.slice(series, 1, n)
+    there = (F.size(some) == n) & F.forall(some, lambda x: x.isNotNull())
+    return F.when(there, F.aggregate(some, F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + x).cast("decimal(38,2)")))
+
+
+def from_statements(view, when: Moment, names: list[str]) -> DataFrame:
+    accounts = list(dict.fromkeys(STATEMENT_FIELDS[n][0] for n in names))
+    columns = []
+    for name in names:
+        account, what = STATEMENT_FIELDS[name]
+        value = F.get(F.col(account), 1 if what == "second" else 0)["value"]
+        single = quarters(F.col(account), account in CUMULATIVE)
+        columns.append({"quarters": single, "year": year(single), "magnitude": F.abs(value)}.get(what, value).alias(name))
+    return account_arrays(view("statements"), when, accounts).select(*when.keys, "code", *columns)
+
+
+def known_actions(view, when: Moment, since_days: int | None = None) -> DataFrame:
+    """Actions known and in effect at each moment; ``since_days``: only those in effect within so many days."""
+    rows = pit.spans(view("actions"), "announced_date")
+    start = F.greatest("announced_date", "effective_date")
+    end = F.col("until") if since_days is None else F.least("until", F.date_add("effective_date", since_days + 1))
+    return when.holding(rows, start, end)
+
+
+def from_prices(view, when: Moment, names: list[str]) -> DataFrame:
+    """The last adjusted close of CLOSE_DAYS and the total return of a year, of one pass over adjusted bars."""
+    days = YEAR_DAYS if "total_return_trailing_1y" in names else CLOSE_DAYS
+    bars = view("bars").select("code", "d", "close", *(["loaded"] if "loaded" in view("bars").columns else []))
+    near = when.holding(bars, "d", F.date_add("d", days + 1), "KRX").drop("loaded")
+    known = known_actions(view, when, days)
+    rows = adjust.adjusted_by(near, adjust.day_factors(known, when.keys), when.keys)
+    last = F.max_by("close_adjusted", "d")
+    columns = {"close_price_adjusted": F.when(F.max("d") >= F.date_sub(F.max("_on"), CLOSE_DAYS), last)}
+    if "total_return_trailing_1y" in names:
+        rows = adjust.total_return(rows, known.where("action_type = 'cash_dividend'"), tuple(when.keys))
+        columns["total_return_trailing_1y"] = F.when(F.min("d") <= F.date_sub(F.max("_on"), YEAR_START_DAYS), F.max_by("index", "d") - 1)
+    return rows.withColumn("_on", when.on).groupBy(*when.keys, "code").agg(*(columns[n].alias(n) for n in names))
 
 
-def quarterly_series(statements: DataFrame, as_of, n: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
-    """code, account, series: the n newest periods, newest first, of the eight resolved; running totals as single
-    quarters, by subtracting the quarter before within the eight. Null as a whole where a quarter is missing.
-    ``keep``: the date column of a panel, which then stays in the result."""
-    keys = [*keep, "code", "account"]
-    rows = pit.financial_periods(statements, as_of, keys, keep=keep)
-    w = Window.partitionBy(*keys).orderBy(F.desc("period"))
-    newest = rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
-    before = rows.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("fy").alias("_y"), (F.col("fq") + 1).alias("_q"), F.col("value").alias("_v"))
-    on = (F.col("fy") == F.col("_y")) & (F.col("fq") == F.col("_q"))
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_{k}"))
-    single = F.when(~F.col("account").isin(*CUMULATIVE) | (F.col("fq") == 1), F.col("value")).otherwise(F.col("value") - F.col("_v"))
-    rows = newest.join(before, on, "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("fy") * 10 - F.col("fq")).alias("o"), single.alias("v")))).alias("s"), F.count(single).alias("k"))
-    return rows.select(*keys, F.when(F.col("k") == n, F.transform("s", lambda x: x["v"])).alias("series"))
+def trading_value(bars: DataFrame, calendar: DataFrame, as_of, days: int = TRADING_DAYS, name: str = "trading_value_20d_avg") -> DataFrame:
+    """Mean traded value of the last business days up to as_of (a date or a Moment); none if a day is missing."""
+    when = as_of if isinstance(as_of, Moment) else Moment(as_of)
+    last = when.holding(calendar.withColumn("_all", F.lit(1)), "day")
+    last = pit.newest(last, [*when.keys, "_all"], "day", n=days).select(*when.keys, F.col("day").alias("d"))
+    rows = bars.join(F.broadcast(last), "d").groupBy(*when.keys, "code").agg(F.sum("trading_value").alias("s"), F.count("*").alias("n"))
+    return rows.where(F.col("n") == days).select(*when.keys, "code", (F.col("s").cast("double") / days).alias(name))
 
 
-def of_account(series: DataFrame, account: str, name: str) -> DataFrame:
-    return series.where(F.col("account") == account).select("code", F.col("series").alias(name))
+def from_caps(view, when: Moment, names: list[str]) -> DataFrame:
+    """The newest market cap and share count; each counts until the next one of its code."""
+    after = F.lead("effective_date").over(Window.partitionBy("code").orderBy("effective_date"))
+    rows = when.holding(view("market_caps").withColumn("until", after), "effective_date", "until")
+    source = {"market_cap_krx_official": "market_cap", "shares_issued": "shares"}
+    return rows.select(*when.keys, "code", *(F.col(source[n]).alias(n) for n in names))
 
 
-def period(statements: DataFrame, as_of, account: str, rank: int, name: str, magnitude: bool = False) -> DataFrame:
-    """The value of the rank-th greatest of the eight resolved periods."""
-    rows = pit.financial_periods(statements, as_of, ["code", "account"]).where(F.col("account") == account)
-    w = Window.partitionBy("code").orderBy(F.desc("period"))
-    value = F.abs("value") if magnitude else F.col("value")
-    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == rank).select("code", value.alias(name))
+def from_treasury(view, when: Moment, names: list[str]) -> DataFrame:
+    rows = resolved_periods(view("treasury"), when, ["code"])
+    rows = pit.newest(rows.withColumn("_text", F.col("id").cast("string")), [*when.keys, "code"], "effective_date", "period", "_text")
+    return rows.select(*when.keys, "code", "shares_treasury")
 
 
-def close_adjusted(series: DataFrame, as_of, name: str = "close_price_adjusted") -> DataFrame:
-    near = series.where(F.col("d") >= F.date_sub(pit.on(as_of), CLOSE_DAYS))
-    return near.groupBy("code").agg(F.max_by("close_adjusted", "d").alias(name))
+def from_dividends(view, when: Moment, names: list[str]) -> DataFrame:
+    """The cash dividends per share of the last year."""
+    rows = adjust.with_details(known_actions(view, when, YEAR_DAYS - 1).where("action_type = 'cash_dividend'")).withColumn("_cash", adjust.dividend())
+    return rows.where("_cash IS NOT NULL").groupBy(*when.keys, "code").agg(F.sum("_cash").alias(names[0]))
 
 
-def trading_value(bars: DataFrame, calendar: DataFrame, as_of, days: int = TRADING_DAYS, name: str = "trading_value_20d_avg") -> DataFrame:
-    """Mean traded value of the last business days up to as_of; none if a day is missing."""
-    last = pit.newest(calendar.where(F.col("day") <= pit.on(as_of)).withColumn("_all", F.lit(1)), ["_all"], "day", n=days).select(F.col("day").alias("d"))
-    rows = bars.join(F.broadcast(last), "d").groupBy("code").agg(F.sum("trading_value").alias("s"), F.count("*").alias("n"))
-    return rows.where(F.col("n") == days).select("code", (F.col("s").cast("double") / days).alias(name))
-
-
-def dividends_ttm(dividends: DataFrame, as_of, name: str = "dividend_per_share_trailing_annual") -> DataFrame:
-    rows = dividends.where((F.col("effective_date") > F.date_sub(pit.on(as_of), YEAR_DAYS)) & (F.col("cash_amount") >= 0))
-    return rows.groupBy("code").agg(F.sum("cash_amount").alias(name))
-
-
-def return_1y(bars: DataFrame, actions: DataFrame, as_of, name: str = "total_return_trailing_1y") -> DataFrame:
-    near = bars.where(F.col("d") >= F.date_sub(pit.on(as_of), YEAR_DAYS))
-    rows = adjust.total_return(adjust.adjusted(near, actions, as_of), pit.dividends(actions, as_of))
-    last = rows.groupBy("code").agg(F.max_by("index", "d").alias("i"), F.min("d").alias("first"))
-    return last.where(F.col("first") <= F.date_sub(pit.on(as_of), YEAR_START_DAYS)).select("code", (F.col("i") - 1).alias(name))
-
-
-def resolvers(view, as_of) -> dict:
-    """Field -> a function that makes its frame (code, field)."""
-    bars, actions, statements = (lambda: view("bars")), (lambda: view("actions")), (lambda: view("statements"))
-    caps = lambda: pit.newest(pit.visible(view("market_caps"), as_of), ["code"], "effective_date")
-    series = lambda name, account: lambda: of_account(quarterly_series(statements(), as_of), account, name)
-    total = lambda name, account: lambda: of_account(quarterly_series(statements(), as_of), account, "_s").select("code", F.aggregate("_s", F.lit(0).cast("decimal(38,2)"), lambda a, x: (a + x).cast("decimal(38,2)")).alias(name))
-    return {
-        "close_price_adjusted": lambda: close_adjusted(adjust.adjusted(bars(), actions(), as_of), as_of),
-        "trading_value_20d_avg": lambda: trading_value(bars(), view("calendar"), as_of),
-        "market_cap_krx_official": lambda: caps().select("code", F.col("market_cap").alias("market_cap_krx_official")),
-        "shares_issued": lambda: caps().select("code", F.col("shares").alias("shares_issued")),
-        "shares_treasury": lambda: pit.financial_periods(view("treasury"), as_of, ["code"], n=1).select("code", "shares_treasury"),
-        "basic_eps_consolidated_ifrs": series("basic_eps_consolidated_ifrs", "basic_eps"),
-        "net_income_attributable_consolidated_ifrs": series("net_income_attributable_consolidated_ifrs", "net_income"),
-        "net_income_attributable_consolidated_ifrs_annual": total("net_income_attributable_consolidated_ifrs_annual", "net_income"),
-        "equity_attributable_to_common_consolidated_ifrs": lambda: period(statements(), as_of, "equity", 1, "equity_attributable_to_common_consolidated_ifrs"),
-        "equity_attributable_to_common_consolidated_ifrs_period_begin": lambda: period(statements(), as_of, "equity", 2, "equity_attributable_to_common_consolidated_ifrs_period_begin"),
-        "dividends_paid_annual": lambda: period(statements(), as_of, "dividends_paid", 1, "dividends_paid_annual", magnitude=True),
-        "depreciation_expense_annual": total("depreciation_expense_annual", "depreciation"),
-        "dividend_per_share_trailing_annual": lambda: dividends_ttm(pit.dividends(actions(), as_of), as_of),
-        "total_return_trailing_1y": lambda: return_1y(bars(), actions(), as_of),
-    }
+#: The sources, each with its fields and the function that resolves some of them together.
+SOURCES = (
+    (("close_price_adjusted", "total_return_trailing_1y"), from_prices),
+    (("trading_value_20d_avg",), lambda view, when, names: trading_value(view("bars"), view("calendar"), when)),
+    (("market_cap_krx_official", "shares_issued"), from_caps),
+    (("shares_treasury",), from_treasury),
+    (tuple(STATEMENT_FIELDS), from_statements),
+    (("dividend_per_share_trailing_annual",), from_dividends),
+)
 
 
 def fields(view, as_of, names: list[str], types: tuple[str, ...] | None = None) -> DataFrame:
-    """code, security_type and the fields of every security listed as of the date; null where there is none."""
-    known = resolvers(view, as_of)
-    rows = universe.listed(view("securities"), as_of, types).select("code", "security_type")
-    for name in names:
-        rows = rows.join(known[name](), "code", "left")
-    return rows
+    """code, security_type and the fields of every security listed as of the date; null where there is none.
+    ``as_of``: a date, or a Moment, whose panel's keys then come first."""
+    when = as_of if isinstance(as_of, Moment) else Moment(as_of)
+    securities = view("securities") if types is None else view("securities").where(F.col("security_type").isin(*types))
+    rows = when.holding(securities, "listing_date", "delisting_date").select(*when.keys, "code", "security_type")
+    if unknown := [n for n in names if not any(n in own for own, _ in SOURCES)]:
+        raise ValueError(f"unknown fields: {', '.join(unknown)}")
+    for own, resolve in SOURCES:
+        if some := [n for n in own if n in names]:
+            rows = rows.join(resolve(view, when, some), [*when.keys, "code"], "left")
+    return rows.select(*when.keys, "code", "security_type", *names)

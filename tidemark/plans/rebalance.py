@@ -1,14 +1,19 @@
 """A screen evaluated over a whole panel of rebalance dates, and what its portfolios earned.
 
-All dates are one job: as_of is a column of every frame. Only the last steps, one row for each date, are ordered."""
+All dates are one job: as_of is a column of every frame. Facts meet only the dates at which they count (intervals),
+and prices are picked by an as-of window on code, so no fact is repeated for every later date. Only the last steps,
+one row for each date, are ordered."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions import formulas
 from tidemark.operators import adjust, pit
-from tidemark.plans.fields import quarterly_series
+from tidemark.operators.pit import Moment
+from tidemark.plans import factors, screen
+from tidemark.plans.fields import fields
 
 #: Tax and commission of a trade, as shares of its value.
 TAX, COMMISSION = 0.0015, 0.00015
@@ -17,23 +22,30 @@ DAYS_A_YEAR = 365.25
 
 def universe(securities: DataFrame, dates: DataFrame, types: tuple[str, ...] = ("common",)) -> DataFrame:
     """as_of, code of the securities of these types listed on each date."""
-    listed = (F.col("listing_date") <= F.col("as_of")) & (F.col("delisting_date").isNull() | (F.col("delisting_date") > F.col("as_of")))
-    return securities.where(F.col("security_type").isin(*types)).join(F.broadcast(dates), listed).select("as_of", "code")
+    rows = Moment(panel=dates).holding(securities.where(F.col("security_type").isin(*types)), "listing_date", "delisting_date")
+    return rows.select("as_of", "code")
 
 
 def priced(members: DataFrame, bars: DataFrame) -> DataFrame:
     """The members with has_price: a bar at or before the date. One row per code, its first bar day, decides."""
-    first = bars.groupBy("code").agg(F.min("d").alias("first"))
-    return members.join(first, "code", "left").select("as_of", "code", F.coalesce(F.col("first") <= F.col("as_of"), F.lit(False)).alias("has_price"))
-
-
-def holdings(members: DataFrame, bars: DataFrame, statements: DataFrame, dates: DataFrame, account: str, least: float) -> DataFrame:
-    """as_of, code of members with a price whose last four quarters of the account sum to more than ``least``."""
-    known = pit.panel(statements.where(F.col("account") == account), dates)
-    series = quarterly_series(known, F.col("as_of"), keep=("as_of",))
-    total = F.aggregate("series", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    good = series.where(total > least).select("as_of", "code")
-    return priced(members, bars).where("has_price").select("as_of", "code").join(good, ["as_of", "code"], "left_semi")
+    first = bars.groupBy("code").agg(F.min("d").alias("_first"))
+    return members.join(first, "code", "left").withColumn("has_price", F.coalesce(F.col("_first") <= F.col("as_of"), F.lit(False))).drop("_first")
+
+
+def holdings(view, when: Moment, conditions: list[tuple[str, str, float]], trees: dict | None = None, types: tuple[str, ...] = ("common",)) -> DataFrame:
+    """The panel's keys and code of listed securities of these types that have a price and meet all conditions on
+    factors of the pack ``trees``; a condition on a factor that the pack does not have is met by none."""
+    trees = trees or factors.BUILT_IN
+    names = [name for name, *_ in conditions]
+    if not set(names) <= set(trees):
+        return Moment.holding(when, view("securities"), "listing_date").select(*when.keys, "code").where("false")
+    order, stored = factors.plan(list(dict.fromkeys(names)), trees)
+    rows = fields(view, when, stored, types)
+    if "as_of" not in rows.columns:
+        rows = rows.join(F.broadcast(when.panel.select(*when.keys, "as_of")), when.keys)
+    rows = priced(rows, view("bars")).where("has_price")
+    rows = formulas.with_factors(rows, order, population=(*when.keys, "security_type"))
+    return screen.passing(rows, conditions).select(*when.keys, "code")
 
 
 def steps(dates: DataFrame) -> DataFrame:
@@ -47,28 +59,36 @@ def turnover(held: DataFrame, dates: DataFrame) -> DataFrame:
     order = F.broadcast(steps(dates))
     now = held.withColumn("now", F.lit(1))
     then = held.withColumnRenamed("as_of", "before").join(order.select("as_of", "before"), "before").select("as_of", "code", F.lit(1).alias("then"))
-    rows = now.join(then, ["as_of", "code"], "full_outer").groupBy("as_of").agg(F.count("now").alias("n"), F.count("then").alias("m"), F.count_if(F.col("then").isNull()).alias("added"), F.count_if(F.col("now").isNull()).alias("dropped"))
+    counts = [F.count("now").alias("n"), F.count("then").alias("m"), F.count_if(F.col("then").isNull()).alias("added"), F.count_if(F.col("now").isNull()).alias("dropped")]
+    rows = now.join(then, ["as_of", "code"], "full_outer").groupBy("as_of").agg(*counts)
     rows = order.select("as_of").join(rows, "as_of", "left").na.fill(0)
     sell, buy = F.coalesce(F.try_divide("dropped", "m"), F.lit(0.0)), F.coalesce(F.try_divide("added", "n"), F.lit(0.0))
     return rows.select("as_of", "n", sell.alias("sell"), buy.alias("buy"), (sell * (TAX + COMMISSION) + buy * COMMISSION).alias("cost"))
 
 
+def last_bars(asked: DataFrame, bars: DataFrame) -> DataFrame:
+    """asked (code, day) with bar (d, close), the last at or before the day: one window over both on code."""
+    bar = bars.select("code", "d", F.lit(0).alias("kind"), F.struct("d", F.col("close").cast("double").alias("close")).alias("bar"))
+    rows = bar.unionByName(asked.select("code", F.col("day").alias("d"), F.lit(1).alias("kind")), allowMissingColumns=True)
+    upto = Window.partitionBy("code").orderBy("d", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("bar", F.last("bar", ignorenulls=True).over(upto)).where("kind = 1").select("code", F.col("d").alias("day"), "bar")
+
+
 def period_returns(held: DataFrame, bars: DataFrame, actions: DataFrame, dates: DataFrame) -> DataFrame:
     """as_of, period_return: the mean of close(next) / close(as_of) - 1 over the holdings; both are the last bars up
     to their dates, adjusted as of the next date by the actions after the bar that are known by then."""
     spans = held.join(F.broadcast(steps(dates).where("next IS NOT NULL").select("as_of", "next")), "as_of")
-    last = lambda date: F.max_by(F.struct("d", "close"), F.when(F.col("d") <= F.col(date), F.col("d")))
-    near = bars.select("code", "d", F.col("close").cast("double").alias("close"))
-    picks = spans.join(near, "code").where(F.col("d") <= F.col("next")).groupBy("as_of", "next", "code").agg(last("as_of").alias("a"), last("next").alias("b"), F.min("d").alias("first"))
-    picks = picks.where(F.col("first") <= F.col("as_of"))
-    known = pit.panel(actions, dates.select("as_of"), "announced_date")
-    known = pit.active(known, F.col("as_of"), "announced_date", keep=("as_of",)).where(F.col("effective_date") <= F.col("as_of"))
-    known = known.withColumn("f", adjust.factor()).where("f IS NOT NULL").select(F.col("as_of").alias("next"), "code", "effective_date", "f")
-    rows = picks.join(known, ["next", "code"], "left").groupBy("as_of", "next", "code", "a", "b").agg(
-        F.product(F.when(F.col("effective_date") > F.col("a.d"), F.col("f")).otherwise(1.0)).alias("fa"), F.product(F.when(F.col("effective_date") > F.col("b.d"), F.col("f")).otherwise(1.0)).alias("fb")
-    )
-    gain = F.try_divide(F.col("b.close") * F.col("fb"), F.nullif(F.col("a.close") * F.col("fa"), F.lit(0.0))) - 1
-    rows = rows.where(F.col("a.close") > 0).groupBy("as_of").agg(F.avg(gain).alias("period_return"))
+    asked = spans.select("code", F.explode(F.array("as_of", "next")).alias("day")).distinct()
+    picked = last_bars(asked, bars)
+    for day, name in (("as_of", "a"), ("next", "b")):
+        spans = spans.join(picked.select("code", F.col("day").alias(day), F.col("bar").alias(name)), ["code", day])
+    spans = spans.where(F.col("a.close") > 0)
+    known = adjust.with_details(pit.spans(actions, "announced_date")).withColumn("f", adjust.factor()).where("f IS NOT NULL").select("code", "announced_date", "until", "effective_date", "f")
+    moves = spans.join(known, "code").where((F.greatest("announced_date", "effective_date") <= F.col("next")) & (F.col("until").isNull() | (F.col("until") > F.col("next"))) & (F.col("effective_date") > F.col("a.d")))
+    after = lambda bar: F.product(F.when(F.col("effective_date") > F.col(f"{bar}.d"), F.col("f")).otherwise(1.0)).alias(f"f{bar}")
+    rows = spans.join(moves.groupBy("as_of", "code").agg(after("a"), after("b")), ["as_of", "code"], "left")
+    price = lambda bar: F.col(f"{bar}.close") * F.coalesce(f"f{bar}", F.lit(1.0))
+    rows = rows.groupBy("as_of").agg(F.avg(F.try_divide(price("b"), F.nullif(price("a"), F.lit(0.0))) - 1).alias("period_return"))
     return steps(dates).where("next IS NOT NULL").select("as_of").join(rows, "as_of", "left").na.fill(0.0)
 
 
@@ -79,6 +99,17 @@ def equity_curve(traded: DataFrame, returns: DataFrame) -> DataFrame:
     return rows.select("as_of", F.product((1 - F.col("cost")) * (1 + F.col("_r"))).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("value"))
 
 
+def backtest(view, dates: DataFrame, conditions: list[tuple[str, str, float]], start: str, trees: dict | None = None) -> DataFrame:
+    """The equity curve of a screen over the dates; returns are measured on bars from ``start`` on. Cutoffs (columns
+    cut_KRX, cut_DART of ``dates``) bound what had been loaded."""
+    held = holdings(view, Moment(panel=dates), conditions, trees)
+    bars = view("bars").where(F.col("d") >= F.lit(start).cast("date"))
+    if "loaded" in bars.columns and "cut_KRX" in dates.columns:  # one cutoff for all dates of a back-test
+        cut = F.broadcast(dates.agg(F.max("cut_KRX").alias("cut")))
+        bars = bars.join(cut, F.col("cut").isNull() | (F.col("loaded") <= F.col("cut")), "left_semi")
+    return equity_curve(turnover(held, dates.select("as_of")), period_returns(held, bars, view("actions"), dates.select("as_of")))
+
+
 def stats(curve: DataFrame, per_year: int) -> DataFrame:
     """cumulative_return, max_drawdown, volatility, cagr, rebalances of a curve."""
     w = Window.orderBy("as_of")

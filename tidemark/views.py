@@ -26,15 +26,21 @@ VIEWS = {
     "bars_verify": """SELECT code, d, open, high, low, CASE WHEN volume % 97 = 0 THEN CAST(close * 1.002 AS DECIMAL(18,2)) ELSE close END AS close,
  volume, trading_value FROM bars WHERE (volume + day(d)) % 50 <> 0""",
     "calendar": """SELECT d AS day, CAST(row_number() OVER (ORDER BY d) AS INT) AS bd_index FROM (SELECT DISTINCT d FROM bars WHERE (dayofweek(d) + {dow}) % 7 NOT IN (0, 6)) x""",
-    "actions": """SELECT id, code, action_type, announced_date, effective_date, ratio, cash_amount, superseded_by FROM (
+    # every tenth order as an action of some security; every seventh of these corrected by a cash dividend
+    "actions": """SELECT id, code, action_type, announced_date, effective_date, ratio,
+ CASE WHEN action_type = 'cash_dividend' AND id % 3 <> 0 THEN CAST(price AS DECIMAL(20,8)) END AS cash_amount, superseded_by,
+ CASE WHEN action_type = 'rights_issue' THEN concat('{"theoretical_ex_price":"', CAST(CAST(price * CASE WHEN id % 3 < 2 THEN 0.9 ELSE 0.8 END AS DECIMAL(18,2)) AS STRING),
+   '","previous_close":"', CAST(price AS STRING), '","subscription_price":"', CAST(CAST(price * 0.4 AS DECIMAL(18,2)) AS STRING), '","subscription_ratio":"0.2"}')
+  WHEN action_type = 'stock_dividend' THEN '{"dividend_ratio":"0.25"}'
+  WHEN action_type = 'cash_dividend' AND id % 3 = 0 THEN concat('{"per_share":"', CASE WHEN id % 9 = 0 THEN 'none' ELSE CAST(price AS STRING) END, '"}') END AS details FROM (
  SELECT o_orderkey * 2 AS id, lpad(CAST(o_custkey % n AS STRING), 6, '0') AS code,
-  CASE (o_orderkey {div} 10) % 6 WHEN 0 THEN 'split' WHEN 1 THEN 'reverse_split' WHEN 2 THEN 'bonus_issue' WHEN 3 THEN 'merger' ELSE 'cash_dividend' END AS action_type,
+  CASE (o_orderkey {div} 10) % 8 WHEN 0 THEN 'split' WHEN 1 THEN 'reverse_split' WHEN 2 THEN 'bonus_issue' WHEN 3 THEN 'merger' WHEN 4 THEN 'rights_issue' WHEN 5 THEN 'stock_dividend' ELSE 'cash_dividend' END AS action_type,
   CAST(o_orderdate AS DATE) AS announced_date, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INT) AS effective_date,
-  CAST(2 AS DECIMAL(20,8)) AS ratio, CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(20,8)) AS cash_amount,
+  CAST(2 AS DECIMAL(20,8)) AS ratio, CAST(o_totalprice AS DECIMAL(18,2)) AS price,
   CASE WHEN o_orderkey % 70 = 0 THEN o_orderkey * 2 + 1 END AS superseded_by FROM {orders} CROSS JOIN (SELECT count(*) AS n FROM {supplier}) s WHERE o_orderkey % 10 = 0
  UNION ALL
  SELECT o_orderkey * 2 + 1, lpad(CAST(o_custkey % n AS STRING), 6, '0'), 'cash_dividend', CAST(o_orderdate AS DATE) + 20,
-  CAST(o_orderdate AS DATE) + 30, CAST(2 AS DECIMAL(20,8)), CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS DECIMAL(20,8)), CAST(NULL AS BIGINT) FROM {orders} CROSS JOIN (SELECT count(*) AS n FROM {supplier}) s WHERE o_orderkey % 70 = 0) x""",
+  CAST(o_orderdate AS DATE) + 30, CAST(2 AS DECIMAL(20,8)), CAST(o_totalprice AS DECIMAL(18,2)), CAST(NULL AS BIGINT) FROM {orders} CROSS JOIN (SELECT count(*) AS n FROM {supplier}) s WHERE o_orderkey % 70 = 0) x""",
     "macro": """SELECT o_orderpriority AS indicator_id, m AS reference_date, m + CAST(35 + 60 * v AS INT) AS vintage_date,
  CAST(value + v AS DECIMAL(28,2)) AS value FROM (SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS m,
  sum(CAST(o_totalprice AS DECIMAL(18,2))) AS value FROM {orders} GROUP BY 1, 2) q CROSS JOIN (SELECT 0 AS v UNION ALL SELECT 1) r""",
@@ -43,6 +49,9 @@ VIEWS = {
  CAST(l_extendedprice AS DECIMAL(18,2)) AS unit_price, CAST(l_tax AS DECIMAL(18,2)) AS fee, CAST(l_shipdate AS DATE) AS trade_date FROM {lineitem}""",
     "batch_runs": """SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'KRX' WHEN 'click' THEN 'DART' WHEN 'purchase' THEN 'FSC' ELSE 'KOSIS' END AS source,
  ts AS started_at, CASE WHEN event_type = 'error' THEN 'skipped' WHEN value > 100 THEN 'partial' ELSE 'success' END AS status FROM {events}""",
+    "batch_order": """SELECT id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY started_at, id) AS INT) AS place, CAST(count(*) OVER (PARTITION BY source) AS INT) AS of FROM batch_runs""",
+    "loaded_statements": """SELECT s.*, b.id AS batch_id, b.place AS loaded FROM statements s JOIN batch_order b ON b.source = 'DART' AND b.place = s.id % b.of + 1""",
+    "loaded_bars": """SELECT s.*, b.id AS batch_id, b.place AS loaded FROM bars s JOIN batch_order b ON b.source = 'KRX' AND b.place = s.volume % b.of + 1""",
     # quarterly sums of orders per customer as statements of five accounts; every fifth customer restated
     "statements": """SELECT id * 10 + k AS id, code, CASE k WHEN 0 THEN 'basic_eps' WHEN 1 THEN 'net_income' WHEN 2 THEN 'equity' WHEN 3 THEN 'dividends_paid' ELSE 'depreciation' END AS account,
  fy, fq, period, effective_date, CAST(CASE k WHEN 0 THEN v WHEN 1 THEN v * 3 - 400000 WHEN 2 THEN v + 1000 * fy WHEN 3 THEN -v ELSE v * 2 END AS DECIMAL(28,2)) AS value, superseded_by * 10 + k AS superseded_by FROM (
@@ -89,7 +98,7 @@ def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def oracle(text: str) -> str:
     """A DuckDB text with the views that it reads in front."""
     places = {t: t for t in TABLES}
-    parts = [f"{v} AS ({fill(VIEWS[v], places, 0, '//')})" for v in needs(text)]
+    parts = [f"{v} AS MATERIALIZED ({fill(VIEWS[v], places, 0, '//')})" for v in needs(text)]
     own = fill(text, places, 0, "//").strip()
     if not parts:
         return own
