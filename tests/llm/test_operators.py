@@ -74,6 +74,73 @@ def test_needed_is_a_lower_bound(spark):
     assert rows.where(F.least("a", F.lit(k)) - F.col("need") + 1 > F.col("prefix")).count() == 0
 
 
+def form_letters(n, rng):
+    """Letters of one form of 104 words with three words filled in, at places that vary."""
+    form = [f"w{k}" for k in range(104)]
+    out = []
+    for i in range(n):
+        words = list(form)
+        for at in (20, 50, 80):
+            words[at] = f"name{rng.randrange(n)}"
+        out.append((i, " ".join(words)))
+    return out
+
+
+def test_form_letters_are_not_all_compared(spark, monkeypatch):
+    """Comparisons of the last round grow in proportion to the letters of a form; the result is that of plain Python."""
+    import random
+
+    made, written = {}, near_dup.materialise
+
+    def kept(df, name):
+        made[name] = written(df, name)
+        return made[name]
+
+    monkeypatch.setattr(near_dup, "materialise", kept)
+    monkeypatch.setattr(near_dup, "discard", lambda *tables: None)
+    compared = {}
+    for n in (2_000, 20_000):
+        near_dup.near_duplicates(spark.createDataFrame(form_letters(n, random.Random(n)), "doc_id long, text string"), 85).collect()
+        sides = made["lists"].groupBy("v").agg((F.count_if("own") * F.count("*")).alias("n"))
+        compared[n] = sides.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    assert compared[20_000] <= 15 * max(compared[2_000], 2_000)
+    rows = form_letters(150, random.Random(1))
+    rows += [(1000 + i, t.replace("w90", "x90")) for i, t in rows[:40]]
+    found, _ = brute.near_duplicates(rows, 85)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85).collect()}
+    assert got == found
+
+
+def test_near_duplicates_of_long_texts(spark):
+    """Sets above k shingles, at and around the threshold: recall of links against all pairs."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: f"v{rng.randrange(50_000)}"
+    rows = []
+    for base in range(30):
+        text = [word() for _ in range(rng.choice((450, 700, 1500, 3000)))]
+        for copy in range(6):
+            words = [word() if rng.random() < copy * 0.0035 else w for w in text]
+            rows.append((100 * base + copy, " ".join(words)))
+    for percent in (80, 85):
+        found, sizes = brute.near_duplicates(rows, percent)
+        assert min(sizes.values()) > near_dup.K
+        got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent).collect()}
+        assert got == found and 30 < len(set(found.values())) < len(rows)
+
+
+def test_long_lists_are_dealt_to_parts(spark, monkeypatch):
+    """The same pairs however a list is dealt; each from its smaller member."""
+    rows = spark.createDataFrame([(i, 100 + i % 5, 0, 90, 1, 7, i % 3 != 0, i if i % 4 else 4) for i in range(1, 60)], "cls long, size long, single int, ahead long, band int, v long, own boolean, comp long")
+    pairs = lambda: {(r.cls, r.cls_b) for r in near_dup.rest_pairs(rows).collect()}
+    whole = pairs()
+    monkeypatch.setattr(near_dup, "PART", 7)
+    assert pairs() == whole
+    all_rows = rows.collect()
+    assert whole == {(a.cls, b.cls) for a in all_rows if a.own for b in all_rows if a.cls != b.cls and a.size <= b.size and a.comp != b.comp}
+
+
 def test_components(spark):
     """A long chain and a large star."""
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 100 + i) for i in range(1, 200)]

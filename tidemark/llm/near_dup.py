@@ -11,10 +11,14 @@
 3. The SHORT smallest values of both sketches together estimate the similarity; pairs too low are dropped.
 4. The remaining pairs are verified on the full sets, and verified links are joined to components.
 
-Long lists never emit all their pairs. First every member of a list is paired with one leader of about its size,
-the one with the fewest values of its own; then with DRAWN leaders drawn by hash; and only then are members
-outside the list's largest component paired with members of other components. Pairs inside a component are not
-needed: they cannot change it.
+A list is not compared with itself as a whole. First every member is paired with one leader of about its size, the one
+with the fewest values of its own; then with DRAWN leaders drawn by hash; and only then are members outside the
+list's largest component paired with members of other components, and of these only such as may link: the smaller of
+two linked sets must have enough values from the list's on to match a set of its own size (``own``). So a value that
+all letters of one form share costs nothing once each letter's own values have used up what may differ. Pairs inside
+a component are not needed: they cannot change it. A long list is dealt to several tasks.
+
+For sets above k shingles step 2 is a bound of chance, not a proof; README has the measured recall.
 """
 
 from __future__ import annotations
@@ -32,13 +36,16 @@ from tidemark.llm.common import Hashes, discard, materialise, pack, pack_sorted,
 
 SHINGLE = 5
 K = 384
-#: The variance of a count of the other set's values, against that of drawing without replacement, is up to this.
+#: The variance of what a sketch lacks, against that of drawing without replacement from one set: the two sets' draws
+#: end at a common value, which adds to it. Simulated pairs show up to 1.1 (tests); the rest is margin.
 SPREAD = 1.2
 #: Values that estimate a pair's similarity.
 SHORT = 64
 MISS = 1e-7
 #: Leaders of a list in the second round.
 DRAWN = 3
+#: Members of a list that one task compares with those that may link to them.
+PART = 4096
 #: Retained values for each key range of the inverted lists.
 RANGE = 1 << 20
 #: Bits of the fixed-size filter with which the scan for full sets passes over uninvolved documents.
@@ -195,7 +202,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int
     component_id is the smallest doc_id reachable over links, kept says that it is the row's own. A null or
     empty text, or one of blanks only, has no shingles and is linked with nothing; repeated rows and equal texts
     are linked (similarity 1); rows that share a doc_id but not the text are linked by similarity alone; rows
-    without doc_id take no part, their component_id is null and they are kept. An empty table gives an empty result.
+    without doc_id take no part, their component_id is null and they are kept. Texts of any length count whole. An
+    empty table gives an empty result.
     """
     t = percent / 100
     sig = materialise(sketches(docs, n, k), "sketches")
@@ -219,7 +227,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int
     # ahead: the sketch's values from this one on in the order of rarity, an upper bound of what a pair shares
     # that shares none before it
     ahead = F.least("size", F.lit(k)) - F.col("single") - F.col("n")
-    lists = materialise(found.select("cls", "size", "single", ahead.alias("ahead"), "band", "x.v"), "lists")
+    # own: matches at its own size may still be met from here on; above that only by partners that are sketched
+    found = found.select("cls", "size", "single", ahead.alias("ahead"), "band", "x.v")
+    own = (F.col("ahead") >= needed(F.col("size"), F.col("size"), k, t)) | (F.col("size") > F.lit(k * t))
+    lists = materialise(found.withColumn("own", own), "lists")
 
     size_ok = F.least("size", "size_b") * 100 >= F.greatest("size", "size_b") * percent
     size_ok = size_ok & (F.least("ahead", "ahead_b") >= needed(F.col("size"), F.col("size_b"), k, t))
@@ -228,14 +239,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int
     comps, edges, tried = None, None, None
 
     def candidates(kind: str) -> DataFrame:
-        rows = lists if comps is None else lists.join(comps, lists.cls == comps.id, "left").select("cls", "size", "single", "ahead", "band", "v", F.coalesce("comp", "cls").alias("comp"))
+        rows = lists if comps is None else lists.join(comps, lists.cls == comps.id, "left").select("cls", "size", "single", "ahead", "band", "v", "own", F.coalesce("comp", "cls").alias("comp"))
         if comps is None:
             rows = rows.withColumn("comp", F.col("cls"))
         if kind == "rest":
-            most = rows.groupBy("v", "comp").count().groupBy("v").agg(F.max_by("comp", F.struct("count", "comp")).alias("main"), F.count("*").alias("c")).where("c > 1")
-            rows = rows.join(most.select("v", "main"), "v")
-            other = rows.select("v", F.col("cls").alias("cls_b"), F.col("size").alias("size_b"), F.col("ahead").alias("ahead_b"), F.col("comp").alias("comp_b"), (F.col("comp") == F.col("main")).alias("in_b"))
-            pairs = rows.where("comp <> main").join(other, "v").where((F.col("comp") != F.col("comp_b")) & (F.col("in_b") | (F.col("cls") < F.col("cls_b"))) & size_ok)
+            pairs = rest_pairs(rows).where(size_ok)
         else:
             by = [F.col("single")] if kind == "first" else [F.xxhash64("cls", "v", F.lit(seed)) for seed in range(DRAWN)]
             leads = F.array(*(F.min_by(F.struct("cls", "size", "ahead", "comp"), F.struct(x, F.col("cls"))) for x in by))
@@ -244,19 +252,25 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int
             pairs = rows.join(lead, ["v", "band"]).where((F.col("comp") != F.col("comp_b")) & size_ok)
         return pairs.select(F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b")).distinct()
 
+    scratch = [lists, sk]
     for kind in ("first", "drawn", "rest"):
         pairs = candidates(kind)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
+        scratch.append(pairs)
         if comps is not None and pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.union(pairs)
         links = verified(docs, estimated(pairs, sk, t), percent, n)
+        scratch.append(links)
         edges = links if edges is None else edges.union(links)
         if comps is not None and links.isEmpty():
             continue
+        if comps is not None:
+            scratch.append(comps)
         comps = components(edges)
+    discard(*scratch)
 
     own = named.join(classes, "set_key").select("doc_id", "n_shingles", "cls")
     own = own.join(comps, own.cls == comps.id, "left").select("doc_id", "n_shingles", F.coalesce("comp", "cls").alias("component_id"))
@@ -265,6 +279,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int
     return own.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def rest_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of a list's members of different components, each from its smaller member, which must be ``own``. At least
+    one of the two is outside the list's largest component, so members of that are only compared with the others."""
+    most = rows.groupBy("v", "comp").agg(F.count("*").alias("n")).groupBy("v").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("c"), F.sum("n").alias("n"))
+    most = most.where("c > 1").select("v", "main", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    rows = rows.join(most, "v").withColumn("out", F.col("comp") != F.col("main")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    theirs = rows.select("v", "part", *(F.col(c).alias(f"{c}_b") for c in ("cls", "size", "ahead", "comp", "out")))
+    mine = rows.where("own").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    order = (F.col("size") < F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("cls") != F.col("cls_b")))
+    differ = order & (F.col("comp") != F.col("comp_b"))
+    outside = mine.where("out").join(theirs, ["v", "part"]).where(differ)
+    return outside.unionByName(mine.where("NOT out").join(theirs.where("out_b"), ["v", "part"]).where(differ))
+
+
 def estimated(pairs: DataFrame, sk: DataFrame, t: float) -> DataFrame:
     """Pairs whose union sketch does not rule the threshold out; exact where both sketches are whole sets."""
     a = sk.select(F.col("cls").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sa"))
@@ -293,7 +321,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int, n: int) -> DataFra
 
     rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("full").alias("fa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("full").alias("fb")), "b")
     links = materialise(rows.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long"), "links")
-    discard(sets)
+    discard(sets, pairs)
     return links
 
 
