@@ -6,7 +6,7 @@ import math
 import duckdb
 import pytest
 
-from tidemark import catalogue, catalogue_loads, catalogue_market, catalogue_plans  # noqa: F401
+from tidemark import catalogue, catalogue_loads, catalogue_market, catalogue_plans, catalogue_runs  # noqa: F401
 from tidemark.views import TABLES
 
 

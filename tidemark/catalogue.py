@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import pit, universe
 from tidemark.operators import trading_calendar as cal
-from tidemark.views import oracle, spark_view
+from tidemark.views import VIEWS, oracle, spark_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,12 +72,17 @@ def _(v):
     return pit.latest_active(v("statements"), AS_OF, ["code", "period"]).select("code", "period", "id", "value")
 
 
-@query("pit_chain_integrity", """SELECT code, CAST(count(*) AS BIGINT) AS facts, CAST(count(superseded_by) AS BIGINT) AS superseded, CAST(0 AS BIGINT) AS defects FROM statements GROUP BY code""")
+#: Chains of 150 orders each: closed to a cycle, in one piece (deeper than 100 hops at first), or cut every ten.
+VIEWS["chains"] = """SELECT n AS id, CAST(floor(n / 150) AS BIGINT) AS block, CASE WHEN n % 150 = 149 THEN CASE WHEN CAST(floor(n / 150) AS BIGINT) % 3 = 0 THEN n - 149 END WHEN CAST(floor(n / 150) AS BIGINT) % 3 = 2 AND n % 10 = 9 THEN NULL ELSE n + 1 END AS superseded_by
+ FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS n, count(*) OVER () AS of FROM {orders}) x WHERE n < of - of % 150"""
+
+
+@query("pit_chain_integrity", """SELECT block, CAST(count(*) AS BIGINT) AS facts, CAST(count(superseded_by) AS BIGINT) AS superseded, CAST(count(*) FILTER (block % 3 = 0 OR (block % 3 = 1 AND 149 - id % 150 > 100)) AS BIGINT) AS defects FROM chains GROUP BY block""")
 def _(v):
-    facts = v("statements")
+    facts = v("chains")
     bad = pit.chain_defects(facts).select(F.col("id").alias("bad"))
-    rows = facts.join(bad, facts.id == bad.bad, "left")
-    return rows.groupBy("code").agg(F.count("*").alias("facts"), F.count("superseded_by").alias("superseded"), F.count("bad").alias("defects"))
+    rows = facts.join(bad, F.col("id") == F.col("bad"), "left")
+    return rows.groupBy("block").agg(F.count("*").alias("facts"), F.count("superseded_by").alias("superseded"), F.count("bad").alias("defects"))
 
 
 PERIODS = f"""(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY code, account ORDER BY effective_date DESC, period DESC, CAST(id AS VARCHAR) DESC) AS rk FROM (
@@ -105,19 +110,15 @@ def _(v):
     return pit.dividends(v("actions"), AS_OF).select("id", "code", "effective_date", "cash_amount")
 
 
-#: Statements as loaded by the batch of their source with the number of their id.
-LOADED = "(SELECT s.*, b.id AS batch_id FROM statements s JOIN (SELECT id FROM batch_runs WHERE source = 'DART') b ON s.id % 1000 = b.id)"
-CUT = "(SELECT max(id) AS id FROM batch_runs WHERE source = 'DART' AND id < 500)"
+CUT = "(SELECT id FROM batch_order WHERE source = 'DART' AND place = (of + 1) // 2)"
 
 
-@query("pit_batch_cutoff", f"""SELECT l.id, l.batch_id FROM {LOADED} l JOIN batch_runs b ON l.batch_id = b.id AND b.source = 'DART'
+@query("pit_batch_cutoff", f"""SELECT l.id, l.batch_id FROM loaded_statements l JOIN batch_runs b ON l.batch_id = b.id AND b.source = 'DART'
  JOIN (SELECT started_at, id FROM batch_runs WHERE source = 'DART' AND id = {CUT}) c ON b.started_at < c.started_at OR (b.started_at = c.started_at AND b.id <= c.id)""")
 def _(v):
-    runs = v("batch_runs")
-    dart = runs.where("source = 'DART'").select(F.col("id").alias("batch_id"))
-    loaded = v("statements").withColumn("batch_id", F.col("id") % 1000).join(dart, "batch_id", "left_semi")
-    cutoff = runs.where("source = 'DART' AND id < 500").agg(F.max("id")).first()[0]
-    return pit.batch_cutoff(loaded, runs, "DART", cutoff).select("id", "batch_id")
+    order = v("batch_order")  # the cutoff is the batch in the middle of the source's batches
+    cutoff = order.where((F.col("source") == "DART") & (F.col("place") == F.floor((F.col("of") + 1) / 2))).first()
+    return pit.batch_cutoff(v("loaded_statements"), v("batch_runs"), "DART", cutoff["id"] if cutoff else None).select("id", "batch_id")
 
 
 @query("pit_prices_range", "SELECT b.code, b.d, b.close, b.volume FROM bars b WHERE d BETWEEN DATE '1998-12-31' AND DATE '1999-06-30' AND code IN (SELECT code FROM securities WHERE market = 'KOSPI')")
@@ -207,10 +208,12 @@ def _(v):
     return v("calendar").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("n")).crossJoin(F.broadcast(v("bars").agg(F.max("d").alias("last_data"))))
 
 
-@query("cal_stale", "SELECT code, CAST(DATE '1999-06-30' - max(d) AS INTEGER) AS age, CAST(DATE '1999-06-30' - max(d) AS INTEGER) > 5 AS stale FROM bars WHERE d <= DATE '1999-06-30' GROUP BY code")
+VIEWS["verified_calendars"] = "SELECT market, max(listing_date) AS verified FROM securities GROUP BY market UNION ALL SELECT 'none', CAST(NULL AS DATE) FROM {region} WHERE r_regionkey = 0"
+
+
+@query("cal_stale", "SELECT market, CAST(DATE '1998-05-01' - verified AS INTEGER) AS age, coalesce(DATE '1998-05-01' - verified > 365, TRUE) AS stale FROM verified_calendars")
 def _(v):
-    age = F.datediff(F.lit(AS_OF).cast("date"), F.max("d"))
-    return pit.visible(v("bars"), AS_OF, "d").groupBy("code").agg(age.alias("age"), (age > 5).alias("stale"))
+    return cal.stale(v("verified_calendars"), "1998-05-01")
 
 
 @query("pit_asof_normalize", f"""SELECT q.d AS as_of, CASE WHEN q.d > DATE '2000-06-30' THEN NULL WHEN x.is_business_day THEN q.d WHEN x.previous_or_same IS NOT NULL THEN x.previous_or_same
@@ -252,9 +255,19 @@ def _(v):
     return out.select("code", "id", F.when(F.col("id").isNotNull(), F.col("historic")).alias("historic"))
 
 
-@query("uni_search", f"SELECT code, name, starts_with(lower(name), 'supplier#00000001') AS prefix FROM securities WHERE {LISTED} AND contains(lower(name), 'supplier#00000001') ORDER BY 3 DESC, name, code LIMIT 20")
+VIEWS["known_as"] = "SELECT id, concat('Ｓｕｐｐｌｉｅｒ　', CAST(id AS STRING)) AS wide FROM securities"
+
+
+@query("uni_search", f"""SELECT * FROM (SELECT 'name' AS by, code, name, starts_with(lower(name), 'supplier#00000001') AS prefix FROM securities WHERE {LISTED} AND contains(lower(name), 'supplier#00000001') ORDER BY 4 DESC, name, code LIMIT 20) a
+ UNION ALL SELECT * FROM (SELECT 'code', code, name, code = '000005' OR lpad(CAST(id + 500 AS VARCHAR), 6, '0') = '000005' FROM securities WHERE {LISTED} AND (contains(code, '5') OR contains(lpad(CAST(id + 500 AS VARCHAR), 6, '0'), '5')) ORDER BY 4 DESC, name, code LIMIT 20) b
+ UNION ALL SELECT * FROM (SELECT 'wide', code, concat('Ｓｕｐｐｌｉｅｒ　', CAST(id AS VARCHAR)), TRUE FROM securities WHERE starts_with(CAST(id AS VARCHAR), '1') ORDER BY 4 DESC, 3, code LIMIT 20) c""")
 def _(v):
-    return universe.search(v("securities"), "Supplier#00000001", AS_OF).select("code", "name", "prefix")
+    past = F.array(F.struct(F.lpad((F.col("id") + 500).cast("string"), 6, "0").alias("code")))
+    named = v("securities").withColumn("code_history", past)
+    wide = named.drop("name").join(v("known_as").withColumnRenamed("wide", "name"), "id")
+    found = {"name": universe.search(named, "Ｓupplier#00000001", AS_OF), "code": universe.search(named, "5", AS_OF), "wide": universe.search(wide, "supplier 1", AS_OF, delisted=True)}
+    parts = [rows.select(F.lit(by).alias("by"), "code", "name", "prefix") for by, rows in found.items()]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("uni_status", "SELECT id, code, CASE WHEN delisting_date <= DATE '1999-06-30' THEN 'delisted' WHEN listing_date > DATE '1999-06-30' THEN 'not_yet_listed' ELSE 'active' END AS status FROM securities")

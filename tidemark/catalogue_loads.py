@@ -12,8 +12,8 @@ from tidemark.sources import loads, records
 from tidemark.views import VIEWS
 
 VIEWS["raw_bars"] = "SELECT code, d, open, high, low, close, volume, CASE WHEN volume % 7 <> 0 THEN trading_value END AS trading_value FROM bars"
-VIEWS["raw_nav"] = "SELECT code, d, close AS nav, CASE WHEN volume % 5 <> 0 THEN open END AS market_price FROM bars WHERE day(d) < 8"
-VIEWS["raw_deviation"] = "SELECT code, d, CAST(0.25 AS DECIMAL(6,4)) AS deviation FROM bars WHERE day(d) < 8 AND volume % 3 = 0"
+VIEWS["raw_nav"] = "SELECT code, d, close AS nav, CASE WHEN volume % 5 <> 0 THEN open END AS market_price FROM bars"
+VIEWS["raw_deviation"] = "SELECT code, d, CAST(0.25 AS DECIMAL(6,4)) AS deviation FROM bars WHERE volume % 3 = 0"
 VIEWS["raw_lines"] = """SELECT o_orderkey AS report, CASE o_orderkey % 5 WHEN 0 THEN 'ifrs_Assets' WHEN 1 THEN 'ifrs_Equity' WHEN 2 THEN '' ELSE concat('own_', CAST(o_orderkey % 7 AS STRING)) END AS account_id,
  CASE l_linenumber % 6 WHEN 0 THEN 'BS' WHEN 1 THEN 'IS' WHEN 2 THEN 'CIS' WHEN 3 THEN 'CF' WHEN 4 THEN 'SCE' ELSE 'XX' END AS statement, l_linenumber AS line,
  CASE WHEN l_linenumber = 2 THEN '-' WHEN l_linenumber = 3 THEN '' ELSE concat('1,', CAST(100 + l_linenumber AS STRING), '.50') END AS amount FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey"""
@@ -36,9 +36,12 @@ def _(v):
     return records.price_facts(v("bars"))
 
 
-@query("src_market_cap", "SELECT code, effective_date, market_cap, shares, CAST(NULL AS BIGINT) AS shares_treasury FROM market_caps")
+VIEWS["raw_caps"] = "SELECT code, replace(CAST(effective_date AS STRING), '-', '') AS day, CASE WHEN shares % 3 = 0 THEN '' ELSE CAST(market_cap AS STRING) END AS cap, CAST(shares AS STRING) AS listed FROM market_caps"
+
+
+@query("src_market_cap", "SELECT code, effective_date, market_cap, shares, CAST(NULL AS BIGINT) AS shares_treasury FROM market_caps WHERE shares % 3 <> 0")
 def _(v):
-    return v("market_caps").select("code", "effective_date", "market_cap", "shares", F.lit(None).cast("long").alias("shares_treasury"))
+    return records.market_caps(v("raw_caps"))
 
 
 @query("src_etf_nav_premium", """SELECT n.code, n.d, n.nav, coalesce(market_price, nav) AS market_price, round(coalesce(CAST(deviation AS DOUBLE), CAST(coalesce(market_price, nav) - nav AS DOUBLE) / nullif(CAST(nav AS DOUBLE), 0), 0), 6) AS premium
@@ -47,10 +50,17 @@ def _(v):
     return records.nav_premium(v("raw_nav"), v("raw_deviation")).withColumn("premium", F.round("premium", 6))
 
 
-@query("src_statement_json", "SELECT report, line, account_id, statement, CAST(replace(amount, ',', '') AS DECIMAL(38,4)) AS amount FROM raw_lines WHERE statement <> 'SCE' AND amount NOT IN ('', '-')")
+@query("src_statement_json", "SELECT report, line, account_id, statement, CAST(replace(amount, ',', '') AS DECIMAL(38,4)) AS amount, CASE WHEN report % 4 = 0 THEN 'USD' ELSE 'KRW' END AS currency FROM raw_lines WHERE statement <> 'SCE' AND trim(account_id) <> '' AND amount NOT IN ('', '-')")
 def _(v):
-    rows = v("raw_lines").where(F.col("statement") != records.UNREAD).withColumn("amount", records.amount(F.col("amount")))
-    return rows.where("amount IS NOT NULL").select("report", "line", "account_id", "statement", "amount")
+    given = v("raw_lines").withColumn("currency", F.when(F.col("report") % 4 == 0, "USD").when(F.col("report") % 4 == 1, ""))
+    payloads = given.groupBy("report").agg(F.to_json(F.collect_list(F.struct("account_id", "statement", "line", "amount", "currency"))).alias("payload"))
+    return records.statement_lines(payloads).select("report", "line", "account_id", "statement", "amount", "currency")
+
+
+@query("src_statement_counters", """SELECT report, CAST(count(*) FILTER (statement = 'SCE') AS BIGINT) AS unread, CAST(count(*) FILTER (statement <> 'SCE' AND trim(account_id) = '') AS BIGINT) AS no_account,
+ CAST(count(*) FILTER (statement <> 'SCE' AND trim(account_id) <> '' AND amount IN ('', '-')) AS BIGINT) AS no_amount, CAST(count(*) FILTER (statement <> 'SCE' AND trim(account_id) <> '' AND amount NOT IN ('', '-')) AS BIGINT) AS kept FROM raw_lines GROUP BY report""")
+def _(v):
+    return records.statement_counts(v("raw_lines"))
 
 
 @query("src_statement_priority", """SELECT report, account_id, statement, line FROM (SELECT *, rank() OVER (PARTITION BY report, account_id ORDER BY CASE statement WHEN 'BS' THEN 0 WHEN 'IS' THEN 1 WHEN 'CIS' THEN 2 WHEN 'CF' THEN 3 ELSE 4 END) AS r
@@ -77,14 +87,27 @@ def _(v):
     return v("raw_periods").select("id", records.period_start(F.col("period"), F.col("cycle")).alias("reference_date"))
 
 
-@query("src_lineage_id")
+@query("src_macro_counters", """SELECT cycle, CAST(count(*) FILTER (period LIKE '%13' AND cycle = 'M') AS BIGINT) AS bad_period, CAST(count(*) FILTER (id % 5 = 0 AND NOT (period LIKE '%13' AND cycle = 'M')) AS BIGINT) AS not_a_number,
+ CAST(count(*) FILTER (id % 7 = 0 AND id % 5 <> 0 AND NOT (period LIKE '%13' AND cycle = 'M')) AS BIGINT) AS missing FROM raw_periods GROUP BY cycle""")
+def _(v):
+    value = F.when(F.col("id") % 5 == 0, "n/a").when(F.col("id") % 7 == 0, "").otherwise("1,5")
+    return records.macro_counts(v("raw_periods").withColumn("value", value))
+
+
+@query("src_lineage_id", """SELECT code, concat(substr(h, 1, 8), '-', substr(h, 9, 4), '-5', substr(h, 14, 3), '-', substr('89ab', strpos('0123456789abcdef', substr(h, 17, 1)) % 4 + CASE WHEN strpos('0123456789abcdef', substr(h, 17, 1)) % 4 = 0 THEN 4 ELSE 0 END, 1), substr(h, 18, 3), '-', substr(h, 21, 12)) AS lineage_id
+ FROM (SELECT code, sha1(unhex('6ba7b8129dad11d180b400c04fd430c8') || encode(concat('lineage:', code))) AS h FROM securities) x""")
 def _(v):
     return v("securities").select("code", records.uuid5(records.OID, F.concat(F.lit("lineage:"), F.col("code"))).alias("lineage_id"))
 
 
-@query("src_disclosures", f"SELECT code, id, effective_date FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY effective_date DESC, id) AS n FROM statements WHERE effective_date <= {D}) x WHERE n <= 5")
+VIEWS["raw_disclosures"] = "SELECT code, CASE WHEN id % 11 = 0 THEN '' ELSE CAST(id AS STRING) END AS receipt, CASE WHEN id % 13 = 0 THEN 'unknown' ELSE replace(CAST(effective_date AS STRING), '-', '') END AS day FROM statements"
+FINE = "receipt <> '' AND day <> 'unknown'"
+
+
+@query("src_disclosures", f"""SELECT code, receipt, day, CAST(bad AS BIGINT) AS malformed FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY day DESC, receipt) AS n FROM (
+ SELECT *, count(*) FILTER (NOT ({FINE})) OVER (PARTITION BY code) AS bad FROM raw_disclosures) y WHERE {FINE} AND day <= '19990630') x WHERE n <= 5""")
 def _(v):
-    return records.newest(pit.visible(v("statements"), AS_OF), "code", "effective_date", 5, "id").select("code", "id", "effective_date")
+    return records.disclosures(v("raw_disclosures"), AS_OF, 5).select("code", "receipt", F.date_format("date", "yyyyMMdd").alias("day"), "malformed")
 
 
 @query("src_calendar_derive", "SELECT CAST(g.d AS DATE) AS day FROM (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS d FROM bars WHERE code = '000001') g WHERE dayofweek(g.d) NOT IN (0, 6) AND CAST(g.d AS DATE) NOT IN (SELECT d FROM bars WHERE code = '000001')")
@@ -94,10 +117,11 @@ def _(v):
     return days.where(~F.dayofweek("day").isin(1, 7)).join(bars.select(F.col("d").alias("day")).distinct(), "day", "left_anti")
 
 
-@query("src_security_master", "SELECT id, code, name, coalesce(listing_date, DATE '1980-01-01') AS listing_date FROM securities WHERE regexp_full_match(code, '[0-9]{6}') AND name IS NOT NULL AND name <> ''")
+@query("src_security_master", "SELECT id, code, name, coalesce(listing_date, DATE '1980-01-01') AS listing_date, concat(code, ' ', CAST(coalesce(listing_date, DATE '1980-01-01') AS VARCHAR)) AS history FROM securities WHERE regexp_full_match(code, '[0-9]{6}') AND name IS NOT NULL AND name <> ''")
 def _(v):
-    rows = v("securities").where(F.col("code").rlike("^[0-9]{6}$") & (F.coalesce("name", F.lit("")) != ""))
-    return rows.select("id", "code", "name", F.coalesce("listing_date", F.lit("1980-01-01").cast("date")).alias("listing_date"))
+    rows = records.security_master(v("securities"))
+    one = F.get("code_history", 0)
+    return rows.select("id", "code", "name", "listing_date", F.concat_ws(" ", one["code"], one["valid_from"]).alias("history"))
 
 
 # ---- loads ------------------------------------------------------------------------------------------------------
@@ -133,11 +157,14 @@ def _(v):
     return restated(v).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("load_restatement_treasury", """SELECT o.code, o.period, o.id AS old_id, n.id AS new_id FROM treasury o JOIN treasury n ON o.superseded_by = n.id""")
+VIEWS["new_treasury"] = "SELECT id + 1000000000 AS id, code, period, CASE WHEN id % 3 = 0 THEN id % 7 ELSE id % 7 + 100 END AS receipt FROM treasury WHERE superseded_by IS NULL AND id % 4 <> 1 UNION ALL SELECT id + 2000000000, code, concat(period, 'X'), 5 FROM treasury WHERE superseded_by IS NULL AND id % 5 = 0"
+
+
+@query("load_restatement_treasury", """SELECT coalesce(n.code, o.code) AS code, coalesce(n.period, o.period) AS period, o.id AS old_id, n.id AS new_id, CASE WHEN n.id IS NULL THEN 'keep' WHEN o.id IS NULL THEN 'insert' WHEN n.receipt = o.receipt THEN 'noop' ELSE 'supersede' END AS action
+ FROM new_treasury n FULL JOIN (SELECT *, id % 7 AS receipt FROM treasury WHERE superseded_by IS NULL) o ON n.code = o.code AND n.period = o.period""")
 def _(v):
-    rows = v("treasury")
-    new = rows.select(F.col("id").alias("new_id"))
-    return rows.join(new, F.col("superseded_by") == F.col("new_id")).select("code", "period", F.col("id").alias("old_id"), "new_id")
+    heads = v("treasury").where("superseded_by IS NULL").withColumn("receipt", F.col("id") % 7)
+    return loads.restatements(heads, v("new_treasury"), ["code", "period"])
 
 
 @query("load_date_regression", "SELECT n.id, n.announced_date, o.announced_date AS old_date FROM (SELECT id, announced_date - 25 AS announced_date FROM actions) n JOIN actions o ON o.superseded_by = n.id WHERE n.announced_date < o.announced_date - 0")
@@ -180,9 +207,16 @@ def _(v):
     return loads.windows(v("securities").withColumn("code_history", F.array(past, now))).withColumnRenamed("end", "stop")
 
 
-@query("load_status", "SELECT source AS batch, CAST(count(*) FILTER (status <> 'partial') AS BIGINT) AS succeeded, CAST(count(*) FILTER (status = 'partial') AS BIGINT) AS failed, CASE WHEN count(*) FILTER (status = 'partial') > 0 THEN 'partial' ELSE 'success' END AS status FROM batch_runs GROUP BY source")
+VIEWS["tried"] = "SELECT concat(source, ' ', CAST(CAST(started_at AS DATE) AS STRING)) AS batch, CAST(id AS STRING) AS item, status <> 'partial' AS ok FROM batch_runs"
+VIEWS["batches"] = """SELECT concat(source, ' ', CAST(d AS STRING)) AS batch, (dayofweek(d) + {dow}) % 7 NOT IN (0, 6) AS open, n % 13 <> 0 AS universe_ok FROM (SELECT source, CAST(started_at AS DATE) AS d, count(*) AS n FROM batch_runs GROUP BY 1, 2) x
+ UNION ALL SELECT concat('EMPTY ', CAST(r_regionkey AS STRING)), TRUE, TRUE FROM {region}"""
+
+
+@query("load_status", """SELECT batch, CAST(ok AS BIGINT) AS succeeded, CAST(bad AS BIGINT) AS failed, CASE WHEN closed OR ok + bad = 0 THEN 'skipped' WHEN bad > 0 THEN 'partial' ELSE 'success' END AS status, CASE WHEN closed THEN '' ELSE failures END AS failures FROM (
+ SELECT b.batch, NOT (b.open AND b.universe_ok) AS closed, count(*) FILTER (t.ok AND b.open AND b.universe_ok) AS ok, count(*) FILTER (NOT t.ok AND b.open AND b.universe_ok) AS bad, coalesce(string_agg(t.item, ',' ORDER BY t.item) FILTER (NOT t.ok), '') AS failures
+ FROM batches b LEFT JOIN tried t ON b.batch = t.batch GROUP BY b.batch, b.open, b.universe_ok) x""")
 def _(v):
-    return loads.status(v("batch_runs").select(F.col("source").alias("batch"), (F.col("status") != "partial").alias("ok")))
+    return loads.status(v("tried"), v("batches")).withColumn("failures", F.array_join("failures", ","))
 
 
 @query("chain_append_only_check", """SELECT id, 'changed' AS problem FROM statements WHERE id % 1001 = 0 AND id % 997 <> 0 UNION ALL SELECT id, 'vanished' FROM statements WHERE id % 997 = 0
@@ -196,42 +230,8 @@ def _(v):
 # ---- reproducibility and texts ----------------------------------------------------------------------------------
 
 
-@query("rep_batch_versions", "SELECT source, max_by(id, (started_at, id)) AS batch_id FROM batch_runs WHERE status IN ('success', 'partial') AND CAST(started_at AS DATE) <= (SELECT CAST(max(ts) AS DATE) - 7 FROM {events}) GROUP BY source")
-def _(v):
-    runs = v("batch_runs")
-    week_before = F.broadcast(runs.agg(F.date_sub(F.max("started_at").cast("date"), 7).alias("as_of")))  # one row
-    runs = runs.where(F.col("status").isin("success", "partial")).join(week_before, F.col("started_at").cast("date") <= F.col("as_of"))
-    return runs.groupBy("source").agg(F.max_by("id", F.struct("started_at", "id")).alias("batch_id"))
-
-
 @query("rep_result_hash", """SELECT o_custkey AS run, concat('sha256:', sha256(concat('{"as_of":"', CAST(max(d) AS VARCHAR), '","codes":["', string_agg(k, '","' ORDER BY k), '"]}'))) AS hash
  FROM (SELECT DISTINCT o_custkey, CAST(o_orderkey AS VARCHAR) AS k, max(d) OVER (PARTITION BY o_custkey) AS d FROM order_days) x GROUP BY o_custkey""")
 def _(v):
     runs = v("order_days").groupBy("o_custkey").agg(F.max("d").alias("d"), F.array_sort(F.collect_set(F.col("o_orderkey").cast("string"))).alias("codes"))
     return runs.select(F.col("o_custkey").alias("run"), rec.result_hash(as_of=F.col("d").cast("string"), codes=F.col("codes")).alias("hash"))
-
-
-@query("rep_version_diff", """SELECT id AS run, 'KRX' AS key, CAST(id AS VARCHAR) AS stored, CAST(id + 1 AS VARCHAR) AS current FROM batch_runs WHERE id % 2 = 0 UNION ALL SELECT id, 'DART', '7', '' FROM batch_runs WHERE id % 3 = 0""")
-def _(v):
-    runs, text = v("batch_runs"), lambda c: c.cast("string")
-    seven = F.lit("7")
-    stored = runs.select(F.col("id").alias("run"), F.create_map(F.lit("KRX"), text(F.col("id")), F.lit("DART"), seven).alias("versions"))
-    krx = F.create_map(F.lit("KRX"), text(F.col("id") + F.when(F.col("id") % 2 == 0, 1).otherwise(0)))
-    current = runs.select(F.col("id").alias("run"), F.when(F.col("id") % 3 == 0, krx).otherwise(F.map_concat(krx, F.create_map(F.lit("DART"), seven))).alias("versions"))
-    return rec.version_diff(stored, current)
-
-
-VIEWS["texts"] = "SELECT doc_id, text FROM {documents}"
-WORDS = ["idiot", "trash", "the", "token"]
-HITS = "(SELECT doc_id, lower(unnest(regexp_extract_all(regexp_replace(text, '[^A-Za-z0-9_]', '  ', 'g'), '(?i)(?:^| )(idiot|trash|the|token)(?: |$)', 1))) AS word FROM texts)"
-
-
-@query("txt_forbidden_scan", f"SELECT doc_id, word, CAST(count(*) AS BIGINT) AS n FROM {HITS} h GROUP BY doc_id, word")
-def _(v):
-    return rec.word_hits(v("texts"), "doc_id", WORDS)
-
-
-@query("txt_assert_clean", f"SELECT doc_id, doc_id NOT IN (SELECT doc_id FROM {HITS} h WHERE word <> 'the') AS clean FROM texts")
-def _(v):
-    bad = rec.word_hits(v("texts"), "doc_id", [w for w in WORDS if w != "the"]).select("doc_id", F.lit(True).alias("bad")).distinct()
-    return v("texts").select("doc_id").join(bad, "doc_id", "left").select("doc_id", F.col("bad").isNull().alias("clean"))

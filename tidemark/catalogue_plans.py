@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalogue import AS_OF, LISTED, query
+from tidemark.catalogue import AS_OF, chain, query
 from tidemark.catalogue_market import D, FACTOR_SQL, MCAP, evaluated
 from tidemark.operators import pit
 from tidemark.operators import trading_calendar as cal
 from tidemark.plans import factors, rebalance, screen
-from tidemark.plans import fields as fld
 from tidemark.views import VIEWS
 
 CONDITIONS = [("fac_eps_ttm", ">", 500000.0), ("fac_pbr", "<", 2000.0)]
@@ -61,14 +60,29 @@ def _(v):
     return rows.select("code", "factor", F.round("value", 6).alias("value"), F.lit(AS_OF).cast("date").alias("as_of"))
 
 
-@query("q_screen_from_snapshot", f"""SELECT code, round({EPS_SQL}, 6) AS fac_eps_ttm, CAST(code AS INTEGER) % 3 <> 0 AS served FROM o_fields WHERE {EPS_SQL} > 500000""")
+#: Snapshots as a nightly job left them: every third code under older versions and with an older value, every
+#: seventh without one of the factors.
+SERVED = "CAST(code AS INTEGER) % 3 <> 0 AND CAST(code AS INTEGER) % 7 <> 1"
+VERSIONS = "v2"
+
+
+def snapshots(v):
+    code = F.col("code").cast("int")
+    stored = screen.only_codes(v, v("securities").where(code % 2 == 1).select("code"))  # odd codes were covered
+    rows = evaluated(stored, ["fac_eps_ttm", "fac_pbr"]).unpivot("code", ["fac_eps_ttm", "fac_pbr"], "factor", "value")
+    rows = rows.withColumns({"versions": F.when(code % 3 != 0, VERSIONS).otherwise("v1"), "value": F.when(code % 3 != 0, F.col("value")).otherwise(F.col("value") + 1)})
+    return rows.where(~((code % 7 == 1) & (F.col("factor") == "fac_pbr")))
+
+
+@query("q_screen_from_snapshot", f"""SELECT code, round({EPS_SQL}, 6) AS fac_eps_ttm, round({PBR_SQL}, 6) AS fac_pbr, CAST(code AS INTEGER) % 2 = 1 AND {SERVED} AS served FROM o_fields WHERE {EPS_SQL} > 100000 AND {PBR_SQL} < 20000""")
 def _(v):
-    live = evaluated(v, ["fac_eps_ttm"]).select("code", "fac_eps_ttm")
-    # every third code was stored under other data versions, so it is evaluated
-    stored = live.select("code", F.col("fac_eps_ttm").alias("stored"), F.when(F.col("code").cast("int") % 3 != 0, "v2").otherwise("v1").alias("versions"))
-    rows = live.join(stored, "code", "left").withColumn("served", F.coalesce(F.col("versions") == "v2", F.lit(False)))
-    rows = rows.withColumn("fac_eps_ttm", F.when(F.col("served"), F.col("stored")).otherwise(F.col("fac_eps_ttm")))
-    return screen.passing(rows, CONDITIONS[:1]).select("code", F.round("fac_eps_ttm", 6).alias("fac_eps_ttm"), "served")
+    names = ["fac_eps_ttm", "fac_pbr"]
+    ready = screen.served(snapshots(v), names, VERSIONS, factors.NEVER_SERVED).withColumn("served", F.lit(True))
+    # facts of codes that are served are not read
+    rest = v("securities").join(ready, "code", "left_anti").select("code")
+    live = evaluated(screen.only_codes(v, rest), names).select("code", *names, F.lit(False).alias("served"))
+    rows = screen.passing(ready.unionByName(live), [("fac_eps_ttm", ">", 100000.0), ("fac_pbr", "<", 20000.0)])
+    return rows.select("code", F.round("fac_eps_ttm", 6).alias("fac_eps_ttm"), F.round("fac_pbr", 6).alias("fac_pbr"), "served")
 
 
 @query("q_macro_overview", f"SELECT indicator_id, value FROM (SELECT *, row_number() OVER (PARTITION BY indicator_id ORDER BY reference_date DESC, vintage_date DESC) AS rn FROM macro WHERE reference_date <= {D} AND vintage_date <= {D}) x WHERE rn = 1")
@@ -111,11 +125,21 @@ def _(v):
     return screen.conflicts(v("bars"), v("bars_verify"))
 
 
-@query("q_data_freshness", """SELECT source, id AS batch_id, CAST(DATE '2024-06-01' - CAST(started_at AS DATE) AS INTEGER) AS age, CAST(DATE '2024-06-01' - CAST(started_at AS DATE) AS INTEGER) > CASE source WHEN 'KRX' THEN 3 WHEN 'KOSIS' THEN 45 ELSE 100 END AS stale, status = 'partial' AS partial
- FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY started_at DESC, id DESC) AS rn FROM batch_runs WHERE status IN ('success', 'partial')) x WHERE rn = 1""")
+VIEWS["run_days"] = "SELECT d AS day, CAST(row_number() OVER (ORDER BY d) AS INT) AS bd_index FROM (SELECT DISTINCT CAST(ts AS DATE) AS d FROM {events}) x WHERE (dayofweek(d) + {dow}) % 7 NOT IN (0, 6)"
+VIEWS["early_runs"] = "SELECT * FROM batch_runs WHERE id % 3 <> 0 OR source <> 'KRX'"
+#: One date within the calendar of the runs, and one after it.
+NOWS = ("2024-01-25", "2024-06-01")
+FRESH = """SELECT s.source, r.id AS batch_id, CAST(DATE '{now}' - r.day AS INTEGER) AS age, r.id IS NULL OR (CASE WHEN s.source = 'KRX' AND r.day BETWEEN (SELECT min(day) FROM run_days) AND (SELECT max(day) FROM run_days) AND DATE '{now}' BETWEEN (SELECT min(day) FROM run_days) AND (SELECT max(day) FROM run_days)
+ THEN (SELECT count(*) FROM run_days d WHERE d.day > r.day AND d.day <= DATE '{now}') ELSE greatest(DATE '{now}' - r.day, 0) END > CASE s.source WHEN 'KRX' THEN 3 WHEN 'KOSIS' THEN 45 ELSE 100 END) AS stale, r.status = 'partial' AS partial, DATE '{now}' AS now
+ FROM (SELECT DISTINCT source FROM batch_runs UNION ALL SELECT 'ECOS') s LEFT JOIN (SELECT *, CAST(started_at AS DATE) AS day, row_number() OVER (PARTITION BY source ORDER BY started_at DESC, id DESC) AS rn FROM batch_runs WHERE status IN ('success', 'partial') AND started_at < DATE '{now}' - 6) r ON r.source = s.source AND r.rn = 1"""
+
+
+@query("q_data_freshness", " UNION ALL ".join(f"SELECT * FROM ({FRESH.replace('{now}', n)}) x" for n in NOWS))
 def _(v):
     runs = v("batch_runs")
-    return screen.freshness(runs, "2024-06-01", runs.select("source").distinct())
+    sources = runs.select("source").distinct().union(runs.select(F.lit("ECOS")).limit(1))
+    parts = [screen.freshness(runs.where(F.col("started_at") < F.date_sub(F.lit(n).cast("date"), 6)), n, sources, v("run_days")).withColumn("now", F.lit(n).cast("date")) for n in NOWS]
+    return parts[0].union(parts[1])
 
 
 RATES = "(SELECT 'KOSPI' AS market, DATE '1990-01-01' AS effective_from, CAST(0.003 AS DECIMAL(6,4)) AS rate UNION ALL SELECT 'KOSPI', DATE '1998-01-01', 0.0023 UNION ALL SELECT 'KOSDAQ', DATE '1996-01-01', 0.0015)"
@@ -129,10 +153,19 @@ def _(v):
     return screen.transaction_tax(v("taxed"), v("rates")).select("id", "rate", F.col("tax").cast("double").alias("tax"))
 
 
-@query("q_positions")
+VIEWS["o_trades"] = "SELECT *, row_number() OVER (PARTITION BY user_id, code ORDER BY trade_date, id) AS n FROM trades"
+VIEWS["o_later"] = f"""SELECT p.user_id, p.code, product(a.f) AS f, count(*) FILTER (a.action_type = 'merger') AS noticed FROM (SELECT user_id, code, max(trade_date) AS last FROM trades GROUP BY 1, 2) p
+ JOIN {chain('o_values', 'announced_date')} a ON a.code = p.code AND a.effective_date > p.last AND a.effective_date <= {D} AND (a.f IS NOT NULL OR a.action_type = 'merger') GROUP BY 1, 2"""
+
+
+@query("q_positions", """WITH RECURSIVE walk AS (SELECT user_id, code, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS q, CAST(0 AS DOUBLE) AS cost, CAST(0 AS DOUBLE) AS gain, CAST(0 AS INTEGER) AS over FROM (SELECT DISTINCT user_id, code FROM trades) k UNION ALL
+ SELECT w.user_id, w.code, t.n, CASE WHEN side = 'buy' THEN q + t.quantity WHEN t.quantity > q THEN q ELSE q - t.quantity END, CASE WHEN side = 'buy' THEN cost + CAST(unit_price AS DOUBLE) * t.quantity + CAST(fee AS DOUBLE) WHEN t.quantity > q THEN cost ELSE cost - coalesce(cost / nullif(q, 0), 0) * t.quantity END,
+ CASE WHEN side = 'buy' OR t.quantity > q THEN gain ELSE gain + (CAST(unit_price AS DOUBLE) - coalesce(cost / nullif(q, 0), 0)) * t.quantity - CAST(fee AS DOUBLE) END, over + CASE WHEN side <> 'buy' AND t.quantity > q THEN 1 ELSE 0 END FROM walk w JOIN o_trades t ON t.user_id = w.user_id AND t.code = w.code AND t.n = w.n + 1)
+ SELECT user_id, code, CAST(quantity AS BIGINT) AS quantity, round(cost / nullif(quantity, 0), 2) AS average_cost, round(gain, 2) AS realised, over AS oversold, noticed FROM (SELECT w.*, floor(q / coalesce(l.f, 1) + 1e-9) AS quantity, CAST(coalesce(l.noticed, 0) AS BIGINT) AS noticed
+ FROM (SELECT *, row_number() OVER (PARTITION BY user_id, code ORDER BY n DESC) AS last FROM walk) w LEFT JOIN o_later l ON l.user_id = w.user_id AND l.code = w.code WHERE last = 1) x""")
 def _(v):
-    rows = screen.positions(v("trades"))
-    return rows.select("user_id", "code", "quantity", F.round("average_cost", 4).alias("average_cost"), F.round("realised", 4).alias("realised"), "oversold")
+    rows = screen.positions(v("trades"), v("actions"), AS_OF)
+    return rows.select("user_id", "code", "quantity", F.round("average_cost", 2).alias("average_cost"), F.round("realised", 2).alias("realised"), "oversold", "noticed")
 
 
 # ---- rebalance panel --------------------------------------------------------------------------------------------

@@ -8,12 +8,15 @@ must hold the population (a panel's date is in ``population`` too).
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from decimal import Decimal, InvalidOperation
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BINARY = ("add", "sub", "mul", "div", "ratio_pct")
 RELATIVE = ("zscore", "percentile", "min_max_scale")
@@ -157,14 +160,21 @@ def read_inputs(node: dict, population: tuple[str, ...] = ("security_type",), re
     return out
 
 
-def defect_table(spark, trees: dict[str, dict], fields) -> DataFrame:
-    """name, defect: what is wrong with each tree, checked on the driver before any column is built. Trees may use
-    earlier names as fields."""
-    rows, known = [], set(fields)
-    for name, tree in trees.items():
-        rows += [(name, d) for d in dict.fromkeys(defects(tree, known))]
-        known.add(name)
-    return spark.createDataFrame(rows, "name string, defect string")
+def defects_of(rows: DataFrame, key: str, fields: set[str]) -> DataFrame:
+    """key, defect: what is wrong with the JSON trees of the column ``tree``; a text that is no JSON is not_a_node."""
+    schema = T.StructType([T.StructField(key, rows.schema[key].dataType), T.StructField("found", T.ArrayType(T.StringType()))])
+
+    def of(text: str | None) -> list[str]:
+        try:
+            return list(dict.fromkeys(defects(json.loads(text or ""), fields)))
+        except (json.JSONDecodeError, RecursionError):
+            return ["not_a_node"]
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([of(t) for t in b.column(1).to_pylist()], pa.list_(pa.string()))], [key, "found"])
+
+    return rows.select(key, F.col("tree").cast("string")).mapInArrow(run, schema).select(key, F.explode("found").alias("defect"))
 
 
 def with_factors(fields: DataFrame, trees: dict[str, dict], relative: bool = True, population: tuple[str, ...] = ("security_type",)) -> DataFrame:

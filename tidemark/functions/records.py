@@ -1,4 +1,4 @@
-"""Canonical forms and hashes of saved runs, and text checks."""
+"""Canonical forms and hashes of saved runs."""
 
 from __future__ import annotations
 
@@ -21,10 +21,3 @@ def version_diff(stored: DataFrame, current: DataFrame) -> DataFrame:
     b = current.select("run", F.explode("versions").alias("key", "current"))
     rows = a.join(b, ["run", "key"], "full_outer").select("run", "key", F.coalesce("stored", F.lit("")).alias("stored"), F.coalesce("current", F.lit("")).alias("current"))
     return rows.where(F.col("stored") != F.col("current"))
-
-
-def word_hits(docs: DataFrame, key: str, words: list[str]) -> DataFrame:
-    """key, word, n: how often each whole word (any case, ASCII word ends) stands in the text."""
-    pattern = r"(?i)(?<![A-Za-z0-9_])(" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + r")(?![A-Za-z0-9_])"
-    hits = docs.select(key, F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("word"))
-    return hits.groupBy(key, F.lower("word").alias("word")).agg(F.count("*").alias("n"))

@@ -63,3 +63,9 @@ def normalise_as_of(dates: DataFrame, calendar: DataFrame, today: str) -> DataFr
     )
     resolved = F.when(status == "default", F.col("_last")).when(status == "exact", F.col("as_of")).when(status == "snapped", F.col("previous_or_same")).when(status == "outside", weekday)
     return rows.select("as_of", resolved.alias("resolved"), status.alias("status"))
+
+
+def stale(calendars: DataFrame, now: str, most: int = 365) -> DataFrame:
+    """calendars (market, verified) with age in days and whether it is more than ``most``; one never verified is stale."""
+    age = F.datediff(F.lit(now).cast("date"), "verified")
+    return calendars.select("market", age.alias("age"), F.coalesce(age > most, F.lit(True)).alias("stale"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,13 +35,25 @@ def lookup(codes: DataFrame, securities: DataFrame) -> DataFrame:
     return rows.where("_r = 1").select("code", "id", F.when(F.col("way") == 1, True).otherwise(False).alias("historic"))
 
 
+@F.pandas_udf("string")
+def nfkc(texts: pd.Series) -> pd.Series:
+    """Built-in functions know no compatibility forms."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
 def search(securities: DataFrame, query: str, as_of, limit: int = 20, delisted: bool = False) -> DataFrame:
-    """Digits match codes, other text names; both anywhere, prefixes first, then by name."""
-    column = F.col("code") if query.isdigit() else F.lower("name")
-    text = query if query.isdigit() else query.lower()
+    """Digits match codes, those of ``code_history`` too; other text names, both in NFKC and any case. Matches anywhere,
+    prefixes first (a code: equal to the query with leading zeros), then by name."""
+    query = unicodedata.normalize("NFKC", query).strip()
     rows = securities if delisted else listed(securities, as_of)
-    rows = rows.where(column.contains(text)).withColumn("prefix", column.startswith(text))
-    return rows.orderBy(F.desc("prefix"), "name", "code").limit(limit)
+    if query.isdigit():
+        past = F.col("code_history.code") if "code_history" in rows.columns else F.array().cast("array<string>")
+        rows = rows.withColumn("_codes", F.concat(F.array("code"), F.coalesce(past, F.array().cast("array<string>"))))
+        there, prefix = F.exists("_codes", lambda c: c.contains(query)), F.array_contains("_codes", query.zfill(6))
+    else:
+        rows = rows.withColumn("_codes", F.lower(nfkc("name")))
+        there, prefix = F.col("_codes").contains(query.lower()), F.col("_codes").startswith(query.lower())
+    return rows.withColumn("prefix", prefix).where(there).orderBy(F.desc("prefix"), "name", "code").limit(limit).drop("_codes")
 
 
 def normalised_codes(rows: DataFrame, column: str) -> DataFrame:

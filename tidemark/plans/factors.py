@@ -36,6 +36,10 @@ BUILT_IN = {
 }
 
 
+#: Factors that depend on dividends, which may be corrected without a new batch of prices or statements.
+NEVER_SERVED = ("fac_dividend_yield", "fac_total_return_1y")
+
+
 def reads(tree: dict) -> list[str]:
     """The fields that a tree names."""
     own = [tree["field"]] if "field" in tree else []

@@ -7,10 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import adjust
+
 #: How far two sources may differ, relative to the larger, before it is told.
 TOLERANCE = {"open": 0.001, "high": 0.001, "low": 0.001, "close": 0.001, "volume": 0.001, "trading_value": 0.005}
 #: Days after which a source's last load is stale.
 STALE_DAYS = {"KRX": 3, "DART": 100, "FSC": 100, "KOSIS": 45}
+#: The source whose age counts in business days.
+BY_BUSINESS_DAYS = "KRX"
 
 
 def holds(name: str, op: str, value: float) -> Column:
@@ -55,16 +59,24 @@ def conflicts(first: DataFrame, second: DataFrame) -> DataFrame:
     return rows.select("code", "d", F.explode(F.array(*checks)).alias("x")).where("x.field IS NOT NULL").select("code", "d", "x.field", "x.difference")
 
 
-def freshness(runs: DataFrame, now: str, sources: DataFrame) -> DataFrame:
-    """Per source the newest finished load by (started_at, id): its age in days and whether that is stale."""
+def freshness(runs: DataFrame, now: str, sources: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Per source the newest finished load by (started_at, id): its age in days and whether that is stale; none is
+    stale. Bars age by business days after the load's day up to now; where one of the two is outside the calendar
+    (day, bd_index), by days."""
     w = Window.partitionBy("source").orderBy(F.desc("started_at"), F.desc("id"))
     last = runs.where(F.col("status").isin("success", "partial")).withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    rows = sources.join(last, "source", "left")
-    age = F.datediff(F.lit(now).cast("date"), F.col("started_at").cast("date"))
+    today = F.lit(now).cast("date")
+    rows = sources.join(last, "source", "left").withColumn("_day", F.col("started_at").cast("date")).withColumn("age", F.datediff(today, "_day"))
+    bounds = calendar.agg(F.min("day").alias("_first"), F.max("day").alias("_last"))  # one row
+    upto = calendar.select("day", "bd_index")
+    between = rows.join(F.broadcast(upto), (F.col("day") > F.col("_day")) & (F.col("day") <= today), "left").groupBy("source").agg(F.count("day").alias("_n"))
+    rows = rows.join(between, "source").crossJoin(F.broadcast(bounds))
+    known = F.col("_day").between(F.col("_first"), F.col("_last")) & today.between(F.col("_first"), F.col("_last"))
+    days = F.when((F.col("source") == BY_BUSINESS_DAYS) & known, F.col("_n")).otherwise(F.when(F.col("age") < 0, 0).otherwise(F.col("age")))
     most = F.lit(None).cast("int")
-    for s, days in STALE_DAYS.items():
-        most = F.when(F.col("source") == s, days).otherwise(most)
-    return rows.select("source", F.col("id").alias("batch_id"), age.alias("age"), F.coalesce(age > most, F.lit(True)).alias("stale"), (F.col("status") == "partial").alias("partial"))
+    for s, n in STALE_DAYS.items():
+        most = F.when(F.col("source") == s, n).otherwise(most)
+    return rows.select("source", F.col("id").alias("batch_id"), "age", F.coalesce(days > most, F.lit(True)).alias("stale"), (F.col("status") == "partial").alias("partial"))
 
 
 def transaction_tax(trades: DataFrame, rates: DataFrame) -> DataFrame:
@@ -76,12 +88,15 @@ def transaction_tax(trades: DataFrame, rates: DataFrame) -> DataFrame:
     return rows.select("id", "rate", F.when(F.col("amount") >= 0, F.round(F.col("amount") * F.col("rate"), 0)).alias("tax"))
 
 
-def positions(trades: DataFrame) -> DataFrame:
+def positions(trades: DataFrame, actions: DataFrame | None = None, as_of=None) -> DataFrame:
     """Per (user_id, code): quantity, average cost, realised gain and oversold, by moving-average cost in the order
     (trade_date, id). A buy adds price * quantity + fee; a sell realises (price - average) * quantity - fee; a sell
-    beyond the holding is left out and marks the position. The fold runs within each key's group."""
+    beyond the holding is left out and marks the position. The fold runs within each key's group.
+
+    With ``actions``, those known as of the date that adjust prices after the last trade scale the quantity, rounded
+    down, at unchanged cost; ``noticed`` counts mergers and spin-offs after it, which change nothing here."""
     step = F.struct("trade_date", "id", "side", F.col("quantity").cast("double").alias("q"), F.col("unit_price").cast("double").alias("p"), F.col("fee").cast("double").alias("f"))
-    rows = trades.groupBy("user_id", "code").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    rows = trades.groupBy("user_id", "code").agg(F.array_sort(F.collect_list(step)).alias("steps"), F.max("trade_date").alias("last"))
     zero = F.struct(F.lit(0.0).alias("q"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("gain"), F.lit(0).alias("over"))
 
     def fold(a: Column, s: Column) -> Column:
@@ -94,5 +109,36 @@ def positions(trades: DataFrame) -> DataFrame:
             (a["over"] + short.cast("int")).alias("over"),
         )
 
-    rows = rows.select("user_id", "code", F.aggregate("steps", zero, fold).alias("x"))
-    return rows.select("user_id", "code", F.col("x.q").cast("long").alias("quantity"), F.try_divide("x.cost", F.nullif(F.col("x.q"), F.lit(0.0))).alias("average_cost"), F.col("x.gain").alias("realised"), F.col("x.over").alias("oversold"))
+    rows = rows.select("user_id", "code", "last", F.aggregate("steps", zero, fold).alias("x"))
+    quantity, noticed = F.col("x.q"), []
+    if actions is not None:
+        known = adjust.with_details(adjust.classified(actions, as_of)).where(F.col("class").isin("adjust", "detect_merger", "detect_spin_off"))
+        known = known.select("code", "effective_date", F.when(F.col("class") == "adjust", adjust.factor()).alias("f"), (F.col("class") != "adjust").alias("_other"))
+        later = rows.select("user_id", "code", "last").join(known, "code").where(F.col("effective_date") > F.col("last"))
+        later = later.groupBy("user_id", "code").agg(F.product(F.coalesce("f", F.lit(1.0))).alias("_f"), F.count_if("_other").alias("noticed"))
+        rows = rows.join(later, ["user_id", "code"], "left")
+        quantity, noticed = F.floor(quantity / F.coalesce("_f", F.lit(1.0)) + 1e-9), [F.coalesce("noticed", F.lit(0)).alias("noticed")]
+    average = F.try_divide(F.col("x.cost"), F.nullif(quantity.cast("double"), F.lit(0.0)))
+    return rows.select("user_id", "code", quantity.cast("long").alias("quantity"), average.alias("average_cost"), F.col("x.gain").alias("realised"), F.col("x.over").alias("oversold"), *noticed)
+
+
+def served(snapshots: DataFrame, names: list[str], versions: str, never: tuple[str, ...] = ()) -> DataFrame:
+    """code and a column for each factor, of the codes for which all factors are stored under the current versions;
+    none if one of the factors is of those that are never served (they depend on dividends)."""
+    if set(names) & set(never):
+        return snapshots.select("code", *(F.lit(None).cast("double").alias(n) for n in names)).where("false")
+    rows = snapshots.where(F.col("factor").isin(*names)).groupBy("code").agg(
+        F.countDistinct("factor").alias("_n"), F.bool_and(F.col("versions") == versions).alias("_same"), *(F.max(F.when(F.col("factor") == n, F.col("value"))).alias(n) for n in names)
+    )
+    return rows.where((F.col("_n") == len(names)) & F.col("_same")).select("code", *names)
+
+
+def only_codes(view, codes: DataFrame, how: str = "left_semi"):
+    """The views with the rows whose code is (left_semi) or is not (left_anti) among ``codes``; tables without a code
+    stay as they are, and so do bars where the calendar is made from them."""
+
+    def run(name: str) -> DataFrame:
+        rows = view(name)
+        return rows.join(codes.select("code"), "code", how) if "code" in rows.columns else rows
+
+    return run

@@ -6,14 +6,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def once(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each key: the least by its other columns, so that it does not depend on the order of rows."""
+    rest = [c for c in rows.columns if c not in keys]
+    if not rest:
+        return rows.distinct()
+    return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
+
+
 def appended(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows whose key is not stored; of a key given twice one."""
-    return incoming.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    """Incoming rows whose key is not stored; of a key given twice the row that comes first by all its columns."""
+    return once(incoming, keys).join(stored.select(*keys), keys, "left_anti")
 
 
 def upserted(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored and incoming rows, the incoming one winning where a key is in both."""
-    return incoming.unionByName(stored.join(incoming.select(*keys), keys, "left_anti"))
+    """Stored and incoming rows, the incoming one winning where a key is in both; of a key given twice one (see once)."""
+    return once(incoming, keys).unionByName(stored.join(incoming.select(*keys), keys, "left_anti"))
 
 
 def restatements(heads: DataFrame, incoming: DataFrame, keys: list[str], receipt: str = "receipt") -> DataFrame:
@@ -50,10 +58,29 @@ def windows(securities: DataFrame) -> DataFrame:
     return rows.where(F.col("start") <= F.col("end"))
 
 
-def status(items: DataFrame) -> DataFrame:
-    """Per batch: success, partial (some items failed) or skipped (none tried), with counts."""
-    ok, bad = F.count_if(F.col("ok")), F.count_if(~F.col("ok"))
-    return items.groupBy("batch").agg(ok.alias("succeeded"), bad.alias("failed"), F.when(ok + bad == 0, "skipped").when(bad > 0, "partial").otherwise("success").alias("status"))
+def status(items: DataFrame, batches: DataFrame | None = None) -> DataFrame:
+    """Per batch: success, partial (some items failed) or skipped, with counts and the failed items, sorted. A batch of
+    ``batches`` (batch, open, universe_ok) is skipped on a closed day, without its universe, or with nothing tried."""
+    name = F.col("item") if "item" in items.columns else F.lit(None).cast("string")
+    counts = items.groupBy("batch").agg(F.count_if("ok").alias("succeeded"), F.count_if(~F.col("ok")).alias("failed"), F.array_sort(F.collect_list(F.when(~F.col("ok"), name))).alias("failures"))
+    if batches is None:
+        rows, closed = counts, F.lit(False)
+    else:
+        rows, closed = batches.join(counts, "batch", "left"), ~F.col("open") | ~F.col("universe_ok")
+    ok, bad = (F.when(closed, 0).otherwise(F.coalesce(c, F.lit(0))).cast("long") for c in ("succeeded", "failed"))
+    failures = F.when(closed, F.array()).otherwise(F.coalesce("failures", F.array())).cast("array<string>")
+    what = F.when(closed | (ok + bad == 0), "skipped").when(bad > 0, "partial").otherwise("success")
+    return rows.select("batch", ok.alias("succeeded"), bad.alias("failed"), what.alias("status"), failures.alias("failures"))
+
+
+def backfill(spans: DataFrame, raw: DataFrame, stored: DataFrame) -> DataFrame:
+    """id, saved, skipped, empty of securities (spans: id, code, start, stop): raw bars inside their windows that are
+    not stored, those that are, and the windows without any bar. A code's bars meet its own few windows only."""
+    near = raw.select("code", "d").join(stored.select("code", "d", F.lit(True).alias("there")), ["code", "d"], "left")
+    inside = (F.col("w.code") == F.col("b.code")) & F.col("b.d").between(F.col("w.start"), F.col("w.stop"))
+    rows = spans.alias("w").join(near.alias("b"), inside, "left").select("w.*", F.col("b.d").alias("d"), F.col("b.there").alias("there"))
+    rows = rows.groupBy("id", "code", "start", "stop").agg(F.count_if(F.col("d").isNotNull() & F.col("there").isNull()).alias("new"), F.count("there").alias("old"), F.count("d").alias("n"))
+    return rows.groupBy("id").agg(F.sum("new").alias("saved"), F.sum("old").alias("skipped"), F.count_if(F.col("n") == 0).alias("empty"))
 
 
 def append_only_violations(before: DataFrame, after: DataFrame, fixed: list[str]) -> DataFrame:

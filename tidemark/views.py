@@ -102,6 +102,8 @@ def oracle(text: str) -> str:
     own = fill(text, places, 0, "//").strip()
     if not parts:
         return own
+    if own.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {', '.join(parts)}, {own[15:]}"
     if own.upper().startswith("WITH "):
         return f"WITH {', '.join(parts)}, {own[5:]}"
     return f"WITH {', '.join(parts)} {own}"
