@@ -352,6 +352,22 @@ def test_license_scan_finds_wrapped_notices(spark):
         assert want[r.doc_id] in r.labels and r.score == 1.0
 
 
+def test_license_scan_finds_whole_notices(spark):
+    """A template of 150 words, wrapped, within other text and with a tenth of its words replaced."""
+    import random
+    import textwrap
+
+    rng = random.Random(2)
+    notice = [f"term{k}" for k in range(150)]
+    edited = [w if rng.random() > 0.1 else "other" for w in notice]
+    half = notice[:75] + ["filler"] * 75
+    around = " ".join(["prose"] * 333)
+    docs = [(k, "\n".join(textwrap.wrap(f"{around} {' '.join(x)} {around}", 60))) for k, x in enumerate((notice, edited, half))]
+    templates = (*license_scan.TEMPLATES, ("whole", " ".join(notice)))
+    rows = license_scan.license_scan(spark.createDataFrame(docs, "doc_id long, text string"), templates=templates).collect()
+    assert {r.doc_id: "whole" in r.labels for r in rows} == {0: True, 1: True, 2: False}
+
+
 def test_decontamination(spark, small, odd, none):
     items = spark.read.parquet(f"{small}/benchmark.parquet")
     docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")

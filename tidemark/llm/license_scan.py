@@ -1,7 +1,8 @@
 """License notices in texts: an exact set-similarity join of text blocks with notice templates.
 
 A block is a line of a text, or a piece of BLOCK words of a longer line (pieces overlap by half). As notices are
-often hard-wrapped, pieces of the whole word sequence that cross a line break are blocks too. A block contains a
+often hard-wrapped, pieces of the whole word sequence that cross a line break are blocks too. Longer templates, whole
+notices say, are looked for in blocks of their own length class. A block contains a
 template if it holds at least CONTAINMENT of the template's distinct words. Template words are ordered from rare
 to frequent by how many blocks of the corpus hold them. A block that contains a template holds one of the first
 ``size - needed + 1`` of its words in that order (prefix filter), has at least ``needed`` distinct template words
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialise, text_bytes
 
 CONTAINMENT = 0.8
+#: Words of a block; templates of more than half of it get blocks of their own, twice as long as they are.
 BLOCK = 64
 #: Phrases that the contract counts, with their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -54,26 +56,37 @@ def vocabulary(texts) -> dict[bytes, int]:
     return {w: i for i, w in enumerate(sorted({w for t in texts for w in words_of(t.encode())}), 1)}
 
 
-def pieces(n: int) -> range:
+def block_of(n_words: int) -> int:
+    """The length of the blocks in which a template of so many words is looked for: BLOCK, or doubled until it is at
+    least twice as long as the template, so that with half overlap some block holds any stretch of that length."""
+    size = BLOCK
+    while size < 2 * n_words:
+        size *= 2
+    return size
+
+
+def pieces(n: int, size: int = BLOCK) -> range:
     """First words of the pieces of n words."""
-    return range(0, max(1, n - BLOCK // 2), BLOCK // 2) if n > BLOCK else range(min(n, 1))
+    return range(0, max(1, n - size // 2), size // 2) if n > size else range(min(n, 1))
 
 
-def text_blocks(text: bytes):
-    """(first word, words, whether it crosses a line break) of each block of a text: those of its lines, then those
-    of the whole text that are in no single line."""
-    all_words, starts = [], []
+def text_blocks(text: bytes, sizes=(BLOCK,)):
+    """(size, first word, words, whether it crosses a line break) of each block of a text, for each of the sizes: those
+    of its lines, then those of the whole text that are in no single line."""
+    all_words, starts, lines = [], [], []
     for line in text.split(b"\n"):
-        words, at = words_of(line), len(all_words)
-        for i in pieces(len(words)):
-            yield at + i, words[i : i + BLOCK], False
-        if words:
-            starts.append(at)
+        if words := words_of(line):
+            starts.append(len(all_words))
+            lines.append(words)
             all_words += words
-    for i in pieces(len(all_words)):
-        k = bisect_right(starts, i)
-        if k < len(starts) and starts[k] < i + BLOCK:
-            yield i, all_words[i : i + BLOCK], True
+    for size in sizes:
+        for at, words in zip(starts, lines):
+            for i in pieces(len(words), size):
+                yield size, at + i, words[i : i + size], False
+        for i in pieces(len(all_words), size):
+            k = bisect_right(starts, i)
+            if k < len(starts) and starts[k] < i + size:
+                yield size, i, all_words[i : i + size], True
 
 
 def block_frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> dict[int, int]:
@@ -83,7 +96,7 @@ def block_frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> dict[int, int
         total = np.zeros(len(vocab) + 1, np.int64)
         for b in batches:
             for text in text_bytes(b.column(0)):
-                for _, words, _ in text_blocks(text):
+                for _, _, words, _ in text_blocks(text):
                     hit = set(map(vocab.get, words, repeat(0)))
                     total[list(hit)] += 1
         yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(total)], ["word", "n"])
@@ -92,9 +105,10 @@ def block_frequencies(docs: DataFrame, vocab: dict[bytes, int]) -> dict[int, int
     return {r.word: r.n for r in rows.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
-def scanned(docs: DataFrame, vocab: dict[bytes, int], phrases, prefixes: set[int], least: int) -> DataFrame:
+def scanned(docs: DataFrame, vocab: dict[bytes, int], phrases, prefixes: set[int], least: dict[int, int]) -> DataFrame:
     """docs' doc_id with n_words, phrase places (structs of start and phrase number) and the blocks that pass the
-    prefix and length filters (structs of first word, distinct template words and whether the block crosses a line break)."""
+    prefix and length filters (structs of size, first word, distinct template words and whether the block crosses a line
+    break). ``least``: for each size of blocks the fewest distinct template words that a template needs."""
     codes = [np.array([vocab[w] for w in words_of(p.encode())]) for p in phrases]
 
     def run(batches):
@@ -112,15 +126,15 @@ def scanned(docs: DataFrame, vocab: dict[bytes, int], phrases, prefixes: set[int
                 places.append(found)
                 blocks = []
                 if prefixes.intersection(c.tolist()):
-                    for at, words, crosses in text_blocks(text):
+                    for size, at, words, crosses in text_blocks(text, tuple(least)):
                         hit = set(map(vocab.get, words, repeat(0))) - {0}
-                        if len(hit) >= least and hit & prefixes:
-                            blocks.append({"first": at, "words": sorted(hit), "crosses": crosses})
+                        if len(hit) >= least[size] and hit & prefixes:
+                            blocks.append({"size": size, "first": at, "words": sorted(hit), "crosses": crosses})
                 kept.append(blocks)
-            place, block = pa.struct([("start", pa.int64()), ("phrase", pa.int32())]), pa.struct([("first", pa.int64()), ("words", pa.list_(pa.int32())), ("crosses", pa.bool_())])
+            place, block = pa.struct([("start", pa.int64()), ("phrase", pa.int32())]), pa.struct([("size", pa.int32()), ("first", pa.int64()), ("words", pa.list_(pa.int32())), ("crosses", pa.bool_())])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(places, pa.list_(place)), pa.array(kept, pa.list_(block))], ["doc_id", "n_words", "places", "blocks"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, places array<struct<start:long,phrase:int>>, blocks array<struct<first:long,words:array<int>,crosses:boolean>>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, places array<struct<start:long,phrase:int>>, blocks array<struct<size:int,first:long,words:array<int>,crosses:boolean>>")
 
 
 def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
@@ -139,14 +153,15 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=T
     for number, (label, text) in enumerate(templates):
         words = sorted({vocab[w] for w in words_of(text.encode())}, key=lambda w: (often.get(w, 0), w))
         needed = math.ceil(containment * len(words) - 1e-9)
-        sets.append((number, label, words, needed, words[: len(words) - needed + 1]))
-    prefixes = {w for *_, prefix in sets for w in prefix}
-    rows = materialise(scanned(docs, vocab, phrases, prefixes, min(needed for *_, needed, _ in sets)).withColumn("row", F.monotonically_increasing_id()), "blocks")
+        sets.append((number, label, words, needed, words[: len(words) - needed + 1], block_of(len(words_of(text.encode())))))
+    prefixes = {w for *_, prefix, _ in sets for w in prefix}
+    least = {size: min(s[3] for s in sets if s[5] == size) for size in sorted({s[5] for s in sets})}
+    rows = materialise(scanned(docs, vocab, phrases, prefixes, least).withColumn("row", F.monotonically_increasing_id()), "blocks")
 
     # one row for each template and prefix word: a few hundred, broadcast
-    index = docs.sparkSession.createDataFrame([(w, n, label, words, needed, at) for n, label, words, needed, prefix in sets for at, w in enumerate(prefix)], "word int, template int, label string, t_words array<int>, needed int, at int")
-    blocks = rows.select("row", F.explode("blocks").alias("b")).select("row", "b.first", "b.words", "b.crosses", F.explode("b.words").alias("word"))
-    pairs = blocks.join(F.broadcast(index), "word")
+    index = docs.sparkSession.createDataFrame([(w, size, n, label, words, needed, at) for n, label, words, needed, prefix, size in sets for at, w in enumerate(prefix)], "word int, size int, template int, label string, t_words array<int>, needed int, at int")
+    blocks = rows.select("row", F.explode("blocks").alias("b")).select("row", "b.size", "b.first", "b.words", "b.crosses", F.explode("b.words").alias("word"))
+    pairs = blocks.join(F.broadcast(index), ["word", "size"])
     # at a template's at-th word the block can share at most what is left of the template
     pairs = pairs.where((F.size("words") >= F.col("needed")) & (F.size("t_words") - F.col("at") >= F.col("needed")))
     pairs = pairs.withColumn("both", F.size(F.array_intersect("words", "t_words"))).where(F.col("both") >= F.col("needed"))
