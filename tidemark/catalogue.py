@@ -80,7 +80,7 @@ VIEWS["chains"] = """SELECT n AS id, CAST(floor(n / 150) AS BIGINT) AS block, CA
 @query("pit_chain_integrity", """SELECT block, CAST(count(*) AS BIGINT) AS facts, CAST(count(superseded_by) AS BIGINT) AS superseded, CAST(count(*) FILTER (block % 3 = 0 OR (block % 3 = 1 AND 149 - id % 150 > 100)) AS BIGINT) AS defects FROM chains GROUP BY block""")
 def _(v):
     facts = v("chains")
-    bad = pit.chain_defects(facts).select(F.col("id").alias("bad"))
+    bad = pit.chain_defects(facts, keys=("block",)).select(F.col("id").alias("bad"))
     rows = facts.join(bad, F.col("id") == F.col("bad"), "left")
     return rows.groupBy("block").agg(F.count("*").alias("facts"), F.count("superseded_by").alias("superseded"), F.count("bad").alias("defects"))
 

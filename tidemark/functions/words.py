@@ -39,7 +39,7 @@ ALLOWED = (
 #: Scopes whose texts are not checked.
 EXEMPT = ("user_private", "external_quote")
 DEEPEST = 64
-HIT = "array<struct<word:string,canonical:string,kind:string,index:int>>"
+HIT = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("word", T.StringType()), ("canonical", T.StringType()), ("kind", T.StringType()), ("index", T.IntegerType()))]))
 
 
 def alternatives(words) -> str:
@@ -81,7 +81,7 @@ def leaves(payload, excluded: frozenset[str], deepest: int = DEEPEST):
 
 def found(rows: DataFrame, key: str, text: str, words_of) -> DataFrame:
     """key, word, canonical, kind, index: a row for each hit that ``words_of`` gives for the column ``text``."""
-    schema = T.StructType([T.StructField("key", rows.schema[key].dataType), T.StructField("hits", T._parse_datatype_string(HIT))])
+    schema = T.StructType([T.StructField("key", rows.schema[key].dataType), T.StructField("hits", HIT)])
     kind = pa.list_(pa.struct([("word", pa.string()), ("canonical", pa.string()), ("kind", pa.string()), ("index", pa.int32())]))
 
     def run(batches):

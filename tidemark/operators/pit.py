@@ -97,14 +97,27 @@ def dividends(actions: DataFrame, as_of) -> DataFrame:
     return active(actions, as_of, "announced_date").where((F.col("action_type") == "cash_dividend") & (F.col("effective_date") <= on(as_of)))
 
 
-def chain_defects(facts: DataFrame, id: str = "id", next: str = "superseded_by", deepest: int = 100) -> DataFrame:
-    """id, depth, cyclic of facts whose chain has a cycle or more than ``deepest`` hops. Pointers are doubled: each
-    round follows twice as many hops, so seven rounds see 128."""
-    links = facts.where(F.col(next).isNotNull()).select(F.col(id).alias("id"), F.col(next).alias("to"), F.lit(1).alias("hops"))
-    for _ in range(deepest.bit_length()):
-        ahead = links.select(F.col("id").alias("_id"), F.col("to").alias("_to"), F.col("hops").alias("_hops"))
-        links = links.join(ahead, F.col("to") == F.col("_id"), "left").select("id", F.coalesce("_to", "to").alias("to"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"))
-    return links.where(F.col("hops") > deepest).select("id", "hops")
+def chain_defects(facts: DataFrame, id: str = "id", next: str = "superseded_by", deepest: int = 100, keys: tuple[str, ...] = ()) -> DataFrame:
+    """id, hops of facts whose chain has a cycle or more than ``deepest`` hops (counted until the chain ends or that is
+    certain). ``keys``: columns that all facts of a chain share; chains are then walked within their group, which holds
+    one series of restatements. Without keys pointers are doubled by joins: seven rounds follow 128 hops, and the plan
+    doubles with each, which suits small tables only."""
+    links = facts.where(F.col(next).isNotNull())
+    if not keys:
+        links = links.select(F.col(id).alias("id"), F.col(next).alias("to"), F.lit(1).alias("hops"))
+        for _ in range(deepest.bit_length()):
+            ahead = links.select(F.col("id").alias("_id"), F.col("to").alias("_to"), F.col("hops").alias("_hops"))
+            links = links.join(ahead, F.col("to") == F.col("_id"), "left").select("id", F.coalesce("_to", "to").alias("to"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"))
+        return links.where(F.col("hops") > deepest).select("id", "hops")
+    groups = links.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct(F.col(id).alias("id"), F.col(next).alias("to")))).alias("to"))
+
+    def walk(start: Column) -> Column:
+        begin = F.struct(start.alias("at"), F.lit(0).alias("hops"))
+        step = lambda a, _: F.struct(F.try_element_at("to", a["at"]).alias("at"), (a["hops"] + F.try_element_at("to", a["at"]).isNotNull().cast("int")).alias("hops"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(deepest)), begin, step)["hops"]
+
+    rows = groups.select(F.explode(F.transform(F.map_keys("to"), lambda k: F.struct(k.alias("id"), walk(k).alias("hops")))).alias("x")).select("x.*")
+    return rows.where(F.col("hops") > deepest)
 
 
 def batch_cutoff(facts: DataFrame, runs: DataFrame, source: str, cutoff: str | None, batch: str = "batch_id") -> DataFrame:

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidemark.operators.pit import on
 
@@ -35,7 +36,7 @@ def lookup(codes: DataFrame, securities: DataFrame) -> DataFrame:
     return rows.where("_r = 1").select("code", "id", F.when(F.col("way") == 1, True).otherwise(False).alias("historic"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Built-in functions know no compatibility forms."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
