@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ def query(name: str, sql: str | None = None):
     """Register a function of (view) -> DataFrame; ``view(name)`` gives a view."""
 
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(lambda v: spark_view(spark, sf_dir, v))
+        QUERIES[name] = lambda spark, sf_dir: f(cache(lambda v: spark_view(spark, sf_dir, v)))  # a view is analysed once
         if sql is not None:
             ORACLES[name] = oracle(sql)
         return f

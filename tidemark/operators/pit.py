@@ -38,10 +38,20 @@ def active(facts: DataFrame, as_of, date: str = "effective_date", id: str = "id"
     return joined.where(F.col("_next").isNull() | (F.col("_date") > on(as_of))).select(*(facts[c] for c in facts.columns))
 
 
-def spans(facts: DataFrame, date: str = "effective_date", id: str = "id", next: str = "superseded_by") -> DataFrame:
-    """Facts with ``until``, the day from which their direct successor counts instead; null without one."""
-    later = facts.select(F.col(id).alias("_next"), F.col(date).alias("until"))
-    return facts.join(later, F.col(next) == F.col("_next"), "left").drop("_next")
+def spans(facts: DataFrame, keys: list[str], date: str = "effective_date", id: str = "id", next: str = "superseded_by") -> DataFrame:
+    """Facts with ``until``, the day from which their direct successor counts instead (null without one), and, where
+    facts say when they were ``loaded``, next_loaded. ``keys``: columns that all facts of a chain share, code first;
+    the successor is looked for among the few facts of these. Rows come out partitioned on the first key, which is all
+    that later windows and aggregates of a code need: one shuffle for them together."""
+    loaded = ["loaded"] if "loaded" in facts.columns else []
+    entry = F.struct(F.col(id).alias("id"), F.col(date).alias("date"), *loaded)
+    chain = F.collect_list(entry).over(Window.partitionBy(*keys))
+    rows = facts.repartition(keys[0]).withColumn("_chain", chain)
+    rows = rows.withColumn("_next", F.get(F.filter("_chain", lambda x: x["id"] == F.col(next)), 0))
+    rows = rows.withColumn("until", F.col("_next.date"))
+    if loaded:
+        rows = rows.withColumn("next_loaded", F.col("_next.loaded"))
+    return rows.drop("_chain", "_next")
 
 
 class Moment:

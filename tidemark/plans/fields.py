@@ -36,15 +36,13 @@ def resolved_periods(facts: DataFrame, when: Moment, keys: list[str], source: st
 
     For a panel a fact leaves the resolved periods as soon as so many periods have appeared after its own, which
     bounds how often it is repeated, however long the panel."""
-    rows = pit.spans(facts)
+    rows = pit.spans(facts, [*keys, "period"])
     if when.panel is not None and "loaded" not in facts.columns:
         first = F.row_number().over(Window.partitionBy(*keys, "period").orderBy("effective_date", "id")) == 1
         rows = rows.withColumn("_first", first)
         after = F.lead("effective_date", PERIODS).over(Window.partitionBy(*keys, "_first").orderBy("effective_date", "period"))
         rows = rows.withColumn("until", F.when(F.col("_first"), F.least("until", after)).otherwise(F.col("until"))).drop("_first")
     if "loaded" in facts.columns:  # a successor that was loaded after the cutoff is not there yet
-        later = facts.select(F.col("id").alias("_next"), F.col("loaded").alias("next_loaded"))
-        rows = rows.join(later, F.col("superseded_by") == F.col("_next"), "left").drop("_next")
         cut = F.col(f"cut_{source}")
         there = F.col("next_loaded").isNotNull() & (cut.isNull() | (F.col("next_loaded") <= cut))
         rows = when.holding(rows, "effective_date", None, source).where(F.col("until").isNull() | ~there | (F.col("until") > when.on))
@@ -105,7 +103,7 @@ def from_statements(view, when: Moment, names: list[str]) -> DataFrame:
 
 def known_actions(view, when: Moment, since_days: int | None = None) -> DataFrame:
     """Actions known and in effect at each moment; ``since_days``: only those in effect within so many days."""
-    rows = pit.spans(view("actions"), "announced_date")
+    rows = pit.spans(view("actions"), ["code"], "announced_date")
     start = F.greatest("announced_date", "effective_date")
     end = F.col("until") if since_days is None else F.least("until", F.date_add("effective_date", since_days + 1))
     return when.holding(rows, start, end)

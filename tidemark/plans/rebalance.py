@@ -6,6 +6,7 @@ one row for each date, are ordered."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def period_returns(held: DataFrame, bars: DataFrame, actions: DataFrame, dates:
     for day, name in (("as_of", "a"), ("next", "b")):
         spans = spans.join(picked.select("code", F.col("day").alias(day), F.col("bar").alias(name)), ["code", day])
     spans = spans.where(F.col("a.close") > 0)
-    known = adjust.with_details(pit.spans(actions, "announced_date")).withColumn("f", adjust.factor()).where("f IS NOT NULL").select("code", "announced_date", "until", "effective_date", "f")
+    known = adjust.with_details(pit.spans(actions, ["code"], "announced_date")).withColumn("f", adjust.factor()).where("f IS NOT NULL").select("code", "announced_date", "until", "effective_date", "f")
     moves = spans.join(known, "code").where((F.greatest("announced_date", "effective_date") <= F.col("next")) & (F.col("until").isNull() | (F.col("until") > F.col("next"))) & (F.col("effective_date") > F.col("a.d")))
     after = lambda bar: F.product(F.when(F.col("effective_date") > F.col(f"{bar}.d"), F.col("f")).otherwise(1.0)).alias(f"f{bar}")
     rows = spans.join(moves.groupBy("as_of", "code").agg(after("a"), after("b")), ["as_of", "code"], "left")
@@ -101,8 +102,9 @@ def equity_curve(traded: DataFrame, returns: DataFrame) -> DataFrame:
 
 def backtest(view, dates: DataFrame, conditions: list[tuple[str, str, float]], start: str, trees: dict | None = None) -> DataFrame:
     """The equity curve of a screen over the dates; returns are measured on bars from ``start`` on. Cutoffs (columns
-    cut_KRX, cut_DART of ``dates``) bound what had been loaded."""
-    held = holdings(view, Moment(panel=dates), conditions, trees)
+    cut_KRX, cut_DART of ``dates``) bound what had been loaded. The portfolios, a few rows for each date, are kept in
+    memory or on disk, as three steps read them."""
+    held = holdings(view, Moment(panel=dates), conditions, trees).persist(StorageLevel.MEMORY_AND_DISK)
     bars = view("bars").where(F.col("d") >= F.lit(start).cast("date"))
     if "loaded" in bars.columns and "cut_KRX" in dates.columns:  # one cutoff for all dates of a back-test
         cut = F.broadcast(dates.agg(F.max("cut_KRX").alias("cut")))
