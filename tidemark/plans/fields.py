@@ -135,16 +135,21 @@ def trading_value(bars: DataFrame, calendar: DataFrame, as_of, days: int = TRADI
 
 def from_caps(view, when: Moment, names: list[str]) -> DataFrame:
     """The newest market cap and share count; each counts until the next one of its code."""
-    after = F.lead("effective_date").over(Window.partitionBy("code").orderBy("effective_date"))
-    rows = when.holding(view("market_caps").withColumn("until", after), "effective_date", "until")
     source = {"market_cap_krx_official": "market_cap", "shares_issued": "shares"}
+    rows = view("market_caps")
+    if when.panel is None:
+        rows = when.holding(rows, "effective_date").groupBy("code")
+        return rows.agg(*(F.max_by(source[n], "effective_date").alias(n) for n in names))
+    after = F.lead("effective_date").over(Window.partitionBy("code").orderBy("effective_date"))
+    rows = when.holding(rows.withColumn("until", after), "effective_date", "until")
     return rows.select(*when.keys, "code", *(F.col(source[n]).alias(n) for n in names))
 
 
 def from_treasury(view, when: Moment, names: list[str]) -> DataFrame:
-    rows = resolved_periods(view("treasury"), when, ["code"])
-    rows = pit.newest(rows.withColumn("_text", F.col("id").cast("string")), [*when.keys, "code"], "effective_date", "period", "_text")
-    return rows.select(*when.keys, "code", "shares_treasury")
+    """The newest active row by (date, period, id text)."""
+    rows = when.holding(pit.spans(view("treasury"), ["code", "period"]), "effective_date", "until")
+    newest = F.struct("effective_date", "period", F.col("id").cast("string"))
+    return rows.groupBy(*when.keys, "code").agg(F.max_by("shares_treasury", newest).alias("shares_treasury"))
 
 
 def from_dividends(view, when: Moment, names: list[str]) -> DataFrame:

@@ -55,12 +55,9 @@ VIEWS = {
     # quarterly sums of orders per customer as statements of five accounts; every fifth customer restated
     "statements": """SELECT id * 10 + k AS id, code, CASE k WHEN 0 THEN 'basic_eps' WHEN 1 THEN 'net_income' WHEN 2 THEN 'equity' WHEN 3 THEN 'dividends_paid' ELSE 'depreciation' END AS account,
  fy, fq, period, effective_date, CAST(CASE k WHEN 0 THEN v WHEN 1 THEN v * 3 - 400000 WHEN 2 THEN v + 1000 * fy WHEN 3 THEN -v ELSE v * 2 END AS DECIMAL(28,2)) AS value, superseded_by * 10 + k AS superseded_by FROM (
- SELECT c * 1000000 + fy * 100 + fq * 10 AS id, lpad(CAST(c AS STRING), 6, '0') AS code, fy, fq,
-  concat(CAST(fy AS STRING), 'Q', CAST(fq AS STRING)) AS period, make_date(fy, fq * 3, 28) + 90 AS effective_date, v,
-  CASE WHEN c % 5 = 0 THEN c * 1000000 + fy * 100 + fq * 10 + 1 END AS superseded_by FROM ytd
- UNION ALL
- SELECT c * 1000000 + fy * 100 + fq * 10 + 1, lpad(CAST(c AS STRING), 6, '0'), fy, fq,
-  concat(CAST(fy AS STRING), 'Q', CAST(fq AS STRING)), make_date(fy, fq * 3, 28) + 120, v + 1000, CAST(NULL AS BIGINT) FROM ytd WHERE c % 5 = 0) x
+ SELECT c * 1000000 + fy * 100 + fq * 10 + r AS id, lpad(CAST(c AS STRING), 6, '0') AS code, fy, fq, concat(CAST(fy AS STRING), 'Q', CAST(fq AS STRING)) AS period,
+  make_date(fy, fq * 3, 28) + (90 + 30 * r) AS effective_date, CAST(v + 1000 * r AS DECIMAL(28,2)) AS v, CASE WHEN r = 0 AND c % 5 = 0 THEN c * 1000000 + fy * 100 + fq * 10 + 1 END AS superseded_by
+ FROM ytd CROSS JOIN (SELECT 0 AS r UNION ALL SELECT 1) e WHERE r = 0 OR c % 5 = 0) x
  CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) a""",
     "ytd": """SELECT c, CAST(fy AS INT) AS fy, CAST(fq AS INT) AS fq, CAST(sum(v) OVER (PARTITION BY c, fy ORDER BY fq) AS DECIMAL(28,2)) AS v FROM (
  SELECT o_custkey AS c, year(o_orderdate) AS fy, quarter(o_orderdate) AS fq, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS v FROM {orders} GROUP BY 1, 2, 3) q""",
