@@ -10,7 +10,9 @@ single words leave over is the probability of one unknown word.
     alpha(h) = (1 - sum over seen w of P(w | h)) / (1 - sum over seen w of P(w))
     P(w)     = d(c(w)) c(w) / (N + RESERVE),  or 1 - sum of these for an unknown word
 
-RESERVE, a hundredth of a count for each context, keeps alpha above zero where every count is above R_MAX.
+Katz discounts only counts up to R_MAX, so a context whose counts are all larger has nothing left for unseen words, and
+a text with one would have probability zero. RESERVE, a hundredth of a count, is added to every context's total for
+them: it changes a seen pair by less than c / (c + 0.01), and each context still sums to exactly one.
 
 How it runs: documents are packed in chunks that hold their words as codes of a local dictionary. Each chunk asks
 for the corpus counts of its own distinct n-grams, once each, however often they occur, so no n-gram is hot; the
@@ -190,7 +192,8 @@ def katz_scores(docs: DataFrame, learn: Column) -> DataFrame:
     ``learn`` holds: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     A null or empty text is its end token alone. Repeated rows count as often as they occur. With nothing to
-    learn from, every token is unknown with probability 1. An empty table gives an empty result.
+    learn from, every token is unknown with probability 1. Very long texts are scored whole (one makes a longer
+    chunk). An empty table gives an empty result.
     """
     chunks = materialise(packed(docs, F.coalesce(learn, F.lit(False))), "chunks")
     asks = asked(chunks, shuffle_buckets(docs, "text", RANGE))
