@@ -6,7 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import formulas
+from tidemark.functions import formulas, words
 from tidemark.functions import records as rec
 from tidemark.operators import adjust, pit
 from tidemark.plans import factors, screen
@@ -116,3 +116,45 @@ def test_stream_appends_what_a_batch_would(spark, tmp_path):
         append_stream(spark, landed, schema, target, str(tmp_path / "marks"), ["code", "d"])
     rows = sorted((r.code, r.d.day) for r in spark.read.parquet(target).collect())
     assert rows == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
+
+
+def test_stream_reads_only_its_days(spark, tmp_path):
+    schema, landed, target = "code string, d date, close double", str(tmp_path / "landed"), str(tmp_path / "target")
+    for day in (1, 2, 2, 3):
+        spark.createDataFrame([("a", D(2024, 1, day), 1.0 * day), ("a", D(2024, 1, day), 9.0), ("b", D(2024, 1, day), 2.0)], schema).coalesce(1).write.mode("append").parquet(landed)
+        append_stream(spark, landed, schema, target, str(tmp_path / "marks"), ["code", "d"], by="d")
+    rows = sorted((r.code, r.d.day, r.close) for r in spark.read.parquet(target).collect())
+    assert rows == [("a", 1, 1.0), ("a", 2, 2.0), ("a", 3, 3.0), ("b", 1, 2.0), ("b", 2, 2.0), ("b", 3, 2.0)]
+    assert {p.name for p in (tmp_path / "target").iterdir() if p.is_dir()} == {"d=2024-01-01", "d=2024-01-02", "d=2024-01-03"}
+
+
+def test_words_and_allowed_phrases(spark):
+    scan = words.Scanner()
+    at = lambda text: [(h["canonical"], h["index"]) for h in scan(text)]
+    assert at("Strong buy or sell") == [("Strong Buy", 0), ("Sell", 14)] and at("buyer, buyout, Best Practice") == []
+    assert at("종목 추천을 제공 추천") == [("추천", 10)] and at("강력 매수") == [("강력 매수", 0)] and at("매수자와 매수") == [("매수", 5)]
+    assert at("ｂｕｙ　now") == [("Buy", 0)] and at("") == [] and scan(None) == []
+    assert [h["kind"] for h in words.Scanner(sentiment=True)("호재")] == ["ko_sentiment"] and at("호재") == []
+    deep = "[" * 80 + '"buy"' + "]" * 80
+    rows = spark.createDataFrame([(1, deep), (2, '{"a": ["Sell", {"name": "Buy"}], "n": 1}'), (3, "{"), (4, None)], "id long, payload string")
+    assert sorted((r.id, r.kind) for r in words.scanned_payloads(rows, "id", frozenset({"name"})).collect()) == [(1, "too_deep"), (2, "en_absolute"), (3, "no_json")]
+
+
+def test_positions_follow_later_splits(spark):
+    trades = [(1, "a", D(2024, 1, 1), 1, "buy", 11, 100.0, 0.0), (2, "b", D(2024, 1, 1), 1, "buy", 10, 50.0, 0.0)]
+    acts = [(1, "a", "split", D(2024, 1, 5), D(2024, 1, 9), 2.0, None, None), (2, "a", "reverse_split", D(2024, 1, 5), D(2024, 1, 12), 5.0, None, None), (3, "b", "merger", D(2024, 1, 5), D(2024, 1, 9), None, None, None), (4, "b", "split", D(2023, 1, 1), D(2023, 12, 1), 2.0, None, None)]
+    rows = screen.positions(spark.createDataFrame(trades, "id long, code string, trade_date date, user_id long, side string, quantity long, unit_price double, fee double"), spark.createDataFrame(acts, ACTS), "2024-02-01").collect()
+    assert {(r.code, r.quantity, r.average_cost, r.noticed) for r in rows} == {("a", 4, 275.0, 0), ("b", 10, 50.0, 1)}
+
+
+def test_loads_keep_one_row_of_a_key(spark):
+    stored = spark.createDataFrame([("a", 1, 1.0)], "code string, d int, x double")
+    new = spark.createDataFrame([("a", 1, 3.0), ("a", 1, 2.0), ("b", 1, 5.0), ("b", 1, 4.0)], "code string, d int, x double")
+    assert sorted(map(tuple, loads.upserted(stored, new, ["code", "d"]).collect())) == [("a", 1, 2.0), ("b", 1, 4.0)]
+    assert sorted(map(tuple, loads.appended(stored, new, ["code", "d"]).collect())) == [("b", 1, 4.0)]
+
+
+def test_chains_by_group_and_by_joins_agree(spark):
+    rows = [(k, k + 1 if k < 150 else None, "x") for k in range(151)] + [(1000, 1001, "y"), (1001, 1000, "y"), (2000, 2001, "z"), (2001, None, "z")]
+    facts = spark.createDataFrame(rows, "id long, superseded_by long, code string")
+    assert {r.id for r in pit.chain_defects(facts, keys=("code",)).collect()} == {*range(50), 1000, 1001}

@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.sources.loads import appended
+from tidemark.sources.loads import appended, once
 
 
-def append_stream(spark: SparkSession, landed: str, schema: str, target: str, checkpoint: str, keys: list[str]) -> None:
+def append_stream(spark: SparkSession, landed: str, schema: str, target: str, checkpoint: str, keys: list[str], by: str | None = None) -> None:
     """Append the rows of all files landed so far to the Parquet table ``target``, keys already stored being
-    ignored; returns when they are in. A batch that is run again adds nothing, as its keys are stored."""
+    ignored; returns when they are in. A batch that is run again adds nothing, as its keys are stored.
+
+    ``by``: one of the keys with few values in a batch (the day, say), which then partitions the target; a batch reads
+    only the partitions of its own values, however long the table has grown."""
 
     def write(batch: DataFrame, _: int) -> None:
         try:
-            batch = appended(spark.read.schema(batch.schema).parquet(target), batch, keys)
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
+            stored = spark.read.schema(batch.schema).parquet(target)
+        except AnalysisException as e:  # the first batch finds no table
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            batch = batch.dropDuplicates(keys)
-        batch.write.mode("append").parquet(target)
+            new = once(batch, keys)
+        else:
+            if by:
+                stored = stored.where(F.col(by).isin([r[0] for r in batch.select(by).distinct().collect()]))
+            new = appended(stored, batch, keys)
+        writer = new.write.mode("append")
+        (writer.partitionBy(by) if by else writer).parquet(target)
 
     rows = spark.readStream.schema(schema).parquet(landed)
     rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
