@@ -8,6 +8,7 @@ integer division.
 from __future__ import annotations
 
 import re
+import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -84,10 +85,19 @@ def fill(text: str, tables: dict[str, str], dow: int, div: str) -> str:
     return text
 
 
+def table_name(spark: SparkSession, sf_dir: str, table: str) -> str:
+    """A temporary view of a table's files, made once a session: their schema is then read once, not for each view."""
+    name = f"tidemark_{zlib.crc32(sf_dir.encode()):08x}_{table}"
+    if not spark.catalog.tableExists(name):
+        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(name)
+    return name
+
+
 def spark_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame."""
-    places = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
     views = [*needs(VIEWS[name]), name]
+    used = [t for t in TABLES if any("{" + t + "}" in VIEWS[v] for v in views)]
+    places = {t: table_name(spark, sf_dir, t) for t in used}
     parts = ", ".join(f"{v} AS ({fill(VIEWS[v], places, 6, '/')})" for v in views)
     return spark.sql(f"WITH {parts} SELECT * FROM {name}")
 
