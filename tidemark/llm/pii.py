@@ -35,7 +35,7 @@ CONTEXT = {
 }
 NEAR, BONUS, MIN_SCORE = 40, 0.2, 0.5
 #: Numbers summed at a time, characters of a piece of text, and the length of the shortest match of any kind.
-PART, PIECE, SHORTEST = 512, 4096, 5
+PART, PIECE, SHORTEST = 512, 4096, 4
 #: Columns used while working, unlikely as column names.
 OWN = "_pii_"
 
