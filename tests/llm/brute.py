@@ -45,15 +45,17 @@ def near_duplicates(rows, percent, n=5):
 
 
 def katz(rows, held, r_max=5, reserve=0.01):
-    """rows: (doc_id, text) -> {doc_id: (n_tokens, n_known, base, score)}, total; recursion per token."""
+    """rows: (doc_id, text) -> {doc_id: (n_tokens, n_known, base, score)}, total, sums of some contexts; recursion per token."""
     seqs = {i: [*words(t), "\n"] for i, t in rows}
-    one, two, after = Counter(), Counter(), defaultdict(set)
+    grams, after = [None, Counter(), Counter(), Counter()], defaultdict(set)
     for i, s in seqs.items():
         if not held(i):
-            one.update(s)
-            for h, w in zip(["\n", *s], s):
-                two[h, w] += 1
-                after[h].add(w)
+            s = ["\n", *s]
+            for at in range(1, len(s)):
+                for n in range(1, min(3, at + 1) + 1):
+                    gram = tuple(s[at - n + 1 : at + 1])
+                    grams[n][gram] += 1
+                    after[gram[:-1]].add(gram[-1])
 
     def factors(counts):
         n = Counter(counts.values())
@@ -64,29 +66,37 @@ def katz(rows, held, r_max=5, reserve=0.01):
             d[r] = x if 0 < x < 1 else (r - 0.5) / r
         return d
 
-    d1, d2 = factors(one), factors(two)
+    d = [None, *(factors(g) for g in grams[1:])]
+    one = {w: c for (w,), c in grams[1].items()}
     N, V = sum(one.values()), len(one)
-    known = {w: d1.get(c, 1) * c / (N + reserve) for w, c in one.items()}
-    unknown = 1 - sum(known.values())
-    p1 = lambda w: known.get(w, unknown)
+
+    def seen(h, w):
+        c = grams[len(h) + 1][(*h, w)]
+        return d[len(h) + 1].get(c, 1) * c / ((grams[len(h)][h] if h else N) + reserve)
+
+    unknown = 1 - sum(seen((), w) for w in one)
     alphas = {}
 
     def alpha(h):
         if h not in alphas:
-            seen = sum(d2.get(two[h, w], 1) * two[h, w] / (one[h] + reserve) for w in after[h])
-            alphas[h] = (1 - seen) / (1 - sum(p1(w) for w in after[h]))
+            alphas[h] = (1 - sum(seen(h, w) for w in after[h])) / (1 - sum(p(h[1:], w) for w in after[h]))
         return alphas[h]
 
-    def p2(h, w):
-        if two[h, w]:
-            return d2.get(two[h, w], 1) * two[h, w] / (one[h] + reserve)
-        return alpha(h) * p1(w) if one[h] else p1(w)
+    def p(h, w):
+        if grams[len(h) + 1][(*h, w)]:
+            return seen(h, w)
+        if not h:
+            return unknown
+        return alpha(h) * p(h[1:], w) if after.get(h) else p(h[1:], w)
 
     out = {}
     for i, s in seqs.items():
-        base = sum(math.log10((one[w] + 0.5) / (N + 0.5 * (V + 1))) for w in s)
-        out[i] = (len(s), sum(one[w] > 0 for w in s), base, sum(math.log10(p2(h, w)) for h, w in zip(["\n", *s], s)))
-    total = {h: sum(p2(h, w) for w in one) + (alpha(h) * unknown if one[h] else unknown) for h in list(one)[:50]}
+        base = sum(math.log10((one.get(w, 0) + 0.5) / (N + 0.5 * (V + 1))) for w in s)
+        before = ["\n", *s]
+        score = sum(math.log10(p(tuple(before[max(0, at - 1) : at + 1]), w)) for at, w in enumerate(s))
+        out[i] = (len(s), sum(w in one for w in s), base, score)
+    contexts = [h for h in list(after) if h][:: max(1, len(after) // 50)]
+    total = {h: sum(p(h, w) for w in [*one, None]) for h in contexts}
     return out, N, total
 
 

@@ -1,24 +1,30 @@
-"""Language-model scores of whole texts: a Katz back-off model of word pairs over single words.
+"""Language-model scores of whole texts: a Katz back-off model of word triples over pairs over single words.
 
-Counts of order 1 and 2 are Good-Turing discounted up to R_MAX; what a context leaves over goes to its unseen
+Counts of each order are Good-Turing discounted up to R_MAX; what a context leaves over goes to its unseen
 continuations in proportion to the lower order, by a weight that makes the context sum to exactly one. What the
 single words leave over is the probability of one unknown word.
 
-    P(w | h) = d(c(h, w)) c(h, w) / (c(h) + RESERVE)     if the pair was seen
-             = alpha(h) P(w)                              if only the context was seen
-             = P(w)                                       otherwise
-    alpha(h) = (1 - sum over seen w of P(w | h)) / (1 - sum over seen w of P(w))
+    P(w | h) = d(c(h, w)) c(h, w) / (c(h) + RESERVE)     if the n-gram was seen
+             = alpha(h) P(w | h')                         if only the context was seen
+             = P(w | h')                                  otherwise;   h': h without its first word
+    alpha(h) = (1 - sum over seen w of P(w | h)) / (1 - sum over seen w of P(w | h'))
     P(w)     = d(c(w)) c(w) / (N + RESERVE),  or 1 - sum of these for an unknown word
 
+A text is preceded by one end token; its first token is scored by the pair with that, as nothing stands before it.
+
 Katz discounts only counts up to R_MAX, so a context whose counts are all larger has nothing left for unseen words, and
 a text with one would have probability zero. RESERVE, a hundredth of a count, is added to every context's total for
-them: it changes a seen pair by less than c / (c + 0.01), and each context still sums to exactly one.
+them: it changes a seen n-gram by less than c / (c + 0.01), and each context still sums to exactly one.
 
 How it runs: documents are packed in chunks that hold their words as codes of a local dictionary. Each chunk asks
 for the corpus counts of its own distinct n-grams, once each, however often they occur, so no n-gram is hot; the
 askers of a key range meet in one group, which adds up the counts and answers. The answers are the count tables,
-partitioned by order and key range and, within it, by chunk. One chunk owns each seen pair and reports its share
-of the context's sums. Only unseen pairs need alpha; they are joined to it.
+partitioned by order and key range and, within it, by chunk. Words and pairs are asked for first. A triple of which
+one pair is learnt from in no other chunk occurs in no other either, so its count is known; the rest is asked for.
+
+Only n-grams in texts that are not learnt from can be unseen. The chunk that owns a seen n-gram reports it for the
+sums of its context if such a text has that context; the weights are exact, as these sums are whole numbers: how many
+continuations have each count up to R_MAX, at this order and the next lower one, and the total of the larger counts.
 """
 
 from __future__ import annotations
@@ -37,7 +43,7 @@ from tidemark.llm.common import discard, fold, materialise, mix, pack, pack_sort
 
 R_MAX = 5
 RESERVE = 0.01
-CHUNK = 8 << 20
+CHUNK = 6 << 20
 #: Bytes of text for each key range.
 RANGE = 4 << 20
 END = b"\n"
@@ -83,47 +89,66 @@ def packed(docs: DataFrame, learn: Column, chunk_bytes: int = CHUNK) -> DataFram
     return rows.mapInArrow(run, "chunk long, doc_id array<long>, learn array<boolean>, n_tokens array<int>, codes binary, keys binary")
 
 
-def grams(codes: np.ndarray, keys: np.ndarray):
-    """Of each order: the n-gram's number for each token, (context, word) codes of each number, keys, and the
-    order in which the keys ascend."""
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b))
+
+
+def pairs_of(codes: np.ndarray, keys: np.ndarray):
+    """Each token's pair with the token before it, as a number; the words of each number; its key."""
     before = np.concatenate([codes[:1] * 0, codes[:-1]]).astype(np.int64)
     pairs, number = np.unique(before * len(keys) + codes, return_inverse=True)
     h, w = pairs // len(keys), pairs % len(keys)
-    pair_keys = mix(keys[h] * np.uint64(0x9E3779B97F4A7C15) + mix(keys[w]))
-    return (codes, None, keys, np.argsort(keys, kind="stable")), (number, (h, w), pair_keys, np.argsort(pair_keys, kind="stable"))
+    return number, h, w, joined(keys[h], keys[w])
+
+
+def ask_rows(order: int, chunk: int, keys: np.ndarray, n: np.ndarray, buckets: int) -> list[tuple]:
+    up = np.argsort(keys, kind="stable")
+    keys, n = keys[up], n.astype(np.uint32)[up]
+    return [(order, bucket, chunk, pack_sorted(keys[i:j]), pack(n[i:j])) for bucket, i, j in slices(keys, buckets)]
 
 
 def asked(chunks: DataFrame, buckets: int) -> DataFrame:
-    """For each chunk, order and key range: the chunk's distinct n-grams and their counts in what is learnt from."""
+    """For each chunk, order (1, 2) and key range: the chunk's distinct n-grams and, in ``n``, twice their count in
+    what is learnt from, plus one where the n-gram stands in another text."""
 
     def run(batches):
         for b in batches:
             for r in b.to_pylist():
                 codes, keys = unpack(r["codes"], np.int32), unpack(r["keys"], np.uint64)
-                learn = np.repeat(r["learn"], r["n_tokens"]).astype(np.float64)
-                for order, (number, _, k, up) in enumerate(grams(codes, keys), 1):
-                    n = np.bincount(number, learn, len(k)).astype(np.uint32)[up]
-                    k = k[up]
-                    out = [(order, bucket, r["chunk"], pack_sorted(k[i:j]), pack(n[i:j])) for bucket, i, j in slices(k, buckets)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["ord", "bucket", "chunk", "keys", "n"])
+                learn = np.repeat(r["learn"], r["n_tokens"]).astype(bool)
+                number, _, _, pair_keys = pairs_of(codes, keys)
+                for order, (at, k) in enumerate(((codes, keys), (number, pair_keys)), 1):
+                    n = 2 * np.bincount(at[learn], minlength=len(k)) + (np.bincount(at[~learn], minlength=len(k)) > 0)
+                    out = ask_rows(order, r["chunk"], k, n, buckets)
+                    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["ord", "bucket", "chunk", "keys", "n"])
 
     return chunks.mapInArrow(run, "ord int, bucket int, chunk long, keys binary, n binary")
 
 
+def histogram(counts: np.ndarray) -> list[int]:
+    """How many of ``counts`` are 1, 2, .. R_MAX + 1."""
+    return np.bincount(np.minimum(counts, R_MAX + 2), minlength=R_MAX + 3)[1 : R_MAX + 2].tolist()
+
+
+ANSWERS = "ord int, bucket int, chunk long, totals binary, flags binary, counts array<long>, tokens long, types long"
+
+
 def answered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Corpus counts of one key range, as each chunk asked for them; which chunk owns each n-gram; and, in one row
-    without chunk, how many n-grams have each count."""
+    """Corpus counts of one key range, as each chunk asked for them; flags: 1 where the chunk owns the n-gram, 2 where
+    a text that is not learnt from has it; and, in one row without chunk, how many n-grams have each count."""
     pdf = pdf.sort_values("chunk")
     keys = [unpack_sorted(x) for x in pdf["keys"]]
     n = np.concatenate([unpack(x, np.uint32) for x in pdf["n"]])
-    ends = np.cumsum([len(k) for k in keys])
+    ends = np.cumsum([len(k) for k in keys])[:-1]
     _, first, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    total = np.bincount(number, n).astype(np.int64)
-    own = np.zeros(len(number), np.uint8)
-    own[first] = 1
-    out = [(o, b, c, pack(t), pack(f), None, None, None) for o, b, c, t, f in zip(pdf["ord"], pdf["bucket"], pdf["chunk"], np.split(total[number], ends[:-1]), np.split(own, ends[:-1]))]
-    out.append((pdf["ord"].iloc[0], pdf["bucket"].iloc[0], None, None, None, np.bincount(np.minimum(total, R_MAX + 2), minlength=R_MAX + 3)[1 : R_MAX + 2].tolist(), int(total.sum()), int((total > 0).sum())))
-    out = pd.DataFrame(out, columns=["ord", "bucket", "chunk", "totals", "own", "counts", "tokens", "types"])
+    total = np.bincount(number, n >> 1).astype(np.int64)
+    flags = ((np.bincount(number, n & 1) > 0) * 2).astype(np.uint8)[number]
+    flags[first] += 1
+    order, bucket = pdf["ord"].iloc[0], pdf["bucket"].iloc[0]
+    out = [(order, bucket, c, pack(t), pack(f), None, None, None) for c, t, f in zip(pdf["chunk"], np.split(total[number], ends), np.split(flags, ends))]
+    out.append((order, bucket, None, None, None, histogram(total), int(total.sum()), int((total > 0).sum())))
+    out = pd.DataFrame(out, columns=["ord", "bucket", "chunk", "totals", "flags", "counts", "tokens", "types"])
     return out.astype({"chunk": "Int64", "tokens": "Int64", "types": "Int64"})
 
 
@@ -143,46 +168,142 @@ def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
     return d[np.minimum(c, R_MAX + 1) % (R_MAX + 1)] * c
 
 
-def scored(stats: dict):
-    """The function that scores a chunk from its own row and its answers."""
-    one, two = stats.get(1), stats.get(2)
-    d1, d2 = discounts(one["counts"]), discounts(two["counts"])
+class Chunk:
+    """A chunk's tokens and its distinct words, pairs and triples with what is known about their counts."""
+
+    def __init__(self, chunk: pd.DataFrame, told: pd.DataFrame):
+        r = chunk.iloc[0]
+        self.id, self.doc_id, self.learn = int(r["chunk"]), list(r["doc_id"]), np.asarray(r["learn"], bool)
+        self.sizes = np.asarray(r["n_tokens"])
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.codes, self.keys = unpack(r["codes"], np.int32), unpack(r["keys"], np.uint64)
+        self.pair, self.h, self.w, self.pair_keys = pairs_of(self.codes, self.keys)
+        self.told = told.sort_values(["ord", "bucket"])
+        self.c, self.word_flags = self.answers(1, np.argsort(self.keys, kind="stable"), len(self.keys))
+        self.cc, self.pair_flags = self.answers(2, np.argsort(self.pair_keys, kind="stable"), len(self.h))
+        inner = np.ones(len(self.codes), bool)
+        inner[self.first] = False
+        #: Tokens that end a triple within their text; each one's triple; first and last pair of each triple.
+        self.at = np.flatnonzero(inner)
+        triples, self.triple = np.unique(self.pair[self.at - 1] * len(self.h) + self.pair[self.at], return_inverse=True)
+        self.hh, self.ww = triples // len(self.h), triples % len(self.h)
+        learnt = np.repeat(self.learn, self.sizes)
+        self.ccc = np.bincount(self.triple[learnt[self.at]], minlength=len(triples))
+        elsewhere = self.cc > np.bincount(self.pair[learnt], minlength=len(self.h))
+        self.asked = np.flatnonzero(elsewhere[self.hh] & elsewhere[self.ww])
+        self.asked_keys = joined(self.pair_keys[self.hh[self.asked]], self.pair_keys[self.ww[self.asked]])
+
+    def answers(self, order: int, up: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and flags of ``n`` n-grams, of which those at ``up`` were asked for in this sequence."""
+        out, told = [], self.told[self.told["ord"] == order]
+        for column, dtype in (("totals", np.int64), ("flags", np.uint8)):
+            x = np.zeros(n, dtype)
+            if len(up):
+                x[up] = np.concatenate([unpack(b, dtype) for b in told[column]])
+            out.append(x)
+        return out[0], out[1]
+
+
+def asked_triples(buckets: int):
+    """The function by which a chunk asks for its triples; those it knows the counts of are in one row without keys."""
+
+    def run(_, chunk: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        x = Chunk(chunk, told)
+        rows = [(*r, None) for r in ask_rows(3, x.id, x.asked_keys, 2 * x.ccc[x.asked], buckets)]
+        rows.append((3, None, x.id, None, None, histogram(np.delete(x.ccc, x.asked))))
+        return pd.DataFrame(rows, columns=["ord", "bucket", "chunk", "keys", "n", "counts"]).astype({"bucket": "Int32"})
+
+    return run
+
+
+def reported(order: int, context: np.ndarray, upper: np.ndarray, lower: np.ndarray, keys: np.ndarray, buckets: int) -> list[dict]:
+    """Sums over seen n-grams by context: how many have each count at their order and at the next lower one, and
+    the total of the lower order's larger counts."""
+    on, place = np.unique(context, return_inverse=True)
+    k = keys[on]
+    up = np.argsort(k, kind="stable")
+    k = k[up]
+    small = np.stack([np.bincount(place, x == r, len(on)) for x in (upper, lower) for r in range(1, R_MAX + 1)]).astype(np.uint32)[:, up]
+    large = np.bincount(place, lower * (lower > R_MAX), len(on)).astype(np.int64)[up]
+    return [{"kind": 1, "ord": order, "bucket": b, "keys": pack_sorted(k[i:j]), "x": pack(small[:, i:j].ravel()), "y": pack(large[i:j])} for b, i, j in slices(k, buckets)]
+
+
+def wanted(order: int, doc: np.ndarray, context: np.ndarray, c: np.ndarray, lower: np.ndarray, keys: np.ndarray, buckets: int) -> list[dict]:
+    """Weights that documents need: their contexts, how often, and the totals of the context and of the shorter one."""
+    at, n = np.unique(doc * len(keys) + context, return_counts=True)
+    k = keys[at % len(keys)]
+    up = np.argsort(k, kind="stable")
+    k, at, n = k[up], at[up], n[up].astype(np.uint32)
+    doc, on = (at // len(keys)).astype(np.uint32), at % len(keys)
+    return [
+        {"kind": 2, "ord": order, "bucket": b, "keys": pack_sorted(k[i:j]), "x": pack(doc[i:j]), "y": pack(n[i:j]), "c": pack(c[on[i:j]]), "lower": pack(lower[on[i:j]])}
+        for b, i, j in slices(k, buckets)
+    ]
+
+
+PARTS = "kind int, uid long, doc_id long, held boolean, n_tokens long, n_known long, base double, part double, ord int, bucket int, chunk long, keys binary, x binary, y binary, c binary, lower binary"
+
+
+def scored(stats: dict, d: dict, buckets: int):
+    """The function that scores a chunk from its own row and its answers, as far as no weight is needed (kind 0),
+    reports the sums of contexts (1) and says which weights are needed (2)."""
+    one = stats[1]
     N, V = one["tokens"], one["types"]
-    small = sum(r * n for r, n in enumerate(one["counts"][:R_MAX], 1))
-    left = 1 - (sum(d1[r] * r * n for r, n in enumerate(one["counts"][:R_MAX], 1)) + N - small) / (N + RESERVE)
+    left = (RESERVE + sum((1 - d[1][r]) * r * n for r, n in enumerate(one["counts"][:R_MAX], 1))) / (N + RESERVE)
 
     def run(_, chunk: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        r = chunk.iloc[0]
-        codes, keys = unpack(r["codes"], np.int32), unpack(r["keys"], np.uint64)
-        (_, _, _, up1), (number, (h, w), _, up2) = grams(codes, keys)
-        told = told.sort_values(["ord", "bucket"])
-
-        def answer(order: int, up: np.ndarray, column: str, dtype) -> np.ndarray:
-            x = np.empty(len(up), dtype)
-            x[up] = np.concatenate([unpack(b, dtype) for b in told.loc[told["ord"] == order, column]])
-            return x
-
-        c, cc, own = answer(1, up1, "totals", np.int64), answer(2, up2, "totals", np.int64), answer(2, up2, "own", np.uint8)
-        p = np.where(c > 0, discounted(c, d1) / (N + RESERVE), left)
-        seen = cc > 0
-        mass = discounted(cc, d2)
+        x = Chunk(chunk, told)
+        own = x.ccc > 0
+        up = x.asked[np.argsort(x.asked_keys, kind="stable")]
+        totals, flags = x.answers(3, up, len(own))
+        x.ccc[x.asked], own[x.asked] = totals[x.asked], (flags[x.asked] & 1) > 0
+        own &= x.ccc > 0
         with np.errstate(divide="ignore"):
-            of_pair = np.where(seen, np.log10(mass / (c[h] + RESERVE)), np.log10(p[w]))
-        sizes = np.asarray(r["n_tokens"])
-        first = np.cumsum(sizes) - sizes
-        per_doc = lambda x: np.add.reduceat(x, first)
-        uid = np.int64(r["chunk"]) * 1_000_000 + np.arange(len(sizes))
-        docs = pd.DataFrame({"uid": uid, "doc_id": pd.array(list(r["doc_id"]), "Int64") if any(i is None for i in r["doc_id"]) else np.asarray(r["doc_id"]), "held": ~np.asarray(r["learn"], bool), "n_tokens": sizes, "n_known": per_doc((c > 0)[codes].astype(np.int64)), "base": per_doc(np.log10((c + 0.5) / (N + 0.5 * (V + 1)))[codes]), "part": per_doc(of_pair[number])})
-        mine = seen & (own == 1)
-        s, q = np.bincount(h[mine], mass[mine], len(keys)), np.bincount(h[mine], p[w[mine]], len(keys))
-        on = np.flatnonzero(s)
-        sums = pd.DataFrame({"hkey": keys[on].view(np.int64), "s": s[on], "q": q[on], "c": c[on]})
-        missed = np.flatnonzero((~seen & (c[h] > 0))[number])
-        at, times = np.unique(np.repeat(np.arange(len(sizes)), sizes)[missed] * len(keys) + h[number[missed]], return_counts=True)
-        backs = pd.DataFrame({"uid": uid[at // len(keys)], "hkey": keys[at % len(keys)].view(np.int64), "n": times})
-        out = pd.concat([docs.assign(kind=0), sums.assign(kind=1), backs.assign(kind=2)])
-        whole = ["uid", "doc_id", "n_tokens", "n_known", "hkey", "c", "n"]
-        return out.astype({x: "Int64" for x in whole} | {"held": "boolean"})[["kind", "uid", "doc_id", "held", "n_tokens", "n_known", "base", "part", "hkey", "s", "q", "c", "n"]]
+            p1 = np.where(x.c > 0, discounted(x.c, d[1]) / (N + RESERVE), left)
+            pairs = np.log10(np.where(x.cc > 0, discounted(x.cc, d[2]) / (x.c[x.h] + RESERVE), p1[x.w]))
+            triples = np.where(x.ccc > 0, np.log10(discounted(x.ccc, d[3]) / (x.cc[x.hh] + RESERVE)), pairs[x.ww])
+        tokens = pairs[x.pair]
+        tokens[x.at] = triples[x.triple]
+        per_doc = lambda v: np.add.reduceat(v, x.first)
+        docs = pd.DataFrame({"kind": 0, "uid": np.int64(x.id) * 1_000_000 + np.arange(len(x.sizes)), "doc_id": pd.array(x.doc_id, "Int64"), "held": ~x.learn, "n_tokens": x.sizes,
+                             "n_known": per_doc((x.c > 0)[x.codes].astype(np.int64)), "base": per_doc(np.log10((x.c + 0.5) / (N + 0.5 * (V + 1)))[x.codes]), "part": per_doc(tokens)})
+        mine = (x.cc > 0) & (x.pair_flags & 1 > 0) & (x.word_flags[x.h] & 2 > 0)
+        rows = reported(2, x.h[mine], x.cc[mine], x.c[x.w[mine]], x.keys, buckets)
+        mine = own & (x.pair_flags[x.hh] & 2 > 0)
+        rows += reported(3, x.hh[mine], x.ccc[mine], x.cc[x.ww[mine]], x.pair_keys, buckets)
+        at = np.flatnonzero(((x.cc == 0) & (x.c[x.h] > 0))[x.pair])
+        rows += wanted(2, x.doc[at], x.h[x.pair[at]], x.c, np.full(len(x.c), N), x.keys, buckets)
+        on = np.flatnonzero(((x.ccc == 0) & (x.cc[x.hh] > 0))[x.triple])
+        rows += wanted(3, x.doc[x.at[on]], x.hh[x.triple[on]], x.cc, x.c[x.w], x.pair_keys, buckets)
+        blobs = pd.DataFrame(rows, columns=["kind", "ord", "bucket", "keys", "x", "y", "c", "lower"]).assign(chunk=x.id)
+        out = pd.concat([docs, blobs]).reindex(columns=[f.split()[0] for f in PARTS.split(", ")])
+        return out.astype({f: "Int64" for f in ("uid", "n_tokens", "n_known", "ord", "bucket", "chunk")} | {"held": "boolean"})
+
+    return run
+
+
+def weighed(d: dict):
+    """The function that adds up the contexts of one key range and gives each document the weights that it needs."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        upper, lower = d[pdf["ord"].iloc[0]][1:], d[pdf["ord"].iloc[0] - 1][1:]
+        sums, asks = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 2]
+        if not len(asks):
+            return pd.DataFrame({"uid": np.zeros(0, np.int64), "back": np.zeros(0)})
+        on, place = np.unique(np.concatenate([unpack_sorted(k) for k in sums["keys"]]), return_inverse=True)
+        small = np.concatenate([unpack(b, np.uint32).reshape(2 * R_MAX, -1) for b in sums["x"]], axis=1)
+        small = np.stack([np.bincount(place, row, len(on)) for row in small])
+        large = np.bincount(place, np.concatenate([unpack(b, np.int64) for b in sums["y"]]), len(on))
+        r = np.arange(1, R_MAX + 1)
+        kept, covered = RESERVE + ((1 - upper) * r) @ small[:R_MAX], (lower * r) @ small[R_MAX:] + large
+        out = []
+        for chunk, keys, doc, n, c, low in zip(asks["chunk"], asks["keys"], asks["x"], asks["y"], asks["c"], asks["lower"]):
+            k, c, low = np.searchsorted(on, unpack_sorted(keys)), unpack(c, np.int64) + RESERVE, unpack(low, np.int64) + RESERVE
+            docs, number = np.unique(unpack(doc, np.uint32).astype(np.int64), return_inverse=True)
+            back = np.bincount(number, unpack(n, np.uint32) * np.log10(kept[k] / c / ((low - covered[k]) / low)))
+            out.append(pd.DataFrame({"uid": np.int64(chunk) * 1_000_000 + docs, "back": back}))
+        return pd.concat(out)
 
     return run
 
@@ -195,22 +316,27 @@ def katz_scores(docs: DataFrame, learn: Column) -> DataFrame:
     learn from, every token is unknown with probability 1. Very long texts are scored whole (one makes a longer
     chunk). An empty table gives an empty result.
     """
+    buckets = shuffle_buckets(docs, "text", RANGE)
     chunks = materialise(packed(docs, F.coalesce(learn, F.lit(False))), "chunks")
-    asks = asked(chunks, shuffle_buckets(docs, "text", RANGE))
-    answers = materialise(asks.groupBy("ord", "bucket").applyInPandas(answered, "ord int, bucket int, chunk long, totals binary, own binary, counts array<long>, tokens long, types long"), "answers")
+    counted = materialise(asked(chunks, buckets).groupBy("ord", "bucket").applyInPandas(answered, ANSWERS), "answers", drop_shuffles=True)
+    told = counted.where("chunk IS NOT NULL").select("chunk", "ord", "bucket", "totals", "flags")
+    asks = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(asked_triples(buckets), "ord int, bucket int, chunk long, keys binary, n binary, counts array<long>")
+    asks = materialise(asks, "triples", drop_shuffles=True)
+    triples = materialise(asks.where("keys IS NOT NULL").groupBy("ord", "bucket").applyInPandas(answered, ANSWERS), "triple_answers", drop_shuffles=True)
+    rows = counted.union(triples).where("chunk IS NULL").select("ord", "counts", "tokens", "types").union(asks.where("keys IS NULL").select("ord", "counts", F.lit(0), F.lit(0)))
     totals = [F.sum(F.col("counts")[i]).alias(f"n{i}") for i in range(R_MAX + 1)]
-    stats = {r["ord"]: {"counts": [r[f"n{i}"] for i in range(R_MAX + 1)], "tokens": r["tokens"], "types": r["types"]} for r in answers.where("chunk IS NULL").groupBy("ord").agg(*totals, F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).collect()}
-    none = {"counts": [0] * (R_MAX + 1), "tokens": 0, "types": 0}
-    run = scored({1: stats.get(1, none), 2: stats.get(2, none)})
-    told = answers.where("chunk IS NOT NULL").select("chunk", "ord", "bucket", "totals", "own")
-    parts = materialise(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(run, "kind int, uid long, doc_id long, held boolean, n_tokens long, n_known long, base double, part double, hkey long, s double, q double, c long, n long"), "parts")
-    discard(chunks, answers)
-    sums = parts.where("kind = 1").groupBy("hkey").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.max("c").alias("c"))
-    alpha = sums.select("hkey", F.log10((1 - F.col("s") / (F.col("c") + RESERVE)) / (1 - F.col("q"))).alias("alpha"))
-    back = parts.where("kind = 2").select("uid", "hkey", "n").join(alpha, "hkey").groupBy("uid").agg(F.sum(F.col("n") * F.col("alpha")).alias("back"))
+    stats = {o: {"counts": [0] * (R_MAX + 1), "tokens": 0, "types": 0} for o in (1, 2, 3)}
+    for r in rows.groupBy("ord").agg(*totals, F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).collect():  # three rows
+        stats[r["ord"]] = {"counts": [r[f"n{i}"] for i in range(R_MAX + 1)], "tokens": r["tokens"], "types": r["types"]}
+    d = {order: discounts(x["counts"]) for order, x in stats.items()}
+    discard(asks)
+    told = told.union(triples.where("chunk IS NOT NULL").select("chunk", "ord", "bucket", "totals", "flags"))
+    parts = materialise(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(scored(stats, d, buckets), PARTS), "parts", drop_shuffles=True)
+    discard(chunks, counted, triples)
+    contexts = parts.where("kind > 0").select("kind", "ord", "bucket", "chunk", "keys", "x", "y", "c", "lower")
+    back = contexts.groupBy("ord", "bucket").applyInPandas(weighed(d), "uid long, back double").groupBy("uid").agg(F.sum("back").alias("back"))
     rows = parts.where("kind = 0").join(back, "uid", "left")
-    tokens = stats.get(1, none)["tokens"]
-    return rows.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("part") + F.coalesce("back", F.lit(0.0))).alias("score"))
+    return rows.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(stats[1]["tokens"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("part") + F.coalesce("back", F.lit(0.0))).alias("score"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
