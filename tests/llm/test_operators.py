@@ -160,8 +160,9 @@ def test_katz(spark, small, texts):
         assert r.base_score == pytest.approx(base, rel=1e-10) and r.score == pytest.approx(score, rel=1e-10)
 
 
-@pytest.mark.parametrize("learn", [F.lit(True), ~common.fold("doc_id", 5, 1)])
-def test_katz_chunks_do_not_matter(spark, small, monkeypatch, learn):
+@pytest.mark.parametrize("all_learnt", [True, False])
+def test_katz_chunks_do_not_matter(spark, small, monkeypatch, all_learnt):
+    learn = F.lit(True) if all_learnt else ~common.fold("doc_id", 5, 1)
     docs = spark.read.parquet(f"{small}/documents.parquet").repartition(3)
     a = {r.doc_id: r.score for r in katz.katz_scores(docs, learn).collect()}
     small_chunks = katz.packed

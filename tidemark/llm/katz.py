@@ -20,7 +20,8 @@ How it runs: documents are packed in chunks that hold their words as codes of a
 for the corpus counts of its own distinct n-grams, once each, however often they occur, so no n-gram is hot; the
 askers of a key range meet in one group, which adds up the counts and answers. The answers are the count tables,
 partitioned by order and key range and, within it, by chunk. Words and pairs are asked for first. A triple of which
-one pair is learnt from in no other chunk occurs in no other either, so its count is known; the rest is asked for.
+one pair stands in no other chunk occurs in no other either, and one of which a pair is never learnt from has no
+count, so these counts are known; the rest is asked for.
 
 Only n-grams in texts that are not learnt from can be unseen. The chunk that owns a seen n-gram reports it for the
 sums of its context if such a text has that context; the weights are exact, as these sums are whole numbers: how many
@@ -190,7 +191,7 @@ class Chunk:
         self.hh, self.ww = triples // len(self.h), triples % len(self.h)
         learnt = np.repeat(self.learn, self.sizes)
         self.ccc = np.bincount(self.triple[learnt[self.at]], minlength=len(triples))
-        elsewhere = self.cc > np.bincount(self.pair[learnt], minlength=len(self.h))
+        elsewhere = (self.cc > np.bincount(self.pair[learnt], minlength=len(self.h))) | ((self.cc > 0) & (self.pair_flags & 2 > 0))
         self.asked = np.flatnonzero(elsewhere[self.hh] & elsewhere[self.ww])
         self.asked_keys = joined(self.pair_keys[self.hh[self.asked]], self.pair_keys[self.ww[self.asked]])
 
