@@ -285,13 +285,14 @@ def scored(stats: dict, d: dict, buckets: int):
 
 
 def weighed(d: dict):
-    """The function that adds up the contexts of one key range and gives each document the weights that it needs."""
+    """The function that adds up the contexts of one key range and gives each chunk's documents the weights that they
+    need, as one packed row a chunk."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         upper, lower = d[pdf["ord"].iloc[0]][1:], d[pdf["ord"].iloc[0] - 1][1:]
         sums, asks = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 2]
         if not len(asks):
-            return pd.DataFrame({"uid": np.zeros(0, np.int64), "back": np.zeros(0)})
+            return pd.DataFrame({"chunk": np.zeros(0, np.int64), "docs": [], "back": []})
         on, place = np.unique(np.concatenate([unpack_sorted(k) for k in sums["keys"]]), return_inverse=True)
         small = np.concatenate([unpack(b, np.uint32).reshape(2 * R_MAX, -1) for b in sums["x"]], axis=1)
         small = np.stack([np.bincount(place, row, len(on)) for row in small])
@@ -301,14 +302,21 @@ def weighed(d: dict):
         out = []
         for chunk, keys, doc, n, c, low in zip(asks["chunk"], asks["keys"], asks["x"], asks["y"], asks["c"], asks["lower"]):
             k, c, low = np.searchsorted(on, unpack_sorted(keys)), unpack(c, np.int64) + RESERVE, unpack(low, np.int64) + RESERVE
-            docs, number = np.unique(unpack(doc, np.uint32).astype(np.int64), return_inverse=True)
+            docs, number = np.unique(unpack(doc, np.uint32), return_inverse=True)
             back = np.bincount(number, unpack(n, np.uint32) * np.log10(kept[k] / c / ((low - covered[k]) / low)))
-            out.append(pd.DataFrame({"uid": np.int64(chunk) * 1_000_000 + docs, "back": back}))
-        return pd.concat(out)
+            out.append((chunk, pack(docs), pack(back)))
+        return pd.DataFrame(out, columns=["chunk", "docs", "back"])
 
     return run
 
 
+def backed(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The weights of one chunk's documents from all key ranges, added up."""
+    docs, number = np.unique(np.concatenate([unpack(b, np.uint32) for b in pdf["docs"]]), return_inverse=True)
+    back = np.bincount(number, np.concatenate([unpack(b, np.float64) for b in pdf["back"]]))
+    return pd.DataFrame({"uid": np.int64(pdf["chunk"].iloc[0]) * 1_000_000 + docs.astype(np.int64), "back": back})
+
+
 def katz_scores(docs: DataFrame, learn: Column) -> DataFrame:
     """One row for each row of ``docs`` (columns doc_id, text; others are ignored), learning from the rows where
     ``learn`` holds: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
@@ -335,7 +343,7 @@ def katz_scores(docs: DataFrame, learn: Column) -> DataFrame:
     parts = materialise(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(scored(stats, d, buckets), PARTS), "parts", drop_shuffles=True)
     discard(chunks, counted, triples)
     contexts = parts.where("kind > 0").select("kind", "ord", "bucket", "chunk", "keys", "x", "y", "c", "lower")
-    back = contexts.groupBy("ord", "bucket").applyInPandas(weighed(d), "uid long, back double").groupBy("uid").agg(F.sum("back").alias("back"))
+    back = contexts.groupBy("ord", "bucket").applyInPandas(weighed(d), "chunk long, docs binary, back binary").groupBy("chunk").applyInPandas(backed, "uid long, back double")
     rows = parts.where("kind = 0").join(back, "uid", "left")
     return rows.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(stats[1]["tokens"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("part") + F.coalesce("back", F.lit(0.0))).alias("score"))
 
