@@ -119,3 +119,21 @@ def test_run(spark, small, docs):
     assert out.columns == [*COLUMNS, "size", "source_size", "target", "taken"]
     assert 0 < len(rows) < docs.count() and all(0 < r.taken <= 3 * r.size for r in rows)
     assert len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_personal_data_keeps_columns_named_like_its_own(spark, docs, small):
+    """The operator's own column names as names of the user's columns: values stay, nothing is left unmasked."""
+    from tidemark.llm import pii
+
+    names = ["_pii_text", "_PII_Email", "_pii_spans", "__pii_text", "_pii_card", "_before"]
+    rows = spark.createDataFrame([(1, "mail a@b.co now", 15, *(f"v{k}" for k in range(len(names))))], f"doc_id long, text string, n_chars int, {', '.join(n + ' string' for n in names)}")
+    for out in (pii.mask_pii(rows), cp.mask_personal_data(spark, rows, small)):
+        assert out.columns == rows.columns
+        row = out.collect()[0]
+        assert row.text == "mail [EMAIL] now" and [row[n] for n in names] == [f"v{k}" for k in range(len(names))]
+    found = pii.find_pii(rows)
+    row = found.collect()[0]
+    assert found.columns == [*rows.columns, "spans"] and [row[n] for n in names] == [f"v{k}" for k in range(len(names))]
+    assert [(s.kind, s.start, s.end) for s in row.spans] == [("email", 5, 11)]
+    short = cp.mask_personal_data(spark, rows.select("doc_id", "text"), small)  # a table without n_chars
+    assert short.columns == ["doc_id", "text"] and short.collect()[0].text == "mail [EMAIL] now"

@@ -36,7 +36,7 @@ CONTEXT = {
 NEAR, BONUS, MIN_SCORE = 40, 0.2, 0.5
 #: Numbers summed at a time, characters of a piece of text, and the length of the shortest match of any kind.
 PART, PIECE, SHORTEST = 512, 4096, 4
-#: Columns used while working, unlikely as column names.
+#: How the columns used while working begin; lengthened where a column of the rows does.
 OWN = "_pii_"
 
 
@@ -133,16 +133,20 @@ def of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with a column _pii_spans: structs (start, rank, kind, end, score) by start, then kind as listed."""
+def with_spans(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with two more columns, and their names, which are none of its own: the text, and its spans as structs
+    (start, rank, kind, end, score) by start, then kind as listed."""
+    own = OWN
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own = "_" + own
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    docs = docs.withColumn(OWN + "text", text)
-    text = F.col(OWN + "text")
+    docs = docs.withColumn(own + "text", text)
+    text = F.col(own + "text")
     first, second = {}, {}
     for rank, (kind, pattern, needs, score) in enumerate(KINDS):
         there = text.contains(needs) if len(needs) == 1 else text.rlike(needs)
-        first[OWN + kind] = F.when(there, F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces")))
-        match = F.col(OWN + kind)
+        first[own + kind] = F.when(there, F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("pieces")))
+        match = F.col(own + kind)
 
         good = spans_of(match["found"], match["pieces"])
         if kind in CONFIRM:
@@ -150,11 +154,11 @@ def with_spans(docs: DataFrame) -> DataFrame:
         good = F.transform(good, scored(rank, kind, score))
         if kind not in BASE:
             good = F.filter(good, lambda s: s["score"] >= MIN_SCORE)
-        second[OWN + kind] = F.when(F.size(match["found"]) > 0, good)
+        second[own + kind] = F.when(F.size(match["found"]) > 0, good)
     docs = docs.withColumns(first).withColumns(second)
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int,score:double>>")
-    every = F.array_sort(F.concat(*(F.coalesce(F.col(OWN + k[0]), empty) for k in KINDS)))
-    return docs.withColumn(OWN + "spans", every).drop(*(OWN + k[0] for k in KINDS))
+    every = F.array_sort(F.concat(*(F.coalesce(F.col(own + k[0]), empty) for k in KINDS)))
+    return docs.withColumn(own + "spans", every).drop(*(own + k[0] for k in KINDS)), own + "text", own + "spans"
 
 
 def listed(spans: Column) -> Column:
@@ -186,17 +190,20 @@ def masked(text: Column, spans: Column) -> Column:
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (with text) plus spans: an array of (kind, start, end, score), by start and then kind
-    as listed in KINDS. A null or empty text has none. Repeated rows and other columns stay as they are; a column
+    as listed in KINDS. A null or empty text has none; texts of any length are searched whole, in time that grows with
+    their length and their spans. Repeated rows and other columns, whatever their names, stay as they are; a column
     spans is replaced. An empty table gives an empty result."""
-    out = with_spans(docs.drop("spans")).drop(OWN + "text")
-    return out.withColumn("spans", F.transform(OWN + "spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score")))).drop(OWN + "spans")
+    out, text, found = with_spans(docs.drop("spans"))
+    out = out.withColumn("spans", F.transform(found, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))))
+    return out.drop(text, found)
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """The same rows and columns with personal data in text replaced by [KIND]; a null text stays null."""
-    out = with_spans(docs)
-    text = F.when(F.col("text").isNotNull(), masked(F.col(OWN + "text"), F.col(OWN + "spans")))
-    return out.withColumn("text", text).select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The same rows and columns, whatever their names, with personal data in text replaced by [KIND]; a null text
+    stays null, and texts of any length are masked whole."""
+    out, text, found = with_spans(docs)
+    new = F.when(F.col("text").isNotNull(), masked(F.col(text), F.col(found)))
+    return out.withColumn("text", new).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
