@@ -59,7 +59,9 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced by its kind; n_chars follows where a text changed. A null
     text stays null, repeated rows and rows without doc_id are rows like others. Very long texts are masked whole,
-    further columns stay whatever their names; an empty table stays empty."""
+    further columns stay whatever their names; an empty table stays empty, and one without n_chars gets none."""
+    if "n_chars" not in docs.columns:
+        return pii.mask_pii(docs)
     before = unused("_before", docs.columns)
     out = pii.mask_pii(docs.withColumn(before, F.col("text")))
     changed = ~F.col("text").eqNullSafe(F.col(before))
