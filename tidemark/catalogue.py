@@ -10,19 +10,26 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import pit, universe
 from tidemark.operators import trading_calendar as cal
+from tidemark.sources.stored import kept_view
 from tidemark.views import VIEWS, oracle, spark_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 #: Dates as of which single-date queries ask.
 AS_OF, EARLIER = "1999-06-30", "1998-12-31"
+#: Views of facts that queries with many branches keep as tables.
+FACTS = ("securities", "bars", "actions", "statements", "market_caps", "treasury", "calendar", "batch_order", "loaded_bars", "loaded_statements")
 
 
-def query(name: str, sql: str | None = None):
-    """Register a function of (view) -> DataFrame; ``view(name)`` gives a view."""
+def query(name: str, sql: str | None = None, kept: tuple[str, ...] = ()):
+    """Register a function of (view) -> DataFrame; ``view(name)`` gives a view. ``kept``: views that it reads in several
+    branches, which are written once a session as tables bucketed by code."""
 
     def add(f):
-        QUERIES[name] = lambda spark, sf_dir: f(cache(lambda v: spark_view(spark, sf_dir, v)))  # a view is analysed once
+        def views(spark: SparkSession, sf_dir: str):
+            return cache(lambda v: (kept_view if v in kept else spark_view)(spark, sf_dir, v))  # a view is analysed once
+
+        QUERIES[name] = lambda spark, sf_dir: f(views(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = oracle(sql)
         return f

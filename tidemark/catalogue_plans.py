@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalogue import AS_OF, chain, query
+from tidemark.catalogue import AS_OF, FACTS, chain, query
 from tidemark.catalogue_market import D, FACTOR_SQL, MCAP, evaluated
 from tidemark.operators import pit
 from tidemark.operators import trading_calendar as cal
@@ -220,28 +220,28 @@ def near(v):
     return v("bars").where(F.col("d") >= F.lit(START).cast("date"))
 
 
-@query("bt_holdings", "SELECT as_of, code FROM o_held")
+@query("bt_holdings", "SELECT as_of, code FROM o_held", kept=FACTS)
 def _(v):
     return held(v)
 
 
-@query("bt_missing_price", "SELECT as_of, CAST(count(*) AS BIGINT) AS members, round(count(*) FILTER (NOT has_price) / count(*), 6) AS missing FROM o_members GROUP BY as_of")
+@query("bt_missing_price", "SELECT as_of, CAST(count(*) AS BIGINT) AS members, round(count(*) FILTER (NOT has_price) / count(*), 6) AS missing FROM o_members GROUP BY as_of", kept=FACTS)
 def _(v):
     rows = rebalance.priced(members(v), v("bars"))
     return rows.groupBy("as_of").agg(F.count("*").alias("members"), F.round(F.count_if(~F.col("has_price")) / F.count("*"), 6).alias("missing"))
 
 
-@query("bt_turnover", "SELECT as_of, n, round(sell, 6) AS sell, round(buy, 6) AS buy FROM o_cost")
+@query("bt_turnover", "SELECT as_of, n, round(sell, 6) AS sell, round(buy, 6) AS buy FROM o_cost", kept=FACTS)
 def _(v):
     return rebalance.turnover(held(v), dates(v)).select("as_of", "n", F.round("sell", 6).alias("sell"), F.round("buy", 6).alias("buy"))
 
 
-@query("bt_cost_drag", "SELECT as_of, round(cost, 8) AS cost FROM o_cost")
+@query("bt_cost_drag", "SELECT as_of, round(cost, 8) AS cost FROM o_cost", kept=FACTS)
 def _(v):
     return rebalance.turnover(held(v), dates(v)).select("as_of", F.round("cost", 8).alias("cost"))
 
 
-@query("bt_period_return", "SELECT as_of, round(period_return, 6) AS period_return FROM o_gain")
+@query("bt_period_return", "SELECT as_of, round(period_return, 6) AS period_return FROM o_gain", kept=FACTS)
 def _(v):
     return rebalance.period_returns(held(v), near(v), v("actions"), dates(v)).select("as_of", F.round("period_return", 6).alias("period_return"))
 
@@ -250,13 +250,13 @@ def curve(v):
     return rebalance.backtest(v, dates(v), CONDITIONS, START)
 
 
-@query("bt_equity_curve", "SELECT as_of, round(value, 6) AS value FROM o_curve")
+@query("bt_equity_curve", "SELECT as_of, round(value, 6) AS value FROM o_curve", kept=FACTS)
 def _(v):
     return curve(v).select("as_of", F.round("value", 6).alias("value"))
 
 
 @query("bt_stats", """SELECT round(max_by(value, as_of) - 1, 6) AS cumulative_return, round(min(value / peak - 1), 6) AS max_drawdown, round(stddev_samp(r) * 2, 6) AS volatility,
  round(CASE WHEN max_by(value, as_of) > 0 THEN pow(max_by(value, as_of), 1 / ((max(as_of) - min(as_of)) / 365.25)) - 1 END, 6) AS cagr, CAST(count(*) AS BIGINT) AS rebalances FROM
- (SELECT *, max(value) OVER (ORDER BY as_of ROWS UNBOUNDED PRECEDING) AS peak, value / lag(value) OVER (ORDER BY as_of) - 1 AS r FROM o_curve) x""")
+ (SELECT *, max(value) OVER (ORDER BY as_of ROWS UNBOUNDED PRECEDING) AS peak, value / lag(value) OVER (ORDER BY as_of) - 1 AS r FROM o_curve) x""", kept=FACTS)
 def _(v):
     return rebalance.stats(curve(v), 4).select(*(F.round(c, 6).alias(c) for c in ("cumulative_return", "max_drawdown", "volatility", "cagr")), "rebalances")

@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from tidemark.catalogue import AS_OF, query
+from tidemark.catalogue import AS_OF, FACTS, query
 from tidemark.catalogue_market import D
 from tidemark.catalogue_plans import CONDITIONS, START, VIEWS, dates
 from tidemark.functions import formulas, words
@@ -120,7 +120,7 @@ def loaded(v):
 
 
 @query("rep_reproduce_screen", """SELECT r.run, CAST(count(*) FILTER (x.mode = 1) AS BIGINT) AS stored, CAST(count(*) FILTER (x.mode = 0) AS BIGINT) AS reproduced, CAST(count(*) FILTER (x.mode = 1) - count(*) FILTER (x.both = 2) / 2 AS BIGINT) AS missing,
- CAST(count(*) FILTER (x.mode = 0) - count(*) FILTER (x.both = 2) / 2 AS BIGINT) AS extra, count(*) FILTER (x.both = 1) = 0 AS identical FROM runs r LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY run, code) AS both FROM o_screened) x ON r.run = x.run GROUP BY r.run""")
+ CAST(count(*) FILTER (x.mode = 0) - count(*) FILTER (x.both = 2) / 2 AS BIGINT) AS extra, count(*) FILTER (x.both = 1) = 0 AS identical FROM runs r LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY run, code) AS both FROM o_screened) x ON r.run = x.run GROUP BY r.run""", kept=FACTS)
 def _(v):
     runs = reproduce.cutoffs(v("runs"), v("batch_order"))
     none = F.lit(None).cast("int")
@@ -145,7 +145,7 @@ for _kind in ("cut", "all"):
  coalesce(lag(g.period_return) OVER (ORDER BY c.as_of), 0) AS r FROM o_moves c LEFT JOIN o_gain_{_kind} g ON c.as_of = g.as_of) x"""
 
 
-@query("rep_reproduce_panel", """SELECT a.as_of, round(a.value, 6) AS stored, round(b.value, 6) AS reproduced, round(a.value, 9) = round(b.value, 9) AS identical, TRUE AS same_engine FROM o_curve_all a JOIN o_curve_cut b ON a.as_of = b.as_of""")
+@query("rep_reproduce_panel", """SELECT a.as_of, round(a.value, 6) AS stored, round(b.value, 6) AS reproduced, round(a.value, 9) = round(b.value, 9) AS identical, TRUE AS same_engine FROM o_curve_all a JOIN o_curve_cut b ON a.as_of = b.as_of""", kept=FACTS)
 def _(v):
     run = reproduce.cutoffs(v("runs").where("run = 2"), v("batch_order")).select("cut_KRX")
     cut = dates(v).crossJoin(F.broadcast(run))  # the one run asked for

@@ -6,7 +6,12 @@ and a panel of dates. A fact is superseded only by its direct successor, and onl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+from bisect import bisect_left
+from datetime import timedelta
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
@@ -55,27 +60,56 @@ def spans(facts: DataFrame, keys: list[str], date: str = "effective_date", id: s
 
 
 class Moment:
-    """When a question is asked: one date, or a panel, a frame of a few hundred rows with as_of and further key
+    """When a question is asked: one date, or a panel, a frame of up to MOST_ROWS rows with as_of and further key
     columns (a run, say). One code path answers both; a panel's keys are part of every key."""
 
+    MOST_ROWS = 100_000
+
     def __init__(self, as_of=None, panel: DataFrame | None = None, keys: tuple[str, ...] = ("as_of",)):
         self.panel, self.keys = panel, list(keys) if panel is not None else []
         self.on = on(as_of) if panel is None else F.col("as_of")
 
+    @cached_property
+    def rows(self) -> list[Row]:
+        """The panel's rows by as_of; those without one ask nothing."""
+        rows = self.panel.where("as_of IS NOT NULL").limit(self.MOST_ROWS + 1).collect()
+        if len(rows) > self.MOST_ROWS:
+            raise ValueError(f"a panel has at most {self.MOST_ROWS} rows: ask in several")
+        return sorted(rows, key=lambda r: r.as_of)
+
+    def place(self, day: Column) -> Column:
+        """How many of the panel's rows are before a day: looked up by the day's distance from the first."""
+        dates = [r.as_of for r in self.rows]
+        if not dates:
+            return F.lit(0)
+        span = (dates[-1] - dates[0]).days
+        before = ",".join(str(bisect_left(dates, dates[0] + timedelta(k))) for k in range(span + 1))
+        off = F.datediff(day, F.lit(dates[0]))
+        return F.when(off <= 0, 0).when(off <= span, F.get(F.split(F.lit(before), ",").cast("array<int>"), off)).otherwise(len(dates))
+
     def holding(self, facts: DataFrame, since: str | Column, until: str | Column | None = None, source: str | None = None) -> DataFrame:
         """The facts that count at the moment: since <= as_of < until (null: for ever), for each row of a panel. Facts
-        are not shuffled; give ``until`` where it can be told, as it bounds how often a fact is repeated. ``source``:
-        where a panel has a cutoff for it, facts loaded later than that (column ``loaded``) do not count."""
+        are neither shuffled nor compared with every date: those of an interval are a slice of the sorted panel. Give
+        ``until`` where it can be told, as it bounds how often a fact is repeated. ``source``: where a panel has a cutoff
+        for it, facts loaded later than that (column ``loaded``) do not count."""
         as_column = lambda c: F.col(c) if isinstance(c, str) else c
-        good = as_column(since) <= self.on
-        if until is not None:
-            good = good & (as_column(until).isNull() | (as_column(until) > self.on))
-        cut = f"cut_{source}"
+        since = as_column(since)
         if self.panel is None:
+            good = since <= self.on
+            if until is not None:
+                good = good & (as_column(until).isNull() | (as_column(until) > self.on))
             return facts.where(good)
+        n = len(self.rows)
+        first = F.when(since.isNull(), n).otherwise(self.place(since))
+        last = F.lit(n) if until is None else F.when(as_column(until).isNull(), n).otherwise(self.place(as_column(until)))
+        text = json.dumps([r.asDict() for r in self.rows], default=str)
+        every = F.from_json(F.lit(text), f"array<{self.panel.schema.simpleString()}>")
+        some = F.slice(every, first + 1, F.greatest(last - first, F.lit(0)))
+        rows = facts.select("*", F.explode(some).alias("_panel")).select(*(F.col(f"`{c}`") for c in facts.columns), "_panel.*")
+        cut = f"cut_{source}"
         if source and cut in self.panel.columns and "loaded" in facts.columns:
-            good = good & (F.col(cut).isNull() | (F.col("loaded") <= F.col(cut)))
-        return facts.join(F.broadcast(self.panel), good)
+            rows = rows.where(F.col(cut).isNull() | (F.col("loaded") <= F.col(cut)))
+        return rows
 
 
 def newest(facts: DataFrame, keys: list[str], *order: str, n: int = 1) -> DataFrame:

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import adjust, pit, universe
+from tidemark.operators import adjust, pit, timeline
 from tidemark.operators.pit import Moment
 
 #: Days back for the last close, for trailing sums, and how early a year's first bar must be.
@@ -109,8 +109,31 @@ def known_actions(view, when: Moment, since_days: int | None = None) -> DataFram
     return when.holding(rows, start, end)
 
 
+def panel_prices(view, when: Moment, names: list[str]) -> DataFrame:
+    """The same for a panel, from running sums: each listed code asks for its last bar at each date and, for returns,
+    for its first of the year before."""
+    asked = when.holding(view("securities"), "listing_date", "delisting_date").select(*dict.fromkeys([*when.keys, "as_of"]), "code")
+    sides = asked.withColumns({"day": F.col("as_of"), "after": F.lit(False)})
+    if returns := "total_return_trailing_1y" in names:
+        sides = sides.unionByName(asked.withColumns({"day": F.date_sub("as_of", YEAR_DAYS), "after": F.lit(True)}))
+    days = timeline.action_days(view("actions"))
+    points = timeline.day_points(view("bars"), days)
+    side = lambda after, what: F.max(F.when(F.col("after") == after, F.col(what)))
+    rows = timeline.asked_points(points, sides, returns).groupBy(*when.keys, "code").agg(F.max("as_of").alias("_on"), side(False, "bar").alias("last"), side(False, "lf").alias("lf"), side(True, "bar").alias("first"))
+    rows = rows.join(timeline.odd_actions(days, points), "code", "left")
+    on, first, last, odd = (F.col(c) for c in ("_on", "first", "last", "odd"))
+    columns = {"close_price_adjusted": F.when(last["d"] >= F.date_sub(on, CLOSE_DAYS), timeline.price(last, F.col("lf"), odd, on, on))}
+    if returns:
+        year = (first["d"] <= F.date_sub(on, YEAR_START_DAYS)) & (last["d"] >= first["d"])
+        columns["total_return_trailing_1y"] = F.when(year, timeline.gained(first, last, odd, on) - 1)
+    return rows.select(*when.keys, "code", *(columns[n].alias(n) for n in names))
+
+
 def from_prices(view, when: Moment, names: list[str]) -> DataFrame:
-    """The last adjusted close of CLOSE_DAYS and the total return of a year, of one pass over adjusted bars."""
+    """The last adjusted close of CLOSE_DAYS and the total return of a year. One date reads the bars near it once;
+    so does a panel whose rows are cut off at what had been loaded, once for each row."""
+    if when.panel is not None and "loaded" not in view("bars").columns:
+        return panel_prices(view, when, names)
     days = YEAR_DAYS if "total_return_trailing_1y" in names else CLOSE_DAYS
     bars = view("bars").select("code", "d", "close", *(["loaded"] if "loaded" in view("bars").columns else []))
     near = when.holding(bars, "d", F.date_add("d", days + 1), "KRX").drop("loaded")

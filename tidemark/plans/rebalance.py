@@ -1,20 +1,20 @@
 """A screen evaluated over a whole panel of rebalance dates, and what its portfolios earned.
 
-All dates are one job: as_of is a column of every frame. Facts meet only the dates at which they count (intervals),
-and prices are picked by an as-of window on code, so no fact is repeated for every later date. Only the last steps,
-one row for each date, are ordered."""
+All dates are one job: as_of is a column of every frame. Facts meet only the dates at which they count (a slice of the
+sorted dates), and prices come from running sums over a code's history, so no bar is repeated for a date. Only the last
+steps, one row for each date, are ordered."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import formulas
-from tidemark.operators import adjust, pit
+from tidemark.operators import timeline
 from tidemark.operators.pit import Moment
 from tidemark.plans import factors, screen
 from tidemark.plans.fields import fields
+from tidemark.sources.stored import written
 
 #: Tax and commission of a trade, as shares of its value.
 TAX, COMMISSION = 0.0015, 0.00015
@@ -67,28 +67,17 @@ def turnover(held: DataFrame, dates: DataFrame) -> DataFrame:
     return rows.select("as_of", "n", sell.alias("sell"), buy.alias("buy"), (sell * (TAX + COMMISSION) + buy * COMMISSION).alias("cost"))
 
 
-def last_bars(asked: DataFrame, bars: DataFrame) -> DataFrame:
-    """asked (code, day) with bar (d, close), the last at or before the day: one window over both on code."""
-    bar = bars.select("code", "d", F.lit(0).alias("kind"), F.struct("d", F.col("close").cast("double").alias("close")).alias("bar"))
-    rows = bar.unionByName(asked.select("code", F.col("day").alias("d"), F.lit(1).alias("kind")), allowMissingColumns=True)
-    upto = Window.partitionBy("code").orderBy("d", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("bar", F.last("bar", ignorenulls=True).over(upto)).where("kind = 1").select("code", F.col("d").alias("day"), "bar")
-
-
 def period_returns(held: DataFrame, bars: DataFrame, actions: DataFrame, dates: DataFrame) -> DataFrame:
     """as_of, period_return: the mean of close(next) / close(as_of) - 1 over the holdings; both are the last bars up
     to their dates, adjusted as of the next date by the actions after the bar that are known by then."""
-    spans = held.join(F.broadcast(steps(dates).where("next IS NOT NULL").select("as_of", "next")), "as_of")
-    asked = spans.select("code", F.explode(F.array("as_of", "next")).alias("day")).distinct()
-    picked = last_bars(asked, bars)
-    for day, name in (("as_of", "a"), ("next", "b")):
-        spans = spans.join(picked.select("code", F.col("day").alias(day), F.col("bar").alias(name)), ["code", day])
-    spans = spans.where(F.col("a.close") > 0)
-    known = adjust.with_details(pit.spans(actions, ["code"], "announced_date")).withColumn("f", adjust.factor()).where("f IS NOT NULL").select("code", "announced_date", "until", "effective_date", "f")
-    moves = spans.join(known, "code").where((F.greatest("announced_date", "effective_date") <= F.col("next")) & (F.col("until").isNull() | (F.col("until") > F.col("next"))) & (F.col("effective_date") > F.col("a.d")))
-    after = lambda bar: F.product(F.when(F.col("effective_date") > F.col(f"{bar}.d"), F.col("f")).otherwise(1.0)).alias(f"f{bar}")
-    rows = spans.join(moves.groupBy("as_of", "code").agg(after("a"), after("b")), ["as_of", "code"], "left")
-    price = lambda bar: F.col(f"{bar}.close") * F.coalesce(f"f{bar}", F.lit(1.0))
+    spans = held.join(F.broadcast(steps(dates).where("next IS NOT NULL").select("as_of", "next")), "as_of").withColumn("after", F.lit(False))
+    asked = spans.withColumn("day", F.col("as_of")).unionByName(spans.withColumn("day", F.col("next")))
+    days = timeline.action_days(actions)
+    points = timeline.day_points(bars, days)
+    at = lambda day, what: F.max(F.when(F.col("day") == F.col(day), F.col(what)))
+    rows = timeline.asked_points(points, asked).groupBy("as_of", "next", "code").agg(at("as_of", "bar").alias("a"), at("next", "bar").alias("b"), at("next", "lf").alias("lf"))
+    rows = rows.where(F.col("a.close") > 0).join(timeline.odd_actions(days, points), "code", "left")
+    price = lambda bar: timeline.price(F.col(bar), F.col("lf"), F.col("odd"), F.col("next"), F.col("next"))
     rows = rows.groupBy("as_of").agg(F.avg(F.try_divide(price("b"), F.nullif(price("a"), F.lit(0.0))) - 1).alias("period_return"))
     return steps(dates).where("next IS NOT NULL").select("as_of").join(rows, "as_of", "left").na.fill(0.0)
 
@@ -102,9 +91,9 @@ def equity_curve(traded: DataFrame, returns: DataFrame) -> DataFrame:
 
 def backtest(view, dates: DataFrame, conditions: list[tuple[str, str, float]], start: str, trees: dict | None = None) -> DataFrame:
     """The equity curve of a screen over the dates; returns are measured on bars from ``start`` on. Cutoffs (columns
-    cut_KRX, cut_DART of ``dates``) bound what had been loaded. The portfolios, a few rows for each date, are kept in
-    memory or on disk, as three steps read them."""
-    held = holdings(view, Moment(panel=dates), conditions, trees).persist(StorageLevel.MEMORY_AND_DISK)
+    cut_KRX, cut_DART of ``dates``) bound what had been loaded. The portfolios, a few rows for each date, are written,
+    as three steps read them."""
+    held = written(holdings(view, Moment(panel=dates), conditions, trees), "portfolios")
     bars = view("bars").where(F.col("d") >= F.lit(start).cast("date"))
     if "loaded" in bars.columns and "cut_KRX" in dates.columns:  # one cutoff for all dates of a back-test
         cut = F.broadcast(dates.agg(F.max("cut_KRX").alias("cut")))
