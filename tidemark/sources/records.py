@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.stored import written
+
 #: Statements from best to worst, and the one that is not read.
 PRIORITY, UNREAD = ("BS", "IS", "CIS", "CF"), "SCE"
 #: Days from a quarter's end to the filing deadline, for the last quarter and the others.
@@ -199,29 +202,49 @@ def dividends(raw: DataFrame, days: DataFrame, common: str = "보통주") -> Dat
     return rows.withColumn("status", status).select("id", "code", "status", *(F.when(kept, F.col(c)).alias(c) for c in ("cash_amount", "effective_date", "payment_date")))
 
 
-def code_map(entries: DataFrame, rounds: int = 6) -> DataFrame:
-    """entries (place, corp_code, stock_code) with status: mapped, unlisted, bad_format, or why a row is rejected
-    (duplicate_stock, duplicate_corp). The first entry in file order has both of its codes; a rejected one claims none.
+#: Entries that one task may decide in file order.
+IN_ORDER = 100_000
+
+
+def in_file_order(batches):
+    """The places of the entries that are mapped, of few entries: the first that still has both of its codes."""
+    rows = sorted((p, s, c) for b in batches for p, s, c in zip(*(b.column(k).to_pylist() for k in range(3))))
+    stocks, corps, mapped = set(), set(), []
+    for place, stock, corp in rows:
+        if stock not in stocks and corp not in corps:
+            stocks.add(stock)
+            corps.add(corp)
+            mapped.append(place)
+    yield pa.RecordBatch.from_arrays([pa.array(mapped, pa.int64())], ["_place"])
+
+
+def code_map(entries: DataFrame) -> DataFrame:
+    """entries (place, corp_code, stock_code, further columns) with status: mapped, unlisted, bad_format, or why a row is
+    rejected: duplicate_stock or duplicate_corp. The first entry in file order has both of its codes; a rejected one
+    claims none.
 
     Each round maps the entries that are the first in question for both of their codes, and rejects those that share a
-    code with one mapped. What is still in question after ``rounds`` is told so (undecided)."""
+    code with one of them: every round decides some, and on lists that are not sorted to spite it nearly all. Rounds are
+    written tables. When at most IN_ORDER entries are in question, one task decides these in file order, so that a long
+    chain of shared codes costs no round for each of its links. Places are unique."""
     stock, corp = F.trim(F.coalesce("stock_code", F.lit(""))), F.trim(F.coalesce("corp_code", F.lit("")))
     fine = stock.rlike("^[0-9]{6}$") & corp.rlike("^[0-9]{8}$")
-    first = F.when(stock == "", "unlisted").when(~fine, "bad_format").otherwise("open")
-    rows = entries.withColumns({"_stock": stock, "_corp": corp, "status": first})
-    listed = rows.where("status = 'open'")
-    by = {c: Window.partitionBy(c) for c in ("_stock", "_corp")}
-    for _ in range(rounds):
-        lowest = F.min(F.when(F.col("status") == "open", F.col("place")))
-        listed = listed.withColumn("_a", lowest.over(by["_stock"]))
-        listed = listed.withColumn("_b", lowest.over(by["_corp"]))
-        taken = (F.col("status") == "open") & (F.col("place") == F.col("_a")) & (F.col("place") == F.col("_b"))
-        listed = listed.withColumn("status", F.when(taken, "mapped").otherwise(F.col("status")))
-        mapped_there = F.max(F.when(F.col("status") == "mapped", F.col("place")))
-        # windows over corp first: the rows are partitioned so already
-        listed = listed.withColumn("_c", mapped_there.over(by["_corp"])).withColumn("_s", mapped_there.over(by["_stock"]))
-        open_ = F.col("status") == "open"
-        listed = listed.withColumn("status", F.when(open_ & (F.col("_c").isNotNull() | F.col("_s").isNotNull()), "rejected").otherwise(F.col("status")))
-    why = F.when(F.col("status") != "rejected", F.when(F.col("status") == "open", "undecided").otherwise(F.col("status"))).when(F.col("_s") < F.col("place"), "duplicate_stock").otherwise("duplicate_corp")
-    done = listed.withColumn("status", why).select(*entries.columns, "status")
-    return done.union(rows.where("status <> 'open'").select(*entries.columns, "status"))
+    first = F.when(stock == "", "unlisted").when(~fine, "bad_format").otherwise("listed")
+    rows = entries.withColumns({"_stock": stock, "_corp": corp, "_place": F.col("place").cast("long"), "status": first})
+    listed = rows.where("status = 'listed'").select("_place", "_stock", "_corp")
+    open_, mapped = written(listed, "entries"), listed.select("_place").where("false")
+    while open_.count() > IN_ORDER:
+        firsts = [open_.groupBy(c).agg(F.min("_place").alias(f"_first{c}")) for c in ("_stock", "_corp")]
+        found = open_.join(firsts[0], "_stock").join(firsts[1], "_corp").where("_place = _first_stock AND _place = _first_corp").select("_place", "_stock", "_corp")
+        found = written(found, "mapped")
+        mapped = mapped.union(found.select("_place"))
+        for c in ("_stock", "_corp"):
+            open_ = open_.join(found.select(c), c, "left_anti")
+        open_ = written(open_.select("_place", "_stock", "_corp"), "entries")
+    rest = open_.coalesce(1).mapInArrow(in_file_order, "_place long")
+    mapped = written(mapped.union(rest), "mapped").withColumn("_mapped", F.lit(True))
+    rows = rows.join(mapped, "_place", "left")
+    taken = rows.where("_mapped").groupBy("_stock").agg(F.min("_place").alias("_taken"))
+    rows = rows.join(taken, "_stock", "left")
+    status = F.when(F.col("status") != "listed", F.col("status")).when(F.col("_mapped"), "mapped").when(F.col("_taken") < F.col("_place"), "duplicate_stock").otherwise("duplicate_corp")
+    return rows.withColumn("status", status).select(*entries.columns, "status")
