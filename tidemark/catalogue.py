@@ -155,11 +155,15 @@ def _(v):
     return pit.latest_macro(v("macro"), AS_OF).select("indicator_id", "reference_date", "vintage_date", "value")
 
 
-@query("pit_active_disclosure", """SELECT code, period, CAST(count(DISTINCT id % 10) AS BIGINT) AS receipts, count(DISTINCT id % 10) > 1 AS corrupt FROM statements WHERE superseded_by IS NULL GROUP BY code, period""")
+#: Statements with the citation of each row; reports of two kinds, some of whose rows cite another receipt.
+VIEWS["cited_statements"] = "SELECT *, id AS citation_id, CASE WHEN id % 10 < 3 THEN 'CFS' ELSE 'OFS' END AS ifrs_type FROM statements"
+VIEWS["citations"] = "SELECT id, CASE WHEN id % 10 = 1 AND CAST(code AS INT) % 7 = 0 THEN 'r0' ELSE concat('r', CAST(CAST(floor(id / 10) AS BIGINT) AS STRING)) END AS identifier FROM statements"
+
+
+@query("pit_active_disclosure", """SELECT s.code, s.period, s.ifrs_type, CAST(count(DISTINCT c.identifier) AS BIGINT) AS receipts, CASE WHEN count(DISTINCT c.identifier) = 1 THEN min(c.identifier) END AS receipt, count(DISTINCT c.identifier) > 1 AS corrupt
+ FROM cited_statements s JOIN citations c ON s.citation_id = c.id WHERE s.superseded_by IS NULL GROUP BY s.code, s.period, s.ifrs_type""")
 def _(v):
-    heads = v("statements").where("superseded_by IS NULL")
-    receipts = F.countDistinct(F.col("id") % 10)
-    return heads.groupBy("code", "period").agg(receipts.alias("receipts"), (receipts > 1).alias("corrupt"))
+    return pit.active_disclosures(v("cited_statements"), v("citations"))
 
 
 @query("pit_restatement_history", "SELECT code, period, id, CAST(row_number() OVER (PARTITION BY code, period, account ORDER BY effective_date, id) AS INTEGER) AS sequence, superseded_by IS NULL AS is_active FROM statements")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalogue import AS_OF, query
 from tidemark.catalogue_market import D
 from tidemark.functions import records as rec
 from tidemark.operators import pit
+from tidemark.operators import trading_calendar as cal
 from tidemark.sources import loads, records
+from tidemark.sources.stored import shared_folder
+from tidemark.streaming.loads import restatement_stream
 from tidemark.views import VIEWS
 
 VIEWS["raw_bars"] = "SELECT code, d, open, high, low, close, volume, CASE WHEN volume % 7 <> 0 THEN trading_value END AS trading_value FROM bars"
@@ -81,10 +87,14 @@ def _(v):
     return v("raw_receipts").where("receipt = 'none' OR receipt LIKE '20%'").select("id", date.alias("effective_date"), precise.alias("precise"))
 
 
-@query("src_macro_ecos", """SELECT id, CASE cycle WHEN 'D' THEN CAST(strptime(period, '%Y%m%d') AS DATE) WHEN 'A' THEN make_date(CAST(period AS INTEGER), 1, 1) WHEN 'Q' THEN make_date(CAST(substr(period, 1, 4) AS INTEGER), CAST(substr(period, 6, 1) AS INTEGER) * 3 - 2, 1)
- WHEN 'S' THEN make_date(CAST(substr(period, 1, 4) AS INTEGER), CAST(substr(period, 6, 1) AS INTEGER) * 6 - 5, 1) ELSE CASE WHEN substr(period, 5, 2) <> '13' THEN make_date(CAST(substr(period, 1, 4) AS INTEGER), CAST(substr(period, 5, 2) AS INTEGER), 1) END END AS reference_date FROM raw_periods""")
+VIEWS["raw_macro"] = "SELECT id, cycle, period, CASE WHEN id % 5 = 0 THEN 'n/a' WHEN id % 7 = 0 THEN ' ' ELSE concat(' ', CAST(id % 1000 AS STRING), '.25') END AS value, DATE '2024-02-01' + CAST(id % 10 AS INT) AS observed FROM raw_periods"
+
+
+@query("src_macro_ecos", """SELECT * FROM (SELECT id, CASE cycle WHEN 'D' THEN CAST(strptime(period, '%Y%m%d') AS DATE) WHEN 'A' THEN make_date(CAST(period AS INTEGER), 1, 1) WHEN 'Q' THEN make_date(CAST(substr(period, 1, 4) AS INTEGER), CAST(substr(period, 6, 1) AS INTEGER) * 3 - 2, 1)
+ WHEN 'S' THEN make_date(CAST(substr(period, 1, 4) AS INTEGER), CAST(substr(period, 6, 1) AS INTEGER) * 6 - 5, 1) ELSE CASE WHEN substr(period, 5, 2) <> '13' THEN make_date(CAST(substr(period, 1, 4) AS INTEGER), CAST(substr(period, 5, 2) AS INTEGER), 1) END END AS reference_date,
+ TRY_CAST(trim(value) AS DECIMAL(38,6)) AS value, observed AS vintage_date FROM raw_macro) x WHERE reference_date IS NOT NULL AND value IS NOT NULL""")
 def _(v):
-    return v("raw_periods").select("id", records.period_start(F.col("period"), F.col("cycle")).alias("reference_date"))
+    return records.macro_rows(v("raw_macro")).select("id", "reference_date", "value", "vintage_date")
 
 
 @query("src_macro_counters", """SELECT cycle, CAST(count(*) FILTER (period LIKE '%13' AND cycle = 'M') AS BIGINT) AS bad_period, CAST(count(*) FILTER (id % 5 = 0 AND NOT (period LIKE '%13' AND cycle = 'M')) AS BIGINT) AS not_a_number,
@@ -110,11 +120,13 @@ def _(v):
     return records.disclosures(v("raw_disclosures"), AS_OF, 5).select("code", "receipt", F.date_format("date", "yyyyMMdd").alias("day"), "malformed")
 
 
-@query("src_calendar_derive", "SELECT CAST(g.d AS DATE) AS day FROM (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS d FROM bars WHERE code = '000001') g WHERE dayofweek(g.d) NOT IN (0, 6) AND CAST(g.d AS DATE) NOT IN (SELECT d FROM bars WHERE code = '000001')")
+REASONS = "CASE strftime(day, '%m-%d') " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in cal.CLOSED.items()) + f" ELSE '{cal.OTHERWISE_CLOSED}' END"
+
+
+@query("src_calendar_derive", f"""SELECT day, {REASONS} AS reason FROM (SELECT CAST(g.d AS DATE) AS day FROM (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS d FROM bars WHERE code = '000001') g
+ WHERE dayofweek(g.d) NOT IN (0, 6) AND CAST(g.d AS DATE) NOT IN (SELECT d FROM bars WHERE code = '000001')) x""")
 def _(v):
-    bars = v("bars").where("code = '000001'")  # the reference instrument
-    days = bars.agg(F.min("d").alias("a"), F.max("d").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
-    return days.where(~F.dayofweek("day").isin(1, 7)).join(bars.select(F.col("d").alias("day")).distinct(), "day", "left_anti")
+    return cal.closed_days(v("bars").where("code = '000001'"))  # the reference instrument
 
 
 @query("src_security_master", "SELECT id, code, name, coalesce(listing_date, DATE '1980-01-01') AS listing_date, concat(code, ' ', CAST(coalesce(listing_date, DATE '1980-01-01') AS VARCHAR)) AS history FROM securities WHERE regexp_full_match(code, '[0-9]{6}') AND name IS NOT NULL AND name <> ''")
@@ -179,10 +191,37 @@ def _(v):
     return loads.repeated(v("raw_lines"), ["report", "account_id"])
 
 
-@query("load_dividend_dedup", "SELECT code, effective_date, min(id) AS id FROM actions WHERE action_type = 'cash_dividend' GROUP BY code, effective_date")
+#: A feed of dividends with repeats, rows without an ex-date, and two kinds a day; of which some are stored, beside other actions.
+VIEWS["dividend_feed"] = """SELECT id, code, CASE WHEN id % 26 = 0 THEN CAST(NULL AS DATE) ELSE effective_date END AS effective_date, CASE id % 6 WHEN 0 THEN '결산' WHEN 2 THEN '중간' END AS type FROM actions WHERE action_type = 'cash_dividend'
+ UNION ALL SELECT id + 10000000000, code, effective_date, CASE id % 6 WHEN 0 THEN '결산' WHEN 2 THEN '중간' END FROM actions WHERE action_type = 'cash_dividend' AND id % 14 = 0"""
+VIEWS["stored_dividends"] = "SELECT code, effective_date, action_type, CASE id % 6 WHEN 0 THEN '결산' WHEN 2 THEN '중간' END AS type FROM actions WHERE id % 10 = 0 OR action_type <> 'cash_dividend'"
+
+
+@query("load_dividend_dedup", """SELECT code, CAST(count(*) FILTER (new) AS BIGINT) AS saved, CAST(count(*) FILTER (NOT new AND effective_date IS NOT NULL) AS BIGINT) AS skipped, CAST(count(*) FILTER (effective_date IS NULL) AS BIGINT) AS gaps,
+ coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) FILTER (new), '') AS ids FROM (SELECT f.*, f.effective_date IS NOT NULL AND row_number() OVER (PARTITION BY f.code, f.effective_date, coalesce(f.type, '') ORDER BY f.id) = 1 AND NOT EXISTS
+ (SELECT 1 FROM stored_dividends s WHERE s.action_type = 'cash_dividend' AND s.code = f.code AND s.effective_date = f.effective_date AND coalesce(s.type, '') = coalesce(f.type, '')) AS new FROM dividend_feed f) x GROUP BY code""")
+def _(v):
+    rows, counts = loads.new_dividends(v("dividend_feed"), v("stored_dividends"))
+    ids = rows.groupBy("code").agg(F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids"))
+    return counts.join(ids, "code", "left").withColumn("ids", F.coalesce("ids", F.lit("")))
+
+
+#: Reports of statements as they land in three files: some land late, some twice.
+VIEWS["landed_reports"] = """SELECT id, code, period, account, effective_date, concat('r', CAST(CAST(floor(id / 10) AS BIGINT) AS STRING)) AS receipt, value, id % 3 AS file FROM statements
+ UNION ALL SELECT id + 100000000000, code, period, account, effective_date + 5, concat('r', CAST(CAST(floor(id / 10) AS BIGINT) AS STRING)), value + 1, (id + 1) % 3 FROM statements WHERE id % 7 = 0"""
+
+
+@query("load_restatement_stream", """SELECT id, code, period, account, receipt, value, lead(id) OVER (PARTITION BY code, period, account ORDER BY effective_date, receipt) AS superseded_by FROM
+ (SELECT *, row_number() OVER (PARTITION BY code, period, account, receipt ORDER BY effective_date, id) AS n FROM landed_reports) x WHERE n = 1""")
 def _(v):
-    rows = v("actions").where("action_type = 'cash_dividend'")
-    return loads.first_of_feed(rows, ["code", "effective_date"], "id").select("code", "effective_date", "id")
+    spark = SparkSession.active()
+    place = f"{shared_folder(spark)}/tidemark/reports-{uuid.uuid4().hex}"
+    reports = v("landed_reports")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reports.schema if f.name != "file")
+    for file in (2, 0, 1):  # each landing is one run of the stream
+        reports.where(F.col("file") == file).drop("file").write.mode("append").parquet(f"{place}/landed")
+        restatement_stream(spark, f"{place}/landed", schema, f"{place}/chains", f"{place}/progress", ["code", "period", "account"], parts=8)
+    return spark.read.parquet(f"{place}/chains").select("id", "code", "period", "account", "receipt", "value", "superseded_by")
 
 
 @query("load_macro_future_filter", f"SELECT indicator_id, reference_date, vintage_date, value FROM macro WHERE reference_date <= {D}")

@@ -63,6 +63,16 @@ VIEWS["o_fields"] = f"""SELECT s.code, s.security_type, c.close_price_adjusted,
  LEFT JOIN o_series e ON s.code = e.code AND e.account = 'basic_eps' LEFT JOIN o_series i ON s.code = i.code AND i.account = 'net_income' LEFT JOIN o_ranked q1 ON s.code = q1.code AND q1.account = 'equity' AND q1.n = 1
  LEFT JOIN o_ranked q2 ON s.code = q2.code AND q2.account = 'equity' AND q2.n = 2 LEFT JOIN o_ranked p ON s.code = p.code AND p.account = 'dividends_paid' AND p.n = 1
  LEFT JOIN o_series z ON s.code = z.code AND z.account = 'depreciation' LEFT JOIN o_dps d ON s.code = d.code LEFT JOIN o_year r ON s.code = r.code LEFT JOIN o_runs n ON s.code = n.code"""
+#: Bars on every business day from a code's first bar on: the last close, and nothing traded without a bar.
+VIEWS["o_dense"] = """SELECT s.code, c.day AS d, last_value(b.close IGNORE NULLS) OVER (PARTITION BY s.code ORDER BY c.day ROWS UNBOUNDED PRECEDING) AS close, coalesce(b.trading_value, 0) AS trading_value
+ FROM (SELECT code, min(d) AS first FROM bars GROUP BY code) s JOIN calendar c ON c.day >= s.first LEFT JOIN bars b ON b.code = s.code AND b.d = c.day"""
+VIEWS["o_dense_traded"] = VIEWS["o_traded"].replace("FROM bars", "FROM o_dense")
+#: Statements of ten codes that have every quarter, for sums over more quarters than most codes have in a row.
+VIEWS["ytd_dense"] = VIEWS["ytd"].replace("o_custkey AS c", "o_custkey % 10 AS c")
+VIEWS["dense_statements"] = VIEWS["statements"].replace("FROM ytd", "FROM ytd_dense")
+VIEWS["o_dense_periods"] = VIEWS["o_periods"].replace("statements", "dense_statements")
+VIEWS["o_dense_singles"] = VIEWS["o_singles"].replace("o_periods", "o_dense_periods")
+VIEWS["o_dense_runs"] = VIEWS["o_runs"].replace("o_singles", "o_dense_singles")
 MCAP = "((shares - treasury) * close_price_adjusted)"
 
 # ---- adjustment and total return --------------------------------------------------------------------------------
@@ -147,7 +157,6 @@ def field_query(name: str, field: str, sql: str) -> None:
 INCOME, EQUITY = factors.INCOME, factors.EQUITY
 for _name, _field, _sql in (
     ("fld_close_adjusted", "close_price_adjusted", "close_price_adjusted"),
-    ("fld_trading_value_20d", "trading_value_20d_avg", "trading_value_20d_avg"),
     ("fld_market_cap", "market_cap_krx_official", "cap"),
     ("fld_shares", "shares_issued", "shares"),
     ("fld_treasury", "shares_treasury", "treasury"),
@@ -160,6 +169,16 @@ for _name, _field, _sql in (
     field_query(_name, _field, _sql)
 
 
+def traded(v):
+    """The views with bars on every business day where traded values are asked for."""
+    return lambda name: fld.dense_bars(v("bars"), v("calendar")) if name == "traded_bars" else v(name)
+
+
+@query("fld_trading_value_20d", "SELECT f.code, round(t.trading_value_20d_avg, 6) AS value FROM o_fields f LEFT JOIN o_dense_traded t ON f.code = t.code")
+def _(v):
+    return fld.fields(traded(v), AS_OF, ["trading_value_20d_avg"]).select("code", F.round("trading_value_20d_avg", 6).alias("value"))
+
+
 @query("fld_fin_series", "SELECT code, account, s1, s2, s3, s4 FROM o_series")
 def _(v):
     rows = fld.quarterly_series(v("statements"), AS_OF)
@@ -211,7 +230,15 @@ def factor_query(name: str) -> None:
 
 
 for _name in FACTOR_SQL:
-    factor_query(_name)
+    if _name != "fac_turnover_20d":
+        factor_query(_name)
+TURNOVER = f"t.trading_value_20d_avg / nullif({MCAP}, 0)"
+
+
+@query("fac_turnover_20d", f"SELECT f.code, round({TURNOVER}, 6) AS value, ({TURNOVER}) IS NULL AS missing FROM o_fields f LEFT JOIN o_dense_traded t ON f.code = t.code")
+def _(v):
+    return evaluated(traded(v), ["fac_turnover_20d"]).select("code", F.round("fac_turnover_20d", 6).alias("value"), F.col("fac_turnover_20d_reason").isNotNull().alias("missing"))
+
 
 EPS = factors.EPS
 CLOSE = {"field": "close_price_adjusted"}
@@ -245,7 +272,15 @@ def tree_query(name: str) -> None:
 
 
 for _name in TREES:
-    tree_query(_name)
+    if _name != "fx_sum_last_n_quarters_7":
+        tree_query(_name)
+
+
+@query("fx_sum_last_n_quarters_7", "SELECT f.code, round(n.eps7, 6) AS value FROM o_fields f LEFT JOIN o_dense_runs n ON f.code = n.code")
+def _(v):
+    view = lambda name: v("dense_statements") if name == "statements" else v(name)
+    return evaluated(view, ["x"], {"x": TREES["fx_sum_last_n_quarters_7"][0]}).select("code", F.round("x", 6).alias("value"))
+
 
 
 @query("fx_sample_size", "SELECT code, CAST(count(equity) OVER (PARTITION BY security_type) AS BIGINT) AS sample, count(equity) OVER (PARTITION BY security_type) < 30 AS small FROM o_fields")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalogue import AS_OF, FACTS, chain, query
 from tidemark.catalogue_market import D, FACTOR_SQL, MCAP, evaluated
 from tidemark.operators import pit
 from tidemark.operators import trading_calendar as cal
-from tidemark.plans import factors, rebalance, screen
+from tidemark.plans import factors, rebalance, screen, snapshots
+from tidemark.sources.stored import shared_folder, written
 from tidemark.views import VIEWS
 
 CONDITIONS = [("fac_eps_ttm", ">", 500000.0), ("fac_pbr", "<", 2000.0)]
@@ -48,41 +52,64 @@ def long_sql(names: list[str], extra: str = "") -> str:
     return " UNION ALL ".join(f"SELECT code, '{n}' AS factor, CAST({FACTOR_SQL[n]} AS DOUBLE) AS x{extra} FROM o_fields" for n in names)
 
 
-@query("q_market_overview", f"""SELECT factor, CAST(count(x) AS BIGINT) AS count, CAST(count(*) - count(x) AS BIGINT) AS na_count, round(avg(x), 6) AS mean, round(quantile_cont(x, 0.25), 6) AS p25, round(quantile_cont(x, 0.5), 6) AS median,
- round(quantile_cont(x, 0.75), 6) AS p75, round(min(x), 6) AS min, round(max(x), 6) AS max FROM ({long_sql(SHOWN)}) l GROUP BY factor""")
+@query("q_market_overview", f"""SELECT factor, CAST(count(x) AS BIGINT) AS count, CAST(count(*) - count(x) AS BIGINT) AS na_count, round_even(avg(x), 6) AS mean, round_even(quantile_cont(x, 0.25), 6) AS p25, round_even(quantile_cont(x, 0.5), 6) AS median,
+ round_even(quantile_cont(x, 0.75), 6) AS p75, round(min(x), 6) AS min, round(max(x), 6) AS max FROM ({long_sql(SHOWN)}) l GROUP BY factor""")
 def _(v):
-    return screen.overview(evaluated(v, SHOWN), SHOWN)
+    rows = screen.overview(evaluated(v, SHOWN), SHOWN)  # min and max are whole doubles there, rounded here to be compared
+    return rows.withColumns({c: F.round(c, 6) for c in ("min", "max")})
+
+
+UNIT_SQL = "CASE " + " ".join(f"WHEN factor = '{n}' THEN '{u}'" for n, u in snapshots.UNITS.items()) + " END"
+#: Actions of which some are impossible; their codes are left out of a snapshot.
+VIEWS["some_bad_actions"] = "SELECT id, code, CASE WHEN id % 1000 = 0 THEN 'renamed' ELSE action_type END AS action_type, announced_date, effective_date, ratio, cash_amount, superseded_by, details FROM actions"
+#: What a snapshot was computed from.
+CURRENT, OLDER = {"KRX": "b2", "DART": "d2"}, {"KRX": "b1", "DART": "d2"}
+
+
+def place() -> str:
+    return f"{shared_folder(SparkSession.active())}/tidemark/snapshots-{uuid.uuid4().hex}"
 
 
-@query("q_snapshot_precompute", f"SELECT code, factor, round(x, 6) AS value, {D} AS as_of FROM ({long_sql(SHOWN)}) l")
+@query("q_snapshot_precompute", f"""SELECT code, factor, round(x, 6) AS value, {UNIT_SQL} AS unit, 'DART=d2,KRX=b2' AS versions, x IS NULL AS missing, {D} AS as_of FROM ({long_sql(SHOWN)}) l
+ WHERE code NOT IN (SELECT code FROM some_bad_actions WHERE action_type = 'renamed') UNION ALL SELECT DISTINCT code, 'rejected', CAST(NULL AS DOUBLE), CAST(NULL AS VARCHAR), 'unknown_action', TRUE, {D} FROM some_bad_actions WHERE action_type = 'renamed'""", kept=FACTS)
 def _(v):
-    rows = evaluated(v, SHOWN).unpivot("code", SHOWN, "factor", "value")
-    return rows.select("code", "factor", F.round("value", 6).alias("value"), F.lit(AS_OF).cast("date").alias("as_of"))
+    view = lambda name: v("some_bad_actions") if name == "actions" else v(name)
+    rows, rejects = snapshots.computed(view, AS_OF, SHOWN, CURRENT)
+    snapshots.save(rows, folder := place())
+    stored = snapshots.read(SparkSession.active(), folder, AS_OF)
+    said = F.array_join(F.transform(F.array_sort(F.map_entries("versions")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    shown = stored.select("code", "factor", F.round("value", 6).alias("value"), "unit", said.alias("versions"), F.col("reason").isNotNull().alias("missing"), "as_of")
+    none = F.lit(None)
+    return shown.union(rejects.select("code", F.lit("rejected"), none.cast("double"), none.cast("string"), "error", F.lit(True), pit.on(AS_OF)))
 
 
-#: Snapshots as a nightly job left them: every third code under older versions and with an older value, every
-#: seventh without one of the factors.
-SERVED = "CAST(code AS INTEGER) % 3 <> 0 AND CAST(code AS INTEGER) % 7 <> 1"
-VERSIONS = "v2"
+#: Snapshots as nightly jobs left them: odd codes were covered, every third code last under older versions and with an
+#: older value, codes of which 7 leaves 1 without one of the factors.
+SERVED = "CAST(code AS INTEGER) % 2 = 1 AND CAST(code AS INTEGER) % 3 <> 0 AND CAST(code AS INTEGER) % 7 <> 1"
+LEAST = [("fac_mcap_official", ">", 0.0), ("fac_mcap_ex_treasury", ">", 1000000.0)]
+OFFICIAL, EX = FACTOR_SQL["fac_mcap_official"], FACTOR_SQL["fac_mcap_ex_treasury"]
 
 
-def snapshots(v):
+def stored_snapshots(v, names: list[str]):
+    """Two loads into one store: all odd codes under the older versions, then some of them again under the current ones."""
     code = F.col("code").cast("int")
-    stored = screen.only_codes(v, v("securities").where(code % 2 == 1).select("code"))  # odd codes were covered
-    rows = evaluated(stored, ["fac_eps_ttm", "fac_pbr"]).unpivot("code", ["fac_eps_ttm", "fac_pbr"], "factor", "value")
-    rows = rows.withColumns({"versions": F.when(code % 3 != 0, VERSIONS).otherwise("v1"), "value": F.when(code % 3 != 0, F.col("value")).otherwise(F.col("value") + 1)})
-    return rows.where(~((code % 7 == 1) & (F.col("factor") == "fac_pbr")))
+    rows, _ = snapshots.computed(screen.only_codes(v, v("securities").where(code % 2 == 1).select("code")), AS_OF, names, OLDER)
+    rows = written(rows, "snapshot").where(~((code % 7 == 1) & (F.col("factor") == names[1])))
+    snapshots.save(rows.withColumn("value", F.col("value") + 1), folder := place())
+    current = F.create_map(*(F.lit(x) for kv in CURRENT.items() for x in kv))
+    snapshots.save(rows.where(code % 3 != 0).withColumn("versions", current), folder)
+    return snapshots.read(SparkSession.active(), folder, AS_OF)
 
 
-@query("q_screen_from_snapshot", f"""SELECT code, round({EPS_SQL}, 6) AS fac_eps_ttm, round({PBR_SQL}, 6) AS fac_pbr, CAST(code AS INTEGER) % 2 = 1 AND {SERVED} AS served FROM o_fields WHERE {EPS_SQL} > 100000 AND {PBR_SQL} < 20000""")
+@query("q_screen_from_snapshot", f"""SELECT code, round({OFFICIAL}, 6) AS fac_mcap_official, round({EX}, 6) AS fac_mcap_ex_treasury, {SERVED} AS served FROM o_fields WHERE {OFFICIAL} > 0 AND {EX} > 1000000""", kept=FACTS)
 def _(v):
-    names = ["fac_eps_ttm", "fac_pbr"]
-    ready = screen.served(snapshots(v), names, VERSIONS, factors.NEVER_SERVED).withColumn("served", F.lit(True))
+    names = [c[0] for c in LEAST]
+    ready = written(snapshots.served(stored_snapshots(v, names), names, CURRENT).withColumn("served", F.lit(True)), "served")
     # facts of codes that are served are not read
     rest = v("securities").join(ready, "code", "left_anti").select("code")
     live = evaluated(screen.only_codes(v, rest), names).select("code", *names, F.lit(False).alias("served"))
-    rows = screen.passing(ready.unionByName(live), [("fac_eps_ttm", ">", 100000.0), ("fac_pbr", "<", 20000.0)])
-    return rows.select("code", F.round("fac_eps_ttm", 6).alias("fac_eps_ttm"), F.round("fac_pbr", 6).alias("fac_pbr"), "served")
+    rows = screen.passing(ready.unionByName(live), LEAST)
+    return rows.select("code", *(F.round(n, 6).alias(n) for n in names), "served")
 
 
 @query("q_macro_overview", f"SELECT indicator_id, value FROM (SELECT *, row_number() OVER (PARTITION BY indicator_id ORDER BY reference_date DESC, vintage_date DESC) AS rn FROM macro WHERE reference_date <= {D} AND vintage_date <= {D}) x WHERE rn = 1")
@@ -96,18 +123,28 @@ def _(v):
     return rows.select("code", "factor", F.round("value", 6).alias("value"))
 
 
-@query("q_compare", f"SELECT q.place, q.code, f.code IS NOT NULL AS found, round({FACTOR_SQL['fac_pbr']}, 6) AS fac_pbr FROM (SELECT code, CAST(row_number() OVER (ORDER BY code DESC) AS INTEGER) AS place FROM securities) q LEFT JOIN o_fields f ON q.code = f.code")
-def _(v):
-    from pyspark.sql import Window
+#: Requests of codes as given: short ones, repeats, unknown ones, and some that are no code.
+VIEWS["asked_codes"] = """SELECT s_suppkey % 30 AS request, s_suppkey AS place, CAST(s_suppkey AS STRING) AS code FROM {supplier} UNION ALL SELECT s_suppkey % 30, s_suppkey + 1000000, concat(' ', lpad(CAST(s_suppkey AS STRING), 6, '0')) FROM {supplier} WHERE s_suppkey % 3 = 0
+ UNION ALL SELECT s_suppkey % 30, s_suppkey + 2000000, CASE WHEN s_suppkey % 30 = 7 THEN 'A12' ELSE '999999' END FROM {supplier} WHERE s_suppkey % 30 IN (4, 7, 11) UNION ALL SELECT 100 + s_suppkey % 60, s_suppkey, CAST(s_suppkey AS STRING) FROM {supplier}
+ UNION ALL SELECT 200 + s_suppkey % 8, s_suppkey, CAST(s_suppkey AS STRING) FROM {supplier}"""
+VIEWS["o_compared"] = """SELECT request, code, row_number() OVER (PARTITION BY request ORDER BY first, code) AS place, CASE WHEN max(bad) OVER (PARTITION BY request) = 1 THEN 'bad_code' WHEN count(*) OVER (PARTITION BY request) < 2 THEN 'too_few' WHEN count(*) OVER (PARTITION BY request) > 6 THEN 'too_many' ELSE 'ok' END AS status
+ FROM (SELECT request, CASE WHEN trim(code) = 'A12' THEN 'A12' ELSE lpad(trim(code), 6, '0') END AS code, min(place) AS first, max(CASE WHEN trim(code) = 'A12' THEN 1 ELSE 0 END) AS bad FROM asked_codes GROUP BY 1, 2) x"""
+
 
-    asked = v("securities").select("code", F.row_number().over(Window.orderBy(F.desc("code"))).alias("place"))
-    known = evaluated(v, ["fac_pbr"]).select(F.col("code").alias("c"), "fac_pbr")
-    return asked.join(known, F.col("code") == F.col("c"), "left").select("place", "code", F.col("c").isNotNull().alias("found"), F.round("fac_pbr", 6).alias("fac_pbr"))
+@query("q_compare", f"SELECT q.request, CAST(q.place AS INTEGER) AS place, q.code, q.status, CASE WHEN q.status = 'ok' THEN f.code IS NOT NULL END AS found, CASE WHEN q.status = 'ok' THEN round({FACTOR_SQL['fac_mcap_official']}, 6) END AS fac_mcap_official FROM o_compared q LEFT JOIN o_fields f ON q.code = f.code")
+def _(v):
+    known = evaluated(v, ["fac_mcap_official"]).select("code", F.lit(True).alias("there"), F.round("fac_mcap_official", 6).alias("fac_mcap_official"))
+    ok = F.col("status") == "ok"
+    rows = screen.compared_codes(v("asked_codes")).join(known, "code", "left")
+    return rows.select("request", "place", "code", "status", F.when(ok, F.col("there").isNotNull()).alias("found"), F.when(ok, F.col("fac_mcap_official")).alias("fac_mcap_official"))
 
 
-@query("q_prices", f"SELECT code, d, open, close, volume FROM bars WHERE d BETWEEN {D} - 365 AND {D}")
+@query("q_prices", f"""SELECT code, d, 'bar' AS kind, open, close, volume, CAST(NULL AS DECIMAL(20,8)) AS ratio FROM bars WHERE d BETWEEN {D} - 365 AND {D} UNION ALL
+ SELECT code, effective_date, action_type, NULL, NULL, NULL, ratio FROM {chain('actions', 'announced_date')} a WHERE effective_date BETWEEN {D} - 365 AND {D}""")
 def _(v):
-    return v("bars").where(F.col("d").between(F.date_sub(pit.on(AS_OF), 365), pit.on(AS_OF))).select("code", "d", "open", "close", "volume")
+    bars, actions = screen.prices(v("bars"), v("actions"), AS_OF, 365)
+    rows = bars.select("code", "d", F.lit("bar").alias("kind"), "open", "close", "volume")
+    return rows.unionByName(actions.select("code", F.col("effective_date").alias("d"), F.col("action_type").alias("kind"), "ratio"), allowMissingColumns=True)
 
 
 @query("q_financial_series", """SELECT g.code, g.account, g.period, p.value FROM (SELECT a.code, a.account, q.period FROM (SELECT DISTINCT code, account FROM o_periods) a JOIN (SELECT DISTINCT code, period FROM o_periods) q ON a.code = q.code) g
@@ -153,18 +190,20 @@ def _(v):
     return screen.transaction_tax(v("taxed"), v("rates")).select("id", "rate", F.col("tax").cast("double").alias("tax"))
 
 
-VIEWS["o_trades"] = "SELECT *, row_number() OVER (PARTITION BY user_id, code ORDER BY trade_date, id) AS n FROM trades"
-VIEWS["o_later"] = f"""SELECT p.user_id, p.code, product(a.f) AS f, count(*) FILTER (a.action_type = 'merger') AS noticed FROM (SELECT user_id, code, max(trade_date) AS last FROM trades GROUP BY 1, 2) p
+#: Trades of the years before 1999, after which there are actions.
+VIEWS["early_trades"] = "SELECT * FROM trades WHERE trade_date < DATE '1998-12-01'"
+VIEWS["o_trades"] = "SELECT *, row_number() OVER (PARTITION BY user_id, code ORDER BY trade_date, id) AS n FROM early_trades"
+VIEWS["o_later"] = f"""SELECT p.user_id, p.code, product(a.f) AS f, count(*) FILTER (a.action_type = 'merger') AS noticed FROM (SELECT user_id, code, max(trade_date) AS last FROM early_trades GROUP BY 1, 2) p
  JOIN {chain('o_values', 'announced_date')} a ON a.code = p.code AND a.effective_date > p.last AND a.effective_date <= {D} AND (a.f IS NOT NULL OR a.action_type = 'merger') GROUP BY 1, 2"""
 
 
-@query("q_positions", """WITH RECURSIVE walk AS (SELECT user_id, code, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS q, CAST(0 AS DOUBLE) AS cost, CAST(0 AS DOUBLE) AS gain, CAST(0 AS INTEGER) AS over FROM (SELECT DISTINCT user_id, code FROM trades) k UNION ALL
+@query("q_positions", """WITH RECURSIVE walk AS (SELECT user_id, code, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS q, CAST(0 AS DOUBLE) AS cost, CAST(0 AS DOUBLE) AS gain, CAST(0 AS INTEGER) AS over FROM (SELECT DISTINCT user_id, code FROM early_trades) k UNION ALL
  SELECT w.user_id, w.code, t.n, CASE WHEN side = 'buy' THEN q + t.quantity WHEN t.quantity > q THEN q ELSE q - t.quantity END, CASE WHEN side = 'buy' THEN cost + CAST(unit_price AS DOUBLE) * t.quantity + CAST(fee AS DOUBLE) WHEN t.quantity > q THEN cost ELSE cost - coalesce(cost / nullif(q, 0), 0) * t.quantity END,
  CASE WHEN side = 'buy' OR t.quantity > q THEN gain ELSE gain + (CAST(unit_price AS DOUBLE) - coalesce(cost / nullif(q, 0), 0)) * t.quantity - CAST(fee AS DOUBLE) END, over + CASE WHEN side <> 'buy' AND t.quantity > q THEN 1 ELSE 0 END FROM walk w JOIN o_trades t ON t.user_id = w.user_id AND t.code = w.code AND t.n = w.n + 1)
  SELECT user_id, code, CAST(quantity AS BIGINT) AS quantity, round(cost / nullif(quantity, 0), 2) AS average_cost, round(gain, 2) AS realised, over AS oversold, noticed FROM (SELECT w.*, floor(q / coalesce(l.f, 1) + 1e-9) AS quantity, CAST(coalesce(l.noticed, 0) AS BIGINT) AS noticed
  FROM (SELECT *, row_number() OVER (PARTITION BY user_id, code ORDER BY n DESC) AS last FROM walk) w LEFT JOIN o_later l ON l.user_id = w.user_id AND l.code = w.code WHERE last = 1) x""")
 def _(v):
-    rows = screen.positions(v("trades"), v("actions"), AS_OF)
+    rows = screen.positions(v("early_trades"), v("actions"), AS_OF)
     return rows.select("user_id", "code", "quantity", F.round("average_cost", 2).alias("average_cost"), F.round("realised", 2).alias("realised"), "oversold", "noticed")
 
 
@@ -225,15 +264,22 @@ def _(v):
     return held(v)
 
 
-@query("bt_missing_price", "SELECT as_of, CAST(count(*) AS BIGINT) AS members, round(count(*) FILTER (NOT has_price) / count(*), 6) AS missing FROM o_members GROUP BY as_of", kept=FACTS)
+#: Bars of which some codes have none before the middle of 1998.
+VIEWS["late_bars"] = "SELECT * FROM bars WHERE CAST(code AS INT) % 9 <> 4 OR d > DATE '1998-06-01'"
+VIEWS["o_late_members"] = VIEWS["o_members"].replace("FROM bars b", "FROM late_bars b")
+
+
+@query("bt_missing_price", """SELECT as_of, members, round(missing, 6) AS missing, round(avg(missing) OVER (), 6) AS mean_missing, avg(missing) OVER () = 0 AS survivorship_complete FROM
+ (SELECT as_of, CAST(count(*) AS BIGINT) AS members, count(*) FILTER (NOT has_price) / count(*) AS missing FROM o_late_members GROUP BY as_of) x""", kept=FACTS)
 def _(v):
-    rows = rebalance.priced(members(v), v("bars"))
-    return rows.groupBy("as_of").agg(F.count("*").alias("members"), F.round(F.count_if(~F.col("has_price")) / F.count("*"), 6).alias("missing"))
+    rows = rebalance.missing_prices(rebalance.priced(members(v), v("late_bars")))
+    return rows.withColumns({c: F.round(c, 6) for c in ("missing", "mean_missing")})
 
 
-@query("bt_turnover", "SELECT as_of, n, round(sell, 6) AS sell, round(buy, 6) AS buy FROM o_cost", kept=FACTS)
+@query("bt_turnover", "SELECT as_of, n, round(sell, 6) AS sell, round(buy, 6) AS buy, round(avg((sell + buy) / 2) OVER (), 6) AS turnover FROM o_cost", kept=FACTS)
 def _(v):
-    return rebalance.turnover(held(v), dates(v)).select("as_of", "n", F.round("sell", 6).alias("sell"), F.round("buy", 6).alias("buy"))
+    rows = rebalance.mean_turnover(rebalance.turnover(held(v), dates(v)))
+    return rows.select("as_of", "n", *(F.round(c, 6).alias(c) for c in ("sell", "buy", "turnover")))
 
 
 @query("bt_cost_drag", "SELECT as_of, round(cost, 8) AS cost FROM o_cost", kept=FACTS)

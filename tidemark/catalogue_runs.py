@@ -131,29 +131,31 @@ def _(v):
     return reproduce.compared(runs, stored, again)
 
 
-#: The back-test's dates with the cutoff of one saved run; what it stored is the curve without.
-VIEWS["o_panel_cut"] = "SELECT cut_KRX FROM o_asked WHERE run = 2 AND mode = 0"
-VIEWS["o_picks_cut"] = """SELECT h.as_of, s.next, h.code, max(b.d) FILTER (b.d <= h.as_of) AS da, max_by(CAST(b.close AS DOUBLE), b.d) FILTER (b.d <= h.as_of) AS ca, max(b.d) AS db, max_by(CAST(b.close AS DOUBLE), b.d) AS cb
- FROM o_priced_eps h JOIN o_steps s ON h.as_of = s.as_of AND s.next IS NOT NULL JOIN loaded_bars b ON b.code = h.code AND b.d <= s.next AND b.d >= DATE '1997-01-01' AND b.loaded <= (SELECT cut_KRX FROM o_panel_cut) GROUP BY 1, 2, 3"""
-VIEWS["o_picks_all"] = VIEWS["o_picks_cut"].replace(" AND b.loaded <= (SELECT cut_KRX FROM o_panel_cut)", "")
-VIEWS["o_priced_eps"] = "SELECT m.as_of, m.code FROM o_members m JOIN o_eps_panel e ON m.as_of = e.as_of AND m.code = e.code WHERE m.has_price AND e.eps4 > 300000"
+#: A saved back-test: the newest batches that it saw, early enough for its cutoffs to matter.
+VIEWS["panel_run"] = """SELECT 1 AS run, CAST(k.id AS STRING) AS batch_KRX, CAST(d.id AS STRING) AS batch_DART FROM batch_order k JOIN batch_order d ON k.source = 'KRX' AND d.source = 'DART' AND k.place = CAST(floor(k.of * 0.9) AS INT) AND d.place = CAST(floor(d.of * 0.7) AS INT)"""
+VIEWS["o_panel_cut"] = "SELECT max(place) FILTER (source = 'KRX') AS cut_KRX, max(place) FILTER (source = 'DART') AS cut_DART FROM (SELECT source, place FROM batch_order WHERE place = floor(of * CASE source WHEN 'KRX' THEN 0.9 ELSE 0.7 END)) x"
+CUT = {"KRX": "(SELECT cut_KRX FROM o_panel_cut)", "DART": "(SELECT cut_DART FROM o_panel_cut)"}
+VIEWS["o_members_cut"] = VIEWS["o_members"].replace("FROM bars b WHERE", f"FROM loaded_bars b WHERE b.loaded <= {CUT['KRX']} AND")
+VIEWS["o_known_cut"] = f"""SELECT t.as_of, r.* FROM o_dates t JOIN loaded_statements r ON r.account = 'basic_eps' AND r.effective_date <= t.as_of AND r.loaded <= {CUT['DART']}
+ LEFT JOIN loaded_statements s ON r.superseded_by = s.id AND s.effective_date <= t.as_of AND s.loaded <= {CUT['DART']} WHERE s.id IS NULL"""
+VIEWS["o_panel8_cut"] = VIEWS["o_panel8"].replace("o_known", "o_known_cut")
+VIEWS["o_eps_panel_cut"] = VIEWS["o_eps_panel"].replace("o_panel8", "o_panel8_cut")
+VIEWS["o_priced_all"] = "SELECT m.as_of, m.code FROM o_members m JOIN o_eps_panel e ON m.as_of = e.as_of AND m.code = e.code WHERE m.has_price AND e.eps4 > 300000"
+VIEWS["o_priced_cut"] = VIEWS["o_priced_all"].replace("o_members", "o_members_cut").replace("o_eps_panel", "o_eps_panel_cut")
 for _kind in ("cut", "all"):
+    VIEWS[f"o_picks_{_kind}"] = VIEWS["o_picks"].replace("o_held", f"o_priced_{_kind}").replace("JOIN bars b ON", "JOIN loaded_bars b ON" + (f" b.loaded <= {CUT['KRX']} AND" if _kind == "cut" else ""))
     VIEWS[f"o_gain_{_kind}"] = VIEWS["o_gain"].replace("o_picks", f"o_picks_{_kind}")
-VIEWS["o_moves"] = VIEWS["o_turnover"].replace("o_held", "o_priced_eps")
-for _kind in ("cut", "all"):
+    VIEWS[f"o_moves_{_kind}"] = VIEWS["o_turnover"].replace("o_held", f"o_priced_{_kind}")
     VIEWS[f"o_curve_{_kind}"] = f"""SELECT as_of, product((1 - cost) * (1 + r)) OVER (ORDER BY as_of ROWS UNBOUNDED PRECEDING) AS value FROM (SELECT c.as_of, c.sell * (0.0015 + 0.00015) + c.buy * 0.00015 AS cost,
- coalesce(lag(g.period_return) OVER (ORDER BY c.as_of), 0) AS r FROM o_moves c LEFT JOIN o_gain_{_kind} g ON c.as_of = g.as_of) x"""
+ coalesce(lag(g.period_return) OVER (ORDER BY c.as_of), 0) AS r FROM o_moves_{_kind} c LEFT JOIN o_gain_{_kind} g ON c.as_of = g.as_of) x"""
 
 
 @query("rep_reproduce_panel", """SELECT a.as_of, round(a.value, 6) AS stored, round(b.value, 6) AS reproduced, round(a.value, 9) = round(b.value, 9) AS identical, TRUE AS same_engine FROM o_curve_all a JOIN o_curve_cut b ON a.as_of = b.as_of""", kept=FACTS)
 def _(v):
-    run = reproduce.cutoffs(v("runs").where("run = 2"), v("batch_order")).select("cut_KRX")
-    cut = dates(v).crossJoin(F.broadcast(run))  # the one run asked for
-    conditions = [("eps", ">", 300000.0)]
-    view = loaded(v)
-    only_bars = lambda name: view(name) if name == "bars" else v(name)
-    stored, again = (rebalance.backtest(only_bars, d, conditions, START, RUN_TREES).withColumn("value", F.round("value", 9)) for d in (dates(v), cut))
-    rows = reproduce.curves_compared(stored, again, F.lit("1.0.0"), reproduce.POLICIES["evaluator_version"])
+    cuts = reproduce.cutoffs(v("panel_run"), v("batch_order")).select("cut_KRX", "cut_DART")
+    none = cuts.select(*(F.lit(None).cast("int").alias(c) for c in cuts.columns))  # what the run stored: before anything had to be cut off
+    curves = [rebalance.backtest(loaded(v), dates(v).crossJoin(F.broadcast(one)), [("eps", ">", 300000.0)], START, RUN_TREES) for one in (none, cuts)]  # one row
+    rows = reproduce.curves_compared(*(c.withColumn("value", F.round("value", 9)) for c in curves), F.lit("1.0.0"), reproduce.POLICIES["evaluator_version"])
     return rows.select("as_of", *(F.round(F.col(c).cast("double"), 6).alias(c) for c in ("stored", "reproduced")), "identical", "same_engine")
 
 
@@ -314,10 +316,11 @@ def _(v):
     return v("notices").select("doc_id").join(bad, "doc_id", "left").select("doc_id", F.col("bad").isNull().alias("clean"))
 
 
-VIEWS["messages"] = "SELECT conv_id, turn, role, " + ENDING.replace("{id}", "(conv_id + turn)") + " AS text FROM {conversations}"
+VIEWS["messages"] = "SELECT conv_id, turn, role, concat(coalesce(text, ''), " + ENDING.replace("{id}", "(conv_id + turn)") + ") AS text FROM {conversations}"
+VIEWS["o_message_hits"] = f"SELECT conv_id, 'en_absolute' AS kind, concat(upper(substr(w, 1, 1)), substr(w, 2)) AS canonical FROM (SELECT conv_id, {OWN_WORDS} AS w FROM {{conversations}}) x UNION ALL " + " UNION ALL ".join(f"SELECT conv_id, '{kind}', '{word}' FROM {{conversations}} WHERE (conv_id + turn) % 8 = {k}" for k, hits in enumerate(ENDING_HITS) for kind, word in hits)
 
 
-@query("txt_nested_scan", "SELECT conv_id, kind, canonical, CAST(count(*) AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT conv_id, '{kind}' AS kind, '{word}' AS canonical FROM messages WHERE (conv_id + turn) % 8 = {k}" for k, hits in enumerate(ENDING_HITS) for kind, word in hits) + ") x GROUP BY conv_id, kind, canonical")
+@query("txt_nested_scan", "SELECT conv_id, kind, canonical, CAST(count(*) AS BIGINT) AS n FROM o_message_hits GROUP BY conv_id, kind, canonical")
 def _(v):
     turn = F.struct("role", F.struct("text", F.struct(F.lit("Best Buy").alias("name")).alias("company")).alias("body"), F.array(F.lit(1)).alias("numbers"))
     payloads = v("messages").groupBy("conv_id").agg(F.to_json(F.struct(F.collect_list(turn).alias("turns"), F.lit("Strong Buy").alias("name"))).alias("payload"))

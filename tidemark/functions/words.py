@@ -6,15 +6,18 @@ Arrow batches: the overlap with allowed phrases needs offsets, which built-in fu
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.sources.stored import written
+
 #: Korean words.
 KOREAN = (
     "강력 추천", "강력 매수", "강력 매도", "강력매수", "강력매도", "강력추천", "비중 확대", "비중 축소", "비중확대", "비중축소", "종목 픽", "종목픽", "관심 종목 픽", "관심종목픽", "목표 주가", "목표주가", "목표가",
@@ -28,7 +31,8 @@ ENGLISH = (
 )
 #: Words of judgement, looked for only when asked.
 SENTIMENT = ("호재", "악재", "긍정적", "부정적")
-#: Phrases in which words are allowed.
+#: Phrases in which words are allowed. Left out are those that are lines of program text, which only a check
+#: of source files meets.
 ALLOWED = (
     "관심 종목", "관심종목", "조건에 부합하는 종목", "필터 통과 항목", "필터링 결과", "선택한 종목", "비교 대상", "추천하지 않", "추천 안 함", "추천이 아닙", "추천 시스템 없음", "추천 시스템 X", "추천 기능 없음", "추천 위젯 없음",
     "추천 위젯", "추천을 제공하지", "종목 추천을 제공", "alembic upgrade", "alembic downgrade", "베스트셀러", "이베스트", "기대산업", "기대치", "기대 수명", "기대수명", "적시 공시", "적시공시", "적기 공시", "주목받는", "주목받고",
@@ -59,26 +63,13 @@ class Scanner:
         hits = [(m.start(), m.end(), kind, m[0]) for kind, pattern in self.parts for m in pattern.finditer(text)]
         if not hits:
             return []
-        spans = [(m.start(), m.start() + len(p)) for p in ALLOWED for m in re.finditer(f"(?={re.escape(p)})", text)]
-        hits = [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spans)]
+        spans = sorted((m.start(), m.start() + len(p)) for p in ALLOWED for m in re.finditer(f"(?={re.escape(p)})", text))
+        starts, far = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
+        # a word is inside a phrase if of those that begin at or before it the one that reaches farthest ends at or after it
+        hits = [h for h in hits if (at := bisect_right(starts, h[0])) == 0 or far[at - 1] < h[1]]
         return [{"word": w, "canonical": self.canonical.get(w.lower(), w), "kind": kind, "index": at} for at, _, kind, w in sorted(hits)]
 
 
-def leaves(payload, excluded: frozenset[str], deepest: int = DEEPEST):
-    """The texts in a nested payload but those directly under an excluded key."""
-    ahead = [(payload, 0)]
-    while ahead:
-        node, depth = ahead.pop()
-        if depth > deepest:
-            raise ValueError(f"nested deeper than {deepest}")
-        if isinstance(node, str):
-            yield node
-        elif isinstance(node, dict):
-            ahead += [(x, depth + 1) for k, x in node.items() if k not in excluded]
-        elif isinstance(node, list):
-            ahead += [(x, depth + 1) for x in node]
-
-
 def found(rows: DataFrame, key: str, text: str, words_of) -> DataFrame:
     """key, word, canonical, kind, index: a row for each hit that ``words_of`` gives for the column ``text``."""
     schema = T.StructType([T.StructField("key", rows.schema[key].dataType), T.StructField("hits", HIT)])
@@ -98,23 +89,40 @@ def scanned(texts: DataFrame, key: str, sentiment: bool = False) -> DataFrame:
     return found(texts, key, "text", scan)
 
 
+def leaves(payloads: DataFrame, key: str, excluded: frozenset[str] = frozenset(), deepest: int = DEEPEST) -> DataFrame:
+    """key, text, kind: the texts in the JSON of the column payload, but those below an excluded key. Nested values are
+    opened level by level as variants, each level a written table, until none is left. A payload nested deeper than
+    ``deepest`` levels, or that is no JSON, gives one row of the kind ``too_deep`` or ``no_json`` and no text; a null one nothing.
+    Keys are unique."""
+    spark = payloads.sparkSession
+    rows = payloads.select(F.col(key).alias("key"), F.try_parse_json(F.col("payload").cast("string")).alias("value"), (F.col("payload").isNotNull()).alias("given"))
+    no = lambda rows, kind: rows.select("key", F.lit(None).cast("string").alias("text"), F.lit(kind).alias("kind"))
+    bad = no(rows.where("given AND value IS NULL"), "no_json")
+    kind = lambda rows: rows.withColumn("_kind", F.substring_index(F.schema_of_variant("value"), "<", 1))
+    level, texts, depth = written(kind(rows.where("value IS NOT NULL").select("key", "value")), "level"), [], 0
+    while not level.isEmpty():
+        texts.append(level.where("_kind = 'STRING'").select("key", F.col("value").cast("string").alias("text")))
+        nested = level.where("_kind IN ('OBJECT', 'ARRAY')")
+        if depth == deepest:
+            break
+        opened = nested.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).select(F.col("key").alias("name"), F.col("value").alias("inner")))
+        inside = opened.where(F.col("name").isNull() | ~F.col("name").isin(*excluded)) if excluded else opened
+        level, depth = written(kind(inside.select("key", F.col("inner").alias("value"))), "level"), depth + 1
+    else:
+        nested = level.where("false")
+    deep = written(nested.select("key").distinct(), "deep")  # what is open still has a level below
+    found = bad.union(no(deep, "too_deep"))
+    for t in texts:
+        found = found.union(t.join(deep, "key", "left_anti").withColumn("kind", F.lit("text")))
+    return found.withColumnRenamed("key", key)
+
+
 def scanned_payloads(payloads: DataFrame, key: str, excluded: frozenset[str] = frozenset(), deepest: int = DEEPEST) -> DataFrame:
     """The words of all texts in the JSON of the column payload. One nested too deep gives a single hit of the kind
     ``too_deep``, one that is no JSON one of the kind ``no_json``."""
-    scan = Scanner()
-
-    def words_of(payload: str | None) -> list[dict]:
-        try:
-            return [h for leaf in leaves(json.loads(payload or "null"), excluded, deepest) for h in scan(leaf)]
-        except RecursionError:
-            kind = "too_deep"
-        except json.JSONDecodeError:
-            kind = "no_json"
-        except ValueError:
-            kind = "too_deep"
-        return [{"word": "", "canonical": "", "kind": kind, "index": 0}]
-
-    return found(payloads, key, "payload", words_of)
+    rows = leaves(payloads, key, excluded, deepest)
+    none = rows.where("kind <> 'text'").select(key, F.lit("").alias("word"), F.lit("").alias("canonical"), "kind", F.lit(0).alias("index"))
+    return scanned(rows.where("kind = 'text'"), key).unionByName(none)
 
 
 def unclean(texts: DataFrame, key: str, sentiment: bool = False) -> DataFrame:

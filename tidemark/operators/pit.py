@@ -175,6 +175,16 @@ def batch_cutoff(facts: DataFrame, runs: DataFrame, source: str, cutoff: str | N
     return facts.join(allowed, batch, "left_semi")
 
 
+def active_disclosures(facts: DataFrame, citations: DataFrame) -> DataFrame:
+    """code, period, ifrs_type, receipts, receipt, corrupt: of each report's heads (facts with citation_id and without a
+    successor) the receipt that their citations (id, identifier) name. More than one receipt is corruption, and then
+    receipt is null. Consolidated and separate reports (ifrs_type) never mix."""
+    cited = citations.select(F.col("id").alias("citation_id"), "identifier")
+    rows = facts.where("superseded_by IS NULL").join(cited, "citation_id").groupBy("code", "period", "ifrs_type")
+    rows = rows.agg(F.count_distinct("identifier").alias("receipts"), F.min("identifier").alias("receipt"))
+    return rows.withColumns({"receipt": F.when(F.col("receipts") == 1, F.col("receipt")), "corrupt": F.col("receipts") > 1})
+
+
 def restatement_history(statements: DataFrame) -> DataFrame:
     """All vintages, numbered within (code, period, account) by (date, id), and whether each is the head."""
     w = Window.partitionBy("code", "period", "account").orderBy("effective_date", "id")

@@ -28,6 +28,24 @@ def all_days(calendar: DataFrame, margin: int = 0) -> DataFrame:
     )
 
 
+#: Days of the year on which markets close, and what other closed days are called.
+CLOSED = {
+    "01-01": "신정", "03-01": "삼일절", "05-01": "근로자의날 (KRX 휴장)", "05-05": "어린이날", "06-06": "현충일", "08-15": "광복절", "10-03": "개천절", "10-09": "한글날", "12-25": "성탄절", "12-31": "연말 폐장",
+}
+OTHERWISE_CLOSED = "KRX 휴장 (pykrx 거래일 도출)"
+
+
+def closed_days(traded: DataFrame, start=None, end=None) -> DataFrame:
+    """day, reason: the weekdays from start to end (by default the first and last of ``traded``, the days d of a
+    reference instrument that trades whenever the market is open) on which it did not trade."""
+    days = traded.select(F.col("d").alias("day")).distinct()
+    ends = days.agg((F.min("day") if start is None else F.lit(start).cast("date")).alias("a"), (F.max("day") if end is None else F.lit(end).cast("date")).alias("b"))
+    every = ends.select(F.explode(F.sequence("a", "b")).alias("day")).where(~F.dayofweek("day").isin(1, 7))
+    names = F.create_map(*(F.lit(x) for kv in CLOSED.items() for x in kv))
+    reason = F.coalesce(F.try_element_at(names, F.date_format("day", "MM-dd")), F.lit(OTHERWISE_CLOSED))
+    return every.join(days, "day", "left_anti").select("day", reason.alias("reason"))
+
+
 def with_days(rows: DataFrame, calendar: DataFrame, column: str, *take: str) -> DataFrame:
     """``rows`` with columns of all_days for the date in ``column``."""
     return rows.join(F.broadcast(all_days(calendar).select(F.col("d").alias(column), *take)), column, "left")

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import adjust, pit, timeline
+from tidemark.operators import adjust, pit, timeline, trading_calendar
 from tidemark.operators.pit import Moment
 
 #: Days back for the last close, for trailing sums, and how early a year's first bar must be.
@@ -147,11 +147,27 @@ def from_prices(view, when: Moment, names: list[str]) -> DataFrame:
     return rows.withColumn("_on", when.on).groupBy(*when.keys, "code").agg(*(columns[n].alias(n) for n in names))
 
 
+def dense_bars(bars: DataFrame, calendar: DataFrame) -> DataFrame:
+    """code, d, close, trading_value on every business day from a code's first bar on: where there is no bar, the last
+    close and nothing traded. Each bar is repeated up to the next one of its code; a bar on a closed day moves the
+    close of the days after it and is no row itself."""
+    days = F.broadcast(calendar.select("day", "bd_index"))
+    ends = F.broadcast(calendar.agg(F.max("bd_index").alias("_last")))  # one row
+    upto = trading_calendar.all_days(calendar).select(F.col("d").alias("_d"), "upto", "is_business_day")
+    rows = bars.select("code", "d", "close", "trading_value").join(F.broadcast(upto), F.col("d") == F.col("_d")).crossJoin(ends)
+    first = F.col("upto") + F.when(F.col("is_business_day"), 0).otherwise(1)
+    rows = rows.withColumn("_from", first).withColumn("_next", F.lead("_from").over(Window.partitionBy("code").orderBy("d")))
+    rows = rows.withColumn("_to", F.coalesce(F.col("_next") - 1, F.col("_last"))).where("_from <= _to")
+    rows = rows.withColumn("bd_index", F.explode(F.sequence("_from", "_to"))).join(days, "bd_index")
+    return rows.select("code", F.col("day").alias("d"), "close", F.when(F.col("day") == F.col("d"), F.col("trading_value")).otherwise(0).cast(bars.schema["trading_value"].dataType).alias("trading_value"))
+
+
 def trading_value(bars: DataFrame, calendar: DataFrame, as_of, days: int = TRADING_DAYS, name: str = "trading_value_20d_avg") -> DataFrame:
-    """Mean traded value of the last business days up to as_of (a date or a Moment); none if a day is missing."""
+    """Mean traded value of the last business days up to as_of (a date or a Moment); none if a day is missing. Bars
+    with gaps have none for most codes: ``dense_bars`` fills them."""
     when = as_of if isinstance(as_of, Moment) else Moment(as_of)
-    last = when.holding(calendar.withColumn("_all", F.lit(1)), "day")
-    last = pit.newest(last, [*when.keys, "_all"], "day", n=days).select(*when.keys, F.col("day").alias("d"))
+    until = F.lead("day", days).over(Window.orderBy("day"))  # a day counts until so many have followed
+    last = when.holding(calendar.withColumn("until", until), "day", "until").select(*when.keys, F.col("day").alias("d"))
     rows = bars.join(F.broadcast(last), "d").groupBy(*when.keys, "code").agg(F.sum("trading_value").alias("s"), F.count("*").alias("n"))
     return rows.where(F.col("n") == days).select(*when.keys, "code", (F.col("s").cast("double") / days).alias(name))
 
@@ -184,7 +200,7 @@ def from_dividends(view, when: Moment, names: list[str]) -> DataFrame:
 #: The sources, each with its fields and the function that resolves some of them together.
 SOURCES = (
     (("close_price_adjusted", "total_return_trailing_1y"), from_prices),
-    (("trading_value_20d_avg",), lambda view, when, names: trading_value(view("bars"), view("calendar"), when)),
+    (("trading_value_20d_avg",), lambda view, when, names: trading_value(view("traded_bars"), view("calendar"), when)),
     (("market_cap_krx_official", "shares_issued"), from_caps),
     (("shares_treasury",), from_treasury),
     (tuple(STATEMENT_FIELDS), from_statements),

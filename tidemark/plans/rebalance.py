@@ -33,6 +33,19 @@ def priced(members: DataFrame, bars: DataFrame) -> DataFrame:
     return members.join(first, "code", "left").withColumn("has_price", F.coalesce(F.col("_first") <= F.col("as_of"), F.lit(False))).drop("_first")
 
 
+def missing_prices(members: DataFrame) -> DataFrame:
+    """as_of, members, missing (the share of members, as of ``priced``, without a price), and over all dates mean_missing
+    and survivorship_complete: whether none was ever missing. One row for each date."""
+    rows = members.groupBy("as_of").agg(F.count("*").alias("members"), (F.count_if(~F.col("has_price")) / F.count("*")).alias("missing"))
+    rows = rows.withColumn("mean_missing", F.avg("missing").over(Window.partitionBy()))
+    return rows.withColumn("survivorship_complete", F.col("mean_missing") == 0)
+
+
+def mean_turnover(traded: DataFrame) -> DataFrame:
+    """``traded`` (of ``turnover``) with turnover: the mean of (sell + buy) / 2 over its dates."""
+    return traded.withColumn("turnover", F.avg((F.col("sell") + F.col("buy")) / 2).over(Window.partitionBy()))
+
+
 def holdings(view, when: Moment, conditions: list[tuple[str, str, float]], trees: dict | None = None, types: tuple[str, ...] = ("common",)) -> DataFrame:
     """The panel's keys and code of listed securities of these types that have a price and meet all conditions on
     factors of the pack ``trees``; a condition on a factor that the pack does not have is met by none."""
@@ -93,11 +106,13 @@ def backtest(view, dates: DataFrame, conditions: list[tuple[str, str, float]], s
     """The equity curve of a screen over the dates; returns are measured on bars from ``start`` on. Cutoffs (columns
     cut_KRX, cut_DART of ``dates``) bound what had been loaded. The portfolios, a few rows for each date, are written,
     as three steps read them."""
+    whole = view("bars")
+    if "loaded" in whole.columns and "cut_KRX" in dates.columns:  # one cutoff for all dates of a back-test
+        cut = dates.agg(F.max("cut_KRX").alias("cut")).first().cut
+        whole = whole if cut is None else whole.where(F.col("loaded") <= cut)
+        whole, view = whole.drop("loaded"), (lambda name, given=view: whole if name == "bars" else given(name))
     held = written(holdings(view, Moment(panel=dates), conditions, trees), "portfolios")
-    bars = view("bars").where(F.col("d") >= F.lit(start).cast("date"))
-    if "loaded" in bars.columns and "cut_KRX" in dates.columns:  # one cutoff for all dates of a back-test
-        cut = F.broadcast(dates.agg(F.max("cut_KRX").alias("cut")))
-        bars = bars.join(cut, F.col("cut").isNull() | (F.col("loaded") <= F.col("cut")), "left_semi")
+    bars = whole.where(F.col("d") >= F.lit(start).cast("date"))
     return equity_curve(turnover(held, dates.select("as_of")), period_returns(held, bars, view("actions"), dates.select("as_of")))
 
 

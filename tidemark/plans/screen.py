@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import adjust
+from tidemark.operators import adjust, pit
 
 #: How far two sources may differ, relative to the larger, before it is told.
 TOLERANCE = {"open": 0.001, "high": 0.001, "low": 0.001, "close": 0.001, "volume": 0.001, "trading_value": 0.005}
@@ -38,11 +38,12 @@ def outcomes(rows: DataFrame, conditions: list[tuple[str, str, float]]) -> DataF
 
 
 def overview(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Per factor over all rows: count, na_count, mean, quartiles (interpolated), min, max."""
+    """Per factor over all rows: count, na_count, mean and quartiles (interpolated), rounded half even to six places, and
+    min and max as they are."""
     long = rows.select(F.explode(F.create_map(*(x for n in names for x in (F.lit(n), F.col(n).cast("double"))))).alias("factor", "x"))
     q = [F.percentile("x", F.lit(p)).alias(n) for n, p in (("p25", 0.25), ("median", 0.5), ("p75", 0.75))]
     out = long.groupBy("factor").agg(F.count("x").alias("count"), F.count_if(F.col("x").isNull()).alias("na_count"), F.avg("x").alias("mean"), *q, F.min("x").alias("min"), F.max("x").alias("max"))
-    return out.select("factor", "count", "na_count", *(F.round(c, 6).alias(c) for c in ("mean", "p25", "median", "p75", "min", "max")))
+    return out.select("factor", "count", "na_count", *(F.bround(c, 6).alias(c) for c in ("mean", "p25", "median", "p75")), "min", "max")
 
 
 def conflicts(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -122,15 +123,30 @@ def positions(trades: DataFrame, actions: DataFrame | None = None, as_of=None) -
     return rows.select("user_id", "code", quantity.cast("long").alias("quantity"), average.alias("average_cost"), F.col("x.gain").alias("realised"), F.col("x.over").alias("oversold"), *noticed)
 
 
-def served(snapshots: DataFrame, names: list[str], versions: str, never: tuple[str, ...] = ()) -> DataFrame:
-    """code and a column for each factor, of the codes for which all factors are stored under the current versions;
-    none if one of the factors is of those that are never served (they depend on dividends)."""
-    if set(names) & set(never):
-        return snapshots.select("code", *(F.lit(None).cast("double").alias(n) for n in names)).where("false")
-    rows = snapshots.where(F.col("factor").isin(*names)).groupBy("code").agg(
-        F.countDistinct("factor").alias("_n"), F.bool_and(F.col("versions") == versions).alias("_same"), *(F.max(F.when(F.col("factor") == n, F.col("value"))).alias(n) for n in names)
-    )
-    return rows.where((F.col("_n") == len(names)) & F.col("_same")).select("code", *names)
+#: How many codes a comparison has, and how many days a series of prices.
+COMPARED, PRICE_DAYS = (2, 6), (1, 3650)
+
+
+def compared_codes(asked: DataFrame) -> DataFrame:
+    """asked (request, place, code as given) -> request, place (from 1), code, status: codes of one to six digits are
+    filled up with zeros, repeats go (the first place stays), blanks too; a request with another text, or with fewer
+    or more different codes than COMPARED, says so in status (bad_code, too_few, too_many) and is otherwise ok."""
+    text = F.trim("code")
+    good = text.rlike("^[0-9]{1,6}$")
+    rows = asked.where(F.coalesce(text != "", F.lit(False))).withColumn("code", F.when(good, F.lpad(text, 6, "0")).otherwise(text)).withColumn("_bad", ~good)
+    rows = rows.groupBy("request", "code").agg(F.min("place").alias("_first"), F.bool_or("_bad").alias("_bad"))
+    all_ = Window.partitionBy("request")
+    rows = rows.withColumns({"place": F.row_number().over(all_.orderBy("_first", "code")), "_n": F.count("*").over(all_), "_any": F.bool_or("_bad").over(all_)})
+    status = F.when(F.col("_any"), "bad_code").when(F.col("_n") < COMPARED[0], "too_few").when(F.col("_n") > COMPARED[1], "too_many").otherwise("ok")
+    return rows.select("request", "place", "code", status.alias("status"))
+
+
+def prices(bars: DataFrame, actions: DataFrame, as_of: str, days: int) -> tuple[DataFrame, DataFrame]:
+    """(bars, actions) in effect from ``days`` before the date up to it; actions as known on the date."""
+    if not PRICE_DAYS[0] <= days <= PRICE_DAYS[1]:
+        raise ValueError(f"days from {PRICE_DAYS[0]} to {PRICE_DAYS[1]}")
+    start, end = F.date_sub(pit.on(as_of), days), pit.on(as_of)
+    return bars.where(F.col("d").between(start, end)), pit.active_actions(actions, as_of).where(F.col("effective_date").between(start, end))
 
 
 def only_codes(view, codes: DataFrame, how: str = "left_semi"):

@@ -98,6 +98,29 @@ def append_only_violations(before: DataFrame, after: DataFrame, fixed: list[str]
     return changed.union(twice).union(lost)
 
 
+def new_dividends(feed: DataFrame, stored: DataFrame, order: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(rows to save, counts): dividends of the feed (code, effective_date, type) of which none with the same code,
+    ex-date and type is stored or stands earlier in the feed's order. A null type is an empty one; only cash dividends
+    among the stored actions count. A correction of the amount is thus skipped. Rows without an ex-date are data gaps.
+    counts: code, saved, skipped, gaps."""
+    keys = ["code", "effective_date", "type"]
+    known = lambda rows: rows.withColumn("type", F.coalesce("type", F.lit("")))
+    old = known(stored.where("action_type = 'cash_dividend'").select(*keys)).distinct().withColumn("_old", F.lit(True))
+    rows = known(feed).join(old, keys, "left").withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    gap = F.col("effective_date").isNull()
+    new = ~gap & F.col("_old").isNull() & (F.col("_n") == 1)
+    counts = rows.groupBy("code").agg(F.count_if(new).alias("saved"), F.count_if(~gap & ~new).alias("skipped"), F.count_if(gap).alias("gaps"))
+    return rows.where(new).select(*feed.columns), counts
+
+
+def chained(versions: DataFrame, keys: list[str]) -> DataFrame:
+    """Versions (id, keys, effective_date, receipt, further columns) with superseded_by: the id of the next version
+    of their key by (effective_date, receipt); of a receipt given twice for a key the one with the least (date, id) counts."""
+    first = F.row_number().over(Window.partitionBy(*keys, "receipt").orderBy("effective_date", "id")) == 1
+    rows = versions.withColumn("_first", first).where("_first").drop("_first")
+    return rows.withColumn("superseded_by", F.lead("id").over(Window.partitionBy(*keys).orderBy("effective_date", "receipt")))
+
+
 def first_of_feed(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The first row of each key in the feed's order."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -76,6 +76,15 @@ def period_start(text: Column, cycle: Column) -> Column:
     return F.coalesce(day, F.when(month.isNotNull(), F.make_date(year, month, F.lit(1))))
 
 
+def macro_rows(raw: DataFrame) -> DataFrame:
+    """``raw`` (cycle, period and value as texts, observed, further columns) with reference_date, value and vintage_date
+    of the rows that have both; a missing value, one that is no number, and a period that fits no date are skipped (and
+    counted by macro_counts). The vintage is the day on which the value was observed."""
+    value = F.trim("value").try_cast("decimal(38,6)")
+    rows = raw.withColumns({"value": value, "reference_date": period_start(F.trim("period"), F.col("cycle")), "vintage_date": F.col("observed")})
+    return rows.where(F.col("value").isNotNull() & F.col("reference_date").between("1900-01-01", "2100-12-31"))
+
+
 def uuid5(namespace: str, name: Column) -> Column:
     """The version 5 UUID of a name, by built-in functions."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))

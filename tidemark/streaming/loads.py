@@ -6,7 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.sources.loads import appended, once
+from tidemark.sources.loads import appended, chained, once
+from tidemark.sources.stored import written
 
 
 def append_stream(spark: SparkSession, landed: str, schema: str, target: str, checkpoint: str, keys: list[str], by: str | None = None) -> None:
@@ -32,3 +33,34 @@ def append_stream(spark: SparkSession, landed: str, schema: str, target: str, ch
 
     rows = spark.readStream.schema(schema).parquet(landed)
     rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+#: How many parts the versions of restated facts are dealt to by their keys; a batch rewrites only those that it meets.
+PARTS = 64
+
+
+def restatement_stream(spark: SparkSession, landed: str, schema: str, target: str, checkpoint: str, keys: list[str], parts: int = PARTS) -> None:
+    """Keep the chains of restated facts in the Parquet table ``target`` (the landed columns, superseded_by, part) up to
+    date with all reports landed so far: rows of id, keys (the account among them), effective_date, receipt and values.
+
+    The table is the state: for each key all versions, linked in the order of (effective_date, receipt). A batch takes
+    the parts of its keys, adds what is new and links them again, so files may come late, in any order, or twice, and a
+    batch that failed may be run again: the result is that of one batch over all files. Accounts missing from a
+    report stay as they are. ``parts`` stays what it was when the table was begun."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch = written(batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")), "reports")
+        met = [r[0] for r in batch.select("part").distinct().collect()]  # at most ``parts``
+        if not met:
+            return
+        try:
+            stored = spark.read.parquet(target).where(F.col("part").isin(met)).select(*batch.columns)
+        except AnalysisException as e:  # the first batch finds no table
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            stored = batch.where("false")
+        new = written(chained(stored.unionByName(batch), keys), "chains")
+        new.repartition(len(met), "part").write.partitionBy("part").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
+
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(landed)
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -26,6 +26,7 @@ VIEWS = {
   l_orderkey * 100000000 + l_partkey * 100 + l_linenumber AS k FROM {lineitem}) x GROUP BY code, d""",
     "bars_verify": """SELECT code, d, open, high, low, CASE WHEN volume % 97 = 0 THEN CAST(close * 1.002 AS DECIMAL(18,2)) ELSE close END AS close,
  volume, trading_value FROM bars WHERE (volume + day(d)) % 50 <> 0""",
+    "traded_bars": "SELECT code, d, trading_value FROM bars",
     "calendar": """SELECT d AS day, CAST(row_number() OVER (ORDER BY d) AS INT) AS bd_index FROM (SELECT DISTINCT d FROM bars WHERE (dayofweek(d) + {dow}) % 7 NOT IN (0, 6)) x""",
     # every tenth order as an action of some security; every seventh of these corrected by a cash dividend
     "actions": """SELECT id, code, action_type, announced_date, effective_date, ratio,
