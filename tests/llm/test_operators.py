@@ -480,3 +480,87 @@ def test_toxicity(spark, odd, none):
     assert len(toxicity.score(odd, model, "doc_id").collect()) == len(ODD) and toxicity.score(none, model, "doc_id").collect() == []
     unlearnt = toxicity.score(odd, toxicity.train(odd, labels.where("false"), F.lit(True)), "doc_id").collect()
     assert {round(r.score, 6) for r in unlearnt} == {0.05}
+
+
+def shared_passage(n, rng, passage=30, own=120):
+    """Texts of which every third holds one passage; pairs at, above and below the threshold among them."""
+    word = lambda: f"w{rng.randrange(10**6)}"
+    common = [word() for _ in range(passage)]
+    rows = []
+    for i in range(n):
+        text = [word() for _ in range(own)]
+        rows.append(text[:60] + common + text[60:] if i % 3 == 0 else text)
+    for i in range(0, n, 5):
+        copy = list(rows[i])
+        for _ in range(rng.randrange(6)):
+            copy[rng.randrange(len(copy))] = word()
+        rows.append(copy)
+    return [(i, " ".join(t)) for i, t in enumerate(rows)]
+
+
+def test_hot_values_stay_out_of_the_ranges(spark, monkeypatch):
+    """A passage in a third of the classes: no key range has twice the entries of the median one, and no link is lost."""
+    import random
+
+    import numpy as np
+
+    rows = shared_passage(1500, random.Random(3))
+    monkeypatch.setattr(near_dup, "RANGE", 1024)
+    seen = {}
+
+    def kept(reps, buckets, k, t, hot):
+        out = postings(reps, buckets, k, t, hot)
+        sizes = [(r.bucket, len(common.unpack_sorted(r.v))) for r in out.collect()]
+        for b, n in sizes:
+            seen[b] = seen.get(b, 0) + n
+        seen["hot"] = len(hot)
+        return out
+
+    postings = near_dup.postings
+    monkeypatch.setattr(near_dup, "postings", kept)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 80).collect()}
+    assert seen.pop("hot") >= 20  # the shingles inside the passage
+    assert len(seen) >= 32 and max(seen.values()) <= 2 * np.median(list(seen.values()))
+    found, _ = brute.near_duplicates(rows, 80)
+    assert got == found and len(set(found.values())) < len(rows)
+
+
+def test_hot_values_are_those_above_the_bound(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    common_ = np.sort(rng.integers(0, 2**63, 40).astype(np.uint64))
+    sets = [np.unique(np.concatenate([rng.integers(0, 2**63, 30).astype(np.uint64), common_[rng.random(40) < np.linspace(0.02, 0.6, 40)]])) for _ in range(800)]
+    counts = {int(v): sum(v in s for s in sets) for v in common_}
+    df = spark.createDataFrame([(i, len(s), bytearray(common.pack_sorted(s))) for i, s in enumerate(sets)], "cls long, size long, sketch binary").repartition(6)
+    for least in (100, 300, 900):
+        assert near_dup.hot_values(df, least, len(sets)).tolist() == sorted(v for v, n in counts.items() if n >= least)
+
+
+def test_exact_mode_of_long_texts(spark):
+    """Sets far above K, many of them right at the threshold: with whole sets every link is found."""
+    import random
+
+    rng = random.Random(12)
+    word = lambda: f"v{rng.randrange(10**7)}"
+    rows = []
+    for _ in range(40):
+        base = [word() for _ in range(rng.randrange(500, 1500))]
+        shingles = len(base) - 4
+        rows.append(base)
+        for _ in range(2):  # each changed word takes five shingles of both: similarity a little above or below 0.85
+            copy = list(base)
+            changes = round(shingles * (0.15 / 1.85) / 5) + rng.choice((-1, 0, 1))
+            for at in rng.sample(range(10, len(base) - 10, 6), changes):
+                copy[at] = word()
+            rows.append(copy)
+    rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    found, _ = brute.near_duplicates(rows, 85)
+    assert 20 < len(set(found.values())) < 110
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, 85, exact=True).collect()} == found
+    small = [(i, t) for i, t, _ in ODD if i is not None]
+    odd = spark.createDataFrame(small, "doc_id long, text string")
+    key = lambda rows: sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows)
+    assert key(near_dup.near_duplicates(odd, 80, exact=True).collect()) == key(near_dup.near_duplicates(odd, 80).collect())
+    assert near_dup.near_duplicates(odd.where("false"), 80, exact=True).collect() == []

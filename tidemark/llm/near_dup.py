@@ -18,7 +18,13 @@ two linked sets must have enough values from the list's on to match a set of its
 all letters of one form share costs nothing once each letter's own values have used up what may differ. Pairs inside
 a component are not needed: they cannot change it. A long list is dealt to several tasks.
 
-For sets above k shingles step 2 is a bound of chance, not a proof; README has the measured recall.
+A value that a large share of the classes retain is no burden of one task: tasks name the values that are frequent
+among their own documents, which every value of that share is somewhere, their counts are added up, and the entries of
+those above a share of a key range go past the ranges, each from its own task. Joins on a list's value are salted.
+
+For sets above k shingles steps 2 and 3 are bounds of chance, not a proof; README has the measured recall. With ``exact``
+whole sets take the place of sketches and no estimate is made: the filters are then certain for sets of any size, at the
+price of entries for all shingles.
 """
 
 from __future__ import annotations
@@ -48,6 +54,11 @@ DRAWN = 3
 PART = 4096
 #: Retained values for each key range of the inverted lists.
 RANGE = 1 << 20
+#: A value is hot if it has more entries than this share of a key range; how many hot values are known at most (the most
+#: frequent ones; others stay in their ranges, which changes no result).
+HOT_SHARE, MOST_HOT = 0.25, 1 << 20
+#: Parts that the members of a list are dealt to where they are joined with what is known of the list.
+SALT = 8
 #: Bits of the fixed-size filter with which the scan for full sets passes over uninvolved documents.
 FILTER_BITS = 1 << 24
 
@@ -87,8 +98,9 @@ def list_lengths(kept: np.ndarray, sizes: np.ndarray, k: int, t: float) -> np.nd
     return np.maximum(1, kept - least + 1).astype(np.int64)
 
 
-def sketches(docs: DataFrame, n: int = SHINGLE, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the full set; null if empty), sketch (packed, ascending)."""
+def sketches(docs: DataFrame, n: int = SHINGLE, k: int | None = K) -> DataFrame:
+    """doc_id, n_shingles, set_key (128 bits of the full set; null if empty), sketch (packed, ascending; without k the
+    whole set)."""
 
     def run(batches):
         memo = Hashes()
@@ -104,27 +116,91 @@ def sketches(docs: DataFrame, n: int = SHINGLE, k: int = K) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sketch binary")
 
 
-def postings(reps: DataFrame, buckets: int, k: int, t: float) -> DataFrame:
-    """The retained values of the classes (cls, size, sketch), packed by key range: values ascending, and for each
-    its class, the class's size and how many of its rarest values must be in lists."""
+def hot_values(reps: DataFrame, least: int, total: int) -> np.ndarray:
+    """The values, ascending, that at least ``least`` of the ``total`` classes retain.
+
+    Such a value is in some task's share of the classes as frequent as among all, so only values that reach this
+    share in a task are named, with their counts in every task that names them: a lower bound of all. Those that it
+    leaves below ``least`` are counted exactly where there is any doubt: by all tasks, among the named only."""
+    if least > total:
+        return np.empty(0, np.uint64)
+
+    def frequent(batches):
+        for b in batches:
+            found = [unpack_sorted(x) for x in b.column(0).to_pylist()]
+            if found:
+                v, count = np.unique(np.concatenate(found), return_counts=True)
+                on = count * total >= least * len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(v[on].view(np.int64)), pa.array(count[on])], ["v", "n"])
+
+    some = reps.select("sketch").mapInArrow(frequent, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
+    rows = some.orderBy(F.desc("n"), "v").limit(MOST_HOT).toArrow()
+    named = np.sort(rows["v"].to_numpy().view(np.uint64))
+    if not len(named):
+        return named
+
+    def counted(batches):
+        total = np.zeros(len(named), np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                v = unpack_sorted(x)
+                at = np.minimum(np.searchsorted(named, v), len(named) - 1)
+                total[at[named[at] == v]] += 1
+        on = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], ["at", "n"])
+
+    counts = reps.select("sketch").mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("at").toArrow()
+    return named[np.sort(counts["at"].to_numpy())]
+
+
+def entries(columns: list, k: int, t: float):
+    """v ascending, and for each its class, the class's size and how many of its rarest values must be in lists."""
+    found = [unpack_sorted(x) for x in columns[2].to_pylist()]
+    each = np.array([len(x) for x in found])
+    sizes = np.asarray(columns[1])
+    rows = [np.repeat(x, each) for x in (np.asarray(columns[0]), sizes, list_lengths(each, sizes, k, t))]
+    v = np.concatenate(found)
+    up = np.argsort(v, kind="stable")
+    return v[up], [c[up].astype(np.int64) for c in rows]
+
+
+def is_in(v: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(v), bool)
+    return hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v
+
+
+def postings(reps: DataFrame, buckets: int, k: int, t: float, hot: np.ndarray) -> DataFrame:
+    """The retained values of the classes (cls, size, sketch) that are not hot, packed by key range."""
 
     def run(batches):
         for b in batches:
-            found = [unpack_sorted(x) for x in b.column(2).to_pylist()]
-            if not found:
-                continue
-            each = np.array([len(x) for x in found])
-            sizes = np.asarray(b.column(1))
-            columns = [np.repeat(x, each) for x in (np.asarray(b.column(0)), sizes, list_lengths(each, sizes, k, t))]
-            v = np.concatenate(found)
-            up = np.argsort(v, kind="stable")
-            v, columns = v[up], [c[up].astype(np.int64) for c in columns]
-            out = [(bucket, pack_sorted(v[i:j]), *(pack(c[i:j]) for c in columns)) for bucket, i, j in slices(v, buckets)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], ["bucket", "v", "cls", "size", "prefix"])
+            if b.num_rows:
+                v, columns = entries(b.columns, k, t)
+                on = ~is_in(v, hot)
+                v, columns = v[on], [c[on] for c in columns]
+                out = [(bucket, pack_sorted(v[i:j]), *(pack(c[i:j]) for c in columns)) for bucket, i, j in slices(v, buckets)] if len(v) else []
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], ["bucket", "v", "cls", "size", "prefix"])
 
     return reps.select("cls", "size", "sketch").mapInArrow(run, "bucket int, v binary, cls binary, size binary, prefix binary")
 
 
+def hot_entries(reps: DataFrame, k: int, t: float, hot: np.ndarray, total: int) -> DataFrame:
+    """The entries of hot values, as ``shared_values`` gives those of others; their number counts as ``total``, so that they
+    come after all others in the order of rarity."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                v, columns = entries(b.columns, k, t)
+                on = is_in(v, hot)
+                rows = [*(c[on] for c in columns), np.full(int(on.sum()), total), v[on].view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["cls", "size", "prefix", "df", "v"])
+
+    return reps.select("cls", "size", "sketch").mapInArrow(run, "cls long, size long, prefix long, df long, v long")
+
+
 def shared_values(pdf: pd.DataFrame) -> pd.DataFrame:
     """The values of one key range that several classes retain, with their number."""
     v = np.concatenate([unpack_sorted(x) for x in pdf["v"]])
@@ -194,7 +270,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("id", "comp")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int = K) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int = K, exact: bool = False) -> DataFrame:
     """One row for each row of ``docs`` (columns doc_id, text; others are ignored): doc_id, n_shingles,
     component_id, kept.
 
@@ -203,10 +279,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int
     empty text, or one of blanks only, has no shingles and is linked with nothing; repeated rows and equal texts
     are linked (similarity 1); rows that share a doc_id but not the text are linked by similarity alone; rows
     without doc_id take no part, their component_id is null and they are kept. Texts of any length count whole. An
-    empty table gives an empty result.
+    empty table gives an empty result. ``exact``: no link is left to chance, however large the sets (see above).
     """
     t = percent / 100
-    sig = materialise(sketches(docs, n, k), "sketches")
+    sig = materialise(sketches(docs, n, None if exact else k), "sketches")
+    if exact:  # sketches are whole sets, and so are those of any partner
+        k = math.ceil((sig.agg(F.max("n_shingles")).first()[0] or 1) / t) + 1
     named = materialise(sig.select("doc_id", "n_shingles", "set_key"), "named")
     classes = materialise(named.where("doc_id IS NOT NULL AND set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("cls")), "classes")
     # a class has the sketch of the document that it is named after
@@ -217,8 +295,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int
     discard(sig)
 
     # inverted lists of the values a sketch must be found by: the rarest, of which those of one class need no list
-    buckets = max(8, -(-classes.count() * k // RANGE))
-    values = postings(reps, buckets, k, t).groupBy("bucket").applyInPandas(shared_values, "cls long, size long, prefix long, df long, v long")
+    total, retained = reps.agg(F.count("*"), F.coalesce(F.sum(F.least("size", F.lit(k))), F.lit(0))).first()
+    buckets = max(8, -(-retained // RANGE))
+    hot = hot_values(reps, max(2, math.ceil(HOT_SHARE * retained / buckets)), total)
+    values = postings(reps, buckets, k, t, hot).groupBy("bucket").applyInPandas(shared_values, "cls long, size long, prefix long, df long, v long")
+    if len(hot):
+        values = values.unionByName(hot_entries(reps, k, t, hot, total))
     found = values.groupBy("cls", "size", "prefix").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     single = F.least("size", F.lit(k)) - F.size("vs")
     room = F.col("prefix") - single
@@ -230,16 +312,16 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int
     # own: matches at its own size may still be met from here on; above that only by partners that are sketched
     found = found.select("cls", "size", "single", ahead.alias("ahead"), "band", "x.v")
     own = (F.col("ahead") >= needed(F.col("size"), F.col("size"), k, t)) | (F.col("size") > F.lit(k * t))
-    lists = materialise(found.withColumn("own", own), "lists")
+    lists = materialise(found.withColumns({"own": own, "salt": F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(SALT)).cast("int")}), "lists")
 
     size_ok = F.least("size", "size_b") * 100 >= F.greatest("size", "size_b") * percent
     size_ok = size_ok & (F.least("ahead", "ahead_b") >= needed(F.col("size"), F.col("size_b"), k, t))
-    sk = materialise(short_sketches(reps), "short")
+    sk = None if exact else materialise(short_sketches(reps), "short")
     discard(reps)
     comps, edges, tried = None, None, None
 
     def candidates(kind: str) -> DataFrame:
-        rows = lists if comps is None else lists.join(comps, lists.cls == comps.id, "left").select("cls", "size", "single", "ahead", "band", "v", "own", F.coalesce("comp", "cls").alias("comp"))
+        rows = lists if comps is None else lists.join(comps, lists.cls == comps.id, "left").select("cls", "size", "single", "ahead", "band", "v", "own", "salt", F.coalesce("comp", "cls").alias("comp"))
         if comps is None:
             rows = rows.withColumn("comp", F.col("cls"))
         if kind == "rest":
@@ -249,10 +331,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int
             leads = F.array(*(F.min_by(F.struct("cls", "size", "ahead", "comp"), F.struct(x, F.col("cls"))) for x in by))
             lead = rows.groupBy("v", "band").agg(leads.alias("ls"), F.count("*").alias("c")).where("c > 1").select("v", "band", F.explode(F.array_distinct("ls")).alias("l"))
             lead = lead.select("v", "band", F.col("l.cls").alias("cls_b"), F.col("l.size").alias("size_b"), F.col("l.ahead").alias("ahead_b"), F.col("l.comp").alias("comp_b"))
-            pairs = rows.join(lead, ["v", "band"]).where((F.col("comp") != F.col("comp_b")) & size_ok)
+            pairs = rows.join(salted(lead), ["v", "band", "salt"]).where((F.col("comp") != F.col("comp_b")) & size_ok)
         return pairs.select(F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b")).distinct()
 
-    scratch = [lists, sk]
+    scratch = [lists] if exact else [lists, sk]
     for kind in ("first", "drawn", "rest"):
         pairs = candidates(kind)
         if tried is not None:
@@ -262,7 +344,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int
         if comps is not None and pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.union(pairs)
-        links = verified(docs, estimated(pairs, sk, t), percent, n)
+        links = verified(docs, pairs if exact else estimated(pairs, sk, t), percent, n)
         scratch.append(links)
         edges = links if edges is None else edges.union(links)
         if comps is not None and links.isEmpty():
@@ -279,12 +361,17 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int
     return own.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def salted(keys: DataFrame) -> DataFrame:
+    """What is known of a list, once for each part of its members."""
+    return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
 def rest_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of a list's members of different components, each from its smaller member, which must be ``own``. At least
     one of the two is outside the list's largest component, so members of that are only compared with the others."""
     most = rows.groupBy("v", "comp").agg(F.count("*").alias("n")).groupBy("v").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("c"), F.sum("n").alias("n"))
     most = most.where("c > 1").select("v", "main", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    rows = rows.join(most, "v").withColumn("out", F.col("comp") != F.col("main")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    rows = rows.join(salted(most), ["v", "salt"]).withColumn("out", F.col("comp") != F.col("main")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     theirs = rows.select("v", "part", *(F.col(c).alias(f"{c}_b") for c in ("cls", "size", "ahead", "comp", "out")))
     mine = rows.where("own").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     order = (F.col("size") < F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("cls") != F.col("cls_b")))
