@@ -564,3 +564,10 @@ def test_exact_mode_of_long_texts(spark):
     key = lambda rows: sorted((r.doc_id, r.n_shingles, r.component_id) for r in rows)
     assert key(near_dup.near_duplicates(odd, 80, exact=True).collect()) == key(near_dup.near_duplicates(odd, 80).collect())
     assert near_dup.near_duplicates(odd.where("false"), 80, exact=True).collect() == []
+
+
+def test_very_short_items_are_reported_and_not_looked_for(spark):
+    docs = spark.createDataFrame([(k, f"the cat number {k} sat on the mat and the dog did not") for k in range(20)] + [(99, "so the quick brown fox ran off with the hat")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "the"), (2, "the cat sat"), (3, "quick brown fox ran off"), (4, ""), (5, None), (None, "a"), (6, "\u4eca\u5929")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()] == [(99, 3)]
+    assert sorted(map(tuple, decontam.too_short(items).collect())) == [(1, 1), (2, 3), (4, 0), (6, 2)]

@@ -35,6 +35,8 @@ WINDOW = 8
 COVER, RUN = 0.5, 25
 #: Windows need so many words that are no placeholder.
 LITERAL = 4
+#: Items of fewer words say nothing: nearly every text holds them. They are reported by ``too_short``, not looked for.
+FEWEST = 4
 FILTER_BITS = 1 << 24
 #: A hash has a bit for each of these shifts.
 SHIFTS = (0, 32)
@@ -352,12 +354,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     n_words (item words matched), coverage (share of the item), n_slots, n_changed, reparameterised.
 
     ``docs``: doc_id, text; ``benchmark``: item_id, text; other columns are ignored. Rows with null id or text and
-    texts without words give nothing; items without enough literal words are found as they stand only; repeated rows
-    give their result once; of several places the longest (first) is told. Of a very long text only the stretches
+    texts without words give nothing, nor do items of fewer than FEWEST words (``too_short`` tells which); items without
+    enough literal words are found as they stand only; repeated rows give their result once; of several places the longest (first) is told. Of a very long text only the stretches
     that may match are sent on. An empty table on either side gives an empty result.
     """
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string")).distinct()
-    items = materialise(cut_items(items, window).where(F.size("plain") > 0).withColumn("item", F.monotonically_increasing_id()), "items")
+    items = materialise(cut_items(items, window).where(F.size("plain") >= FEWEST).withColumn("item", F.monotonically_increasing_id()), "items")
     index = items.select("item", F.explode(F.arrays_zip("at", "hash", "strong")).alias("w")).select("item", "w.*")
     lengths = [r.n for r in items.select(F.least(F.size("plain"), F.lit(window)).alias("n")).distinct().collect()]
     reach = (items.select(F.max(F.size("plain"))).first()[0] or 0) + SLACK
@@ -388,6 +390,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     return out.withColumn("reparameterised", F.col("n_changed") > 0)
 
 
+def too_short(benchmark: DataFrame) -> DataFrame:
+    """item_id, n_words of the benchmark items that ``contaminated`` does not look for, as they have fewer than FEWEST
+    words; items without an id or a text are none."""
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("id"), F.col("text").cast("string")).distinct()
+    return cut_items(items, 1).select(F.col("id").alias("item_id"), F.size("plain").alias("n_words")).where(F.col("n_words") < FEWEST)
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
