@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import hard_negatives, warc, whitening
+from tidemark.llm import hard_negatives, topk, warc, whitening
 
 VECTOR = "vec_id long, v array<long>, component int, n int, whitened string, x int"
 
@@ -252,3 +252,33 @@ def test_boxes_of_large_numbers_are_not_too_small():
     s = q @ v.T
     want = {(a, int(i), int(s[a, i])) for a in range(20) for i in np.argsort(-s[a], kind="stable")[:3]}
     assert set(zip(anchor.tolist(), found.tolist(), score.tolist())) == want
+
+
+def best_by_python(rows, k, is_query):
+    out = []
+    for q, v in (r for r in rows if is_query(r[0])):
+        scored = sorted((-sum(x * y for x, y in zip(v, w)), i) for i, w in rows if i != q and len(w) == len(v))[:k]
+        out += [(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)]
+    return sorted(out)
+
+
+def test_pairs_of_blocks_are_dropped_before_vectors_are_sent(spark, monkeypatch):
+    """Clustered vectors: most pairs of blocks cannot hold a best score; a hot vector and another length lose nothing."""
+    rng = random.Random(11)
+    centres = [[rng.randrange(-500, 500) for _ in range(8)] for _ in range(12)]
+    rows = [(i, [c + rng.randrange(-9, 10) for c in centres[rng.randrange(12)]]) for i in range(900)]
+    rows += [(1000 + i, rows[0][1]) for i in range(400)]  # one vector that a quarter of all rows have
+    rows += [(2000 + i, [i, 1]) for i in range(30)]
+    seen, written = {}, topk.materialise
+
+    def kept(df, name):
+        seen[name] = out = written(df, name)
+        return out
+
+    for name, value in (("BLOCK", 100), ("QUERY_BLOCK", 20), ("CELL", 16), ("FIRST", 256), ("POOL", 128), ("materialise", kept)):
+        monkeypatch.setattr(topk, name, value)
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, v array<long>"), F.col("vec_id") % 5 == 0, 7, 16)
+    assert sorted(map(tuple, got.collect())) == best_by_python(rows, 7, lambda i: i % 5 == 0)
+    left = seen["block_pairs"].where("dim = 8")
+    blocks = left.select("b").distinct().count() * left.select("c").distinct().count()
+    assert blocks > 100 and left.count() < 0.5 * blocks

@@ -5,16 +5,20 @@ inequality the distance of a query and a candidate is at least the largest diffe
 pivot; so <q, v> = (|q|^2 + |v|^2 - |q - v|^2) / 2 is at most the bound that this distance gives.
 
 A first look at a fixed number of vectors, the same for all queries, tells each query a score that its k-th best
-reaches at least; every block starts from there. Candidates are dealt into blocks of about BLOCK rows and queries
-into blocks of about QUERY_BLOCK; a pair of blocks is one group. In it candidates lie in cells of CELL rows near one
+reaches at least; every block starts from there. Candidates are dealt into blocks of at most about BLOCK rows and queries
+into blocks of QUERY_BLOCK, each of vectors with the same nearest pivot, or a few if that is little; many vectors near
+one pivot fill several blocks.
+A block's least and largest distance to each pivot bound what any of its vectors may score with any of another block,
+and pairs of blocks that stay below what every query is sure of are dropped before a vector is sent. A pair of
+blocks that is left is one group. In it candidates lie in cells of CELL rows near one
 pivot, which are taken in the order of their bounds (from the cell's least and largest distances). In a cell the
 candidates whose own bound reaches a query's k-th score so far are evaluated, as one product for all queries that
 have any; a query leaves when no cell left can reach its k-th score. Equal bounds are still evaluated, so ties are
 exact. A group returns the k best of its candidates for each query, and these are merged. Groups have a fixed size,
 whatever vectors repeat.
 
-The work is queries x rows at most, as the query set is a share of the rows; each candidate is sent once for each
-QUERY_BLOCK queries. Where the distances tell vectors apart little (random directions in many dimensions, as in the
+The work is queries x rows at most, as the query set is a share of the rows; each candidate is sent at most once for
+each block of queries. Where the distances tell vectors apart little (random directions in many dimensions, as in the
 given tables) pivots eliminate some 3% of the candidates and the products do the rest.
 """
 
@@ -33,6 +37,8 @@ PIVOTS = 32
 POOL, FIRST = 1024, 2048
 BLOCK, QUERY_BLOCK = 8192, 8192
 CELL, QUERIES = 512, 256
+#: Pairs of blocks that are few enough to be sent to every task.
+BROADCAST_PAIRS = 100_000
 #: More than rounding takes away from a bound, as a share of the two squared lengths, and in itself.
 SLACK = 1e-5
 #: The same for a distance, as a share of the greatest to its pivot.
@@ -181,6 +187,59 @@ def quantised(embedding: Column, scale: int = 64) -> Column:
     return F.when(F.coalesce(fine, F.lit(False)), F.transform(doubles, lambda x: F.floor(x * scale).cast("long")))
 
 
+def blocked(table: DataFrame, size: int, kind: str) -> DataFrame:
+    """``table`` with ``kind``, the number of each row's block: of one length, and of about ``size`` rows at most. The
+    rows near one pivot fill blocks of their own, or share one with those of others if together they are no more."""
+    near = F.array_position("d", F.array_min("d")).cast("int")
+    rows = table.withColumn("near", near)
+    counts = rows.groupBy("dim", "near").count().orderBy("dim", "near").collect()  # a row for each pivot (and length)
+    cases, first, room, dim = [], -1, 0, None
+    for r in counts:
+        parts = -(-r["count"] // size)
+        if r.dim != dim or r["count"] > room:
+            first, room, dim = first + 1, size, r.dim
+        cases.append((r.dim, r.near, first, parts))
+        first, room = first + parts - 1, room - r["count"] if parts == 1 else 0
+    places = table.sparkSession.createDataFrame(cases, "dim int, near int, first long, parts long")
+    return rows.join(F.broadcast(places), ["dim", "near"]).withColumn(kind, F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(1)), F.col("parts"))).drop("near", "first", "parts")
+
+
+def block_bounds(rows: DataFrame, kind: str, pivots: int, query: bool) -> DataFrame:
+    """dim, ``kind``, low and high (distances to each pivot), norm (largest squared length) and, of queries, least."""
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
+    low, high = ([F.coalesce(f(F.get("d", F.lit(i))), F.lit(0.0)).cast("double") for i in range(pivots)] for f in (F.min, F.max))
+    least = [F.min("least").alias("least")] if query else []
+    return rows.groupBy("dim", kind).agg(F.array(*low).alias("low"), F.array(*high).alias("high"), F.max(norm).alias("norm"), *least)
+
+
+def may_meet(queries: pa.Table, cands: pa.Table) -> pa.Table:
+    """The pairs (b, c) of blocks of which some query may reach its least score with some candidate."""
+    out = []
+    if queries.num_rows and cands.num_rows:
+        low, high = matrix(cands["low"], cands.num_rows), matrix(cands["high"], cands.num_rows)
+        norm, number = cands["norm"].to_numpy(), cands["c"].to_numpy()
+        for q in queries.to_pylist():
+            at, to = np.array(q["low"]), np.array(q["high"])
+            off = ROUNDING * np.maximum(high, to)
+            gap = np.maximum(0, np.maximum(at - high, low - to) - off).max(1)
+            total = q["norm"] + norm
+            out += [(q["dim"], q["b"], c) for c in number[(total * (1 + 2 * SLACK) - gap**2) / 2 + SLACK >= q["least"]].tolist()]
+    return pa.table({n: pa.array(x, t) for n, x, t in zip(("dim", "b", "c"), list(zip(*out)) or [()] * 3, (pa.int32(), pa.int64(), pa.int64()))})
+
+
+def block_pairs(queries: DataFrame, cands: DataFrame, pivots: int) -> DataFrame:
+    """dim, b, c: the pairs of blocks left. Bounds meet in squares of 1024 blocks."""
+    square = lambda c: F.floor(F.col(c) / 1024)
+    q, c = block_bounds(queries, "b", pivots, True), block_bounds(cands, "c", pivots, False)
+    upto = lambda rows, number: rows.groupBy("dim").agg(F.max(square(number)).alias("last"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))
+    q2 = q.join(upto(c, "c"), "dim").withColumn("y", every).withColumn("x", square("b")).drop("last")
+    c2 = c.join(upto(q, "b"), "dim").withColumn("x", every).withColumn("y", square("c")).drop("last")
+    keys = ["dim", "x", "y"]
+    q2, c2 = q2.toDF(*q2.columns), c2.toDF(*c2.columns)  # columns of their own, as both come from one table
+    return q2.groupBy(*keys).cogroup(c2.groupBy(*keys)).applyInArrow(may_meet, "dim int, b long, c long")
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: for each vector with ``is_query``, the k best of all others.
 
@@ -190,17 +249,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, pivots: int = PIVOTS
     """
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "v", F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = materialise(rows.groupBy("vec_id").agg(F.min("v").alias("v"), F.max("q").alias("q")).withColumn("dim", F.size("v")), "vectors")
-    n, nq = rows.agg(F.count("*"), F.count_if("q")).first()
     first_ids, first = drawn_rows(rows, FIRST)
     table = materialise(with_pivots(rows, far_apart(first[:POOL], pivots), first_ids, first, k), "pivot_table")
     discard(rows)
-    blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-nq // QUERY_BLOCK))
-    place = F.xxhash64("vec_id", F.lit(1))
-    every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    cands = table.drop("q", "least").withColumn("c", F.pmod(place, F.lit(blocks)).cast("int")).withColumn("b", every(query_blocks))
-    queries = table.where("q").drop("q").withColumn("b", F.pmod(place, F.lit(query_blocks)).cast("int")).withColumn("c", every(blocks))
-    keys = ["dim", "b", "c"]
-    found = queries.groupBy(*keys).cogroup(cands.groupBy(*keys)).applyInArrow(group_search(k), "query_id long, vec_id long, score long")
+    cands = blocked(table.drop("q", "least"), BLOCK, "c")
+    queries = blocked(table.where("q").drop("q"), QUERY_BLOCK, "b")
+    wide = F.max(F.size("d"))
+    links = materialise(block_pairs(queries, cands, table.agg(wide).first()[0] or 1), "block_pairs")
+    links = F.broadcast(links) if links.count() < BROADCAST_PAIRS else links
+    asked, sent = queries.join(links, ["dim", "b"]), cands.join(links, ["dim", "c"])
+    keys, asked = ["dim", "b", "c"], asked.toDF(*asked.columns)
+    found = asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInArrow(group_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
