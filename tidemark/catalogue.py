@@ -82,7 +82,7 @@ def _(v):
 
 #: Chains of 150 orders each: closed to a cycle, in one piece (deeper than 100 hops at first), or cut every ten.
 VIEWS["chains"] = """SELECT n AS id, CAST(floor(n / 150) AS BIGINT) AS block, CASE WHEN n % 150 = 149 THEN CASE WHEN CAST(floor(n / 150) AS BIGINT) % 3 = 0 THEN n - 149 END WHEN CAST(floor(n / 150) AS BIGINT) % 3 = 2 AND n % 10 = 9 THEN NULL ELSE n + 1 END AS superseded_by
- FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS n, count(*) OVER () AS of FROM {orders}) x WHERE n < of - of % 150"""
+ FROM (SELECT o_orderkey - first AS n, of FROM {orders} CROSS JOIN (SELECT min(o_orderkey) AS first, count(*) AS of FROM {orders}) c) x WHERE n < of - of % 150"""
 
 
 @query("pit_chain_integrity", """SELECT block, CAST(count(*) AS BIGINT) AS facts, CAST(count(superseded_by) AS BIGINT) AS superseded, CAST(count(*) FILTER (block % 3 = 0 OR (block % 3 = 1 AND 149 - id % 150 > 100)) AS BIGINT) AS defects FROM chains GROUP BY block""")

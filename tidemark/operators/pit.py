@@ -14,6 +14,8 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.stored import written
+
 
 def on(as_of) -> Column:
     return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("date")
@@ -144,14 +146,15 @@ def dividends(actions: DataFrame, as_of) -> DataFrame:
 def chain_defects(facts: DataFrame, id: str = "id", next: str = "superseded_by", deepest: int = 100, keys: tuple[str, ...] = ()) -> DataFrame:
     """id, hops of facts whose chain has a cycle or more than ``deepest`` hops (counted until the chain ends or that is
     certain). ``keys``: columns that all facts of a chain share; chains are then walked within their group, which holds
-    one series of restatements. Without keys pointers are doubled by joins: seven rounds follow 128 hops, and the plan
-    doubles with each, which suits small tables only."""
+    one series of restatements. Without keys pointers are doubled by joins, each round a written table: seven rounds
+    follow 128 hops."""
     links = facts.where(F.col(next).isNotNull())
     if not keys:
         links = links.select(F.col(id).alias("id"), F.col(next).alias("to"), F.lit(1).alias("hops"))
         for _ in range(deepest.bit_length()):
             ahead = links.select(F.col("id").alias("_id"), F.col("to").alias("_to"), F.col("hops").alias("_hops"))
             links = links.join(ahead, F.col("to") == F.col("_id"), "left").select("id", F.coalesce("_to", "to").alias("to"), (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"))
+            links = written(links, "links")
         return links.where(F.col("hops") > deepest).select("id", "hops")
     groups = links.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct(F.col(id).alias("id"), F.col(next).alias("to")))).alias("to"))
 

@@ -51,7 +51,11 @@ VIEWS = {
  CAST(l_extendedprice AS DECIMAL(18,2)) AS unit_price, CAST(l_tax AS DECIMAL(18,2)) AS fee, CAST(l_shipdate AS DATE) AS trade_date FROM {lineitem}""",
     "batch_runs": """SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'KRX' WHEN 'click' THEN 'DART' WHEN 'purchase' THEN 'FSC' ELSE 'KOSIS' END AS source,
  ts AS started_at, CASE WHEN event_type = 'error' THEN 'skipped' WHEN value > 100 THEN 'partial' ELSE 'success' END AS status FROM {events}""",
-    "batch_order": """SELECT id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY started_at, id) AS INT) AS place, CAST(count(*) OVER (PARTITION BY source) AS INT) AS of FROM batch_runs""",
+    # numbered within each day, then by the days before it: a source's batches never meet in one task
+    "batch_order": """SELECT r.id, r.source, CAST(r.n + c.before AS INT) AS place, CAST(c.of AS INT) AS of FROM (
+ SELECT id, source, CAST(started_at AS DATE) AS day, row_number() OVER (PARTITION BY source, CAST(started_at AS DATE) ORDER BY started_at, id) AS n FROM batch_runs) r JOIN (
+ SELECT source, day, sum(k) OVER (PARTITION BY source ORDER BY day) - k AS before, sum(k) OVER (PARTITION BY source) AS of FROM (
+ SELECT source, CAST(started_at AS DATE) AS day, count(*) AS k FROM batch_runs GROUP BY source, CAST(started_at AS DATE)) q) c ON r.source = c.source AND r.day = c.day""",
     "loaded_statements": """SELECT s.*, b.id AS batch_id, b.place AS loaded FROM statements s JOIN batch_order b ON b.source = 'DART' AND b.place = s.id % b.of + 1""",
     "loaded_bars": """SELECT s.*, b.id AS batch_id, b.place AS loaded FROM bars s JOIN batch_order b ON b.source = 'KRX' AND b.place = s.volume % b.of + 1""",
     # quarterly sums of orders per customer as statements of five accounts; every fifth customer restated
