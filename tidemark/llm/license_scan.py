@@ -144,7 +144,8 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates=T
     labels (arrays, sorted; labels are of phrases, matches and wrapped), score.
 
     score: 1 with a phrase, else the highest containment met, else 0. A null or empty text has no words and no
-    labels. Repeated rows are rows like others, null ids too. An empty table gives an empty result.
+    labels. Texts of any length are scanned whole, in overlapping blocks. Repeated rows are rows like others, null ids
+    too. An empty table gives an empty result.
     """
     labels = list(phrases.values())
     vocab = vocabulary([*phrases, *(t for _, t in templates)])

@@ -211,8 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, most: int = MAX_TRA
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1, higher: better text) of each row of ``docs`` (doc_id, text; others are ignored).
 
-    A null or empty text is scored as one without words. Repeated rows and null ids are rows like others. An
-    empty table gives an empty result; a model from no labels gives 0.5.
+    A null or empty text is scored as one without words; features are taken of whole texts of any length. Repeated
+    rows and null ids are rows like others. An empty table gives an empty result; a model from no labels gives 0.5.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -138,8 +138,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """One row for each row of ``docs`` (columns doc_id, text; others are ignored): doc_id, n_bytes, n_tokens,
     over_limit, for the sentencepiece model at ``path`` (a file that every executor has, as the library needs).
 
-    A null or empty text has no bytes and no tokens. Repeated rows and null ids are rows like others. An empty
-    table gives an empty result.
+    A null or empty text has no bytes and no tokens. Texts of any length count whole; one longer than a chunk is a chunk
+    of its own. Repeated rows and null ids are rows like others. An empty table gives an empty result.
     """
     rows = materialise(packed(docs, shuffle_buckets(docs, "text", RANGE)), "pre_tokens")
     asks = rows.where("bucket IS NOT NULL").select("bucket", "chunk", "numbers", "words")
