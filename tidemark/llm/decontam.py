@@ -75,7 +75,7 @@ class Forms(dict):
     """token -> number, under which ``hash`` has the hash of its lower-case word and ``flags`` the sum of
     1: a number, 2: capitalised, 4: ends a sentence, 8: a unit."""
 
-    def __init__(self, room: int = 1 << 19):
+    def __init__(self, room: int = 1 << 18):
         self.room(room)
 
     def room(self, tokens: int) -> None:

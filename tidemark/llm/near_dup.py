@@ -59,6 +59,8 @@ RANGE = 1 << 20
 HOT_SHARE, MOST_HOT = 0.25, 1 << 20
 #: Parts that the members of a list are dealt to where they are joined with what is known of the list.
 SALT = 8
+#: Words whose hashes a task remembers, and sketches of which it counts values at a time: bounds of its memory.
+WORDS, COUNTED = 1 << 18, 2048
 #: Bits of the fixed-size filter with which the scan for full sets passes over uninvolved documents.
 FILTER_BITS = 1 << 24
 
@@ -104,6 +106,7 @@ def sketches(docs: DataFrame, n: int = SHINGLE, k: int | None = K) -> DataFrame:
 
     def run(batches):
         memo = Hashes()
+        memo.LIMIT = WORDS
         for b in batches:
             sizes, keys, kept = [], [], []
             for text in text_bytes(b.column(1)):
@@ -127,8 +130,9 @@ def hot_values(reps: DataFrame, least: int, total: int) -> np.ndarray:
 
     def frequent(batches):
         for b in batches:
-            found = [unpack_sorted(x) for x in b.column(0).to_pylist()]
-            if found:
+            blobs = b.column(0).to_pylist()
+            for first in range(0, len(blobs), COUNTED):
+                found = [unpack_sorted(x) for x in blobs[first : first + COUNTED]]
                 v, count = np.unique(np.concatenate(found), return_counts=True)
                 on = count * total >= least * len(found)
                 yield pa.RecordBatch.from_arrays([pa.array(v[on].view(np.int64)), pa.array(count[on])], ["v", "n"])
@@ -239,6 +243,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int = SHINGLE) -> DataFrame:
 
     def run(batches):
         memo = Hashes()
+        memo.LIMIT = WORDS
         for b in batches:
             p = np.asarray(b.column(2))
             on = np.flatnonzero((sent.value[p >> 6] >> (p & 63)) & 1)
