@@ -6,8 +6,9 @@ feed: a text falls into pre-tokens there, and its count is the sum of its pre-to
 verifies these properties of the model that it loads.
 
 Documents are packed in chunks that hold how often each document has each of the chunk's distinct pre-tokens.
-Chunks send their distinct pre-tokens, once each, to the group of their key range; there each distinct pre-token
-of the corpus is counted once, and the counts go back to the chunks, where they meet the frequencies.
+Chunks send their distinct pre-tokens, once each, to the group of their key range, in as many hops as the number of
+ranges needs (:mod:`tidemark.llm.ranges`); there each distinct pre-token of the corpus is counted once, and the counts
+go back to the chunks, where they meet the frequencies.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import materialise, pack, shuffle_buckets, slices, text_bytes, unpack
+from tidemark.llm.ranges import Route, exchange, returned
 
 LIMIT = 4096
 CHUNK = 12 << 20
@@ -62,6 +64,27 @@ def piece_counts(words: list[bytes], model) -> list[int]:
     return [len(ids) - 2 for ids in model.encode(["\n" + w.decode() for w in words], num_threads=1)]
 
 
+def message(words: list[bytes]) -> tuple[bytes, bytes]:
+    """Pre-tokens as their sizes and their bytes."""
+    return pack(np.array([len(w) for w in words], np.uint32)), zstandard.compress(b"".join(words), 1)
+
+
+def messages(pdf: pd.DataFrame) -> list[list[bytes]]:
+    """The pre-tokens of each row."""
+    out = []
+    for sizes, words in zip(pdf["numbers"], pdf["words"]):
+        raw, ends = zstandard.decompress(words), np.cumsum(unpack(sizes, np.uint32), dtype=np.int64).tolist()
+        out.append([raw[i:j] for i, j in zip([0, *ends], ends)])
+    return out
+
+
+def by_key(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of pre-tokens, ascending, and the order in which they ascend."""
+    keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    up = np.argsort(keys, kind="stable")
+    return keys[up], up
+
+
 def packed(docs: DataFrame, buckets: int, chunk_bytes: int = CHUNK) -> DataFrame:
     """Two kinds of rows. bucket null: a chunk's document ids, sizes in bytes, how many distinct pre-tokens each
     document has, their numbers and frequencies. Otherwise: the chunk's distinct pre-tokens of one key range, in
@@ -73,14 +96,13 @@ def packed(docs: DataFrame, buckets: int, chunk_bytes: int = CHUNK) -> DataFrame
         def rows():
             chunk = part * 1_000_000 + seq
             words = list(vocab)
-            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-            up = np.argsort(keys, kind="stable")
+            keys, up = by_key(words)
             place = np.empty(len(words), np.uint32)
             place[up] = np.arange(len(words), dtype=np.uint32)
             out = [(None, chunk, ids, sizes, [len(x) for x, _ in found], pack(place[np.concatenate([x for x, _ in found])]), pack(np.concatenate([n for _, n in found]).astype(np.uint32)), None)]
-            for bucket, i, j in slices(keys[up], buckets):
-                part_words = [words[k] for k in up[i:j]]
-                out.append((bucket, chunk, None, None, None, pack(np.array([len(w) for w in part_words], np.uint32)), None, zstandard.compress(b"".join(part_words), 1)))
+            for bucket, i, j in slices(keys, buckets):
+                numbers, sent = message([words[k] for k in up[i:j]])
+                out.append((bucket, chunk, None, None, None, numbers, None, sent))
             types = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["bucket", "chunk", "doc_id", "n_bytes", "n_words", "numbers", "times", "words"])
 
@@ -112,10 +134,7 @@ def counted(path: str):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         model = checked_model(path)
-        asked = []
-        for sizes, words in zip(pdf["numbers"], pdf["words"]):
-            raw, ends = zstandard.decompress(words), np.cumsum(unpack(sizes, np.uint32), dtype=np.int64).tolist()
-            asked.append([raw[i:j] for i, j in zip([0, *ends], ends)])
+        asked = messages(pdf)
         distinct = list(set().union(*asked))
         of = dict(zip(distinct, piece_counts(distinct, model)))
         return pd.DataFrame({"chunk": pdf["chunk"], "bucket": pdf["bucket"], "pieces": [pack(np.fromiter(map(of.__getitem__, words), np.uint32, len(words))) for words in asked]})
@@ -123,6 +142,40 @@ def counted(path: str):
     return run
 
 
+RELAYED = "bucket int, grp int, chunk long, numbers binary, words binary, kids array<long>, places array<binary>"
+
+
+def relayed(route: Route):
+    """For each hop, the function that merges the pre-tokens asked for by one group and asks for them, once each."""
+
+    def at(hop: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            bucket, group, asked = int(pdf["bucket"].iloc[0]), int(pdf["grp"].iloc[0]), messages(pdf)
+            sender, words = route.sender(hop, bucket, group), list(dict.fromkeys(w for own in asked for w in own))
+            keys, up = by_key(words)
+            words = [words[k] for k in up]
+            place = dict(zip(words, range(len(words))))
+            out = [(b, group % route.groups(hop + 1), sender, *message(words[i:j]), None, None) for b, i, j in slices(keys, route.ranges(hop + 1))]
+            places = [pack(np.fromiter(map(place.__getitem__, own), np.uint32, len(own))) for own in asked]
+            out.append((bucket, group, sender, None, None, pdf["chunk"].tolist(), places))
+            return pd.DataFrame(out, columns=["bucket", "grp", "chunk", "numbers", "words", "kids", "places"])
+
+        return run
+
+    return at
+
+
+def given(_: int):
+    """The function that tells each sender of a group the counts of its own pre-tokens."""
+
+    def run(_, kept: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        r = kept.iloc[0]
+        pieces = np.concatenate([unpack(x, np.uint32) for x in told.sort_values("bucket")["pieces"]])
+        return pd.DataFrame({"chunk": r["kids"], "bucket": r["bucket"], "pieces": [pack(pieces[unpack(x, np.uint32)]) for x in r["places"]]})
+
+    return run
+
+
 def summed(_, chunk: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
     r = chunk.iloc[0]
     told = told.sort_values("bucket")
@@ -141,9 +194,12 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     A null or empty text has no bytes and no tokens. Texts of any length count whole; one longer than a chunk is a chunk
     of its own. Repeated rows and null ids are rows like others. An empty table gives an empty result.
     """
-    rows = materialise(packed(docs, shuffle_buckets(docs, "text", RANGE)), "pre_tokens")
+    route = Route(shuffle_buckets(docs, "text", RANGE))
+    rows = materialise(packed(docs, route.fan), "pre_tokens")
     asks = rows.where("bucket IS NOT NULL").select("bucket", "chunk", "numbers", "words")
+    asks, kept = exchange(asks, route, "pre_tokens", relayed(route), RELAYED)
     told = asks.groupBy("bucket").applyInPandas(counted(path), "chunk long, bucket int, pieces binary")
+    told = returned(told, kept, given, "chunk long, bucket int, pieces binary")
     chunks = rows.where("bucket IS NULL").select("chunk", "doc_id", "n_bytes", "n_words", "numbers", "times")
     counts = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(summed, "doc_id long, n_bytes long, n_tokens long")
     return counts.withColumn("over_limit", F.col("n_tokens") > limit)
