@@ -18,7 +18,8 @@ them: it changes a seen n-gram by less than c / (c + 0.01), and each context sti
 
 How it runs: documents are packed in chunks that hold their words as codes of a local dictionary. Each chunk asks
 for the corpus counts of its own distinct n-grams, once each, however often they occur, so no n-gram is hot; the
-askers of a key range meet in one group, which adds up the counts and answers. The answers are the count tables,
+askers of a key range meet in one group, which adds up the counts and answers; where the ranges are many, askers are
+merged on their way to them (:mod:`tidemark.llm.ranges`). The answers are the count tables,
 partitioned by order and key range and, within it, by chunk. Words and pairs are asked for first. A triple of which
 one pair stands in no other chunk occurs in no other either, and one of which a pair is never learnt from has no
 count, so these counts are known; the rest is asked for.
@@ -41,6 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import discard, fold, materialise, mix, pack, pack_sorted, shuffle_buckets, slices, text_bytes, unpack, unpack_sorted
+from tidemark.llm.ranges import Route, exchange, returned
 
 R_MAX = 5
 RESERVE = 0.01
@@ -135,22 +137,78 @@ def histogram(counts: np.ndarray) -> list[int]:
 ANSWERS = "ord int, bucket int, chunk long, totals binary, flags binary, counts array<long>, tokens long, types long"
 
 
-def answered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Corpus counts of one key range, as each chunk asked for them; flags: 1 where the chunk owns the n-gram, 2 where
-    a text that is not learnt from has it; and, in one row without chunk, how many n-grams have each count."""
-    pdf = pdf.sort_values("chunk")
+TOLD = "ord int, bucket int, chunk long, totals binary, flags binary"
+RELAYED = "ord int, bucket int, grp int, chunk long, keys binary, n binary, kids array<long>, places array<binary>"
+
+
+def merged(pdf: pd.DataFrame, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """The distinct keys of some rows, their counts, whether a text that is not learnt from has them; for each row, the
+    places of its keys among them, and which of these no row before it has."""
     keys = [unpack_sorted(x) for x in pdf["keys"]]
-    n = np.concatenate([unpack(x, np.uint32) for x in pdf["n"]])
-    ends = np.cumsum([len(k) for k in keys])[:-1]
-    _, first, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    total = np.bincount(number, n >> 1).astype(np.int64)
-    flags = ((np.bincount(number, n & 1) > 0) * 2).astype(np.uint8)[number]
-    flags[first] += 1
-    order, bucket = pdf["ord"].iloc[0], pdf["bucket"].iloc[0]
-    out = [(order, bucket, c, pack(t), pack(f), None, None, None) for c, t, f in zip(pdf["chunk"], np.split(total[number], ends), np.split(flags, ends))]
-    out.append((order, bucket, None, None, None, histogram(total), int(total.sum()), int((total > 0).sum())))
-    out = pd.DataFrame(out, columns=["ord", "bucket", "chunk", "totals", "flags", "counts", "tokens", "types"])
-    return out.astype({"chunk": "Int64", "tokens": "Int64", "types": "Int64"})
+    n = np.concatenate([unpack(x, dtype) for x in pdf["n"]])
+    distinct, first, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    new, ends = np.zeros(len(number), np.uint8), np.cumsum([len(k) for k in keys])[:-1]
+    new[first] = 1
+    return distinct, np.bincount(number, n >> dtype(1)).astype(np.int64), np.bincount(number, n & dtype(1)) > 0, np.split(number, ends), np.split(new, ends)
+
+
+def answered(route: Route):
+    """The function that tells each asker of one key range its corpus counts; flags: 1 where the asker owns the n-gram, 2
+    where a text that is not learnt from has it; and, in one row without chunk, how many n-grams have each count."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        _, total, held, places, new = merged(pdf, np.uint32 if route.hops == 1 else np.uint64)
+        order, bucket, held = pdf["ord"].iloc[0], pdf["bucket"].iloc[0], (held * 2).astype(np.uint8)
+        out = [(order, bucket, c, pack(total[at]), pack(held[at] + own), None, None, None) for c, at, own in zip(pdf["chunk"], places, new)]
+        out.append((order, bucket, None, None, None, histogram(total), int(total.sum()), int((total > 0).sum())))
+        out = pd.DataFrame(out, columns=["ord", "bucket", "chunk", "totals", "flags", "counts", "tokens", "types"])
+        return out.astype({"chunk": "Int64", "tokens": "Int64", "types": "Int64"})
+
+    return run
+
+
+def relayed(route: Route):
+    """For each hop, the function that adds up what one group asks for and asks for it, once each."""
+
+    def at(hop: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("chunk")
+            order, bucket, group = (int(pdf[c].iloc[0]) for c in ("ord", "bucket", "grp"))
+            keys, total, held, places, new = merged(pdf, np.uint32 if hop == 1 else np.uint64)
+            sender, n = route.sender(hop, bucket, group), (2 * total + held).astype(np.uint64)
+            out = [(order, b, group % route.groups(hop + 1), sender, pack_sorted(keys[i:j]), pack(n[i:j]), None, None) for b, i, j in slices(keys, route.ranges(hop + 1))]
+            out.append((order, bucket, group, sender, None, None, pdf["chunk"].tolist(), [pack((2 * x + own).astype(np.uint32)) for x, own in zip(places, new)]))
+            return pd.DataFrame(out, columns=[f.split()[0] for f in RELAYED.split(", ")])
+
+        return run
+
+    return at
+
+
+def given(_: int):
+    """The function that tells each asker of a group its counts; of those who have an n-gram, the first may own it."""
+
+    def run(_, kept: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        r, told, out = kept.iloc[0], told.sort_values("bucket"), []
+        totals = np.concatenate([unpack(b, np.int64) for b in told["totals"]])
+        flags = np.concatenate([unpack(b, np.uint8) for b in told["flags"]])
+        for kid, place in zip(r["kids"], r["places"]):
+            at = unpack(place, np.uint32)
+            out.append((r["ord"], r["bucket"], kid, pack(totals[at >> 1]), pack(flags[at >> 1] & (2 + (at & 1)).astype(np.uint8))))
+        return pd.DataFrame(out, columns=[f.split()[0] for f in TOLD.split(", ")])
+
+    return run
+
+
+def corpus_counts(asks: DataFrame, route: Route, name: str) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The answers of all key ranges, what each chunk is told, and the tables behind both."""
+    asks, kept = exchange(asks, route, name, relayed(route), RELAYED, ("ord",))
+    answers = materialise(asks.groupBy("ord", "bucket").applyInPandas(answered(route), ANSWERS), name, drop_shuffles=True)
+    told = returned(answers.where("chunk IS NOT NULL").select("ord", "bucket", "chunk", "totals", "flags"), kept, given, TOLD, ("ord",))
+    if kept:
+        told = materialise(told, f"{name}-told", drop_shuffles=True)
+    return answers, told, [answers, *kept, *([told] if kept else [])]
 
 
 def discounts(counts: list[int]) -> np.ndarray:
@@ -284,28 +342,84 @@ def scored(stats: dict, d: dict, buckets: int):
     return run
 
 
-def weighed(d: dict):
+WEIGHTS = "ord int, bucket int, chunk long, docs binary, back binary"
+CONTEXTS = "kind int, ord int, bucket int, grp int, chunk long, keys binary, x binary, y binary, c binary, lower binary, kids array<long>, places array<binary>, docs array<binary>, times array<binary>"
+
+
+def added(sums: pd.DataFrame, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of contexts from several rows: the distinct contexts, how many continuations have each count, and the totals
+    of the larger counts."""
+    on, place = np.unique(np.concatenate([unpack_sorted(k) for k in sums["keys"]]), return_inverse=True)
+    small = np.concatenate([unpack(b, dtype).reshape(2 * R_MAX, -1) for b in sums["x"]], axis=1)
+    small = np.stack([np.bincount(place, row, len(on)) for row in small])
+    return on, small, np.bincount(place, np.concatenate([unpack(b, np.int64) for b in sums["y"]]), len(on))
+
+
+def by_document(weights: np.ndarray, doc: bytes, n: bytes) -> tuple[bytes, bytes]:
+    """Weights added up by the documents that need them, each as often as it does."""
+    docs, number = np.unique(unpack(doc, np.uint32), return_inverse=True)
+    return pack(docs), pack(np.bincount(number, unpack(n, np.uint32) * weights))
+
+
+def weighed(d: dict, route: Route):
     """The function that adds up the contexts of one key range and gives each chunk's documents the weights that they
-    need, as one packed row a chunk."""
+    need, as one packed row a chunk; or each group of chunks the weights that it asks for, where there are more hops."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        upper, lower = d[pdf["ord"].iloc[0]][1:], d[pdf["ord"].iloc[0] - 1][1:]
-        sums, asks = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 2]
-        if not len(asks):
-            return pd.DataFrame({"chunk": np.zeros(0, np.int64), "docs": [], "back": []})
-        on, place = np.unique(np.concatenate([unpack_sorted(k) for k in sums["keys"]]), return_inverse=True)
-        small = np.concatenate([unpack(b, np.uint32).reshape(2 * R_MAX, -1) for b in sums["x"]], axis=1)
-        small = np.stack([np.bincount(place, row, len(on)) for row in small])
-        large = np.bincount(place, np.concatenate([unpack(b, np.int64) for b in sums["y"]]), len(on))
-        r = np.arange(1, R_MAX + 1)
-        kept, covered = RESERVE + ((1 - upper) * r) @ small[:R_MAX], (lower * r) @ small[R_MAX:] + large
-        out = []
+        order, bucket = pdf["ord"].iloc[0], pdf["bucket"].iloc[0]
+        upper, lower = d[order][1:], d[order - 1][1:]
+        sums, asks, out = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 2], []
+        if len(asks):
+            on, small, large = added(sums, np.uint32 if route.hops == 1 else np.int64)
+            r = np.arange(1, R_MAX + 1)
+            kept, covered = RESERVE + ((1 - upper) * r) @ small[:R_MAX], (lower * r) @ small[R_MAX:] + large
         for chunk, keys, doc, n, c, low in zip(asks["chunk"], asks["keys"], asks["x"], asks["y"], asks["c"], asks["lower"]):
             k, c, low = np.searchsorted(on, unpack_sorted(keys)), unpack(c, np.int64) + RESERVE, unpack(low, np.int64) + RESERVE
-            docs, number = np.unique(unpack(doc, np.uint32), return_inverse=True)
-            back = np.bincount(number, unpack(n, np.uint32) * np.log10(kept[k] / c / ((low - covered[k]) / low)))
-            out.append((chunk, pack(docs), pack(back)))
-        return pd.DataFrame(out, columns=["chunk", "docs", "back"])
+            weights = np.log10(kept[k] / c / ((low - covered[k]) / low))
+            out.append((order, bucket, chunk, *(by_document(weights, doc, n) if route.hops == 1 else (None, pack(weights)))))
+        return pd.DataFrame(out, columns=[f.split()[0] for f in WEIGHTS.split(", ")])
+
+    return run
+
+
+def relayed_contexts(route: Route):
+    """For each hop, the function that adds up the sums of contexts that one group reports, and merges those of which it
+    needs the weights."""
+
+    def at(hop: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            order, bucket, group = (int(pdf[c].iloc[0]) for c in ("ord", "bucket", "grp"))
+            sums, asks, rows, ranges = pdf[pdf["kind"] == 1], pdf[pdf["kind"] == 2], [], route.ranges(hop + 1)
+            to = {"grp": group % route.groups(hop + 1)}
+            if len(sums):
+                on, small, large = added(sums, np.uint32 if hop == 1 else np.int64)
+                small, large = small.astype(np.int64), large.astype(np.int64)
+                rows += [{"kind": 1, "bucket": b, **to, "keys": pack_sorted(on[i:j]), "x": pack(small[:, i:j].ravel()), "y": pack(large[i:j])} for b, i, j in slices(on, ranges)]
+            if len(asks):
+                keys = [unpack_sorted(k) for k in asks["keys"]]
+                on, first, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+                c, low = (np.concatenate([unpack(b, np.int64) for b in asks[name]])[first] for name in ("c", "lower"))
+                rows += [{"kind": 2, "bucket": b, **to, "keys": pack_sorted(on[i:j]), "c": pack(c[i:j]), "lower": pack(low[i:j])} for b, i, j in slices(on, ranges)]
+                places = [pack(x) for x in np.split(number.astype(np.uint32), np.cumsum([len(k) for k in keys])[:-1])]
+                rows.append({"kind": 2, "bucket": bucket, "grp": group, "kids": asks["chunk"].tolist(), "places": places, "docs": asks["x"].tolist(), "times": asks["y"].tolist()})
+            blank = dict.fromkeys(f.split()[0] for f in CONTEXTS.split(", "))
+            return pd.DataFrame([blank | {"ord": order, "chunk": route.sender(hop, bucket, group)} | row for row in rows], columns=list(blank))
+
+        return run
+
+    return at
+
+
+def given_contexts(_: int):
+    """The function that gives each asker of a group its weights; a chunk's documents, theirs added up."""
+
+    def run(_, kept: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        r, out = kept.iloc[0], []
+        weights = np.concatenate([unpack(b, np.float64) for b in told.sort_values("bucket")["back"]])
+        for kid, place, doc, n in zip(r["kids"], r["places"], r["docs"], r["times"]):
+            own = weights[unpack(place, np.uint32)]
+            out.append((r["ord"], r["bucket"], kid, *((None, pack(own)) if doc is None else by_document(own, doc, n))))
+        return pd.DataFrame(out, columns=[f.split()[0] for f in WEIGHTS.split(", ")])
 
     return run
 
@@ -325,13 +439,12 @@ def katz_scores(docs: DataFrame, learn: Column) -> DataFrame:
     learn from, every token is unknown with probability 1. Very long texts are scored whole (one makes a longer
     chunk). An empty table gives an empty result.
     """
-    buckets = shuffle_buckets(docs, "text", RANGE)
+    route = Route(shuffle_buckets(docs, "text", RANGE))
     chunks = materialise(packed(docs, F.coalesce(learn, F.lit(False))), "chunks")
-    counted = materialise(asked(chunks, buckets).groupBy("ord", "bucket").applyInPandas(answered, ANSWERS), "answers", drop_shuffles=True)
-    told = counted.where("chunk IS NOT NULL").select("chunk", "ord", "bucket", "totals", "flags")
-    asks = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(asked_triples(buckets), "ord int, bucket int, chunk long, keys binary, n binary, counts array<long>")
+    counted, told, tables = corpus_counts(asked(chunks, route.fan), route, "answers")
+    asks = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(asked_triples(route.fan), "ord int, bucket int, chunk long, keys binary, n binary, counts array<long>")
     asks = materialise(asks, "triples", drop_shuffles=True)
-    triples = materialise(asks.where("keys IS NOT NULL").groupBy("ord", "bucket").applyInPandas(answered, ANSWERS), "triple_answers", drop_shuffles=True)
+    triples, told3, more = corpus_counts(asks.where("keys IS NOT NULL").drop("counts"), route, "triple_answers")
     rows = counted.union(triples).where("chunk IS NULL").select("ord", "counts", "tokens", "types").union(asks.where("keys IS NULL").select("ord", "counts", F.lit(0), F.lit(0)))
     totals = [F.sum(F.col("counts")[i]).alias(f"n{i}") for i in range(R_MAX + 1)]
     stats = {o: {"counts": [0] * (R_MAX + 1), "tokens": 0, "types": 0} for o in (1, 2, 3)}
@@ -339,11 +452,12 @@ def katz_scores(docs: DataFrame, learn: Column) -> DataFrame:
         stats[r["ord"]] = {"counts": [r[f"n{i}"] for i in range(R_MAX + 1)], "tokens": r["tokens"], "types": r["types"]}
     d = {order: discounts(x["counts"]) for order, x in stats.items()}
     discard(asks)
-    told = told.union(triples.where("chunk IS NOT NULL").select("chunk", "ord", "bucket", "totals", "flags"))
-    parts = materialise(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(scored(stats, d, buckets), PARTS), "parts", drop_shuffles=True)
-    discard(chunks, counted, triples)
+    parts = materialise(chunks.groupBy("chunk").cogroup(told.union(told3).groupBy("chunk")).applyInPandas(scored(stats, d, route.fan), PARTS), "parts", drop_shuffles=True)
+    discard(chunks, *tables, *more)
     contexts = parts.where("kind > 0").select("kind", "ord", "bucket", "chunk", "keys", "x", "y", "c", "lower")
-    back = contexts.groupBy("ord", "bucket").applyInPandas(weighed(d), "chunk long, docs binary, back binary").groupBy("chunk").applyInPandas(backed, "uid long, back double")
+    contexts, kept = exchange(contexts, route, "contexts", relayed_contexts(route), CONTEXTS, ("ord",))
+    told = returned(contexts.groupBy("ord", "bucket").applyInPandas(weighed(d, route), WEIGHTS), kept, given_contexts, WEIGHTS, ("ord",))
+    back = told.select("chunk", "docs", "back").groupBy("chunk").applyInPandas(backed, "uid long, back double")
     rows = parts.where("kind = 0").join(back, "uid", "left")
     return rows.select("doc_id", F.col("held").alias("held_out"), "n_tokens", "n_known", F.lit(stats[1]["tokens"]).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), (F.col("part") + F.coalesce("back", F.lit(0.0))).alias("score"))
 
