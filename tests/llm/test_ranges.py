@@ -55,3 +55,29 @@ def test_katz_in_hops(spark, small, monkeypatch, fan):
         n, known, base, score = want[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
         assert r.base_score == pytest.approx(base, rel=1e-10) and r.score == pytest.approx(score, rel=1e-10)
+
+
+def most_rows(route, chunks):
+    return route.fan * (chunks + (route.hops - 1) * route.ranges(route.hops))
+
+
+@pytest.mark.parametrize("module", [token_count, katz])
+def test_rows_grow_with_n_log_n(module):
+    """From 0.1 to 100 TB at the real sizes of chunks and ranges; a single hop would send the square."""
+    a, b = (most_rows(ranges.Route(size // module.RANGE), size // module.CHUNK) for size in (10**11, 10**14))
+    assert math.log(b / a, 1000) < 1.2
+    assert b < (10**14 // module.RANGE) * (10**14 // module.CHUNK) / 2_000
+
+
+def test_rows_are_as_counted(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").coalesce(1)
+    materialise, written = ranges.materialise, []
+    monkeypatch.setattr(ranges, "materialise", lambda df, name, **how: written.append(materialise(df, name, **how)) or written[-1])
+    for route in (ranges.Route(60, 8), ranges.Route(200, 6)):
+        rows, written[:] = materialise(token_count.packed(docs, route.fan, 20_000), "rows"), []
+        asks = rows.where("bucket IS NOT NULL").select("bucket", "chunk", "numbers", "words")
+        ranges.exchange(asks, route, "rows", token_count.relayed(route), token_count.RELAYED)
+        sent = asks.count() + sum(t.where("kids IS NULL").count() for t in written)
+        chunks = rows.where("bucket IS NULL").count()
+        assert len(written) == route.hops - 1 > 0 and 0 < sent <= most_rows(route, chunks)
+        assert sent < chunks * route.ranges(route.hops)
