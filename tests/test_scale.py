@@ -1,6 +1,9 @@
 """Steps that once grew faster than their input."""
 
+from pyspark.sql import functions as F
+
 from tidemark import catalogue, catalogue_loads, catalogue_market, catalogue_plans, catalogue_runs  # noqa: F401
+from tidemark.plans import screen
 from tidemark.views import SPARK_VIEWS, VIEWS, fill, spark_texts, spark_view, table_name
 
 
@@ -17,3 +20,13 @@ def test_facts_meet_their_batch_by_a_key(spark, small):
         assert own.columns == common.columns and own.count() == common.count() > 0
         assert own.exceptAll(common).isEmpty()
     assert set(SPARK_VIEWS) <= set(VIEWS)
+
+
+def test_positions_are_of_all_trades(spark, small):
+    """Every trade is part of a position: the table's users have those of all their trades, not of the early ones only."""
+    rows = catalogue.QUERIES["q_positions"](spark, small).where("user_id < 20")
+    trades, actions = (spark_view(spark, small, name) for name in ("trades", "actions"))
+    assert trades.where("trade_date >= DATE '1998-12-01'").count() > 0
+    whole = screen.positions(trades, actions, catalogue.AS_OF)
+    whole = whole.withColumns({c: F.round(c, 2) for c in ("average_cost", "realised")}).select(rows.columns)
+    assert sorted(rows.collect(), key=repr) == sorted(whole.collect(), key=repr)
