@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemark import catalogue, catalogue_loads, catalogue_market, catalogue_plans, catalogue_runs  # noqa: F401
+from tidemark.operators import pit
 from tidemark.plans import screen
 from tidemark.views import SPARK_VIEWS, VIEWS, fill, spark_texts, spark_view, table_name
 
@@ -30,3 +31,12 @@ def test_positions_are_of_all_trades(spark, small):
     whole = screen.positions(trades, actions, catalogue.AS_OF)
     whole = whole.withColumns({c: F.round(c, 2) for c in ("average_cost", "realised")}).select(rows.columns)
     assert sorted(rows.collect(), key=repr) == sorted(whole.collect(), key=repr)
+
+
+def test_a_long_chain_is_not_searched_at_each_hop(spark):
+    """Places of successors are found once for each fact: a walk's hops look up an array, not a map of the group."""
+    rows = [(k, 1, k + 1) for k in range(700)] + [(k, 2, k + 1 if k < 1099 else 1000) for k in range(1000, 1100)] + [(k, 3, k + 1) for k in range(2000, 2100)]
+    facts = spark.createDataFrame([*rows, (700, 1, None), (2100, 3, None)], "id long, block int, superseded_by long")
+    bad = pit.chain_defects(facts, keys=("block",))
+    assert {(r.id, r.hops) for r in bad.collect()} == {(k, 101) for k in (*range(600), *range(1000, 1100))}
+    assert "element_at" not in bad._jdf.queryExecution().optimizedPlan().toString()
