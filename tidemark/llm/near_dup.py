@@ -376,6 +376,7 @@ def rest_pairs(rows: DataFrame) -> DataFrame:
     one of the two is outside the list's largest component, so members of that are only compared with the others."""
     most = rows.groupBy("v", "comp").agg(F.count("*").alias("n")).groupBy("v").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("c"), F.sum("n").alias("n"))
     most = most.where("c > 1").select("v", "main", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(SALT)).cast("int"))
     rows = rows.join(salted(most), ["v", "salt"]).withColumn("out", F.col("comp") != F.col("main")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     theirs = rows.select("v", "part", *(F.col(c).alias(f"{c}_b") for c in ("cls", "size", "ahead", "comp", "out")))
     mine = rows.where("own").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
