@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tidemark import catalogue, catalogue_loads, catalogue_market, catalogue_plans, catalogue_runs  # noqa: F401
 from tidemark.operators import pit
 from tidemark.plans import screen
+from tidemark.sources import stored
 from tidemark.views import SPARK_VIEWS, VIEWS, fill, spark_texts, spark_view, table_name
 
 
@@ -40,3 +41,21 @@ def test_a_long_chain_is_not_searched_at_each_hop(spark):
     bad = pit.chain_defects(facts, keys=("block",))
     assert {(r.id, r.hops) for r in bad.collect()} == {(k, 101) for k in (*range(600), *range(1000, 1100))}
     assert "element_at" not in bad._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_buckets_grow_with_the_tables(spark, small, tmp_path, monkeypatch):
+    """A task's share of kept facts does not grow with the tables, and views of a folder still meet without a shuffle."""
+    import shutil
+
+    folder = str(tmp_path / "sf")
+    shutil.copytree(small, folder)
+    monkeypatch.setattr(stored, "BUCKET_BYTES", 5_000)
+    n = stored.bucket_count(spark, folder)
+    assert n > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        both = stored.kept_view(spark, folder, "bars").groupBy("code").count().join(stored.kept_view(spark, folder, "securities"), "code")
+        plan = both._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and both.rdd.getNumPartitions() == n
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
