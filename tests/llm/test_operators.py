@@ -141,6 +141,31 @@ def test_long_lists_are_dealt_to_parts(spark, monkeypatch):
     assert whole == {(a.cls, b.cls) for a in all_rows if a.own for b in all_rows if a.cls != b.cls and a.size <= b.size and a.comp != b.comp}
 
 
+def test_crowded_lists_by_differences(spark, monkeypatch):
+    """Copies of one text with many edits each, of which many are linked to few others: the components of all pairs, and
+    far fewer candidates than pairs of such copies, which all share most of the text."""
+    import random
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    for length in (300, 420):
+        text, rows = [word() for _ in range(length)], []
+        slips = [(rng.randrange(length), word()) for _ in range(24)]  # edits that several copies share
+        for copy in range(160):
+            words = list(text)
+            for place, new in [(rng.randrange(length), word()) for _ in range(rng.randrange(9))] + rng.sample(slips, rng.randrange(5)):
+                words[place] = new
+            rows.append((copy, " ".join(words)))
+        docs, met = spark.createDataFrame(rows, "doc_id long, text string"), []
+        alike = near_dup.differing_alike
+        monkeypatch.setattr(near_dup, "differing_alike", lambda *a, alike=alike: met.append(alike(*a).distinct().count()) or alike(*a))
+        want, _ = brute.near_duplicates(rows, 85)
+        assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs, 85).collect()} == want
+        monkeypatch.setattr(near_dup, "differing_alike", alike)
+        outside = len(rows) - max(list(want.values()).count(c) for c in want.values())
+        assert outside > near_dup.OUTSIDE and met and met[-1] < outside * len(rows) / 4
+
+
 def test_components(spark):
     """A long chain and a large star."""
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 100 + i) for i in range(1, 200)]

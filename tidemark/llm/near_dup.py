@@ -18,6 +18,13 @@ two linked sets must have enough values from the list's on to match a set of its
 all letters of one form share costs nothing once each letter's own values have used up what may differ. Pairs inside
 a component are not needed: they cannot change it. A long list is dealt to several tasks.
 
+In a list with many members outside its largest component (``crowded``), copies of one text with too many edits each,
+nearly all members would meet nearly all others, once in each list. They are compared by what they differ in from one
+of that component, the anchor: the shingles that only one of the two has. Two sets differ in what stands in just one of
+their differences. So one that is not linked to the anchor itself differs from it by more than a link allows, and any
+partner must share some of that difference: it is looked for by inverted lists of differences, rarest first, with the same
+two filters. Edits of its own, and those that few others made, are all that a member is found by there.
+
 A value that a large share of the classes retain is no burden of one task: tasks name the values that are frequent
 among their own documents, which every value of that share is somewhere, their counts are added up, and the entries of
 those above a share of a key range go past the ranges, each from its own task. Joins on a list's value are salted.
@@ -57,6 +64,8 @@ RANGE = 1 << 20
 #: A value is hot if it has more entries than this share of a key range; how many hot values are known at most (the most
 #: frequent ones; others stay in their ranges, which changes no result).
 HOT_SHARE, MOST_HOT = 0.25, 1 << 20
+#: Members of a list outside its largest component, from which on they are compared by their differences from an anchor.
+OUTSIDE = 16
 #: Parts that the members of a list are dealt to where they are joined with what is known of the list.
 SALT = 8
 #: Words whose hashes a task remembers, and sketches of which it counts values at a time: bounds of its memory.
@@ -324,13 +333,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int
     sk = None if exact else materialise(short_sketches(reps), "short")
     discard(reps)
     comps, edges, tried = None, None, None
+    scratch = [lists] if exact else [lists, sk]
 
     def candidates(kind: str) -> DataFrame:
         rows = lists if comps is None else lists.join(comps, lists.cls == comps.id, "left").select("cls", "size", "single", "ahead", "band", "v", "own", "salt", F.coalesce("comp", "cls").alias("comp"))
         if comps is None:
             rows = rows.withColumn("comp", F.col("cls"))
         if kind == "rest":
-            pairs = rest_pairs(rows).where(size_ok)
+            crowds = materialise(crowded(rows), "crowds")
+            scratch.append(crowds)
+            pairs = rest_pairs(rows.join(salted(crowds), ["v", "salt"], "left_anti")).where(size_ok).select("cls", "cls_b")
+            if not crowds.isEmpty():
+                changed = differences(docs, rows.join(salted(crowds), ["v", "salt"]), percent, n)
+                scratch.append(changed)
+                pairs = pairs.union(differing_alike(changed, percent))
         else:
             by = [F.col("single")] if kind == "first" else [F.xxhash64("cls", "v", F.lit(seed)) for seed in range(DRAWN)]
             leads = F.array(*(F.min_by(F.struct("cls", "size", "ahead", "comp"), F.struct(x, F.col("cls"))) for x in by))
@@ -339,7 +355,6 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int
             pairs = rows.join(salted(lead), ["v", "band", "salt"]).where((F.col("comp") != F.col("comp_b")) & size_ok)
         return pairs.select(F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b")).distinct()
 
-    scratch = [lists] if exact else [lists, sk]
     for kind in ("first", "drawn", "rest"):
         pairs = candidates(kind)
         if tried is not None:
@@ -371,14 +386,73 @@ def salted(keys: DataFrame) -> DataFrame:
     return keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
 
 
-def rest_pairs(rows: DataFrame) -> DataFrame:
+def crowded(rows: DataFrame) -> DataFrame:
+    """(v, main) of the lists with more than OUTSIDE members outside their largest component, main: the pairs of all
+    others grow in proportion to their members."""
+    parts = rows.groupBy("v", "comp").agg(F.count("*").alias("n"), F.count_if("own").alias("own"))
+    lists = parts.groupBy("v").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), (F.sum("n") - F.max("n")).alias("out"), F.sum("own").alias("own"))
+    return lists.where(F.least("out", "own") > OUTSIDE).select("v", "main")
+
+
+def differences(docs: DataFrame, rows: DataFrame, percent: int, n: int) -> DataFrame:
+    """What the members of crowded lists (with main) differ in from the anchor of their list's largest component, its member with
+    the fewest values of its own: anchor, frame (the anchor's set), cls, comp, size, d (number of shingles that only one
+    of the two has), es (these), linked (the member is outside the component and meets the threshold with the anchor)."""
+    anchors = rows.where("comp = main").groupBy("main").agg(F.min_by("cls", F.struct("single", "cls")).alias("anchor"))
+    members = materialise(rows.select("main", "cls", "comp", "salt").distinct().join(anchors, "main"), "members")
+    ids = members.select(F.col("cls").alias("doc_id")).distinct()
+    sets = materialise(full_sets(docs, ids, n).join(ids, "doc_id", "left_semi"), "sets")
+    frames = members.select(F.col("anchor").alias("doc_id")).distinct().join(sets, "doc_id").select(F.col("doc_id").alias("anchor"), F.col("full").alias("frame"))
+
+    def run(batches):
+        for whole in batches:
+            for first in range(0, whole.num_rows, COUNTED):
+                b = whole.slice(first, COUNTED)
+                pairs = [(unpack_sorted(x), unpack_sorted(a)) for x, a in zip(b.column(4).to_pylist(), b.column(5).to_pylist())]
+                es = [np.setxor1d(x, a, assume_unique=True).view(np.int64) for x, a in pairs]
+                d, size, both = (np.array(x, np.int64) for x in (list(map(len, es)), [len(x) for x, _ in pairs], [len(x) + len(a) for x, a in pairs]))
+                linked = (d * (100 + percent) <= both * (100 - percent)) & (np.asarray(b.column(2)) != np.asarray(b.column(3)))
+                frame = [xxhash.xxh3_64_intdigest(a) - (1 << 63) for a in b.column(5).to_pylist()]
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *d]).astype(np.int32)), pa.array(np.concatenate(es)))
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array(frame, pa.int64()), b.column(0), b.column(2), pa.array(size), pa.array(d), lists, pa.array(linked)], ["anchor", "frame", "cls", "comp", "size", "d", "es", "linked"])
+
+    both = members.join(sets.select(F.col("doc_id").alias("cls"), "full"), "cls").join(salted(frames), ["anchor", "salt"])
+    schema = "anchor long, frame long, cls long, comp long, size long, d long, es array<long>, linked boolean"
+    out = materialise(both.select("cls", "anchor", "comp", "main", "full", "frame").mapInArrow(run, schema), "changes")
+    discard(members, sets)
+    return out
+
+
+def differing_alike(changed: DataFrame, percent: int) -> DataFrame:
+    """(cls, cls_b): members linked to their anchor, and pairs of members of different components whose differences may
+    share as much as a link needs. A link of sets of a and b shingles allows them to differ in a share of a + b, at most
+    in size * (100 - percent) / percent where one of them is known; of the rest of a member's difference its partner has all."""
+    most = F.floor(F.col("size") * (100 - percent) / percent + 1e-9).cast("long")
+    who = ["anchor", "frame", "cls", "comp", "size", "d"]
+    # rows of one id may differ in their text: their differences are told apart
+    rows = changed.where("d > 0").select(*who, F.xxhash64("es").alias("text"), F.explode("es").alias("e"))
+    rows = rows.withColumns({"v": F.xxhash64("anchor", "frame", "e"), "salt": F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(SALT)).cast("int")})
+    several = rows.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    rows = rows.join(salted(several), ["v", "salt"]).groupBy(*who, "text").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    single = F.col("d") - F.size("vs")
+    room = F.least(F.col("d"), most + 1) - single
+    rows = rows.where(room > 0).select("cls", "comp", "size", "d", single.alias("single"), F.posexplode(F.slice("vs", 1, room.cast("int"))).alias("n", "x"))
+    rows = rows.select("cls", "comp", "size", "d", F.lit(True).alias("own"), (F.col("d") - F.col("single") - F.col("n")).alias("ahead"), "x.v")
+    size_ok = F.least("size", "size_b") * 100 >= F.greatest("size", "size_b") * percent
+    allowed = F.floor((F.col("size") + F.col("size_b")) * (100 - percent) / (100 + percent) + 1e-9)
+    alike = rest_pairs(materialise(rows, "changed-lists"), ("d",)).where(size_ok & (2 * F.least("ahead", "ahead_b") >= F.col("d") + F.col("d_b") - allowed))
+    return changed.where("linked").select("cls", F.col("anchor").alias("cls_b")).union(alike.select("cls", "cls_b"))
+
+
+def rest_pairs(rows: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of a list's members of different components, each from its smaller member, which must be ``own``. At least
-    one of the two is outside the list's largest component, so members of that are only compared with the others."""
+    one of the two is outside the list's largest component, so members of that are only compared with the others.
+    ``more``: further columns of both members to keep."""
     most = rows.groupBy("v", "comp").agg(F.count("*").alias("n")).groupBy("v").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("c"), F.sum("n").alias("n"))
     most = most.where("c > 1").select("v", "main", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(SALT)).cast("int"))
     rows = rows.join(salted(most), ["v", "salt"]).withColumn("out", F.col("comp") != F.col("main")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    theirs = rows.select("v", "part", *(F.col(c).alias(f"{c}_b") for c in ("cls", "size", "ahead", "comp", "out")))
+    theirs = rows.select("v", "part", *(F.col(c).alias(f"{c}_b") for c in ("cls", "size", "ahead", "comp", "out", *more)))
     mine = rows.where("own").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     order = (F.col("size") < F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("cls") != F.col("cls_b")))
     differ = order & (F.col("comp") != F.col("comp_b"))
