@@ -91,6 +91,17 @@ def test_a_batch_rewrites_only_the_parts_of_its_keys(spark, tmp_path):
     assert {r.id: r.superseded_by for r in spark.read.parquet(f"{tmp_path}/chains").where("code = 'c3'").collect()} == {3: 100, 100: None}
 
 
+def test_many_landed_files_are_one_batch(spark, tmp_path):
+    """What is stored is taken and written once a run, however many files have landed."""
+    schema = "id long, code string, effective_date date, receipt string"
+    rows = spark.createDataFrame([(k, f"c{k % 7}", D(2024, 1, 1 + k // 7), "r" + str(k)) for k in range(140)], schema)
+    rows.repartition(140, "id").write.option("maxRecordsPerFile", 1).parquet(f"{tmp_path}/landed")
+    assert len([f for f in os.listdir(f"{tmp_path}/landed") if f.endswith(".parquet")]) > 100
+    restatement_stream(spark, f"{tmp_path}/landed", schema, f"{tmp_path}/chains", f"{tmp_path}/progress", ["code"], parts=4)
+    assert [f for f in os.listdir(f"{tmp_path}/progress/commits") if not f.startswith(".")] == ["0"]
+    assert {r.id: r.superseded_by for r in spark.read.parquet(f"{tmp_path}/chains").collect()} == {k: k + 7 if k < 133 else None for k in range(140)}
+
+
 def test_dense_bars(spark):
     days = [D(2024, 1, k) for k in (1, 2, 3, 4, 5, 8, 9, 10)]  # business days
     calendar = spark.createDataFrame([(d, k + 1) for k, d in enumerate(days)], "day date, bd_index int")

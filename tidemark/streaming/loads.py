@@ -46,7 +46,10 @@ def restatement_stream(spark: SparkSession, landed: str, schema: str, target: st
     The table is the state: for each key all versions, linked in the order of (effective_date, receipt). A batch takes
     the parts of its keys, adds what is new and links them again, so files may come late, in any order, or twice, and a
     batch that failed may be run again: the result is that of one batch over all files. Accounts missing from a
-    report stay as they are. ``parts`` stays what it was when the table was begun."""
+    report stay as they are. ``parts`` stays what it was when the table was begun.
+
+    All files landed since the last run are one batch, however many: keys stand in any file, so each batch takes and
+    writes all that is stored, and batches of some files each would do so the more often the more is landed."""
 
     def write(batch: DataFrame, _: int) -> None:
         batch = written(batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")), "reports")
@@ -60,7 +63,8 @@ def restatement_stream(spark: SparkSession, landed: str, schema: str, target: st
                 raise
             stored = batch.where("false")
         new = written(chained(stored.unionByName(batch), keys), "chains")
-        new.repartition(len(met), "part").write.partitionBy("part").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
+        # a part is dealt to more tasks the larger it is
+        new.hint("rebalance", F.col("part")).write.partitionBy("part").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
 
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(landed)
+    rows = spark.readStream.schema(schema).parquet(landed)
     rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
