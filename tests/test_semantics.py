@@ -158,3 +158,22 @@ def test_chains_by_group_and_by_joins_agree(spark):
     rows = [(k, k + 1 if k < 150 else None, "x") for k in range(151)] + [(1000, 1001, "y"), (1001, 1000, "y"), (2000, 2001, "z"), (2001, None, "z")]
     facts = spark.createDataFrame(rows, "id long, superseded_by long, code string")
     assert {r.id for r in pit.chain_defects(facts, keys=("code",)).collect()} == {*range(50), 1000, 1001}
+
+
+def test_facts_without_a_successor_are_dealt_to_all_tasks(spark):
+    """Most facts have none: they must not meet in one task of the join that looks for successors."""
+    rows = [(k, k + 1 if k % 10 == 0 else None, datetime.date(2024, 1, 1 + k % 10)) for k in range(2000)] + [(None, None, datetime.date(2024, 1, 1))]
+    facts = spark.createDataFrame(rows, "id long, superseded_by long, effective_date date")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, x in zip(before, ("-1", "false")):
+        spark.conf.set(k, x)
+    try:
+        got = pit.active(facts, "2024-01-05").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    date = {r[0]: r[2] for r in rows}
+    asked = datetime.date(2024, 1, 5)
+    assert sorted(str(r.id) for r in got) == sorted(str(i) for i, n, d in rows if d <= asked and (n is None or date[n] > asked))
+    tasks = [r.task for r in got]
+    assert max(map(tasks.count, set(tasks))) < len(tasks) / 2
