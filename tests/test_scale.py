@@ -1,8 +1,12 @@
 """Steps that once grew faster than their input."""
 
+import re
+import time
+
 from pyspark.sql import functions as F
 
 from tidemark import catalogue, catalogue_loads, catalogue_market, catalogue_plans, catalogue_runs  # noqa: F401
+from tidemark.functions import words
 from tidemark.operators import pit
 from tidemark.plans import screen
 from tidemark.sources import stored
@@ -59,3 +63,22 @@ def test_buckets_grow_with_the_tables(spark, small, tmp_path, monkeypatch):
         assert "Exchange" not in plan and both.rdd.getNumPartitions() == n
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_allowed_phrases_are_not_searched_in_the_whole_text():
+    """A word is compared with the phrases that hold it, where it stands: a hit costs no pass of its text for each phrase."""
+    scan, plain = words.Scanner(), "lorem ipsum dolor sit amet " * 40_000
+
+    def least(text):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            scan(text)
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(plain + "매수") < 2.5 * least(plain + "매")
+    for text in ("매수/매도 x 매수", "Long-term LONG-TERM", "매수", "term Long-", "추천하지 않 추천하지", "a short-circuit, short", "이베스트 베스트셀러 베스트", "Best Best Practice"):
+        spans = [(m.start(), m.start() + len(p)) for p in words.ALLOWED for m in re.finditer(f"(?={re.escape(p)})", text)]
+        found = [(m.start(), m.end()) for _, pattern in scan.parts for m in pattern.finditer(text)]
+        assert [h["index"] for h in scan(text)] == sorted(a for a, b in found if not any(x <= a and b <= y for x, y in spans))
