@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from tidemark import catalogue, catalogue_loads, catalogue_market, catalogue_plans, catalogue_runs  # noqa: F401
+from tidemark import catalogue, catalogue_loads, catalogue_market, catalogue_plans, catalogue_runs, views  # noqa: F401
 from tidemark.functions import words
 from tidemark.operators import pit
 from tidemark.plans import screen
@@ -82,3 +82,17 @@ def test_allowed_phrases_are_not_searched_in_the_whole_text():
         spans = [(m.start(), m.start() + len(p)) for p in words.ALLOWED for m in re.finditer(f"(?={re.escape(p)})", text)]
         found = [(m.start(), m.end()) for _, pattern in scan.parts for m in pattern.finditer(text)]
         assert [h["index"] for h in scan(text)] == sorted(a for a, b in found if not any(x <= a and b <= y for x, y in spans))
+
+
+def test_trades_are_dealt_out_by_their_size(spark, small, monkeypatch):
+    """Bars are grouped in partitions that follow from the size of the tables, and that are not merged; the rows are those of the common text."""
+    monkeypatch.setattr(views, "PART_BYTES", 5_000)
+    n = -(-views.facts_bytes(spark, small) // 5_000)
+    assert n > 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bars = spark_view(spark, small, "bars")
+    common = spark.sql(fill(VIEWS["bars"], {"lineitem": table_name(spark, small, "lineitem")}, 6, "/"))
+    assert bars.columns == common.columns and bars.count() == common.count() > 0 and bars.exceptAll(common).isEmpty()
+    for rows in (bars, bars.groupBy("code", "d").count()):
+        assert rows.rdd.getNumPartitions() == n  # it was that of shuffles at most
+    early = bars.where("d <= DATE '1998-12-31'")._jdf.queryExecution().optimizedPlan().toString()
+    assert early.index("RepartitionByExpression") < early.index("Filter")  # days are left out before trades are sent
