@@ -9,7 +9,7 @@ from tidemark import catalogue, catalogue_loads, catalogue_market, catalogue_pla
 from tidemark.functions import words
 from tidemark.operators import pit
 from tidemark.plans import screen
-from tidemark.sources import stored
+from tidemark.sources import loads, stored
 from tidemark.views import SPARK_VIEWS, VIEWS, fill, spark_texts, spark_view, table_name
 
 
@@ -96,3 +96,20 @@ def test_trades_are_dealt_out_by_their_size(spark, small, monkeypatch):
         assert rows.rdd.getNumPartitions() == n  # it was that of shuffles at most
     early = bars.where("d <= DATE '1998-12-31'")._jdf.queryExecution().optimizedPlan().toString()
     assert early.index("RepartitionByExpression") < early.index("Filter")  # days are left out before trades are sent
+
+
+def test_a_backfill_deals_codes_out_by_the_tables_size(spark, small, monkeypatch):
+    """Bars meet windows in partitions that follow from the size of the tables; the counts are those of plain Python."""
+    monkeypatch.setattr(views, "PART_BYTES", 5_000)
+    n = -(-views.facts_bytes(spark, small) // 5_000)
+    rows = catalogue.QUERIES["load_survivorship_backfill"](spark, small)
+    by_code = re.findall(r"Exchange hashpartitioning\(code#\d+, (\d+)\)", rows._jdf.queryExecution().executedPlan().toString())
+    assert by_code and set(by_code) == {str(n)}
+    spans = [("a", "x", 1, 5), ("a", "y", 2, 3), ("b", "x", 4, 9), ("c", "z", 1, 2)]
+    raw, old = [("x", d) for d in (1, 4, 5, 8)] + [("y", 7), (None, 3)], [("x", 4), ("y", 7), ("w", 1)]
+    inside = {s: [b for b in raw if b[0] == s[1] and s[2] <= b[1] <= s[3]] for s in spans}
+    day = lambda rows, *names: rows.withColumns({c: F.expr(f"DATE '2024-01-01' + {c}") for c in names})
+    counts = loads.backfill(day(spark.createDataFrame(spans, "id string, code string, start int, stop int"), "start", "stop"), day(spark.createDataFrame(raw, "code string, d int"), "d"), day(spark.createDataFrame(old, "code string, d int"), "d"))
+    total = lambda id, f: sum(f(inside[s]) for s in spans if s[0] == id)
+    want = {(i, total(i, lambda bs: sum(b not in old for b in bs)), total(i, lambda bs: sum(b in old for b in bs)), total(i, lambda bs: not bs)) for i in "abc"}
+    assert {tuple(r) for r in counts.collect()} == want
