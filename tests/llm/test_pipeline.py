@@ -1,8 +1,13 @@
 """The pipeline's stages, one by one, against plain Python and on awkward rows."""
 
 import os
+import re
 import sys
+import tracemalloc
+from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +15,8 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
 import corpus_pipeline as cp  # noqa: E402
+from tidemark.llm import decontam, near_dup, toxicity  # noqa: E402
+from tidemark.llm.common import parts, text_bytes  # noqa: E402
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -137,3 +144,45 @@ def test_personal_data_keeps_columns_named_like_its_own(spark, docs, small):
     assert [(s.kind, s.start, s.end) for s in row.spans] == [("email", 5, 11)]
     short = cp.mask_personal_data(spark, rows.select("doc_id", "text"), small)  # a table without n_chars
     assert short.columns == ["doc_id", "text"] and short.collect()[0].text == "mail [EMAIL] now"
+
+
+class Caught:
+    """Stands for a table; gives the function that its rows would be sent to."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "near_duplicates", "benchmark"])
+def test_tasks_hold_a_part_of_a_batch(spark, stage):
+    """A task of a stage that reads texts in Python needs less memory than two batches take."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8_000)), pa.array([" ".join(f"w{i}x{k} of" for k in range(200)) for i in range(8_000)])], ["doc_id", "text"])
+    if stage == "toxicity":
+        scored = toxicity.Model(0.0, np.ones(1 << toxicity.BITS, np.float32)).scorer()
+        run = lambda batches: (scored(text_bytes(part.column(1))) for b in batches for part in parts(b))
+    elif stage == "near_duplicates":
+        run = near_dup.sketches(Caught())
+    else:
+        run = decontam.cut_docs(Caught(), [decontam.WINDOW], 60, SimpleNamespace(value=np.zeros(decontam.FILTER_BITS // 8, np.uint8)))
+    tracemalloc.start()
+    n = sum(map(len, run(iter([batch]))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == (0 if stage == "benchmark" else 8_000)
+    assert peak < 2 * batch.nbytes, f"{peak >> 20} MB for a batch of {batch.nbytes >> 20}"
+
+
+def test_texts_are_sent_to_be_scored_once(spark, small):
+    """A kept text is scored where it lies in its row; the scores are those of texts sent besides."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(-0.5, rng.normal(0, 0.3, 1 << toxicity.BITS).astype(np.float32))
+    whole = toxicity.score(docs, model, *docs.columns)
+    plan = whole._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Project \[struct\(.*\) AS row#\d+, .*text", plan), plan
+    least = toxicity.score(docs, model, "doc_id").collect()
+    assert sorted(((r.doc_id, r.score) for r in whole.collect())) == sorted((r.doc_id, r.score) for r in least)
+    assert sorted(map(str, whole.drop("score").collect())) == sorted(map(str, docs.collect()))

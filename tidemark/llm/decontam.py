@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, text_bytes, window_hashes
+from tidemark.llm.common import materialise, parts, text_bytes, window_hashes
 
 WINDOW = 8
 #: A copy covers this share of the item's template words, in one run or several near each other, or RUN of them.
@@ -47,7 +47,7 @@ SLACK = 16
 #: Runs of so many words or more are summed.
 LEAST = 3
 #: Words of stretches that one Arrow batch holds at most (a longer single text makes a longer batch).
-PART_WORDS = 1 << 18
+PART_WORDS = 1 << 16
 
 #: Unit words (after a number).
 UNITS = frozenset(
@@ -75,7 +75,7 @@ class Forms(dict):
     """token -> number, under which ``hash`` has the hash of its lower-case word and ``flags`` the sum of
     1: a number, 2: capitalised, 4: ends a sentence, 8: a unit."""
 
-    def __init__(self, room: int = 1 << 18):
+    def __init__(self, room: int = 1 << 17):
         self.room(room)
 
     def room(self, tokens: int) -> None:
@@ -200,7 +200,7 @@ def cut_docs(docs: DataFrame, sizes: list[int], reach: int, wanted) -> DataFrame
                     c.clear()
                 return made
 
-            for i, text in zip(b.column(0).to_pylist(), text_bytes(b.column(1))):
+            for i, text in ((i, text) for part in parts(b) for i, text in zip(part.column(0).to_pylist(), text_bytes(part.column(1)))):
                 tokens, plain, h, slot = template(text, forms)
                 ats, hashes = [], []
                 for at, w, _ in keys(plain, h, slot, sizes):

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Hashes, discard, materialise, pack, pack_sorted, slices, text_bytes, unpack, unpack_sorted, window_hashes, word_hashes
+from tidemark.llm.common import Hashes, discard, materialise, pack, pack_sorted, parts, slices, text_bytes, unpack, unpack_sorted, window_hashes, word_hashes
 
 SHINGLE = 5
 K = 384
@@ -69,7 +69,7 @@ OUTSIDE = 16
 #: Parts that the members of a list are dealt to where they are joined with what is known of the list.
 SALT = 8
 #: Words whose hashes a task remembers, and sketches of which it counts values at a time: bounds of its memory.
-WORDS, COUNTED = 1 << 18, 2048
+WORDS, COUNTED = 1 << 17, 2048
 #: Bits of the fixed-size filter with which the scan for full sets passes over uninvolved documents.
 FILTER_BITS = 1 << 24
 
@@ -116,7 +116,7 @@ def sketches(docs: DataFrame, n: int = SHINGLE, k: int | None = K) -> DataFrame:
     def run(batches):
         memo = Hashes()
         memo.LIMIT = WORDS
-        for b in batches:
+        for b in (part for batch in batches for part in parts(batch)):
             sizes, keys, kept = [], [], []
             for text in text_bytes(b.column(1)):
                 s = shingle_set(text, memo, n)
@@ -253,7 +253,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int = SHINGLE) -> DataFrame:
     def run(batches):
         memo = Hashes()
         memo.LIMIT = WORDS
-        for b in batches:
+        for b in (part for batch in batches for part in parts(batch)):
             p = np.asarray(b.column(2))
             on = np.flatnonzero((sent.value[p >> 6] >> (p & 63)) & 1)
             b = b.take(pa.array(on))

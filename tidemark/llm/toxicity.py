@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import fold, text_bytes
+from tidemark.llm.common import fold, parts, text_bytes
 from tidemark.llm.labelled import sample
 from tidemark.llm.license_scan import words_of
 
@@ -31,7 +31,7 @@ BITS = 18
 SIZES = (3, 4, 5)
 STEPS, RATE, L2 = 150, 0.05, 1.0
 #: Bytes of text scored at a time, and words remembered.
-PART, MEMO = 2 << 20, 1 << 18
+PART, MEMO = 1 << 18, 1 << 16
 #: A text is called toxic from this score on.
 THRESHOLD = 0.3
 
@@ -141,13 +141,17 @@ def score(docs: DataFrame, model: Model, *keep: str, name: str = "score") -> Dat
     an empty result; a model from no labels gives 0.05.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"), F.col("text").cast("string").alias("text"))
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
+    kept = keep.index("text") if "text" in keep and docs.schema["text"].dataType == T.StringType() else None
+    rows = docs.select(row, F.col("text").cast("string").alias("text")) if kept is None else docs.select(row)  # a text is sent once
     schema = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
 
     def run(batches):
         scorer = sent.value.scorer()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer(text_bytes(b.column(1))))], schema.names)
+            for part in parts(b):
+                text = part.column(1) if kept is None else part.column(0).field(kept)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scorer(text_bytes(text)))], schema.names)
 
     return rows.mapInArrow(run, schema).select("row.*", F.col("score").alias(name))
 
