@@ -166,6 +166,34 @@ def test_crowded_lists_by_differences(spark, monkeypatch):
         assert outside > near_dup.OUTSIDE and met and met[-1] < outside * len(rows) / 4
 
 
+def test_no_table_goes_through_the_driver(spark, monkeypatch):
+    """Every join of op9 deals out both sides, also those that look small to the planner, unless few rows are counted: they
+    grow with the documents."""
+    import random
+
+    rng, plans, written = random.Random(5), {}, near_dup.materialise
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    text = [word() for _ in range(300)]
+    slips = [(rng.randrange(300), word()) for _ in range(24)]
+    rows = []
+    for copy in range(160):
+        words = list(text)
+        for place, new in [(rng.randrange(300), word()) for _ in range(rng.randrange(9))] + rng.sample(slips, rng.randrange(5)):
+            words[place] = new
+        rows.append((copy, " ".join(words)))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def kept(df, name):
+        plans[name] = plans.get(name, "") + plan(df)
+        return written(df, name)
+
+    monkeypatch.setattr(near_dup, "materialise", kept)
+    monkeypatch.setattr(near_dup, "SENT_ROWS", 0, raising=False)
+    plans["result"] = plan(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 85))
+    assert {"changes", "changed-lists", "links", "labels", "result"} <= set(plans)
+    assert [name for name, text in plans.items() if "Broadcast" in text] == []
+
+
 def test_components(spark):
     """A long chain and a large star."""
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 100 + i) for i in range(1, 200)]

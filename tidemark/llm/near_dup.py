@@ -29,6 +29,10 @@ A value that a large share of the classes retain is no burden of one task: tasks
 among their own documents, which every value of that share is somewhere, their counts are added up, and the entries of
 those above a share of a key range go past the ranges, each from its own task. Joins on a list's value are salted.
 
+No join sends a table through the driver, but for such as are counted first (SENT_ROWS): all of them grow with the documents,
+and what packs to a few MB of Parquet (and a list's salted keys, of which the planner knows nothing) took up to 117 MB there
+at 0.5 GB of text. Both sides are dealt out by key.
+
 For sets above k shingles steps 2 and 3 are bounds of chance, not a proof; README has the measured recall. With ``exact``
 whole sets take the place of sketches and no estimate is made: the filters are then certain for sets of any size, at the
 price of entries for all shingles.
@@ -70,6 +74,8 @@ OUTSIDE = 16
 SALT = 8
 #: Words whose hashes a task remembers, and sketches of which it counts values at a time: bounds of its memory.
 WORDS, COUNTED = 1 << 17, 2048
+#: Rows of two numbers of which a join may send a table whole, if it has been counted.
+SENT_ROWS = 1 << 17
 #: Bits of the fixed-size filter with which the scan for full sets passes over uninvolved documents.
 FILTER_BITS = 1 << 24
 
@@ -109,6 +115,12 @@ def list_lengths(kept: np.ndarray, sizes: np.ndarray, k: int, t: float) -> np.nd
     return np.maximum(1, kept - least + 1).astype(np.int64)
 
 
+def dealt(rows: DataFrame, count: int | None = None) -> DataFrame:
+    """The right side of a join that deals out both sides by key, however small this one looks to the planner; one with at
+    most SENT_ROWS rows by ``count`` is left to it."""
+    return rows if count is not None and count <= SENT_ROWS else rows.hint("merge")
+
+
 def sketches(docs: DataFrame, n: int = SHINGLE, k: int | None = K) -> DataFrame:
     """doc_id, n_shingles, set_key (128 bits of the full set; null if empty), sketch (packed, ascending; without k the
     whole set)."""
@@ -137,17 +149,25 @@ def hot_values(reps: DataFrame, least: int, total: int) -> np.ndarray:
     if least > total:
         return np.empty(0, np.uint64)
 
+    def counts_of(blobs):
+        v, count = np.unique(np.concatenate([unpack_sorted(x) for x in blobs]), return_counts=True)
+        on = count * total >= least * len(blobs)
+        return pa.RecordBatch.from_arrays([pa.array(v[on].view(np.int64)), pa.array(count[on])], ["v", "n"])
+
     def frequent(batches):
+        # a task's last classes are counted with those before them: among a few, every value is frequent
+        blobs, each = [], COUNTED // 2
         for b in batches:
-            blobs = b.column(0).to_pylist()
-            for first in range(0, len(blobs), COUNTED):
-                found = [unpack_sorted(x) for x in blobs[first : first + COUNTED]]
-                v, count = np.unique(np.concatenate(found), return_counts=True)
-                on = count * total >= least * len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(v[on].view(np.int64)), pa.array(count[on])], ["v", "n"])
+            blobs += b.column(0).to_pylist()
+            whole = max(0, len(blobs) // each - 1) * each
+            for first in range(0, whole, each):
+                yield counts_of(blobs[first : first + each])
+            blobs = blobs[whole:]
+        if blobs:
+            yield counts_of(blobs)
 
     some = reps.select("sketch").mapInArrow(frequent, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
-    rows = some.orderBy(F.desc("n"), "v").limit(MOST_HOT).toArrow()
+    rows = some.orderBy(F.desc("n"), "v").limit(MOST_HOT).select("v").toArrow()
     named = np.sort(rows["v"].to_numpy().view(np.uint64))
     if not len(named):
         return named
@@ -244,10 +264,9 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int = SHINGLE) -> DataFrame:
     texts are not shuffled to find them; the join that follows removes what passes it by chance.
     """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = ids.select(F.floor(place / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    words = ids.select(F.floor(place / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for w, b in words:
-        bits[w] = b
+    bits[words["w"].to_numpy()] = words["b"].to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
@@ -271,11 +290,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = materialise(edges.union(edges.select("b", "a")).distinct(), "both")
     labels = materialise(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "labels")
+    n = labels.count()  # of every round, and at most so many have a neighbour
     while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("comp").alias("low"))
-        step = labels.join(near, labels.id == near.a, "left").select("id", F.least("comp", F.coalesce("low", "comp")).alias("comp"), F.col("comp").alias("old"))
+        near = both.join(dealt(labels, n), both.b == labels.id).groupBy("a").agg(F.min("comp").alias("low"))
+        step = labels.join(dealt(near, n), labels.id == near.a, "left").select("id", F.least("comp", F.coalesce("low", "comp")).alias("comp"), F.col("comp").alias("old"))
         jump = labels.select(F.col("id").alias("j"), F.col("comp").alias("up"))
-        new = materialise(step.join(jump, step.comp == jump.j, "left").select("id", F.least("comp", F.coalesce("up", "comp")).alias("comp"), "old"), "labels")
+        new = materialise(step.join(dealt(jump, n), step.comp == jump.j, "left").select("id", F.least("comp", F.coalesce("up", "comp")).alias("comp"), "old"), "labels")
         moved = new.where("comp <> old").isEmpty()
         discard(labels)
         labels = new
@@ -302,7 +322,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int
     named = materialise(sig.select("doc_id", "n_shingles", "set_key"), "named")
     classes = materialise(named.where("doc_id IS NOT NULL AND set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("cls")), "classes")
     # a class has the sketch of the document that it is named after
-    reps = sig.join(classes.withColumnRenamed("cls", "doc_id"), ["set_key", "doc_id"]).select(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("size"), "sketch")
+    reps = sig.join(dealt(classes.withColumnRenamed("cls", "doc_id")), ["set_key", "doc_id"]).select(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("size"), "sketch")
     if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
         reps = reps.dropDuplicates()
     reps = materialise(reps, "reps")
@@ -332,19 +352,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int
     size_ok = size_ok & (F.least("ahead", "ahead_b") >= needed(F.col("size"), F.col("size_b"), k, t))
     sk = None if exact else materialise(short_sketches(reps), "short")
     discard(reps)
-    comps, edges, tried = None, None, None
+    comps, edges, tried, linked = None, None, None, 0
     scratch = [lists] if exact else [lists, sk]
 
     def candidates(kind: str) -> DataFrame:
-        rows = lists if comps is None else lists.join(comps, lists.cls == comps.id, "left").select("cls", "size", "single", "ahead", "band", "v", "own", "salt", F.coalesce("comp", "cls").alias("comp"))
+        rows = lists if comps is None else lists.join(dealt(comps, linked), lists.cls == comps.id, "left").select("cls", "size", "single", "ahead", "band", "v", "own", "salt", F.coalesce("comp", "cls").alias("comp"))
         if comps is None:
             rows = rows.withColumn("comp", F.col("cls"))
         if kind == "rest":
             crowds = materialise(crowded(rows), "crowds")
             scratch.append(crowds)
-            pairs = rest_pairs(rows.join(salted(crowds), ["v", "salt"], "left_anti")).where(size_ok).select("cls", "cls_b")
+            pairs = rest_pairs(rows.join(dealt(salted(crowds)), ["v", "salt"], "left_anti")).where(size_ok).select("cls", "cls_b")
             if not crowds.isEmpty():
-                changed = differences(docs, rows.join(salted(crowds), ["v", "salt"]), percent, n)
+                changed = differences(docs, rows.join(dealt(salted(crowds)), ["v", "salt"]), percent, n)
                 scratch.append(changed)
                 pairs = pairs.union(differing_alike(changed, percent))
         else:
@@ -352,13 +372,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int
             leads = F.array(*(F.min_by(F.struct("cls", "size", "ahead", "comp"), F.struct(x, F.col("cls"))) for x in by))
             lead = rows.groupBy("v", "band").agg(leads.alias("ls"), F.count("*").alias("c")).where("c > 1").select("v", "band", F.explode(F.array_distinct("ls")).alias("l"))
             lead = lead.select("v", "band", F.col("l.cls").alias("cls_b"), F.col("l.size").alias("size_b"), F.col("l.ahead").alias("ahead_b"), F.col("l.comp").alias("comp_b"))
-            pairs = rows.join(salted(lead), ["v", "band", "salt"]).where((F.col("comp") != F.col("comp_b")) & size_ok)
+            pairs = rows.join(dealt(salted(lead)), ["v", "band", "salt"]).where((F.col("comp") != F.col("comp_b")) & size_ok)
         return pairs.select(F.least("cls", "cls_b").alias("a"), F.greatest("cls", "cls_b").alias("b")).distinct()
 
     for kind in ("first", "drawn", "rest"):
         pairs = candidates(kind)
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            pairs = pairs.join(dealt(tried), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         scratch.append(pairs)
         if comps is not None and pairs.isEmpty():
@@ -372,10 +392,11 @@ def near_duplicates(docs: DataFrame, percent: int = 80, n: int = SHINGLE, k: int
         if comps is not None:
             scratch.append(comps)
         comps = components(edges)
+        linked = comps.count()
     discard(*scratch)
 
-    own = named.join(classes, "set_key").select("doc_id", "n_shingles", "cls")
-    own = own.join(comps, own.cls == comps.id, "left").select("doc_id", "n_shingles", F.coalesce("comp", "cls").alias("component_id"))
+    own = named.join(dealt(classes), "set_key").select("doc_id", "n_shingles", "cls")
+    own = own.join(dealt(comps, linked), own.cls == comps.id, "left").select("doc_id", "n_shingles", F.coalesce("comp", "cls").alias("component_id"))
     rest = named.where("doc_id IS NULL OR set_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     own = own.where("doc_id IS NOT NULL")
     return own.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
@@ -399,10 +420,10 @@ def differences(docs: DataFrame, rows: DataFrame, percent: int, n: int) -> DataF
     the fewest values of its own: anchor, frame (the anchor's set), cls, comp, size, d (number of shingles that only one
     of the two has), es (these), linked (the member is outside the component and meets the threshold with the anchor)."""
     anchors = rows.where("comp = main").groupBy("main").agg(F.min_by("cls", F.struct("single", "cls")).alias("anchor"))
-    members = materialise(rows.select("main", "cls", "comp", "salt").distinct().join(anchors, "main"), "members")
+    members = materialise(rows.select("main", "cls", "comp", "salt").distinct().join(dealt(anchors), "main"), "members")
     ids = members.select(F.col("cls").alias("doc_id")).distinct()
-    sets = materialise(full_sets(docs, ids, n).join(ids, "doc_id", "left_semi"), "sets")
-    frames = members.select(F.col("anchor").alias("doc_id")).distinct().join(sets, "doc_id").select(F.col("doc_id").alias("anchor"), F.col("full").alias("frame"))
+    sets = materialise(full_sets(docs, ids, n).join(dealt(ids), "doc_id", "left_semi"), "sets")
+    frames = members.select(F.col("anchor").alias("doc_id")).distinct().join(dealt(sets), "doc_id").select(F.col("doc_id").alias("anchor"), F.col("full").alias("frame"))
 
     def run(batches):
         for whole in batches:
@@ -416,7 +437,7 @@ def differences(docs: DataFrame, rows: DataFrame, percent: int, n: int) -> DataF
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *d]).astype(np.int32)), pa.array(np.concatenate(es)))
                 yield pa.RecordBatch.from_arrays([b.column(1), pa.array(frame, pa.int64()), b.column(0), b.column(2), pa.array(size), pa.array(d), lists, pa.array(linked)], ["anchor", "frame", "cls", "comp", "size", "d", "es", "linked"])
 
-    both = members.join(sets.select(F.col("doc_id").alias("cls"), "full"), "cls").join(salted(frames), ["anchor", "salt"])
+    both = members.join(dealt(sets.select(F.col("doc_id").alias("cls"), "full")), "cls").join(dealt(salted(frames)), ["anchor", "salt"])
     schema = "anchor long, frame long, cls long, comp long, size long, d long, es array<long>, linked boolean"
     out = materialise(both.select("cls", "anchor", "comp", "main", "full", "frame").mapInArrow(run, schema), "changes")
     discard(members, sets)
@@ -433,7 +454,7 @@ def differing_alike(changed: DataFrame, percent: int) -> DataFrame:
     rows = changed.where("d > 0").select(*who, F.xxhash64("es").alias("text"), F.explode("es").alias("e"))
     rows = rows.withColumns({"v": F.xxhash64("anchor", "frame", "e"), "salt": F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(SALT)).cast("int")})
     several = rows.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    rows = rows.join(salted(several), ["v", "salt"]).groupBy(*who, "text").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
+    rows = rows.join(dealt(salted(several)), ["v", "salt"]).groupBy(*who, "text").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("vs"))
     single = F.col("d") - F.size("vs")
     room = F.least(F.col("d"), most + 1) - single
     rows = rows.where(room > 0).select("cls", "comp", "size", "d", single.alias("single"), F.posexplode(F.slice("vs", 1, room.cast("int"))).alias("n", "x"))
@@ -451,20 +472,20 @@ def rest_pairs(rows: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
     most = rows.groupBy("v", "comp").agg(F.count("*").alias("n")).groupBy("v").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count("*").alias("c"), F.sum("n").alias("n"))
     most = most.where("c > 1").select("v", "main", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("cls", F.lit(7)), F.lit(SALT)).cast("int"))
-    rows = rows.join(salted(most), ["v", "salt"]).withColumn("out", F.col("comp") != F.col("main")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    rows = rows.join(dealt(salted(most)), ["v", "salt"]).withColumn("out", F.col("comp") != F.col("main")).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     theirs = rows.select("v", "part", *(F.col(c).alias(f"{c}_b") for c in ("cls", "size", "ahead", "comp", "out", *more)))
     mine = rows.where("own").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     order = (F.col("size") < F.col("size_b")) | ((F.col("size") == F.col("size_b")) & (F.col("cls") != F.col("cls_b")))
     differ = order & (F.col("comp") != F.col("comp_b"))
-    outside = mine.where("out").join(theirs, ["v", "part"]).where(differ)
-    return outside.unionByName(mine.where("NOT out").join(theirs.where("out_b"), ["v", "part"]).where(differ))
+    outside = mine.where("out").join(dealt(theirs), ["v", "part"]).where(differ)
+    return outside.unionByName(mine.where("NOT out").join(dealt(theirs.where("out_b")), ["v", "part"]).where(differ))
 
 
 def estimated(pairs: DataFrame, sk: DataFrame, t: float) -> DataFrame:
     """Pairs whose union sketch does not rule the threshold out; exact where both sketches are whole sets."""
     a = sk.select(F.col("cls").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sa"))
     b = sk.select(F.col("cls").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("common", F.array_intersect("sa", "sb")).withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SHORT))
+    both = pairs.join(dealt(a), "a").join(dealt(b), "b").withColumn("common", F.array_intersect("sa", "sb")).withColumn("u", F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SHORT))
     whole = (F.col("size_a") <= SHORT) & (F.col("size_b") <= SHORT)
     exact = F.size("common") >= t * (F.col("size_a") + F.col("size_b") - F.size("common")) - 1e-6
     likely = F.size(F.array_intersect("common", "u")) >= least_shared(SHORT, t) / SHORT * F.size("u")
@@ -475,7 +496,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int, n: int) -> DataFra
     """The pairs that meet the threshold on their full sets, as a written table."""
     pairs = materialise(pairs, "likely")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = materialise(full_sets(docs, ids, n).join(ids, "doc_id", "left_semi"), "sets")
+    sets = materialise(full_sets(docs, ids, n).join(dealt(ids), "doc_id", "left_semi"), "sets")
 
     def run(batches):
         for x in batches:
@@ -486,7 +507,7 @@ def verified(docs: DataFrame, pairs: DataFrame, percent: int, n: int) -> DataFra
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    rows = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("full").alias("fa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("full").alias("fb")), "b")
+    rows = pairs.join(dealt(sets.select(F.col("doc_id").alias("a"), F.col("full").alias("fa"))), "a").join(dealt(sets.select(F.col("doc_id").alias("b"), F.col("full").alias("fb"))), "b")
     links = materialise(rows.select("a", "b", "fa", "fb").mapInArrow(run, "a long, b long"), "links")
     discard(sets, pairs)
     return links
