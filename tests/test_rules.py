@@ -6,12 +6,13 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import catalogue, catalogue_loads, catalogue_market, catalogue_plans, catalogue_runs  # noqa: F401
 from tidemark.functions import words
 from tidemark.operators import pit
 from tidemark.operators import trading_calendar as cal
-from tidemark.plans import fields, rebalance, screen, snapshots
+from tidemark.plans import factors, fields, rebalance, screen, snapshots
 from tidemark.sources import loads, records
 from tidemark.streaming.loads import restatement_stream
 
@@ -49,6 +50,13 @@ def test_faulty_codes_are_told_and_spare_the_others(spark, small):
     assert one.unit == "krw" and set(one.inputs) == {"shares_issued", "close_price_adjusted"} and one.versions == {"KRX": "1"}
 
 
+def test_a_snapshot_has_every_factor_of_the_pack(spark, small):
+    rows = catalogue.QUERIES["q_snapshot_precompute"](spark, small).where("factor <> 'rejected'")
+    factors_of = {r.code: set(r.fs) for r in rows.groupBy("code").agg(F.collect_list("factor").alias("fs"), F.count("unit").alias("n")).where("n = size(fs)").collect()}
+    assert len(factors_of) == rows.select("code").distinct().count() > 0
+    assert all(fs == set(factors.BUILT_IN) for fs in factors_of.values())
+
+
 def landed(seed):
     rng = random.Random(seed)
     reports = []

@@ -21,6 +21,7 @@ from tidemark.sources.stored import written
 UNITS = {
     "fac_mcap_ex_treasury": "krw", "fac_mcap_official": "krw", "fac_per_ttm": "ratio", "fac_per_annual": "ratio", "fac_per_official": "ratio", "fac_pbr": "ratio", "fac_roe_ttm": "ratio",
     "fac_eps_ttm": "krw", "fac_dividend_yield": "percent", "fac_turnover_20d": "percent", "fac_total_return_1y": "percent",
+    "fac_ffo_multiple_reit": "ratio", "fac_dividend_yield_reit": "percent",
 }
 KEYS = ["code", "as_of", "factor"]
 SCHEMA = "code string, factor string, value double, unit string, reason string, inputs map<string,boolean>, versions map<string,string>, as_of date"
