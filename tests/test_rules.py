@@ -110,6 +110,21 @@ def test_many_landed_files_are_one_batch(spark, tmp_path):
     assert {r.id: r.superseded_by for r in spark.read.parquet(f"{tmp_path}/chains").collect()} == {k: k + 7 if k < 133 else None for k in range(140)}
 
 
+def test_a_batch_leaves_nothing_beside_the_chains(spark, tmp_path):
+    """One shuffle of the versions, whose files go with it, and no table but the chains themselves."""
+    schema = "id long, code string, account string, effective_date date, receipt string"
+    rows = spark.createDataFrame([(k, f"c{k % 7}", "x", D(2024, 1, 1 + k // 7), "r" + str(k)) for k in range(140)], schema)
+    assert loads.chained(rows, ["code", "account"])._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    shared = spark.conf.get("spark.checkpoint.dir") + "/tidemark"
+    kept = lambda: set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    before = kept()
+    for first in (0, 70):
+        rows.where(F.col("id").between(first, first + 69)).write.mode("append").parquet(f"{tmp_path}/landed")
+        restatement_stream(spark, f"{tmp_path}/landed", schema, f"{tmp_path}/chains", f"{tmp_path}/progress", ["code", "account"], parts=4)
+    assert kept() == before
+    assert {r.id: r.superseded_by for r in spark.read.parquet(f"{tmp_path}/chains").collect()} == {k: k + 7 if k < 133 else None for k in range(140)}
+
+
 def test_dense_bars(spark):
     days = [D(2024, 1, k) for k in (1, 2, 3, 4, 5, 8, 9, 10)]  # business days
     calendar = spark.createDataFrame([(d, k + 1) for k, d in enumerate(days)], "day date, bd_index int")

@@ -13,7 +13,7 @@ from tidemark.functions import records as rec
 from tidemark.operators import pit
 from tidemark.operators import trading_calendar as cal
 from tidemark.sources import loads, records
-from tidemark.sources.stored import shared_folder
+from tidemark.sources.stored import shared_folder, shuffles_dropped
 from tidemark.streaming.loads import restatement_stream
 from tidemark.views import VIEWS
 
@@ -219,7 +219,8 @@ def _(v):
     reports = v("landed_reports")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in reports.schema if f.name != "file")
     for file in (2, 0, 1):  # each landing is one run of the stream
-        reports.where(F.col("file") == file).drop("file").write.mode("append").parquet(f"{place}/landed")
+        with shuffles_dropped(spark):
+            reports.where(F.col("file") == file).drop("file").write.mode("append").parquet(f"{place}/landed")
         restatement_stream(spark, f"{place}/landed", schema, f"{place}/chains", f"{place}/progress", ["code", "period", "account"], parts=8)
     return spark.read.parquet(f"{place}/chains").select("id", "code", "period", "account", "receipt", "value", "superseded_by")
 

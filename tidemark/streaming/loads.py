@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.loads import appended, chained, once
-from tidemark.sources.stored import written
+from tidemark.sources.stored import shuffles_dropped
 
 
 def append_stream(spark: SparkSession, landed: str, schema: str, target: str, checkpoint: str, keys: list[str], by: str | None = None) -> None:
@@ -49,22 +49,27 @@ def restatement_stream(spark: SparkSession, landed: str, schema: str, target: st
     report stay as they are. ``parts`` stays what it was when the table was begun.
 
     All files landed since the last run are one batch, however many: keys stand in any file, so each batch takes and
-    writes all that is stored, and batches of some files each would do so the more often the more is landed."""
+    writes all that is stored, and batches of some files each would do so the more often the more is landed.
+
+    A batch needs the disk of one shuffle of its parts and of these parts as they become: nothing is written beside them. Old
+    parts are replaced when all new ones are there, so they may be read until then."""
 
     def write(batch: DataFrame, _: int) -> None:
-        batch = written(batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")), "reports")
+        own = batch.sparkSession  # the stream's, which plans without regard to sizes
+        own.conf.set("spark.sql.adaptive.enabled", spark.conf.get("spark.sql.adaptive.enabled"))
+        batch = batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
         met = [r[0] for r in batch.select("part").distinct().collect()]  # at most ``parts``
         if not met:
             return
         try:
-            stored = spark.read.parquet(target).where(F.col("part").isin(met)).select(*batch.columns)
+            stored = own.read.parquet(target).where(F.col("part").isin(met)).select(*batch.columns)
         except AnalysisException as e:  # the first batch finds no table
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             stored = batch.where("false")
-        new = written(chained(stored.unionByName(batch), keys), "chains")
-        # a part is dealt to more tasks the larger it is
-        new.hint("rebalance", F.col("part")).write.partitionBy("part").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
+        new = chained(stored.unionByName(batch), keys)
+        with shuffles_dropped(own):
+            new.write.partitionBy("part").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(target)
 
     rows = spark.readStream.schema(schema).parquet(landed)
     rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
